@@ -15,7 +15,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.toxicity import held_out, labelled_sample
@@ -136,16 +136,21 @@ def score(model: QualityModel, text: str | None) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def score_texts(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, score, predicted) of every row: whole texts, null as empty.
+def score_texts(docs: DataFrame, model: QualityModel, threshold: float = 0.7, also: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, score, predicted) of every row, and the long columns ``also``.
 
-    Repeated rows score alike, an empty table gives none."""
+    Whole texts are read, null as empty.  Repeated rows score alike, an empty
+    table gives none."""
     small = QualityModel(model.weights.astype(np.float32), model.bias, model.slope, model.shift)
     sent = docs.sparkSession.sparkContext.broadcast(small)
+    names = ["doc_id", *(also or {})]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = np.array([score(sent.value, t) for t in b.column("text").to_pylist()], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            scores = np.array([score(sent.value, t.as_py()) for t in b.column("text")], dtype=np.float64)
+            kept = [b.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    schema = ", ".join(f"{n} long" for n in names) + ", score double, predicted int"
+    rows = docs.select(F.col("doc_id").cast("long"), *(c.alias(n) for n, c in (also or {}).items()), F.col("text").cast("string"))
+    return rows.mapInArrow(run, schema)

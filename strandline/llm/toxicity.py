@@ -178,7 +178,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for b in batches:
-            scores = np.array([scorer.score(t) for t in b.column("text").to_pylist()], dtype=np.float64)
+            scores = np.array([scorer.score(t.as_py()) for t in b.column("text")], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
