@@ -1,6 +1,249 @@
-"""The activity queries and their SQL."""
+"""The activity queries over the test tables, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.functions import scalars
+from strandline.functions.scalars import DAY, HOUR
+from strandline.operators import advice, dynamics, metrics, render, retention, sessions, upsert
+from strandline.sources import events as source
+
+#: The month that the test table covers, and a gap that suits its density.
+START, END, IDLE = 1_704_067_200_000, 1_704_067_200_000 + 30 * DAY, 600_000
+SALT = "00ff10a1"
+
+
+class Inputs:
+    """The tables of a query as the operators take them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.events = source.from_test_table(spark.read.parquet(f"{sf_dir}/events.parquet"))
+        self.windows = source.test_windows(self.events)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def sessions(self) -> DataFrame:
+        return sessions.focus_sessions(self.events, self.windows, START, END, IDLE)
+
+    def parts(self) -> DataFrame:
+        return sessions.by_hour(self.sessions())
+
+    def hours(self) -> DataFrame:
+        return sessions.hour_grid(self.spark, START, END)
+
+    def hourly(self) -> DataFrame:
+        return metrics.hourly_summary(self.events, self.windows, START, END, IDLE)
+
+    def evidence(self) -> DataFrame:
+        return sessions.evidence(sessions.top_apps(self.parts()))
+
+    def changed(self) -> DataFrame:
+        """Hourly rows as an older run left them: every 50th hour is missing, every 60th has an old hash."""
+        h = F.col("hour_ms") / HOUR
+        old = F.when(h % 60 == 0, F.lit("old")).otherwise(F.col("input_hash"))
+        return self.hourly().where(h % 50 != 0).withColumn("input_hash", old)
+
+
+def _q(f):
+    return lambda spark, sf_dir: f(Inputs(spark, sf_dir))
+
+
+def _bad_lines(x: Inputs) -> DataFrame:
+    """Journal lines of all kinds made from events, and whether they are valid."""
+    e = x.events.where("monitor = 'mouse'")
+    k = F.col("id").cast("long") % 6
+    line = (
+        F.when(k == 0, F.concat(F.lit('{"id":"'), "id", F.lit('","ts_utc":'), "ts_utc", F.lit(',"monitor":"mouse","action":"a","subject_type":"none","session_id":"s"}')))
+        .when(k == 1, F.concat(F.lit('{"id":'), F.col("id").cast("long").cast("string"), F.lit(',"ts_utc":1,"monitor":"mouse","action":"a","subject_type":"none","session_id":"s"}')))
+        .when(k == 2, F.concat(F.lit('{"id":"'), "id", F.lit('","ts_utc":"1","monitor":"mouse","action":"a","subject_type":"none","session_id":"s"}')))
+        .when(k == 3, F.concat(F.lit('{"id":"'), "id", F.lit('","ts_utc":1,"monitor":"other","action":"a","subject_type":"none","session_id":"s"}')))
+        .when(k == 4, F.concat(F.lit('{"id":"'), "id", F.lit('","ts_utc":1,"monitor":"mouse","subject_type":"none","session_id":"s"}')))
+        .otherwise(F.lit("no json"))
+    )
+    return source.parse_lines(e.select("id", line.alias("value"))).select("id", source.is_valid(F.col("event")).alias("valid"))
+
+
+QUERIES = {
+    "event_time_range_latest": _q(lambda x: source.latest_in_range(x.events, START + DAY, START + 2 * DAY, 50).select("id", "ts_utc", "monitor")),
+    "monitor_status": _q(lambda x: x.events.groupBy("monitor").agg(F.max("ts_utc").alias("last_ts"), F.count(F.lit(1)).alias("n")).withColumn("age", scalars.age_text(F.lit(END) - F.col("last_ts")))),
+    "hour_grid": _q(lambda x: sessions.closed_hours(x.hours(), END, 5)),
+    "day_grid": _q(lambda x: x.events.select(scalars.floor_to(F.col("ts_utc"), DAY).alias("day_ms")).distinct()),
+    "focus_sessions": _q(Inputs.sessions),
+    "session_hour_clip": _q(Inputs.parts),
+    "hourly_focus": _q(lambda x: metrics.hourly_wide(x.events, x.windows, START, END, IDLE).select("hour_ms", "focus_minutes", "idle_minutes", "coverage")),
+    "context_switches": _q(lambda x: sessions.hourly_sessions(x.parts()).select("hour_ms", "sessions", "switches")),
+    "deep_focus": _q(lambda x: sessions.hourly_sessions(x.parts()).select("hour_ms", "deep_ms")),
+    "top3_apps": _q(lambda x: sessions.top_apps(x.parts())),
+    "top3_evidence": _q(Inputs.evidence),
+    "hourly_metrics_long": _q(lambda x: metrics.hourly_long(metrics.hourly_wide(x.events, x.windows, START, END, IDLE))),
+    "hourly_input_hash": _q(lambda x: metrics.input_hashes(x.events, x.hours(), "abc123")),
+    "daily_rollup": _q(lambda x: metrics.daily_summary(x.hourly()).select("day_ms", "metric_key", "value_num", "hours_counted", "low_conf_hours")),
+    "daily_hash": _q(lambda x: metrics.daily_summary(x.hourly()).select("day_ms", "metric_key", "input_hash")),
+    "hour_mismatches": _q(lambda x: metrics.hour_mismatches(metrics.input_hashes(x.events, x.hours()), x.changed())),
+    "day_mismatches": _q(lambda x: metrics.day_mismatches(x.changed(), metrics.daily_summary(x.hourly()))),
+    "upsert_diff": _q(lambda x: upsert.diff(x.hourly(), x.changed(), ["hour_ms", "metric_key"], ["value_num", "input_hash"]).groupBy("change").agg(F.count(F.lit(1)).alias("n"))),
+    "dedupe_events": _q(lambda x: upsert.new_events(x.events.union(x.events.where("user_id % 3 = 0")).select("id", "ts_utc"), x.events.where("user_id % 5 = 0"))),
+    "dim_first_last_seen": _q(lambda x: upsert.first_last_seen(x.events, "subject_id", carry=("action",))),
+    "left_join_dim": _q(lambda x: x.events.join(x.windows.withColumnRenamed("id", "subject_id"), "subject_id", "left").groupBy("app_id").agg(F.count(F.lit(1)).alias("n"))),
+    "advice_hourly": _q(lambda x: advice.hourly_advice(x.hourly(), x.evidence(), aliases=True)),
+    "advice_daily": _q(lambda x: advice.daily_advice(metrics.daily_summary(x.hourly()), aliases=True)),
+    "advice_catalog": _q(lambda x: x.spark.createDataFrame(list(advice.CATALOG), "rule_key string, version int, title string, description string")),
+    "digest_order": _q(lambda x: advice.hourly_advice(x.hourly(), aliases=True).select("hour_ms", "rule_key", advice.severity_rank(F.col("severity")).alias("place"))),
+    "hourly_report_txt": _q(lambda x: render.hourly_report(x.hourly(), x.evidence()).select("hour_ms", "txt", "sha256")),
+    "daily_report_txt": _q(lambda x: render.daily_report(metrics.daily_summary(x.hourly())).select("day_ms", "txt", "sha256")),
+    "hourly_digest": _q(lambda x: render.hourly_digest(x.hourly(), x.evidence(), advice.hourly_advice(x.hourly(), x.evidence()))),
+    "daily_digest": _q(lambda x: render.daily_digest(metrics.daily_summary(x.hourly()), advice.daily_advice(metrics.daily_summary(x.hourly())))),
+    "artifact_paths": _q(lambda x: x.hours().select("hour_ms", render.artifact_path("hourly", F.col("hour_ms"), F.sha2(F.col("hour_ms").cast("string"), 256), "txt").alias("path"))),
+    "salted_hash": _q(lambda x: x.table("pages").select("page_id", scalars.salted_hash(F.col("url"), "url", SALT).alias("hash"))),
+    "url_domain": _q(lambda x: x.table("pages").select("page_id", scalars.url_authority(F.col("url")).alias("authority"), scalars.trackable_url(F.col("url")).alias("trackable"))),
+    "inter_event_stats": _q(lambda x: dynamics.interval_stats(dynamics.gaps(x.events, "monitor"), "monitor").select("monitor", "n", scalars.round4(F.col("p95_ms")).alias("p95_ms"), scalars.round4(F.col("mean_ms")).alias("mean_ms"))),
+    "distance_stats": _q(lambda x: dynamics.distance(x.events.withColumn("x", F.col("value")).withColumn("y", F.col("value") * 2), "user_id")),
+    "bursts": _q(lambda x: dynamics.bursts(x.events, "user_id", span=DAY, keys=3)),
+    "idle_gaps": _q(lambda x: dynamics.idle_gaps(x.events, 300_000)),
+    "window_changes": _q(lambda x: dynamics.changes(x.events, "user_id", ("monitor",)).select("id", "user_id", "monitor")),
+    "title_dedupe": _q(lambda x: dynamics.dedupe_within(x.events, "user_id", span=DAY)),
+    "count_batches": _q(lambda x: dynamics.count_batches(x.events, "monitor", 128).groupBy("monitor", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("ts_utc").alias("first_ts"))),
+    "activity_counters": _q(lambda x: x.events.groupBy(scalars.floor_to(F.col("ts_utc"), HOUR).alias("hour_ms")).agg(F.count_if(F.col("monitor") == "keyboard").alias("keys"), F.count_if((F.col("monitor") == "mouse") & (F.col("action") == "error")).alias("clicks"))),
+    "table_counts": _q(lambda x: x.table("events").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit("events")).unionByName(x.table("pages").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit("pages")))),
+    "quota_state": _q(lambda x: retention.quota_state(x.table("pages").select(F.octet_length("html").cast("long").alias("size")), 1 << 20)),
+    "retention_victims": _q(lambda x: retention.victims(x.events.select("id", F.timestamp_millis("ts_utc").alias("modified"), F.col("user_id").alias("size")), 100_000, key="id").select("id", "size")),
+    "invalid_events": _q(_bad_lines),
+}
+
+_EVENTS = f"""
+WITH e AS (
+  SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, epoch_us(ts) // 1000 AS ts_utc,
+         CASE WHEN event_type IN ('view', 'purchase') THEN 'active_window' WHEN event_type IN ('click', 'signup') THEN 'keyboard' ELSE 'mouse' END AS monitor,
+         event_type AS action, CAST(user_id AS VARCHAR) AS subject_id, user_id, value, props FROM events
+), w AS (
+  SELECT DISTINCT subject_id AS id, 'app' || CAST(user_id % 7 AS VARCHAR) AS app_id FROM e WHERE user_id % 11 <> 0
+)"""
+_SESSIONS = _EVENTS + f""", c AS (
+  SELECT *, lead(ts_utc) OVER (ORDER BY ts_utc, id) AS nxt FROM e WHERE monitor = 'active_window' AND ts_utc >= {START} AND ts_utc < {END}
+), s AS (
+  SELECT ts_utc AS start_ms, least({END}, CASE WHEN nxt IS NULL THEN {END} WHEN nxt - ts_utc > {IDLE} THEN ts_utc + 1000 ELSE nxt END) AS end_ms, subject_id AS window_id, app_id
+  FROM c LEFT JOIN w ON w.id = c.subject_id
+), f AS (SELECT * FROM s WHERE end_ms > start_ms
+), p AS (
+  SELECT h * {HOUR} AS hour_ms, greatest(start_ms, h * {HOUR}) AS start_ms, least(end_ms, (h + 1) * {HOUR}) AS end_ms, window_id, app_id
+  FROM (SELECT *, unnest(range(start_ms // {HOUR}, (end_ms - 1) // {HOUR} + 1)) AS h FROM f)
+)"""
+_HOURLY = _SESSIONS + f""", r AS (
+  SELECT *, CASE WHEN lag(app_id) OVER o IS NOT DISTINCT FROM app_id AND lag(end_ms) OVER o = start_ms THEN 0 ELSE 1 END AS brk FROM p WINDOW o AS (PARTITION BY hour_ms ORDER BY start_ms)
+), b AS (
+  SELECT *, sum(brk) OVER (PARTITION BY hour_ms ORDER BY start_ms ROWS UNBOUNDED PRECEDING) AS run FROM r
+), k AS (
+  SELECT hour_ms, run, count(*) AS n, CAST(sum(end_ms - start_ms) AS BIGINT) AS ms FROM b GROUP BY ALL
+), hs AS (
+  SELECT hour_ms, CAST(sum(n) AS BIGINT) AS sessions, CAST(sum(ms) AS BIGINT) AS focus_ms, CAST(sum(n) - 1 AS BIGINT) AS switches, max(ms) AS deep_ms FROM k GROUP BY hour_ms
+), g AS (
+  SELECT unnest(range({START}, {END}, {HOUR})) AS hour_ms
+), t AS (
+  SELECT ts_utc // {HOUR} * {HOUR} AS hour_ms, count(*) FILTER (monitor = 'keyboard') AS keys, count(*) FILTER (monitor = 'mouse') AS clicks FROM e GROUP BY ALL
+), m AS (
+  SELECT g.hour_ms, coalesce(sessions, 0) AS sessions, coalesce(switches, 0) AS switches, coalesce(keys, 0) AS keys, coalesce(clicks, 0) AS clicks,
+         floor(least(60.0::DOUBLE, coalesce(focus_ms, 0) / 60000.0::DOUBLE) * 100.0 + 0.5) / 100.0 AS focus_minutes,
+         floor(coalesce(deep_ms, 0) / 60000.0::DOUBLE * 100.0 + 0.5) / 100.0 AS deep_focus_minutes
+  FROM g LEFT JOIN hs USING (hour_ms) LEFT JOIN t USING (hour_ms)
+), mw AS (
+  SELECT *, floor(greatest(0.0::DOUBLE, 60.0::DOUBLE - focus_minutes) * 100.0 + 0.5) / 100.0 AS idle_minutes,
+         floor(least(1.0::DOUBLE, focus_minutes / 60.0::DOUBLE) * 10000.0 + 0.5) / 10000.0 AS coverage FROM m
+), ml AS (
+  SELECT hour_ms, 'context_switches' AS metric_key, CAST(switches AS DOUBLE) AS value_num, sessions AS input_row_count, coverage AS coverage_ratio FROM mw
+  UNION ALL SELECT hour_ms, 'deep_focus_minutes', deep_focus_minutes, sessions, coverage FROM mw
+  UNION ALL SELECT hour_ms, 'focus_minutes', focus_minutes, sessions, coverage FROM mw
+  UNION ALL SELECT hour_ms, 'idle_minutes', idle_minutes, sessions, coverage FROM mw
+  UNION ALL SELECT hour_ms, 'keyboard_events', CAST(keys AS DOUBLE), keys, 1.0 FROM mw
+  UNION ALL SELECT hour_ms, 'mouse_events', CAST(clicks AS DOUBLE), clicks, 1.0 FROM mw
+)"""
+
+
+def _hashes(code: str) -> str:
+    return f""", x AS (
+  SELECT g.hour_ms, count(id) AS events, sha256('events|' || count(id) || '|' || coalesce(min(ts_utc), 0) || '|' || coalesce(max(ts_utc), 0) || '|' || coalesce(min(id), '') || '|' || coalesce(max(id), '') || '|git:{code}') AS input_hash
+  FROM g LEFT JOIN e ON e.ts_utc // {HOUR} * {HOUR} = g.hour_ms GROUP BY g.hour_ms
+)"""
+
+
+_SUMMARY = _HOURLY + _hashes("-") + f""", y AS (SELECT ml.*, input_hash FROM ml JOIN x USING (hour_ms)
+), old AS (
+  SELECT * REPLACE (CASE WHEN hour_ms // {HOUR} % 60 = 0 THEN 'old' ELSE input_hash END AS input_hash) FROM y WHERE hour_ms // {HOUR} % 50 <> 0
+), d AS (
+  SELECT hour_ms // {DAY} * {DAY} AS day_ms, metric_key, floor(list_sum(list(value_num ORDER BY hour_ms)) * 100.0 + 0.5) / 100.0 AS value_num, count(*) AS hours_counted,
+         count(*) FILTER (coverage_ratio < 0.6) AS low_conf_hours, sha256(string_agg(input_hash, '|' ORDER BY hour_ms) || '|git:-') AS input_hash FROM y GROUP BY ALL
+), ta AS (
+  SELECT hour_ms, app_id, CAST(sum(end_ms - start_ms) AS BIGINT) AS ms, min(start_ms) AS seen FROM p GROUP BY ALL
+), tr AS (
+  SELECT hour_ms, CAST(row_number() OVER (PARTITION BY hour_ms ORDER BY ms DESC, seen) AS INTEGER) AS rank, app_id, floor(ms / 60000.0::DOUBLE * 100.0 + 0.5) / 100.0 AS minutes FROM ta
+), tk AS (SELECT * FROM tr WHERE rank <= 3
+), ev AS (
+  SELECT hour_ms, '[' || string_agg('{{"app_id":' || coalesce('"' || app_id || '"', 'null') || ',"minutes":' || CAST(minutes AS VARCHAR) || '}}', ',' ORDER BY rank) || ']' AS evidence_json FROM tk GROUP BY hour_ms
+), ah AS (
+  SELECT hour_ms, max(value_num) FILTER (metric_key = 'focus_minutes') AS fm, max(value_num) FILTER (metric_key = 'context_switches') AS sw, max(value_num) FILTER (metric_key = 'deep_focus_minutes') AS df,
+         max(value_num) FILTER (metric_key = 'keyboard_events') + max(value_num) FILTER (metric_key = 'mouse_events') AS inp, max(value_num) FILTER (metric_key = 'idle_minutes') AS idle FROM y GROUP BY hour_ms
+), ar AS (
+  SELECT hour_ms, 'low_focus' AS rule_key, 1 AS place FROM ah WHERE fm < 25 UNION ALL SELECT hour_ms, 'high_switches', 1 FROM ah WHERE sw >= 12 UNION ALL SELECT hour_ms, 'deep_focus_positive', 3 FROM ah WHERE df >= 30
+  UNION ALL SELECT hour_ms, 'passive_input', 2 FROM ah WHERE inp < 5 AND fm >= 15 UNION ALL SELECT hour_ms, 'long_idle', 2 FROM ah WHERE idle >= 40
+)"""
+
+ORACLE_SQL = {
+    "event_time_range_latest": _EVENTS + f" SELECT id, ts_utc, monitor FROM e WHERE ts_utc BETWEEN {START + DAY} AND {START + 2 * DAY} ORDER BY ts_utc DESC, id DESC LIMIT 50",
+    "monitor_status": _EVENTS + f""" SELECT monitor, max(ts_utc) AS last_ts, count(*) AS n,
+        CASE WHEN a < 60 THEN a || 's ago' WHEN a < 3600 THEN a // 60 || 'm ago' WHEN a < 86400 THEN a // 3600 || 'h ago' ELSE a // 86400 || 'd ago' END AS age
+        FROM (SELECT *, ({END} - max(ts_utc) OVER (PARTITION BY monitor)) // 1000 AS a FROM e) GROUP BY monitor, a""",
+    "hour_grid": f"SELECT unnest(range({START}, {END} - {HOUR}, {HOUR})) AS hour_ms",
+    "day_grid": _EVENTS + f" SELECT DISTINCT ts_utc // {DAY} * {DAY} AS day_ms FROM e",
+    "focus_sessions": _SESSIONS + " SELECT start_ms, end_ms, window_id, app_id FROM f",
+    "session_hour_clip": _SESSIONS + " SELECT hour_ms, start_ms, end_ms, window_id, app_id FROM p",
+    "hourly_focus": _HOURLY + " SELECT hour_ms, focus_minutes, idle_minutes, coverage FROM mw",
+    "context_switches": _HOURLY + " SELECT hour_ms, sessions, switches FROM hs",
+    "deep_focus": _HOURLY + " SELECT hour_ms, deep_ms FROM hs",
+    "top3_apps": _SUMMARY + " SELECT hour_ms, rank, app_id, minutes FROM tk",
+    "top3_evidence": _SUMMARY + " SELECT hour_ms, evidence_json FROM ev",
+    "hourly_metrics_long": _HOURLY + " SELECT hour_ms, metric_key, value_num, input_row_count, coverage_ratio FROM ml",
+    "hourly_input_hash": _HOURLY + _hashes("abc123") + " SELECT hour_ms, events, input_hash FROM x",
+    "daily_rollup": _SUMMARY + " SELECT day_ms, metric_key, value_num, hours_counted, low_conf_hours FROM d",
+    "daily_hash": _SUMMARY + " SELECT day_ms, metric_key, input_hash FROM d",
+    "hour_mismatches": _SUMMARY + """ SELECT hour_ms FROM x FULL JOIN (SELECT hour_ms, min(input_hash) AS h FROM old GROUP BY hour_ms) USING (hour_ms)
+        WHERE (coalesce(events, 0) > 0 AND h IS NULL) OR (coalesce(events, 0) = 0 AND h IS NOT NULL) OR h <> input_hash""",
+    "day_mismatches": _SUMMARY + f""" SELECT day_ms FROM (
+          SELECT hour_ms // {DAY} * {DAY} AS day_ms, sha256(string_agg(h, '|' ORDER BY hour_ms) || '|git:-') AS now FROM (SELECT hour_ms, min(input_hash) AS h FROM old GROUP BY hour_ms) GROUP BY ALL
+        ) FULL JOIN (SELECT day_ms, min(input_hash) AS kept FROM d GROUP BY day_ms) USING (day_ms) WHERE now IS DISTINCT FROM kept""",
+    "upsert_diff": _SUMMARY + """ SELECT CASE WHEN o.hour_ms IS NULL THEN 'insert' WHEN o.value_num = y.value_num AND o.input_hash = y.input_hash THEN 'unchanged' ELSE 'update' END AS change, count(*) AS n
+        FROM y LEFT JOIN old o ON o.hour_ms = y.hour_ms AND o.metric_key = y.metric_key GROUP BY 1""",
+    "dedupe_events": _EVENTS + " SELECT DISTINCT id, ts_utc FROM e WHERE user_id % 5 <> 0",
+    "dim_first_last_seen": _EVENTS + " SELECT subject_id, min(ts_utc) AS first_seen_utc, max(ts_utc) AS last_seen_utc, arg_max(action, ts_utc) AS action FROM e GROUP BY subject_id",
+    "left_join_dim": _EVENTS + " SELECT app_id, count(*) AS n FROM e LEFT JOIN w ON w.id = e.subject_id GROUP BY app_id",
+    "advice_catalog": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}, '{t}', '{d}')" for k, v, t, d in advice.CATALOG) + ") v(rule_key, version, title, description)",
+    "digest_order": _SUMMARY + " SELECT hour_ms, rule_key, place FROM ar",
+    "hourly_report_txt": _SUMMARY + """, o AS (
+          SELECT hour_ms, string_agg('metric_key=' || metric_key || ',value_num=' || CAST(value_num AS VARCHAR) || ',coverage_ratio=' || CAST(CAST(coverage_ratio AS DOUBLE) AS VARCHAR), chr(10) ORDER BY metric_key) AS t FROM y GROUP BY hour_ms
+        ) SELECT hour_ms, t || coalesce(chr(10) || 'evidence[ top_app_minutes ]=' || evidence_json, '') AS txt, sha256(t || coalesce(chr(10) || 'evidence[ top_app_minutes ]=' || evidence_json, '')) AS sha256 FROM o LEFT JOIN ev USING (hour_ms)""",
+    "daily_report_txt": _SUMMARY + """, o AS (
+          SELECT day_ms, string_agg('metric_key=' || metric_key || ',value_num=' || CAST(value_num AS VARCHAR) || ',hours_counted=' || hours_counted || ',low_conf_hours=' || low_conf_hours, chr(10) ORDER BY metric_key)
+                 || chr(10) || 'day_hash=' || min(input_hash) AS txt FROM d GROUP BY day_ms
+        ) SELECT day_ms, txt, sha256(txt) AS sha256 FROM o""",
+    "artifact_paths": f"SELECT hour_ms, strftime(make_timestamp(hour_ms * 1000), '%Y/%m/%d') || '/hourly-' || hour_ms || '-' || substr(sha256(CAST(hour_ms AS VARCHAR)), 1, 8) || '.txt' AS path FROM (SELECT unnest(range({START}, {END}, {HOUR})) AS hour_ms)",
+    "salted_hash": f"SELECT page_id, sha256(from_hex('{SALT}') || encode('url') || from_hex('00') || encode(url)) AS hash FROM pages",
+    "url_domain": "SELECT page_id, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS authority, coalesce(url <> '' AND NOT regexp_matches(url, '^(about|chrome|edge|data):'), false) AS trackable FROM pages",
+    "inter_event_stats": _EVENTS + """ SELECT monitor, count(g) AS n, floor(quantile_cont(CAST(g AS DOUBLE), 0.95) * 10000.0 + 0.5) / 10000.0 AS p95_ms, floor(avg(g) * 10000.0 + 0.5) / 10000.0 AS mean_ms
+        FROM (SELECT monitor, ts_utc - lag(ts_utc) OVER (PARTITION BY monitor ORDER BY ts_utc, id) AS g FROM e) GROUP BY monitor""",
+    "distance_stats": _EVENTS + """ SELECT user_id, count(*) AS moves, coalesce(CAST(sum(CAST(trunc(sqrt(power(dx, 2) + power(dy, 2))) AS BIGINT)) AS BIGINT), 0) AS distance_px
+        FROM (SELECT user_id, value - lag(value) OVER o AS dx, value * 2 - lag(value * 2) OVER o AS dy FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts_utc, id)) GROUP BY user_id""",
+    "idle_gaps": _EVENTS + " SELECT id, ts_utc, gap FROM (SELECT id, ts_utc, lead(ts_utc) OVER (ORDER BY ts_utc, id) - ts_utc AS gap FROM e) WHERE gap >= 300000",
+    "window_changes": _EVENTS + " SELECT id, user_id, monitor FROM (SELECT *, lag(monitor) OVER (PARTITION BY user_id ORDER BY ts_utc, id) AS was FROM e) WHERE was IS DISTINCT FROM monitor",
+    "title_dedupe": _EVENTS.replace("WITH e AS", "WITH RECURSIVE e AS") + f""", u AS (
+          SELECT user_id, min(ts_utc) AS ts_utc FROM e GROUP BY user_id
+          UNION ALL SELECT u.user_id, (SELECT min(e.ts_utc) FROM e WHERE e.user_id = u.user_id AND e.ts_utc >= u.ts_utc + {DAY}) AS t FROM u WHERE t IS NOT NULL
+        ) SELECT user_id, ts_utc FROM u WHERE ts_utc IS NOT NULL""",
+    "count_batches": _EVENTS + " SELECT monitor, batch, count(*) AS n, min(ts_utc) AS first_ts FROM (SELECT *, (row_number() OVER (PARTITION BY monitor ORDER BY ts_utc, id) - 1) // 128 AS batch FROM e) GROUP BY ALL",
+    "activity_counters": _EVENTS + f" SELECT ts_utc // {HOUR} * {HOUR} AS hour_ms, count(*) FILTER (monitor = 'keyboard') AS keys, count(*) FILTER (monitor = 'mouse' AND action = 'error') AS clicks FROM e GROUP BY ALL",
+    "table_counts": "SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'pages', count(*) FROM pages",
+    "quota_state": "SELECT used, CASE WHEN used >= 1048576 THEN 'HARD' WHEN used >= 943718.4 THEN 'SOFT' ELSE 'NORMAL' END AS state FROM (SELECT CAST(coalesce(sum(octet_length(encode(html))), 0) AS BIGINT) AS used FROM pages)",
+    "retention_victims": _EVENTS + " SELECT id, size FROM (SELECT id, user_id AS size, coalesce(sum(user_id) OVER (ORDER BY ts_utc, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e) WHERE before < 100000",
+    "invalid_events": _EVENTS + " SELECT id, CAST(id AS BIGINT) % 6 = 0 AS valid FROM e WHERE monitor = 'mouse' AND CAST(id AS BIGINT) % 6 <> 5",
+}
