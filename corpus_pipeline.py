@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import minhash, mixing, packing, quality, substring
-from strandline.llm.common import materialize
+from strandline.llm.common import bounded, materialize
 from strandline.llm.queries import COLUMNS, quality_model, table
 
 #: A document goes only if its probability of good quality is below this.
@@ -28,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     scored = quality.score_texts(docs, quality_model(spark, sf_dir), REJECT_BELOW, also={"_mark": mark})
     gone = materialize(scored.where("predicted = 0").select("doc_id", "_mark").distinct(), "pipeline-rejected")
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._m") == F.col("g._mark"))
-    return _columns(docs.withColumn("_m", mark).alias("d").join(gone.alias("g"), same, "left_anti"))
+    return _columns(docs.withColumn("_m", mark).alias("d").join(bounded(gone).alias("g"), same, "left_anti"))
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

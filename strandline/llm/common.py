@@ -44,6 +44,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of ids up to this many rows (16 MB of two longs) are sent to every executor.
+BROADCAST_IDS = 1_000_000
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast where its counted rows allow
+    it; joins with a larger one shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank_in_group", buckets: int = 256) -> DataFrame:
     """Number the rows of each group from 1 without holding a group in one task.
 

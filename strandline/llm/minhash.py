@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import connected_components, materialize
+from strandline.llm.common import bounded, connected_components, materialize
 
 WORDS = 5
 SIMILARITY = 80
@@ -161,7 +161,7 @@ def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             sets = [shingles(t.as_py(), words, known) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "mark", "n", "shingles"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(ids.select("id").distinct(), "id", "left_semi")
+    some = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(bounded(materialize(ids.select("id").distinct(), "minhash-wanted")), "id", "left_semi")
     return some.mapInArrow(run, "id long, mark string, n long, shingles binary")
 
 
@@ -279,4 +279,4 @@ def keep_first(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY
 
     Rows that repeat a kept doc_id all stay."""
     gone = materialize(near_duplicates(docs, words, similarity).where(~F.col("kept")).select("doc_id").distinct(), "minhash-gone")
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(bounded(gone), "doc_id", "left_anti")
