@@ -110,7 +110,7 @@ def repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> Dat
     Spans are counted by hash before they meet; only repeated ones are joined
     again, against a table with a row a span, so a span that a third of all
     documents hold is split over tasks."""
-    rows = span_rows(docs, least, words)
+    rows = materialize(span_rows(docs, least, words), "substring-spans")
     known = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "at")).alias("one")).where("c > 1")
     known = materialize(known.select("hash", F.col("one.doc_id").alias("first_doc"), F.col("one.at").alias("first_at")), "substring-known")
     later = rows.join(known, "hash").where("doc_id <> first_doc OR at <> first_at")
