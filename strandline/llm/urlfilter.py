@@ -75,8 +75,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDIC
     if shape["n"] <= BROADCAST_RULES:
         met = wide.join(F.broadcast(table), "short", "left")
     else:  # a common expression may be on many rows: its rule is dealt to as many salts
-        salt = F.pmod(F.xxhash64("page_id"), F.lit(32))
-        met = wide.withColumn("salt", salt).join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))).cast("long")), ["short", "salt"], "left")
+        salt = F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(32)).cast("int")
+        met = wide.withColumn("salt", salt).join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31)))), ["short", "salt"], "left")
     hit = F.max(F.when(F.col("digest") == F.col("rule_digest"), F.col("hit")))
     best = met.groupBy("page_id", "host", "path", "times").agg(hit.alias("hit"))
     best = best.withColumn("each", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
