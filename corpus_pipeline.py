@@ -46,7 +46,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Each document as often as the mix takes it."""
     marked = materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
     taken = mixing.mix(marked, key="_row").where("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
-    repeated = marked.join(materialize(taken, "pipeline-copies"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    repeated = marked.join(bounded(materialize(taken, "pipeline-copies")), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return _columns(repeated)
 
 

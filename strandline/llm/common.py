@@ -30,7 +30,11 @@ def _remove(base: str) -> None:
     spark = _dirs.pop(base, None)
     if spark is None or spark.sparkContext._jsc is None:
         return
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    _delete(spark, base)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -41,7 +45,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     plain exchange on either side, so adaptive execution can split hot keys."""
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete scratch tables that no later job reads; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path:
+            _delete(table.sparkSession, path)
 
 
 #: Tables of ids up to this many rows (16 MB of two longs) are sent to every executor.
@@ -84,7 +98,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     (pointer jumping) until a round changes none."""
     both = edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     both = materialize(both, f"{label}-edges")
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("component")), f"{label}-0")
+    kept = labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("component")), f"{label}-0")
     turn = 0
     while True:
         turn += 1
@@ -97,8 +111,11 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         up = spread.select(F.col("id").alias("c"), F.col("c").alias("top"))
         moved = materialize(spread.join(up, "c", "left").select("id", "was", F.coalesce("top", "c").alias("component")), f"{label}-{turn}b")
         changed = moved.where("component <> was").limit(1).count()
-        labels = moved.select("id", "component")
+        release(spread, kept)
+        kept, labels = moved, moved.select("id", "component")
         if not changed:
+            release(both)
+            labels._scratch = kept._scratch
             return labels
 
 

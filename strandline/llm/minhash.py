@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bounded, connected_components, materialize
+from strandline.llm.common import bounded, connected_components, materialize, release
 
 WORDS = 5
 SIMILARITY = 80
@@ -123,10 +123,13 @@ def table_keys(classes: DataFrame) -> DataFrame:
     halves = classes.select("id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("keys")), F.struct(F.lit(1).alias("side"), F.col("right").alias("keys")))).alias("s"))
     halves = halves.select("id", "s.side", F.explode("s.keys").alias("half"))
     shared = materialize(halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half"), "minhash-halves")
-    live = halves.join(shared, "half", "left_semi").groupBy("id")
+    live = halves.join(bounded(shared), "half", "left_semi").groupBy("id")
     live = live.agg(*[F.collect_set(F.when(F.col("side") == i, F.col("half"))).alias(x) for i, x in enumerate(("a", "b"))])
     pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    return live.select("id", F.explode(pairs).alias("key")).join(classes.select("id", "n"), "id").select("key", "id", "n")
+    keys = live.select("id", F.explode(pairs).alias("key")).join(classes.select("id", "n"), "id").select("key", "id", "n")
+    keys = materialize(keys, "minhash-keys")
+    release(shared)
+    return keys
 
 
 def candidates(keys: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
@@ -137,18 +140,22 @@ def candidates(keys: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
     tables that share members join into families."""
     tables = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("u"), F.max("id").alias("v")).where("c > 1"), "minhash-tables")
     two = tables.where("c = 2").select("u", "v").distinct()
-    more = materialize(keys.join(tables.where("c > 2").select("key", "c", F.col("u").alias("least")), "key"), "minhash-members")
+    wider = materialize(tables.where("c > 2").select("key", "c", F.col("u").alias("least")), "minhash-wider")
+    more = materialize(keys.join(bounded(wider), "key"), "minhash-members")
     grouped = more.where(F.col("c") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("m"))
     fits = lambda x, y: (x["id"] < y["id"]) & (F.greatest(x["n"], y["n"]) * similarity <= F.least(x["n"], y["n"]) * 100)
     own = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: fits(x, y)), lambda y: F.struct(x["id"].alias("u"), y["id"].alias("v"))))
     small = grouped.select(F.explode(F.flatten(own)).alias("p")).select("p.u", "p.v").distinct()
     large = more.where(F.col("c") > SMALL).select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
-    families = connected_components(large, "minhash-families").select(F.col("component").alias("family"), "id")
-    families = materialize(families, "minhash-families")
+    labels = connected_components(large, "minhash-families")
+    families = materialize(labels.select(F.col("component").alias("family"), "id"), "minhash-families")
+    release(labels)
     pairs = two.union(small).distinct()
     in_u, in_v = (families.select(F.col("id").alias(x), F.col("family").alias(f"f{x}")) for x in "uv")
     apart = pairs.join(in_u, "u", "left").join(in_v, "v", "left").where("fu IS NULL OR fv IS NULL OR fu <> fv")
-    return materialize(apart.select("u", "v"), "minhash-pairs"), families
+    apart = materialize(apart.select("u", "v"), "minhash-pairs")
+    release(keys, tables, wider, more)
+    return apart, families
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -172,7 +179,7 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
 
 def confirm_pairs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (u, v) whose whole sets reach the similarity."""
-    wide = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    wide = bounded(pairs).join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -256,10 +263,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     Empty and null texts, and rows with a null doc_id, are linked with
     nothing; a null doc_id has a null component and is kept.  Rows that repeat
     a doc_id share its component."""
-    rows = materialize(sketches(docs, words, similarity), "minhash-sketches")
+    sketched = materialize(sketches(docs, words, similarity), "minhash-sketches")
+    rows = materialize(sketched.select("doc_id", "n", "mark"), "minhash-rows")
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("mark").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+    classes = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
     classes = materialize(classes, "minhash-classes")
+    release(sketched)
     pairs, families = candidates(table_keys(classes), similarity)
     wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).union(families.select("id"))
     sets = shingle_table(docs, wanted, words).join(classes.select("id", "mark"), ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
@@ -268,8 +277,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     degree = links.union(links.select("v", "u")).groupBy("u").agg(F.count_distinct("v").alias("links")).withColumnRenamed("u", "id")
     # rows with the doc_id of a class's least row hang together as well as those of equal sets
     same = full.join(classes.where("id < last").select("mark", "id"), "mark").where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    whole = connected_components(links.union(same), "minhash-components").where("component < id").withColumnRenamed("id", "doc_id")
-    found = rows.join(materialize(whole, "minhash-result"), "doc_id", "left").join(materialize(degree.withColumnRenamed("id", "doc_id"), "minhash-degree"), "doc_id", "left")
+    labels = connected_components(links.union(same), "minhash-components")
+    whole = materialize(labels.where("component < id").withColumnRenamed("id", "doc_id"), "minhash-result")
+    degree = materialize(degree.withColumnRenamed("id", "doc_id"), "minhash-degree")
+    release(pairs, families, sets, links, labels, classes)
+    found = rows.join(bounded(whole), "doc_id", "left").join(bounded(degree), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("links", F.lit(0)).alias("links"))
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize
+from strandline.llm.common import materialize, release
 
 #: A span is the shortest run of so many sentences with so many words.
 SENTENCES, WORDS = 2, 25
@@ -119,7 +119,9 @@ def repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> Dat
     place = F.struct(F.shiftright(run, _RUN_BITS).cast("int").alias("a"), (F.shiftright(run, _RUN_BITS) + run.bitwiseAND((1 << _RUN_BITS) - 1)).cast("int").alias("z"))
     firsts = F.array_sort(F.collect_set("first_doc"))
     found = later.groupBy("doc_id", mark.alias("mark")).agg(F.collect_set(place).alias("cuts"), firsts.alias("firsts"))
-    return materialize(found, "substring-cuts")
+    found = materialize(found, "substring-cuts")
+    release(rows, known)
+    return found
 
 
 def without(text: str, cuts: list) -> tuple[str, int, int]:
