@@ -12,11 +12,13 @@ of at most ``most_bytes`` bytes in all); scoring reads every whole text.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
 from dataclasses import dataclass
 from typing import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import materialize, release
+
 MOST_ROWS = 12_000
 MOST_BYTES = 48_000_000
 DICT_BYTES = 100_000
@@ -152,14 +156,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, turns: int = 40, ridge: float = 1e-3
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> tuple[list[str], list[int]]:
-    """At most ``most_rows`` labelled texts of ``most_bytes`` bytes in all, the
-    least by a hash of doc_id: the documented bound of the training set.  Rows
-    with a null id, text or label, or another label than 0 and 1, are left out."""
+    """Whole labelled texts: ``most_rows`` rows and ``most_bytes`` bytes in all at
+    most, the documented bound of the training set.
+
+    The rows with the least hash of doc_id are looked at; those behind the one
+    that passes the bytes are left out, so no text is cut.  Rows with a null id,
+    text or label, or another label than 0 and 1, are left out too; of a
+    repeated doc_id the smallest text counts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & allowed).groupBy("doc_id").agg(F.max(label).alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    each = most_bytes // most_rows
-    joined = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    kept = joined.select("doc_id", F.substring("text", 1, each).alias("text"), "label").orderBy("doc_id").collect()
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
+    found = materialize(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "labelled")
+    # at most ``most_rows`` ids and sizes
+    sizes = found.select("doc_id", F.octet_length("text").alias("bytes")).toPandas()
+    order = sorted(zip(sizes["doc_id"], sizes["bytes"]), key=lambda x: (crc32(str(x[0]).encode()), x[0]))
+    within = itertools.accumulate(n for _, n in order)
+    ids = [int(i) for (i, _), total in zip(order, within) if total <= most_bytes]
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+    kept = found.join(F.broadcast(wanted), "doc_id").orderBy("doc_id").collect()
+    release(found)
     return [r["text"] for r in kept], [int(r["label"]) for r in kept]
 
 
