@@ -146,7 +146,9 @@ def candidates(keys: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
     fits = lambda x, y: (x["id"] < y["id"]) & (F.greatest(x["n"], y["n"]) * similarity <= F.least(x["n"], y["n"]) * 100)
     own = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: fits(x, y)), lambda y: F.struct(x["id"].alias("u"), y["id"].alias("v"))))
     small = grouped.select(F.explode(F.flatten(own)).alias("p")).select("p.u", "p.v").distinct()
-    large = more.where(F.col("c") > SMALL).select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
+    # a member of many large tables points to one of their least members, and those to each other
+    held = more.where(F.col("c") > SMALL).groupBy("id").agg(F.min("least").alias("u"), F.collect_set("least").alias("all"))
+    large = held.select("u", F.explode(F.array_union("all", F.array("id"))).alias("v")).where("u <> v").distinct()
     labels = connected_components(large, "minhash-families")
     families = materialize(labels.select(F.col("component").alias("family"), "id"), "minhash-families")
     release(labels)
