@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.toxicity import held_out, labelled_sample
+from strandline.llm.toxicity import held_out, labelled_rows
 
-__all__ = ["QualityModel", "features", "held_out", "labelled_sample", "score_texts", "train"]
+__all__ = ["QualityModel", "features", "fit", "held_out", "labelled_features", "score_texts", "train"]
 
 BITS = 20
 SMOOTH = 1.0
@@ -54,11 +54,10 @@ def features(text: str | None) -> np.ndarray:
 
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """log of (smoothed share of a feature in class 1 / in class 0)."""
-    counts = []
-    for label in (1, 0):
-        own = [r for r, v in zip(rows, y) if v == label]
-        c = SMOOTH + np.bincount(np.concatenate(own or [np.empty(0, np.uint32)]), minlength=1 << BITS)
-        counts.append(c / c.sum())
+    counts = np.full((2, 1 << BITS), SMOOTH)
+    for r, v in zip(rows, y):
+        counts[0 if v == 1 else 1, r] += 1
+    counts /= counts.sum(axis=1, keepdims=True)
     return np.log(counts[0] / counts[1])
 
 
@@ -70,18 +69,19 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost:
     sign = np.where(y > 0, 1.0, -1.0)
     limit = cost * np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y <= 0).sum())))
     alpha, w, bias = np.zeros(len(y)), np.zeros(1 << BITS), 0.0
-    values = [ratio[r] / np.sqrt(max(1, len(r))) for r in rows]
-    norm = np.array([1.0 + float(v @ v) for v in values])
+    root = np.sqrt([max(1, len(r)) for r in rows])
+    norm = np.array([1.0 + float(ratio[r] @ ratio[r]) / n**2 for r, n in zip(rows, root)])
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(y)):
-            slack = sign[i] * (float(w[rows[i]] @ values[i]) + bias) - 1.0
+            value = ratio[rows[i]] / root[i]
+            slack = sign[i] * (float(w[rows[i]] @ value) + bias) - 1.0
             new = min(max(alpha[i] - slack / norm[i], 0.0), limit[i])
             step = new - alpha[i]
             if step:
                 alpha[i] = new
-                w[rows[i]] += step * sign[i] * values[i]
+                w[rows[i]] += step * sign[i] * value
                 bias += step * sign[i]
                 moved = max(moved, abs(step))
         if moved < 1e-4:
@@ -93,15 +93,34 @@ def _margin(model: QualityModel, row: np.ndarray) -> float:
     return float(model.weights[row].sum()) / np.sqrt(max(1, len(row))) + model.bias
 
 
+def labelled_features(docs: DataFrame, labels: DataFrame, label: str, allowed: Column) -> tuple[list[np.ndarray], list[int]]:
+    """Features and labels of the training set by doc_id.  Executors read the
+    texts; the driver gets only the features, a partition at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([features(t.as_py()).tobytes() for t in b.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), found], ["doc_id", "label", "features"])
+
+    rows = labelled_rows(docs, labels, label, allowed, MOST_ROWS, MOST_BYTES)
+    rows = rows.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text").mapInArrow(run, "doc_id long, label int, features binary")
+    kept = sorted(((r["doc_id"], r["label"], np.frombuffer(bytes(r["features"]), np.uint32)) for r in rows.toLocalIterator()), key=lambda r: r[0])
+    return [f for _, _, f in kept], [v for _, v, _ in kept]
+
+
 def train(texts: list[str | None], labels: list[int]) -> QualityModel:
-    """A model of the texts; margins of a fifth of the rows, kept out of a first
+    """A model of the texts."""
+    return fit([features(t) for t in texts], labels)
+
+
+def fit(rows: list[np.ndarray], labels: list[int]) -> QualityModel:
+    """A model of the rows of features; margins of a fifth of the rows, kept out of a first
     fit, calibrate the probabilities.  With one class only, or none, every
     score is the share of class 1 (0.5 of none)."""
     y = np.array(labels, dtype=int)
     if not 0 < y.sum() < len(y):
         p = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return QualityModel(np.zeros(1 << BITS), 0.0, 0.0, float(np.log(p / (1 - p))))
-    rows = [features(t) for t in texts]
     own = np.arange(len(y)) % 5 != 0
     if not 0 < y[own].sum() < own.sum() or not 0 < y[~own].sum() < (~own).sum():
         own[:] = True

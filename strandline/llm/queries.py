@@ -56,8 +56,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
     out = quality.held_out(F.col("doc_id"), 4, 2)
-    texts, marks = quality.labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", ~out, quality.MOST_ROWS, quality.MOST_BYTES)
-    return quality.train(texts, marks)
+    return quality.fit(*quality.labelled_features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", ~out))
 
 
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

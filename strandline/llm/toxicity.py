@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize, release
+from strandline.llm.common import materialize
 
 MOST_ROWS = 12_000
 MOST_BYTES = 48_000_000
@@ -155,9 +155,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, turns: int = 40, ridge: float = 1e-3
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> tuple[list[str], list[int]]:
-    """Whole labelled texts: ``most_rows`` rows and ``most_bytes`` bytes in all at
-    most, the documented bound of the training set.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(doc_id, text, label) of whole labelled texts: ``most_rows`` rows and
+    ``most_bytes`` bytes in all at most, the documented bound of the training set.
 
     The rows with the least hash of doc_id are looked at; those behind the one
     that passes the bytes are left out, so no text is cut.  Rows with a null id,
@@ -173,8 +173,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     within = itertools.accumulate(n for _, n in order)
     ids = [int(i) for (i, _), total in zip(order, within) if total <= most_bytes]
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    kept = found.join(F.broadcast(wanted), "doc_id").orderBy("doc_id").collect()
-    release(found)
+    return found.join(F.broadcast(wanted), "doc_id")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> tuple[list[str], list[int]]:
+    """The texts and labels of ``labelled_rows`` by doc_id."""
+    kept = sorted(labelled_rows(docs, labels, label, allowed, most_rows, most_bytes).toLocalIterator(), key=lambda r: r["doc_id"])
     return [r["text"] for r in kept], [int(r["label"]) for r in kept]
 
 
