@@ -30,21 +30,22 @@ def _remove(base: str) -> None:
     spark = _dirs.pop(base, None)
     if spark is None or spark.sparkContext._jsc is None:
         return
-    _delete(spark, base)
+    delete_path(spark, base)
 
 
-def _delete(spark: SparkSession, name: str) -> None:
+def delete_path(spark: SparkSession, name: str) -> None:
+    """Delete a folder in any store that Spark can reach."""
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     The table survives lost executors and cuts the lineage.  Joins on it see a
     plain exchange on either side, so adaptive execution can split hot keys."""
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table
@@ -55,7 +56,7 @@ def release(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_scratch", None)
         if path:
-            _delete(table.sparkSession, path)
+            delete_path(table.sparkSession, path)
 
 
 #: Tables of ids up to this many rows (16 MB of two longs) are sent to every executor.

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize, scratch_dir
+from strandline.llm.common import delete_path, materialize, scratch_dir
 
 MAGIC = "WARC/1.0\r\n"
 CRLF = "\r\n"
@@ -89,7 +89,7 @@ def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("file_size"),
         F.monotonically_increasing_id().alias("line"), F.col("value").alias("body"),
     )
-    raw = materialize(raw.withColumn("bytes", F.octet_length("body").cast("long") + len(MAGIC)), "warc-pieces")
+    raw = materialize(raw.withColumn("bytes", F.octet_length("body").cast("long") + len(MAGIC)), "warc-pieces", "zstd")
     by_split = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     splits = raw.groupBy("file", "split").agg(F.sum("bytes").alias("n")).select("file", "split", F.coalesce(F.sum("n").over(by_split), F.lit(0)).alias("before"))
     inside = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,14 +146,17 @@ def reachable(spots: DataFrame) -> DataFrame:
     return runs.join(live, ["file", "run"], "left_semi").select("file", "start")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, keep: bool = True) -> DataFrame:
     """(file, start, record_type, page_id, url, payload, payload_bytes,
     payload_digest, refers_to) of every record on the chains of the files.
 
     A payload that holds the magic comes apart in reading; its pieces are put
     together again behind the record that they belong to.  Bytes behind a
-    broken record are not reachable and are left out; empty files give none."""
+    broken record are not reachable and are left out; empty files give none.
+    Without ``keep`` the archives are deleted once all their bytes are read."""
     spots, raw = candidates(spark, path)
+    if not keep:
+        delete_path(spark, path)
     kept = materialize(reachable(spots), "warc-kept")
     order = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     owned = spots.join(kept.withColumn("on", F.lit(True)), ["file", "start"], "left")
@@ -188,7 +191,8 @@ def parse_records(bodies: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) to archives in the scratch folder and read them."""
+    """Write ``pages`` (page_id, url, html) to archives in the scratch folder, read them
+    and delete them."""
     spark = pages.sparkSession
     path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
-    return read_archives(spark, write_archives(choose_originals(pages), path))
+    return read_archives(spark, write_archives(choose_originals(pages), path), keep=False)
