@@ -104,6 +104,42 @@ def test_sentences_cover_the_text():
         assert "".join(text[a:z] for a, z, _ in parts) == (text if parts else "") and [w for _, _, p in parts for w in p] == text.lower().split()
 
 
+@pytest.mark.parametrize("stop", [0, 12, 40])
+def test_every_passage_of_51_words_holds_a_span(stop):
+    rng = random.Random(stop)
+
+    def text(n):
+        return [w + "." if stop and rng.random() < 1 / stop else w for w in words(rng, n)]
+
+    for size in (51, 60, 75):
+        for _ in range(150):
+            passage = text(size)
+            found = []
+            for n in (rng.randrange(90), rng.randrange(90)):
+                before = text(n)
+                parts = substring.sentences(" ".join(before + passage + text(rng.randrange(90))))
+                starts = np.cumsum([0, *(len(w) for _, _, w in parts)])
+                value, a, z = substring.spans(parts)
+                found.append({v for v, x, y in zip(value.tolist(), a, z) if starts[x] >= n and starts[y + 1] <= n + size})
+            assert found[0] & found[1]
+
+
+def test_substring_finds_passages_without_full_stops(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for i, size in enumerate([51, 60, 75] * 8):
+        passage = words(rng, size)
+        for copy in (0, 1):
+            before, behind = words(rng, rng.randrange(120)), words(rng, rng.randrange(120))
+            rows.append((100 * copy + i, " ".join(before + passage + behind)))
+            want[100 * copy + i] = (before, behind, size)
+    got = {r.doc_id: r for r in substring.remove_repeats(docs(spark, rows)).collect()}
+    for i, (before, behind, size) in want.items():
+        left = got[i].text.split()
+        assert left[: len(before)] == before and left[len(left) - len(behind) :] == behind
+        assert (len(left) - len(before) - len(behind) == size) == (i < 100) and (got[i].removed_sentences, got[i].first_docs) == ((0, []) if i < 100 else (1, [i - 100]))
+
+
 def test_packing_places_every_piece(spark):
     texts = [(i, "word " * n) for i, n in enumerate([0, 1, 5, 700, 2046, 2047, 2048, 5000, 30, 30, 30])] + [(11, None), (None, "x"), (3, "word " * 700), (12, "a<|endoftext|>b"), (13, "z" * 4000)]
     got = packing.pack(packing.token_pieces(docs(spark, texts))).toPandas()
