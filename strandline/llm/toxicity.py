@@ -1,10 +1,13 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one per class.
+"""Toxicity by compression distance: zstandard dictionaries of the two classes.
 
-A window is a word with its blanks.  Its score is how many bytes shorter the
-dictionary of toxic text makes it than that of ordinary text.  The counts of
-windows at each score make a text's features, and a logistic fit on labelled
-texts calibrates them.  Windows repeat, so each task compresses a distinct one
-once; nothing is kept of a text but its counts.
+Windows of PHRASE consecutive words, overlapping by half, cover the whole text.
+A window's gain is how many bytes shorter the dictionary trained on toxic texts
+makes it than that trained on ordinary ones; the strongest windows of a text
+are features.  Single words are windows too, against dictionaries of words
+typical of either class, and are counted at each gain; they repeat, so each
+task compresses a distinct one once.  A third of the labelled texts, kept out
+of first dictionaries, chooses what counts as typical and calibrates the
+features by a logistic fit.
 
 The model is trained on a bounded sample of labelled texts (``most_rows`` rows
 of at most ``most_bytes`` bytes in all); scoring reads every whole text.
@@ -32,9 +35,12 @@ MOST_ROWS = 12_000
 MOST_BYTES = 48_000_000
 DICT_BYTES = 100_000
 ORDINARY_WORDS = 12_000
-#: Likelihood ratio that a word must reach to count as typical of toxic text: a
-#: part of the labelled rows, with a floor for small samples.
-TYPICAL_PER_ROW, TYPICAL_FLOOR = 0.0075, 12.0
+#: Likelihood ratios of which validation chooses the one that a word must pass to count as typical of toxic text.
+TYPICAL = (18.0, 36.0, 72.0)
+#: Words of a phrase window and from one window to the next, and the strongest windows whose mean is a feature.
+PHRASE, STEP, STRONGEST = 6, 3, 4
+#: Rows of which one validates.
+VALIDATE = 3
 LEVELS = 7
 #: Windows kept by a task before it starts its table anew.
 MEMO = 400_000
@@ -43,10 +49,12 @@ _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 
 @dataclass
 class ToxicityModel:
-    """Dictionaries as bytes, weights of the features, and the share of toxic texts."""
+    """Dictionaries of words and of texts as bytes, weights of the features, and the share of toxic texts."""
 
     toxic: bytes
     ordinary: bytes
+    toxic_texts: bytes
+    ordinary_texts: bytes
     weights: list[float]
     prior: float
 
@@ -61,7 +69,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         window_log=17, chain_log=15, hash_log=16, search_log=5, min_match=5, target_length=16, strategy=zstandard.STRATEGY_GREEDY,
         write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
-    table = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    table = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_AUTO)
     table.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=table, compression_params=params)
 
@@ -72,6 +80,7 @@ class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model = model
         self.toxic, self.ordinary = _compressor(model.toxic), _compressor(model.ordinary)
+        self.toxic_texts, self.ordinary_texts = _compressor(model.toxic_texts), _compressor(model.ordinary_texts)
         self.memo: dict[str, int] = {}
 
     def gain(self, word: str) -> int:
@@ -84,13 +93,27 @@ class Scorer:
             self.memo[word] = known
         return known
 
-    def features(self, text: str | None) -> list[float]:
-        seen = Counter(map(self.gain, windows(text or "")))
+    def phrase_features(self, words: list[str]) -> list[float]:
+        """The strongest gain of a phrase window, the mean of the strongest, and that of all."""
+        toxic, ordinary = self.toxic_texts.compress, self.ordinary_texts.compress
+        starts = range(0, max(1, len(words) - PHRASE + STEP), STEP) if words else ()
+        raws = [f" {' '.join(words[k : k + PHRASE])} ".encode("utf-8", "replace") for k in starts]
+        gains = sorted((len(ordinary(r)) - len(toxic(r)) for r in raws), reverse=True) or [0]
+        strongest = gains[:STRONGEST]
+        return [gains[0] / 10, sum(strongest) / len(strongest) / 10, sum(gains) / len(gains) / 10]
+
+    def word_features(self, words: list[str]) -> list[float]:
+        """Counts of words at each gain."""
+        seen = Counter(map(self.gain, words))
         total = sum(seen.values())
         counts = [sum(n for g, n in seen.items() if g == level or (g > level and level == LEVELS)) for level in range(2, LEVELS + 1)]
         strong = sum(counts[1:])
         return [1.0, *(math.log1p(n) for n in counts), math.sqrt(strong / total) if total else 0.0, math.log1p(total) / 10]
 
+    def features(self, text: str | None) -> list[float]:
+        words = windows(text or "")
+        return self.word_features(words) + self.phrase_features(words)
+
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.model.weights, self.features(text)))
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
@@ -112,34 +135,98 @@ def _ratio(a: int, b: int, na: int, nb: int) -> float:
     return 2 * sum(x * math.log(x * (na + nb) / (both * n)) for x, n in ((a, na), (b, nb)) if x)
 
 
-def train(texts: list[str | None], toxic: list[int], turns: int = 3) -> ToxicityModel:
-    """Dictionaries of words typical of either class, then a calibration.
+def _text_dictionary(texts: list[str]) -> bytes:
+    """A dictionary trained on whole texts; few ones are their own dictionary."""
+    samples = [f" {' '.join(windows(t))} ".encode("utf-8", "replace") for t in texts]
+    if sum(map(len, samples)) <= DICT_BYTES:
+        return b"".join(samples)
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, samples, k=64, d=8).as_bytes()
+    except zstandard.ZstdError:  # too few samples, however long
+        return b"".join(samples)[-DICT_BYTES:]
+
+
+def _word_dictionaries(held: dict[int, Counter], rows: Counter, least: float, turns: int) -> tuple[bytes, bytes]:
+    """Words typical of toxic and of ordinary texts.
 
     Ordinary words that the toxic dictionary shortens are added to the ordinary
-    dictionary, turn by turn, so that chance syllables stop counting.  With one
-    class only, or none, every score is the share of toxic rows (0.5 of none)."""
-    share = sum(toxic) / len(toxic) if toxic else 0.5
-    if not 0 < sum(toxic) < len(toxic):
-        p = min(max(share, 1e-6), 1 - 1e-6)
-        return ToxicityModel(b" ", b" ", [math.log(p / (1 - p)), *[0.0] * (LEVELS + 1)], share)
-    held = {0: Counter(), 1: Counter()}
-    rows = Counter(toxic)
-    for text, label in zip(texts, toxic):
-        held[label].update(set(windows(text or "")))
+    dictionary, turn by turn, so that chance syllables stop counting."""
     rated = [(_ratio(n, held[0][w], rows[1], rows[0]), w) for w, n in held[1].items() if n * rows[0] > held[0][w] * rows[1]]
-    least = max(TYPICAL_FLOOR, TYPICAL_PER_ROW * len(toxic))
-    typical = [w for r, w in sorted(rated, reverse=True) if r > least]
+    toxic = _dictionary([w for r, w in sorted(rated, reverse=True) if r > least])
     common = [w for w, _ in sorted(held[0].items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_WORDS]]
-    model = ToxicityModel(_dictionary(typical), _dictionary(common), [0.0] * (LEVELS + 2), share)
+    own = [(n, w) for w, n in held[0].items() if w not in held[1]]
+    ordinary = _dictionary(common)
     for _ in range(turns):
-        scorer = Scorer(model)
-        wrong = [(n, w) for w, n in held[0].items() if scorer.gain(w) >= 3 and w not in held[1]]
+        scorer = Scorer(ToxicityModel(toxic, ordinary, b"", b"", [], 0.0))
+        wrong = [(n, w) for n, w in own if scorer.gain(w) >= 3]
         known = {w for _, w in wrong}
         common = [w for _, w in sorted(wrong, reverse=True)[: ORDINARY_WORDS // 3]] + [w for w in common if w not in known]
-        model.ordinary = _dictionary(common)
+        ordinary = _dictionary(common)
+    return toxic, ordinary
+
+
+def _held(words: list[list[str]], toxic: list[int]) -> tuple[dict[int, Counter], Counter]:
+    """Rows of each class that hold a word, and rows of each class."""
+    held = {0: Counter(), 1: Counter()}
+    for w, label in zip(words, toxic):
+        held[label].update(set(w))
+    return held, Counter(toxic)
+
+
+def train(texts: list[str | None], toxic: list[int], turns: int = 3) -> ToxicityModel:
+    """Dictionaries of either class, and a calibration on texts that first
+    dictionaries haven't seen, which chooses the bound of typical words too.
+
+    With one class only, or none, every score is the share of toxic rows (0.5 of none)."""
+    share = sum(toxic) / len(toxic) if toxic else 0.5
+    if not 0 < sum(toxic) < len(toxic):
+        p = min(max(share, 1e-6), 1 - 1e-6)
+        return ToxicityModel(b" ", b" ", b" ", b" ", [math.log(p / (1 - p)), *[0.0] * (LEVELS + 4)], share)
+    words = [windows(t or "") for t in texts]
+    seen: Counter = Counter()
+    away = np.zeros(len(toxic), bool)
+    for i, label in enumerate(toxic):
+        away[i] = seen[label] % VALIDATE == VALIDATE - 1
+        seen[label] += 1
+    own, check = (~away, away) if min(seen.values()) >= VALIDATE else (away | True, away | True)
+    y = np.array(toxic, float)[check]
+
+    def of(rows: np.ndarray, label: int) -> list[str]:
+        return [texts[i] or "" for i in np.flatnonzero(rows) if toxic[i] == label]
+
+    held, rows = _held([words[i] for i in np.flatnonzero(own)], [toxic[i] for i in np.flatnonzero(own)])
+    model = ToxicityModel(b"", b"", _text_dictionary(of(own, 1)), _text_dictionary(of(own, 0)), [], share)
     scorer = Scorer(model)
-    model.weights = _logistic(np.array([scorer.features(t) for t in texts]), np.array(toxic, float)).tolist()
-    return model
+    phrases = [scorer.phrase_features(words[i]) for i in np.flatnonzero(check)]
+    best = (math.inf, 0.0, [])
+    for least in TYPICAL:
+        model.toxic, model.ordinary = _word_dictionaries(held, rows, least, turns)
+        scorer = Scorer(model)
+        x = np.array([scorer.word_features(words[i]) + p for i, p in zip(np.flatnonzero(check), phrases)])
+        weights = _logistic(x, y)
+        loss = _loss(x, y, weights)
+        weights[0] -= _parting(x @ weights, y)
+        best = min(best, (loss, least, weights.tolist()))
+    every = np.ones(len(toxic), bool)
+    words_toxic, words_ordinary = _word_dictionaries(*_held(words, toxic), best[1], turns)
+    return ToxicityModel(words_toxic, words_ordinary, _text_dictionary(of(every, 1)), _text_dictionary(of(every, 0)), best[2], share)
+
+
+def _parting(z: np.ndarray, y: np.ndarray) -> float:
+    """The log-odds, between two rows, that leave the least sum of the shares of
+    toxic rows below and of ordinary rows above."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order]
+    wrong = np.concatenate(([0.0], np.cumsum(y / y.sum() - (1 - y) / (1 - y).sum())))
+    wrong[1:-1][z[1:] == z[:-1]] = np.inf
+    k = int(np.argmin(wrong))
+    return float(np.mean(z[max(0, k - 1) : k + 1]))
+
+
+def _loss(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
+    """Mean log loss in the two classes."""
+    each = np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ weights))
+    return float(each[y > 0].mean() + each[y <= 0].mean())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, turns: int = 40, ridge: float = 1e-3) -> np.ndarray:

@@ -413,3 +413,27 @@ def test_classifiers(spark):
     assert toxicity.score_texts(docs(spark, []), t).count() == 0
     held = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", toxicity.held_out(F.col("doc_id"), 5, 0).alias("h")).collect()
     assert all(r.h == (crc32(str(r.doc_id).encode()) % 5 == 0) for r in held)
+
+
+def test_toxicity_sees_phrases_of_ordinary_words():
+    """Both classes hold the same words; only their order in some phrases differs."""
+    rng = random.Random(12)
+    insults = [words(rng, 6) for _ in range(5)]
+
+    def text(bad):
+        told = [rng.sample(p, 6) if not bad else p for p in rng.sample(insults, 3)]
+        parts = [words(rng, 15)] + [p + words(rng, 15) for p in told]
+        return " ".join(w for p in parts for w in p)
+
+    rows = [(text(i % 2), i % 2) for i in range(600)]
+    s = toxicity.Scorer(toxicity.train([t for t, _ in rows[:400]], [y for _, y in rows[:400]]))
+    assert np.mean([(s.score(t) >= 0.5) == y for t, y in rows[400:]]) > 0.9
+
+
+def test_toxic_words_in_few_rows_count_whatever_the_number_of_rows():
+    rng = random.Random(13)
+    insults = ["".join(rng.choice("klmnoprstuvwyz") for _ in range(9)) for _ in range(90)]
+    rows = [(" ".join(words(rng, 12) + [rng.choice(insults)] * (i % 10 == 0)), int(i % 10 == 0)) for i in range(9000)]
+    s = toxicity.Scorer(toxicity.train([t for t, _ in rows], [y for _, y in rows]))
+    assert np.mean([s.score(" ".join(words(rng, 12) + [w])) >= 0.5 for w in insults]) > 0.9
+    assert np.mean([s.score(" ".join(words(rng, 12))) < 0.5 for _ in range(300)]) > 0.9
