@@ -15,7 +15,6 @@ of at most ``most_bytes`` bytes in all); scoring reads every whole text.
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter
@@ -246,8 +245,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Colum
     """(doc_id, text, label) of whole labelled texts: ``most_rows`` rows and
     ``most_bytes`` bytes in all at most, the documented bound of the training set.
 
-    The rows with the least hash of doc_id are looked at; those behind the one
-    that passes the bytes are left out, so no text is cut.  Rows with a null id,
+    The rows with the least hash of doc_id are looked at; one that doesn't fit in
+    what is left of the bytes is left out, so no text is cut.  Rows with a null id,
     text or label, or another label than 0 and 1, are left out too; of a
     repeated doc_id the smallest text counts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & allowed).groupBy("doc_id").agg(F.max(label).alias("label"))
@@ -257,8 +256,11 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Colum
     # at most ``most_rows`` ids and sizes
     sizes = found.select("doc_id", F.octet_length("text").alias("bytes")).toPandas()
     order = sorted(zip(sizes["doc_id"], sizes["bytes"]), key=lambda x: (crc32(str(x[0]).encode()), x[0]))
-    within = itertools.accumulate(n for _, n in order)
-    ids = [int(i) for (i, _), total in zip(order, within) if total <= most_bytes]
+    ids, left = [], most_bytes
+    for i, n in order:
+        if n <= left:
+            ids.append(int(i))
+            left -= int(n)
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
     return found.join(F.broadcast(wanted), "doc_id")
 

@@ -437,3 +437,11 @@ def test_toxic_words_in_few_rows_count_whatever_the_number_of_rows():
     s = toxicity.Scorer(toxicity.train([t for t, _ in rows], [y for _, y in rows]))
     assert np.mean([s.score(" ".join(words(rng, 12) + [w])) >= 0.5 for w in insults]) > 0.9
     assert np.mean([s.score(" ".join(words(rng, 12))) < 0.5 for _ in range(300)]) > 0.9
+
+
+def test_a_text_over_the_bound_leaves_the_other_rows(spark):
+    ids = sorted(range(20), key=lambda i: crc32(str(i).encode()))
+    rows = [(i, "x" * (1000 if i in (ids[0], ids[9]) else 10)) for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    got = toxicity.labelled_rows(docs(spark, rows), labels, "toxic", F.lit(True), most_bytes=500).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(ids) - {ids[0], ids[9]}) and {len(r.text) for r in got} == {10}
