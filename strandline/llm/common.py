@@ -4,20 +4,30 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Where scratch tables of a session on one machine go if it names no folder.
 LOCAL_SCRATCH = "file:///tmp/checkpoints/strandline"
 #: Separators of words: space and the five ASCII control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a task works on at once.
+SLICE_BYTES = 2_000_000
 _dirs: dict[str, SparkSession] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for tables that cut lineage: under ``spark.checkpoint.dir``, or a
-    local one where the session names none (tests on one machine)."""
+    local one where the session names none and runs on one machine; on a cluster
+    without that setting, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = (base or LOCAL_SCRATCH).rstrip("/") + f"/strandline-{spark.sparkContext.applicationId}"
     if base not in _dirs:
         _dirs[base] = spark
@@ -39,13 +49,27 @@ def delete_path(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in pieces of at most ``most`` bytes of ``column``
+    (a longer value is a piece of its own), so what a task makes of them at once
+    doesn't grow with the batch."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < b.num_rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            n = max(1, upto - at)
+            yield b.slice(at, n)
+            at += n
+
+
+def materialize(df: DataFrame, label: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     The table survives lost executors and cuts the lineage.  Joins on it see a
     plain exchange on either side, so adaptive execution can split hot keys."""
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.parquet(path, compression=compression, partitionBy=by)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table
@@ -59,14 +83,14 @@ def release(*tables: DataFrame) -> None:
             delete_path(table.sparkSession, path)
 
 
-#: Tables of ids up to this many rows (16 MB of two longs) are sent to every executor.
-BROADCAST_IDS = 1_000_000
+#: A table of numbers is sent to every executor up to this many bytes.
+BROADCAST_BYTES = 8_000_000
 
 
 def bounded(ids: DataFrame) -> DataFrame:
-    """A written table of ids, marked for broadcast where its counted rows allow
-    it; joins with a larger one shuffle."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """A written table of numbers, marked for broadcast where its counted rows of
+    8 bytes a column allow it; joins with a larger one shuffle."""
+    return F.broadcast(ids) if ids.count() * 8 * len(ids.columns) <= BROADCAST_BYTES else ids
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank_in_group", buckets: int = 256) -> DataFrame:

@@ -1,25 +1,36 @@
-"""Best-fit packing of token pieces into sequences of fixed room."""
+"""Best-fit packing of token pieces into sequences of fixed room.
+
+Bulk-synchronous: a superstep range-sorts the open pieces of a band of lengths
+and the gaps of the sequences, finds the successor of every piece among the
+gaps by sweeps over both orders, gives contested gaps by rank, and updates the
+gaps; the next superstep takes what is left.  Orders are kept as (size, rank
+within the size).  Ranks, pieces and gaps are tables on the executors, and the
+two meet by an equi-join on their places in the orders.  Sizes are bounded by
+the room, so what the sweeps need of all tasks is a count for each size, at most
+two numbers a token of the room, however many documents there are.
+"""
 
 from __future__ import annotations
 
 import base64
 import re
-from bisect import bisect_left, insort
 from functools import lru_cache
 from typing import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize, rank_within
+from strandline.llm.common import materialize, rank_within, release, slices
 
 ROOM = 2048
 END_ID = 0
-#: Plans up to this many rows are sent to every executor; longer ones are joined by shuffle.
-BROADCAST_PLAN = 200_000
+#: The longest piece of a band is at most so many times as long as its shortest.
+BAND = 3
+#: Rows of one size that one task numbers, and the least number of parts that a size is dealt to.
+RANKED, PARTS = 100_000, 256
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
 #: Texts with a run of so many characters without a border go to the tokenizer
@@ -28,22 +39,29 @@ _RUN = re.compile(r"\S{1500}|\s{1500}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
+def _by_merges(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    return Tokenizer.from_file(public_tokenizers.path(vocabulary))
+
+
+@lru_cache(maxsize=1)
 def encoder(vocabulary: str, ranks: str):
     """A function from a text to its ids, by tiktoken over the same vocabulary;
     the ids are those of tokenizers with add_special_tokens=False."""
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(ranks), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
-    slow = Tokenizer.from_file(public_tokenizers.path(vocabulary))
 
     def encode(text: str) -> np.ndarray:
         if _RUN.search(text):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return np.array(_by_merges(vocabulary).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return fast.encode_to_numpy(text, allowed_special="all")
 
     return encode
@@ -62,7 +80,7 @@ def token_pieces(docs: DataFrame, room: int = ROOM, vocabulary: str = VOCABULARY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, ranks)
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
@@ -75,73 +93,113 @@ def token_pieces(docs: DataFrame, room: int = ROOM, vocabulary: str = VOCABULARY
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def best_fit_plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, lo, hi, sequence, per, offset) rows: pieces of ``length`` with
-    rank in [lo, hi) go ``per`` to a sequence, from ``sequence`` and ``offset`` on.
-
-    One superstep for each length, longest first.  All pieces of the length
-    look for their successor among the gaps at once: the smallest gap that
-    holds them, then the next.  Their ranks say which of them get it, as many
-    to a gap as it holds; new sequences are gaps of the whole room.  Then the
-    gaps are updated.  Pieces of a length, and gaps of a size, differ in
-    nothing but their ranks, so a superstep works on counts: the state is a
-    row a gap size, bounded by the room and not by the corpus."""
-    plan, opened = [], 0
-    gaps: dict[int, list[list[int]]] = {}
-    sizes: list[int] = []
-
-    def give(size: int, first: int, n: int) -> None:
-        if n and size:
-            if size not in gaps:
-                gaps[size] = []
-                insort(sizes, size)
-            gaps[size].append([first, n])
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(sizes, length)
-            if at < len(sizes):
-                size = sizes[at]
-                first, n = gaps[size].pop()
-                if not gaps[size]:
-                    del gaps[size], sizes[at]
-            else:
-                size = room
-                n = -(-left // (room // length))
-                first, opened = opened, opened + n
-            per = size // length
-            whole = min(n, left // per)
-            rest = left - whole * per if whole < n else 0
-            rest = min(rest, per - 1) if rest else 0
-            if whole:
-                plan.append((length, rank, rank + whole * per, first, per, room - size))
-                give(size - per * length, first, whole)
-                rank, left = rank + whole * per, left - whole * per
-            if rest:
-                plan.append((length, rank, rank + rest, first + whole, per, room - size))
-                give(size - rest * length, first + whole, 1)
-                rank, left = rank + rest, left - rest
-            give(size, first + whole + bool(rest), n - whole - bool(rest))
-    return plan
-
-
-def pack(pieces: DataFrame, room: int = ROOM) -> DataFrame:
+def pack(pieces: DataFrame, room: int = ROOM, band: int = BAND) -> DataFrame:
     """Add sequence_id and offset to ``pieces`` (length and any other columns).
 
-    Pieces are ranked within their length by distributed counts, the counts of
-    the lengths (at most ``room`` rows) give the plan, and each piece finds its
-    place by length and rank.  Lengths must lie in 1 .. ``room``."""
-    spark = pieces.sparkSession
-    pieces = materialize(pieces, "pack-pieces")
-    counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = best_fit_plan(counts, room)
-    table = spark.createDataFrame(plan or [(0, 0, 0, 0, 1, 0)], "length long, lo long, hi long, first long, per long, base long")
-    if len(plan) <= BROADCAST_PLAN:
-        table = F.broadcast(table)
-    ranked = rank_within(pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"], rank="_rank").withColumn("_rank", F.col("_rank") - 1)
-    found = ranked.join(table.withColumnRenamed("length", "_length"), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
-    turn = F.col("_rank") - F.col("lo")
-    found = found.withColumn("sequence_id", F.col("first") + F.expr("(_rank - lo) div per"))
-    found = found.withColumn("offset", (F.col("base") + F.pmod(turn, F.col("per")) * F.col("length")).cast("long"))
-    return found.select(*pieces.columns, "sequence_id", "offset")
+    Pieces of over half a room open a sequence each.  The others follow in
+    bands of lengths, the longest first: supersteps fill the gaps until none
+    holds a piece of the band; then as many sequences are opened as the words
+    left need at least, and it goes on.  Lengths must lie in 1 .. ``room``;
+    another or null length raises an error.  Repeated rows and rows of nulls
+    are pieces like any other, names of other columns never clash, and an empty
+    table gives none."""
+    everything = F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("piece")
+    length = F.col("length").cast("int")
+    fits = F.when(length.between(1, room), length).otherwise(F.raise_error(F.lit(f"a length is not in 1 .. {room}")).cast("int"))
+    table = materialize(pieces.select(everything, fits.alias("length"), F.monotonically_increasing_id().alias("id")), "pack-pieces")
+    alone = table.where(F.col("length") > room // 2).select("piece", "length", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    edges = [room // 2]
+    while edges[-1]:
+        edges.append(edges[-1] // band)
+    number = sum((F.col("length") <= F.lit(e)).cast("int") for e in edges[1:-1]) if len(edges) > 2 else F.lit(0)
+    short = table.where(F.col("length") <= room // 2)
+    counts = _counts(short, "length")
+    done = [alone]
+    if counts[0].size:
+        least, n = int(counts[0][0]), int(counts[1].sum())
+        ranked = rank_within(short, ["length"], ["id"], rank="rank", buckets=PARTS + n // RANKED).withColumn("band", number)
+        ranked = materialize(ranked, "pack-ranked", by="band")
+        gaps = materialize(_open(alone.select(F.col("sequence_id").alias("seq"), (room - F.col("length")).alias("free")), least), "pack-gaps")
+        opened = 0
+        for k in range(len(edges) - 1):
+            mine = ranked.where(F.col("band") == k)
+            lengths, left = (c[(counts[0] <= edges[k]) & (counts[0] > edges[k + 1])] for c in counts)
+            given = np.zeros_like(left)
+            while left.any():
+                pieces_at, gaps_at, offered = sweep(lengths, left, *_counts(gaps.where(F.col("free") >= int(lengths[left > 0][0])), "free"))
+                taken = pieces_at[2]
+                if taken.any():
+                    asked = _small(gaps, {"length": pieces_at[0], "at": pieces_at[1], "take": taken, "given": given})
+                    placed = materialize(_place(gaps, mine, asked, _small(gaps, gaps_at), offered, room), "pack-placed")
+                    done.append(placed)
+                    left, given = left - taken, given + taken
+                    used = gaps.union(placed.select(F.col("sequence_id").alias("seq"), -F.col("length")))
+                    fresh = used.groupBy("seq").agg(F.sum("free").cast("int").alias("free"))
+                else:
+                    more = -(-int(left @ lengths) // room)
+                    fresh = gaps.union(gaps.sparkSession.range(more).select((F.lit(-1 - opened) - F.col("id")).alias("seq"), F.lit(room).alias("free")))
+                    opened += more
+                old, gaps = gaps, materialize(_open(fresh, least), "pack-gaps")
+                release(old)
+        release(gaps, ranked)
+    out = done[0]
+    for part in done[1:]:
+        out = out.union(part)
+    return out.select("piece.*", "sequence_id", "offset")
+
+
+def _counts(rows: DataFrame, size: str) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes in order and their rows: at most as many numbers as the room."""
+    found = sorted(rows.groupBy(size).agg(F.count(F.lit(1))).collect())
+    return tuple(np.array([r[k] for r in found], np.int64) for k in (0, 1))
+
+
+def _small(beside: DataFrame, columns: dict[str, np.ndarray]) -> DataFrame:
+    """A table of at most ``room`` rows of whole numbers, for every executor."""
+    return F.broadcast(beside.sparkSession.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})))
+
+
+def _open(gaps: DataFrame, least: int) -> DataFrame:
+    """Gaps that may still hold the shortest piece there is."""
+    return gaps.where(F.col("free") >= least)
+
+
+def sweep(lengths: np.ndarray, left: np.ndarray, free: np.ndarray, gaps: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray], int]:
+    """The successors of one superstep: for each length the place of its first
+    piece and how many pieces find one, for each gap size the place of its
+    first slot and the slots of a gap, and the number of gaps.
+
+    ``left`` pieces of ``lengths`` (ascending) are open and ``gaps`` gaps have
+    ``free`` room (ascending).  A gap that holds several of the longest piece
+    is offered in equal slots, as many as it holds but no more than every piece
+    needs.  The sweep from the largest size down says how many pieces of each
+    length find a slot, larger pieces first.  The sweep from the smallest size
+    up gives those, in order, their successor or, where a piece before has it,
+    the next slot: place i + max over j <= i of (successor(j) - j).  Within a
+    size only ranks count, so both sweeps run over counts by size."""
+    share = -(-int(left.sum()) // max(1, int(gaps.sum()))) + 1
+    slots = np.clip(free // lengths[left > 0].max(), 1, share)
+    order = np.lexsort((free, free // slots))
+    free, slots, gaps = free[order], slots[order], gaps[order]
+    size = free // slots
+    ends = np.cumsum(gaps * slots)
+    successor = np.concatenate(([0], ends))[np.searchsorted(size, lengths)]
+    lacking = np.cumsum(left[::-1])[::-1] - (ends[-1] if len(ends) else 0) + successor
+    short = np.maximum.accumulate(np.maximum(lacking, 0)[::-1])[::-1]
+    taken = left - short + np.append(short[1:], 0)
+    first = np.cumsum(taken) - taken
+    at = first + np.maximum.accumulate(np.where(taken > 0, successor - first, 0))
+    return (lengths, at, taken), {"free": free, "slots": slots, "at": ends - gaps * slots}, int(gaps.sum())
+
+
+def _place(gaps: DataFrame, pieces: DataFrame, asked: DataFrame, held: DataFrame, offered: int, room: int) -> DataFrame:
+    """(piece, length, sequence_id, offset) of the pieces that the sweep gave a
+    slot: pieces and slots meet by their places."""
+    ranked = rank_within(gaps.join(held, "free"), ["free"], ["seq"], rank="rank", buckets=PARTS + offered // RANKED)
+    slot = F.col("at") + (F.col("rank") - 1) * F.col("slots")
+    slots = ranked.select("seq", "free", F.posexplode(F.sequence(slot, slot + F.col("slots") - 1)).alias("slot", "place"))
+    turn = F.col("rank") - 1 - F.col("given")
+    wanted = pieces.join(asked, "length").where((turn >= 0) & (turn < F.col("take"))).select("piece", "length", (F.col("at") + turn).alias("place"))
+    before = Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    start = room - F.col("free") + F.coalesce(F.sum("length").over(before), F.lit(0))
+    return wanted.join(slots, "place").select("piece", "length", F.col("seq").alias("sequence_id"), start.cast("long").alias("offset"))

@@ -1,6 +1,7 @@
 """Operators against brute force, planted cases and odd rows."""
 
 import random
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -154,22 +155,64 @@ def test_packing_places_every_piece(spark):
     assert packing.pack(packing.token_pieces(docs(spark, []))).count() == 0
 
 
-def test_plan_equals_best_fit_one_by_one():
+def best_fit_decreasing(lengths, room):
+    """Sequences that best fit one by one opens, the longest piece first."""
+    gaps, opened = [], 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, n)
+        free = gaps.pop(at) if at < len(gaps) else room
+        opened += free == room
+        if free > n:
+            insort(gaps, free - n)
+    return opened
+
+
+def sweep_by_hand(pieces, slots):
+    """Matching one by one: which pieces find a slot (from the largest down), and
+    then (from the smallest up) the smallest slot left that holds each."""
+    free, chosen = sorted(slots), []
+    for p in sorted(pieces, reverse=True):
+        if sum(f >= p for f in free) > len(chosen):
+            chosen.append(p)
+    out, at = [], 0
+    for p in reversed(chosen):
+        while free[at] < p:
+            at += 1
+        out.append((p, at))
+        at += 1
+    return out
+
+
+def test_sweep_gives_the_successors_of_a_loop():
     rng = random.Random(2)
-    lengths = sorted((rng.choice([rng.randrange(1, 100), rng.randrange(1, 1000)]) for _ in range(3000)), reverse=True)
-    gaps = []
-    for n in lengths:
-        fit = [g for g in gaps if g >= n]
-        if fit:
-            gaps.remove(min(fit))
-        gaps.append((min(fit) if fit else 1000) - n)
-    plan = packing.best_fit_plan(Counter(lengths), 1000)
-    used = defaultdict(int)
-    for length, lo, hi, first, per, base in plan:
-        for k in range(hi - lo):
-            assert used[first + k // per] == base + k % per * length
-            used[first + k // per] += length
-    assert sorted(1000 - u for u in used.values()) == sorted(gaps)
+    for _ in range(200):
+        top = rng.choice([12, 60])
+        pieces = [rng.randrange(1, top) for _ in range(rng.randrange(1, 30))]
+        free = [rng.randrange(1, top) for _ in range(rng.randrange(0, 30))]
+        n, gaps = (sorted(Counter(x).items()) for x in (pieces, free))
+        columns = lambda c: [np.array([r[k] for r in c], np.int64) for k in (0, 1)]
+        (lengths, at, taken), held, offered = packing.sweep(*columns(n), *columns(gaps))
+        each = {f: (s, a) for f, s, a in zip(held["free"].tolist(), held["slots"].tolist(), held["at"].tolist())}
+        slots = sorted((f // each[f][0], f) for f in free for _ in range(each[f][0]))
+        for f, (s, a) in each.items():
+            assert s >= 1 and slots[a] == (f // s, f) and slots.index((f // s, f)) == a
+        want = sweep_by_hand(pieces, [s for s, _ in slots])
+        got = [(p, a + k) for p, a, t in zip(lengths.tolist(), at.tolist(), taken.tolist()) for k in range(t)]
+        assert got == want and offered == len(free)
+
+
+def test_packing_opens_as_few_sequences_as_best_fit(spark):
+    rng = random.Random(5)
+    lengths = [rng.choice([rng.randrange(1, 30), rng.randrange(1, 500), rng.randrange(1, 1001), 333]) for _ in range(4000)]
+    rows = spark.createDataFrame([(n, i % 7, 1, 2) for i, n in enumerate(lengths)], "length long, seq int, place int, piece int")
+    got = packing.pack(rows, 1000).toPandas()
+    assert sorted(got.length) == sorted(lengths) and {"seq", "place", "piece"} <= set(got.columns)
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 1000
+    assert got.sequence_id.nunique() <= 1.005 * best_fit_decreasing(lengths, 1000) + 1
+    with pytest.raises(Exception, match="a length is not in"):
+        packing.pack(rows.withColumn("length", F.lit(0)), 1000).count()
 
 
 def test_tokens_equal_the_tokenizer():
@@ -181,6 +224,15 @@ def test_tokens_equal_the_tokenizer():
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
+def test_tokens_equal_the_tokenizer_on_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow, fast = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY)), packing.encoder(packing.VOCABULARY, packing.RANKS)
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        assert fast(r.text or "").tolist() == slow.encode(r.text or "", add_special_tokens=False).ids
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, "w " * rng.randrange(1, 60), None if i % 7 == 0 else "s" if i % 3 else f"t{i % 5}") for i in range(2000)] + [(None, None, "t1"), (5, "a b", "s"), (5, "a b", "s")]
