@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import webp
+from strandline.llm.common import SLICE_BYTES, materialize, slices
 
 #: Samples in a row; payloads are filled up to whole rows.
 ROW = 192
 BLANK = b" "
-#: Samples of one image: whole rows up to the format's height.
-FRAME = ROW * webp.MOST_SIDE
+#: Samples of one image: decoding takes some 150 bytes a sample.
+FRAME = ROW * 1024
 
 
 def to_payload(text: str | None) -> tuple[bytes, int]:
@@ -28,8 +29,21 @@ def to_payload(text: str | None) -> tuple[bytes, int]:
 
 def store(payload: bytes) -> bytes:
     """One or more WebP files, one behind the other; each holds at most FRAME bytes."""
-    samples = np.frombuffer(payload, np.uint8)
-    return b"".join(webp.encode_samples(samples[i : i + FRAME], ROW) for i in range(0, len(samples), FRAME))
+    return store_all([payload])[0]
+
+
+def store_all(payloads: list[bytes]) -> list[bytes]:
+    """The stored bytes of each payload.  Repeats are looked for in the frames
+    of all payloads at once, but only within a frame."""
+    frames = [(k, p[i : i + FRAME]) for k, p in enumerate(payloads) for i in range(0, len(p), FRAME)]
+    out = [b""] * len(payloads)
+    at, joined = 0, np.frombuffer(b"".join(f for _, f in frames), np.uint8)
+    size, back = webp.repeats(joined, np.repeat(np.arange(len(frames), dtype=np.int32), [len(f) for _, f in frames]))
+    for k, f in frames:
+        z = at + len(f)
+        out[k] += webp.encode_samples(joined[at:z], ROW, (size[at:z], back[at:z]))
+        at = z
+    return out
 
 
 def load(media: bytes) -> np.ndarray:
@@ -53,16 +67,28 @@ def describe(samples: np.ndarray) -> str:
 
 
 def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``n_bytes`` and ``media`` (WebP bytes) to every row; a null text is empty."""
+    """Add ``n_bytes`` and ``media`` (WebP bytes) to every row, in place of
+    columns of those names; a null text is empty, long texts take several files."""
 
     @F.pandas_udf("n_bytes long, media binary")
     def run(column):
         import pandas as pd
 
-        both = [to_payload(t) for t in column]
-        return pd.DataFrame({"n_bytes": [n for _, n in both], "media": [store(p) for p, _ in both]})
+        sizes, media, some, held = [], [], [], 0
+        for t in column:
+            payload, n = to_payload(t)
+            sizes.append(n)
+            some.append(payload)
+            held += len(payload)
+            if held >= SLICE_BYTES // 2:
+                media += store_all(some)
+                some, held = [], 0
+        return pd.DataFrame({"n_bytes": sizes, "media": media + store_all(some)})
 
-    return docs.withColumn("_m", run(F.col(text))).select("*", "_m.n_bytes", "_m.media").drop("_m")
+    kept = [c for c in docs.columns if c not in ("n_bytes", "media")]
+    name = next(n for n in ("_m", "_m_", "_m__") if n not in docs.columns)
+    stored = docs.withColumn(name, run(F.col(text).cast("string")))
+    return stored.select(*[F.col(f"`{c}`") for c in kept], F.col(name)["n_bytes"].alias("n_bytes"), F.col(name)["media"].alias("media"))
 
 
 def pixel_arrays(media: DataFrame, column: str = "media") -> DataFrame:
@@ -80,26 +106,35 @@ def pixel_arrays(media: DataFrame, column: str = "media") -> DataFrame:
     return media.withColumn("_p", run(F.col(column))).select("*", "_p.width", "_p.height", "_p.pixels").drop("_p")
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    """Store every whole text as WebP, read the stored bytes and describe them.
-
-    Rows of (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature), a row for each row: repeated ones and
-    null doc_ids too.  Payload columns are computed from the bytes read back."""
+def describe_media(media: DataFrame) -> DataFrame:
+    """The features of stored payloads (doc_id, n_bytes, media): every file is
+    decoded to its pixels, whose green samples are the payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "media"):
             rows = []
-            for text in b.column("text"):
-                payload, n = to_payload(text.as_py())
-                media = store(payload)
-                samples = load(media)
+            for stored in b.column("media"):
+                raw = stored.as_py()
+                samples = load(raw)
                 back = samples.tobytes()
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(samples)))
-            columns = list(zip(*rows)) or [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), crc32(back[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), describe(samples)))
+            columns = list(zip(*rows)) or [[]] * 6
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame) -> DataFrame:
+    """Store every whole text as WebP in a table of the shared folder, read the
+    table in another stage and describe what was read.
+
+    Rows of (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
+    media_bytes, media_sha256, feature), a row for each row: repeated ones and
+    null doc_ids too.  Null texts are empty, very long ones take several files,
+    an empty table gives none, and other columns of ``docs`` are not used.
+    All but ``n_bytes`` is computed from the bytes read back."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return describe_media(materialize(store_texts(texts).select("doc_id", "n_bytes", "media"), "media", compression="none"))

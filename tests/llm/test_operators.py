@@ -1,5 +1,7 @@
 """Operators against brute force, planted cases and odd rows."""
 
+import hashlib
+import math
 import random
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -404,6 +406,92 @@ def test_media_round_trip(spark):
         webp.decode(bytes(got[3].media)[:60])
 
 
+def test_media_query_columns(spark):
+    rng = random.Random(6)
+    lines = [" ".join(words(rng, 12)) for _ in range(40)]
+    texts = ["", None, "ab", "x" * 192, "y" * 193, "ä€😀" * 99, "\n".join(lines), "\n".join(rng.choice(lines) for _ in range(500)), " ".join(words(rng, 90_000))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(6, texts[6]), (None, texts[6])]
+    got = media.round_trip(docs(spark, rows)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in got) == sorted(-1 if i is None else i for i, _ in rows)
+    for r in got:
+        raw = (texts[6 if r.doc_id is None else r.doc_id] or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        p = [n / len(payload) for n in Counter(payload).values()]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == crc32(payload[-16:])
+        stored = media.store(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert f"rows={len(payload) // 192};mean={np.mean(list(payload)):.4f};dev={np.std(list(payload)):.4f};entropy={-sum(x * math.log2(x) for x in p) + 0.0:.4f};" in r.feature
+    alone, among = media.store(media.to_payload(texts[7])[0]), media.store_all([media.to_payload(t)[0] for t in texts])[7]
+    assert alone == among
+    of = {r.doc_id: r for r in got}
+    assert of[7].media_bytes < 0.25 * of[7].payload_bytes and of[8].media_bytes > 0.4 * of[8].payload_bytes
+
+
+def plain_green(data):
+    """The kinds of transforms and tokens of a file of ours, read bit by bit."""
+    bits = webp.Bits(data[20:])
+    bits.read(8 + 14 + 14 + 4)
+    kinds = []
+    while bits.read(1):
+        kinds.append(bits.read(2))
+        if kinds[-1] == webp.PREDICTOR:
+            bits.read(3)
+            webp._image(bits, 2, 8, False)
+        elif kinds[-1] == webp.PALETTE:
+            webp._image(bits, bits.read(8) + 1, 1, False)
+    assert bits.read(2) == 0
+    green = webp.read_code(bits, webp.LITERALS + webp.LENGTHS)
+    return kinds, bool(green.symbol.max() >= webp.LITERALS)
+
+
+def test_encoder_uses_what_pays():
+    rng = np.random.default_rng(9)
+    noise = rng.integers(0, 256, 192 * 40).astype(np.uint8)
+    ramp = np.cumsum(rng.integers(0, 3, 192 * 40)).astype(np.uint8)
+    tall = np.cumsum(rng.integers(0, 2, (40, 192)), axis=0).astype(np.uint8)
+    tall += rng.integers(0, 256, 192).astype(np.uint8)
+    twice = np.tile(rng.integers(0, 256, 1000).astype(np.uint8), 8)[: 192 * 40]
+    few = np.tile(rng.integers(60, 70, 997).astype(np.uint8), 8)[: 192 * 40]
+    P, S, I = webp.PREDICTOR, webp.SUBTRACT_GREEN, webp.PALETTE
+    for name, x, kinds, copies in (("noise", noise, [S], False), ("ramp", ramp, [P, S], False), ("tall", tall.ravel(), [P, S], False), ("twice", twice, [S], True), ("few", few, [I], True), ("same", np.full(192 * 3, 7, np.uint8), [I], True)):
+        data = webp.encode_samples(x, 192)
+        w, h, px = webp.decode(data)
+        assert (w, h) == (192, len(x) // 192) and (px & 0xFF000000 == 0xFF000000).all(), name
+        assert all(((px >> k) & 255 == x).all() for k in (0, 8, 16)), name
+        if name != "same":
+            assert plain_green(data) == (kinds, copies), name
+
+
+def test_green_streams_equal_the_loop(monkeypatch):
+    """The reader of all bits at once gives what reading symbol by symbol gives."""
+    rng = np.random.default_rng(11)
+    files = []
+    for _ in range(30):
+        base = rng.integers(0, rng.choice([4, 30, 256]), 192 * 4).astype(np.uint8)
+        parts = [base[a : a + n] for a, n in zip(rng.integers(0, 600, 30), rng.integers(1, 160, 30))]
+        x = np.concatenate(parts)
+        files.append((webp.encode_samples(x[: len(x) // 192 * 192], 192), x))
+    fast = [webp.decode(f)[2].tolist() for f, _ in files]
+
+    def slow(bits, green, far, width, n):
+        out = []
+        while len(out) < n:
+            s = green.read(bits)
+            if s < webp.LITERALS:
+                out.append(s)
+                continue
+            size = webp._number(bits, s - webp.LITERALS)
+            code = webp._number(bits, far.read(bits))
+            x, y = webp.NEAR[code - 1] if code <= 120 else (code - 120, 0)
+            for _ in range(size):
+                out.append(out[-max(1, x + y * width)])
+        return np.array(out, np.uint8)
+
+    monkeypatch.setattr(webp, "_green_stream", slow)
+    assert [webp.decode(f)[2].tolist() for f, _ in files] == fast
+
+
 def test_warc(spark):
     hidden = "x" * 1200 + "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nfoo" + "ä" * 40
     rows = [(1, "http://a/\r\nb", hidden), (2, None, None), (3, "q", hidden), (None, "u", "WARC/1.0\r\n" * 3), (None, "v", hidden), (4, "", "WARC/1.0\r\nContent-Length: 4\r\n\r\n"), (5, "s", "short"), (6, "s", "short"), (3, "q", hidden)]
