@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize, rank_within, release, slices
+from strandline.llm.common import materialize, rank_within, slices
 
 ROOM = 2048
 END_ID = 0
-#: The longest piece of a band is at most so many times as long as its shortest.
-BAND = 3
+#: Bands of lengths, the longest first: up to a half of the room, and up to a sixth.
+BANDS = (2, 6)
 #: Rows of one size that one task numbers, and the least number of parts that a size is dealt to.
 RANKED, PARTS = 100_000, 256
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, room: int = ROOM, vocabulary: str = VOCABULARY
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def pack(pieces: DataFrame, room: int = ROOM, band: int = BAND) -> DataFrame:
+def pack(pieces: DataFrame, room: int = ROOM, bands: tuple[int, ...] = BANDS) -> DataFrame:
     """Add sequence_id and offset to ``pieces`` (length and any other columns).
 
     Pieces of over half a room open a sequence each.  The others follow in
@@ -103,45 +103,44 @@ def pack(pieces: DataFrame, room: int = ROOM, band: int = BAND) -> DataFrame:
     another or null length raises an error.  Repeated rows and rows of nulls
     are pieces like any other, names of other columns never clash, and an empty
     table gives none."""
+    edges = [room // b for b in bands] + [0]
     everything = F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("piece")
     length = F.col("length").cast("int")
     fits = F.when(length.between(1, room), length).otherwise(F.raise_error(F.lit(f"a length is not in 1 .. {room}")).cast("int"))
     table = materialize(pieces.select(everything, fits.alias("length"), F.monotonically_increasing_id().alias("id")), "pack-pieces")
-    alone = table.where(F.col("length") > room // 2).select("piece", "length", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    edges = [room // 2]
-    while edges[-1]:
-        edges.append(edges[-1] // band)
-    number = sum((F.col("length") <= F.lit(e)).cast("int") for e in edges[1:-1]) if len(edges) > 2 else F.lit(0)
-    short = table.where(F.col("length") <= room // 2)
+    alone = table.where(F.col("length") > edges[0]).select("piece", "length", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    number = sum(((F.col("length") <= F.lit(e)).cast("int") for e in edges[1:-1]), F.lit(0))
+    short = table.where(F.col("length") <= edges[0])
     counts = _counts(short, "length")
     done = [alone]
     if counts[0].size:
         least, n = int(counts[0][0]), int(counts[1].sum())
         ranked = rank_within(short, ["length"], ["id"], rank="rank", buckets=PARTS + n // RANKED).withColumn("band", number)
         ranked = materialize(ranked, "pack-ranked", by="band")
-        gaps = materialize(_open(alone.select(F.col("sequence_id").alias("seq"), (room - F.col("length")).alias("free")), least), "pack-gaps")
+        gaps = alone.select(F.col("sequence_id").alias("seq"), (room - F.col("length")).alias("free"))
         opened = 0
-        for k in range(len(edges) - 1):
+        for k in range(len(bands)):
             mine = ranked.where(F.col("band") == k)
             lengths, left = (c[(counts[0] <= edges[k]) & (counts[0] > edges[k + 1])] for c in counts)
-            given = np.zeros_like(left)
+            given, idle = np.zeros_like(left), []
             while left.any():
-                pieces_at, gaps_at, offered = sweep(lengths, left, *_counts(gaps.where(F.col("free") >= int(lengths[left > 0][0])), "free"))
+                shortest = int(lengths[left > 0][0])
+                idle.append(gaps.where((F.col("free") >= least) & (F.col("free") < shortest)))
+                gaps = gaps.where(F.col("free") >= shortest)
+                pieces_at, gaps_at, offered = sweep(lengths, left, *_counts(gaps, "free"))
                 taken = pieces_at[2]
                 if taken.any():
-                    asked = _small(gaps, {"length": pieces_at[0], "at": pieces_at[1], "take": taken, "given": given})
-                    placed = materialize(_place(gaps, mine, asked, _small(gaps, gaps_at), offered, room), "pack-placed")
-                    done.append(placed)
+                    asked = _small(table, {"length": pieces_at[0], "at": pieces_at[1], "take": taken, "given": given})
+                    round_ = materialize(_place(gaps, mine, asked, _small(table, gaps_at), offered, room), "pack-round")
+                    done.append(round_.where("piece IS NOT NULL").select("piece", "length", F.col("seq").alias("sequence_id"), "offset"))
+                    gaps = round_.where("slot = 0").select("seq", "free")
                     left, given = left - taken, given + taken
-                    used = gaps.union(placed.select(F.col("sequence_id").alias("seq"), -F.col("length")))
-                    fresh = used.groupBy("seq").agg(F.sum("free").cast("int").alias("free"))
                 else:
                     more = -(-int(left @ lengths) // room)
-                    fresh = gaps.union(gaps.sparkSession.range(more).select((F.lit(-1 - opened) - F.col("id")).alias("seq"), F.lit(room).alias("free")))
+                    gaps = gaps.union(table.sparkSession.range(more).select((F.lit(-1 - opened) - F.col("id")).alias("seq"), F.lit(room).alias("free")))
                     opened += more
-                old, gaps = gaps, materialize(_open(fresh, least), "pack-gaps")
-                release(old)
-        release(gaps, ranked)
+            for rest in idle:
+                gaps = gaps.union(rest)
     out = done[0]
     for part in done[1:]:
         out = out.union(part)
@@ -159,11 +158,6 @@ def _small(beside: DataFrame, columns: dict[str, np.ndarray]) -> DataFrame:
     return F.broadcast(beside.sparkSession.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})))
 
 
-def _open(gaps: DataFrame, least: int) -> DataFrame:
-    """Gaps that may still hold the shortest piece there is."""
-    return gaps.where(F.col("free") >= least)
-
-
 def sweep(lengths: np.ndarray, left: np.ndarray, free: np.ndarray, gaps: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray], int]:
     """The successors of one superstep: for each length the place of its first
     piece and how many pieces find one, for each gap size the place of its
@@ -193,13 +187,16 @@ def sweep(lengths: np.ndarray, left: np.ndarray, free: np.ndarray, gaps: np.ndar
 
 
 def _place(gaps: DataFrame, pieces: DataFrame, asked: DataFrame, held: DataFrame, offered: int, room: int) -> DataFrame:
-    """(piece, length, sequence_id, offset) of the pieces that the sweep gave a
-    slot: pieces and slots meet by their places."""
+    """(piece, length, seq, slot, offset, free): the slots of all gaps with the
+    pieces that the sweep gave them, which meet by their places, and the room
+    that is left in the gap."""
     ranked = rank_within(gaps.join(held, "free"), ["free"], ["seq"], rank="rank", buckets=PARTS + offered // RANKED)
     slot = F.col("at") + (F.col("rank") - 1) * F.col("slots")
     slots = ranked.select("seq", "free", F.posexplode(F.sequence(slot, slot + F.col("slots") - 1)).alias("slot", "place"))
     turn = F.col("rank") - 1 - F.col("given")
     wanted = pieces.join(asked, "length").where((turn >= 0) & (turn < F.col("take"))).select("piece", "length", (F.col("at") + turn).alias("place"))
-    before = Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    start = room - F.col("free") + F.coalesce(F.sum("length").over(before), F.lit(0))
-    return wanted.join(slots, "place").select("piece", "length", F.col("seq").alias("sequence_id"), start.cast("long").alias("offset"))
+    of = Window.partitionBy("seq")
+    length = F.coalesce("length", F.lit(0))
+    before = F.coalesce(F.sum(length).over(of.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = (room - F.col("free") + before).cast("long")
+    return slots.join(wanted, "place", "left").select("piece", "length", "seq", "slot", start.alias("offset"), (F.col("free") - F.sum(length).over(of)).cast("int").alias("free"))
