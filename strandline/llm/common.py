@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 LOCAL_SCRATCH = "file:///tmp/checkpoints/strandline"
 #: Separators of words: space and the five ASCII control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch of texts.
+ARROW_ROWS = 1000
 #: Bytes of text that a task works on at once.
 SLICE_BYTES = 2_000_000
 _dirs: dict[str, SparkSession] = {}
@@ -61,6 +64,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             n = max(1, upto - at)
             yield b.slice(at, n)
             at += n
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task; workers are used again and
+    would hold the most that any task needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most ARROW_ROWS rows: whole
+    texts are long, and both sides of a Python worker hold a batch.  Results
+    are lazy, so the setting can't be taken back when an operator returns."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def materialize(df: DataFrame, label: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
@@ -69,6 +91,7 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy", by: str
     The table survives lost executors and cuts the lineage.  Joins on it see a
     plain exchange on either side, so adaptive execution can split hot keys."""
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    small_batches(df.sparkSession)
     df.write.parquet(path, compression=compression, partitionBy=by)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch = path

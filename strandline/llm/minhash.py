@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bounded, connected_components, materialize, release
+from strandline.llm.common import bounded, connected_components, materialize, release, slices
 
 WORDS = 5
 SIMILARITY = 80
@@ -30,6 +30,8 @@ MISS = 1e-4
 SMALL = 8
 #: Shingles of a chunk of a large family; pairs of chunks are compared in one task.
 CHUNK = 1 << 16
+#: Words whose hashes a task keeps (some 10 MB).
+KNOWN = 100_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
 
@@ -51,7 +53,7 @@ class Words(dict):
     """Hashes of words, computed once and forgotten beyond a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > KNOWN:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -96,21 +98,19 @@ def sketches(docs: DataFrame, words: int, similarity: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                sets = [shingles(t.as_py(), words, known) for t in b.column("text")]
-                some = [i for i, s in enumerate(sets) if len(s)]
-                keys = half_keys([sets[i] for i in some], each).view(np.int64) if some else np.empty((0, 2 * each), np.int64)
-                left: list = [None] * len(sets)
-                right: list = [None] * len(sets)
-                for row, i in enumerate(some):
-                    left[i], right[i] = keys[row, :each], keys[row, each:]
-                marks = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "mark", "left", "right"],
-                )
+        for b in slices(batches):
+            sets = [shingles(t.as_py(), words, known) for t in b.column("text")]
+            some = [i for i, s in enumerate(sets) if len(s)]
+            keys = half_keys([sets[i] for i in some], each).view(np.int64) if some else np.empty((0, 2 * each), np.int64)
+            left: list = [None] * len(sets)
+            right: list = [None] * len(sets)
+            for row, i in enumerate(some):
+                left[i], right[i] = keys[row, :each], keys[row, each:]
+            marks = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))],
+                ["doc_id", "n", "mark", "left", "right"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, mark string, left array<long>, right array<long>")
 
@@ -166,7 +166,7 @@ def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t.as_py(), words, known) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "mark", "n", "shingles"])
 

@@ -65,7 +65,7 @@ def _level(capped: DataFrame, total_share: float) -> float:
     return float(level)
 
 
-def copies_taken(docs: DataFrame, targets: DataFrame, seed: int = 7, key: str = "doc_id") -> DataFrame:
+def copies_taken(docs: DataFrame, targets: DataFrame, seed: int = 7, key: str = "doc_id", most: float = MOST_COPIES) -> DataFrame:
     """Add source_size, target and copies to ``docs`` (key, source, size, ...).
 
     The documents of a source stand in the order of size class and then a hash,
@@ -81,13 +81,13 @@ def copies_taken(docs: DataFrame, targets: DataFrame, seed: int = 7, key: str =
     offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("_t", F.lit("\u0000null"))), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rates = targets.select(
         F.col("source").alias("_t"), "source_size", "target", offset.alias("_u"),
-        F.coalesce(F.least(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(MOST_COPIES)), F.lit(0.0)).alias("_rate"),
+        F.coalesce(F.least(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(most)), F.lit(0.0)).alias("_rate"),
     )
     placed = ranked.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")))
     placed = placed.join(rates, F.col("source").eqNullSafe(F.col("_t")))
     at = F.col("_rank") + F.col("_start")
     crossed = F.floor(at * F.col("_rate") + F.col("_u")) - F.floor((at - 1) * F.col("_rate") + F.col("_u"))
-    out = placed.withColumn("copies", F.least(crossed, F.lit(int(MOST_COPIES))).cast("int"))
+    out = placed.withColumn("copies", F.least(crossed, F.lit(int(most))).cast("int"))
     return out.drop("_class", "_rank", "_s", "_c", "_start", "_t", "_u", "_rate")
 
 

@@ -48,7 +48,6 @@ def _by_merges(vocabulary: str):
     return Tokenizer.from_file(public_tokenizers.path(vocabulary))
 
 
-@lru_cache(maxsize=1)
 def encoder(vocabulary: str, ranks: str):
     """A function from a text to its ids, by tiktoken over the same vocabulary;
     the ids are those of tokenizers with add_special_tokens=False."""

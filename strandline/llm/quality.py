@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import slices
 from strandline.llm.toxicity import held_out, labelled_rows
 
 __all__ = ["QualityModel", "features", "fit", "held_out", "labelled_features", "score_texts", "train"]
@@ -98,7 +99,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, allowed: C
     texts; the driver gets only the features, a partition at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = pa.array([features(t.as_py()).tobytes() for t in b.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), found], ["doc_id", "label", "features"])
 
@@ -165,7 +166,7 @@ def score_texts(docs: DataFrame, model: QualityModel, threshold: float = 0.7, al
     names = ["doc_id", *(also or {})]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             scores = np.array([score(sent.value, t.as_py()) for t in b.column("text")], dtype=np.float64)
             kept = [b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*names, "score", "predicted"])

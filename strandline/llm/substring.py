@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize, release
+from strandline.llm.common import materialize, release, slices
 
 #: A span is the shortest run of so many parts of sentences with so many words.
 SENTENCES, WORDS = 2, 25
@@ -28,6 +28,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A span's place as one number: first part, parts after it, bits of the text's hash.
 _RUN_BITS, _MARK_BITS = 6, 25
+#: A part has a word at least, so spans of so many words fit in the bits of a run.
+MOST_WORDS = (1 << _RUN_BITS) - 1
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -106,7 +108,7 @@ def span_rows(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> Da
     """(hash, doc_id, at) of every span of every document with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             hashes, owners, places = [], [], []
             for doc, text, mark in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("mark").to_pylist()):
                 _, known, ends, _ = _parts(text.as_py())
@@ -164,7 +166,8 @@ def without(text: str, cuts: list) -> tuple[str, int, int]:
 def remove_repeats(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """``docs`` with the parts of sentences of every non-first repeated span removed.
 
-    All columns stay; ``text`` is the text that is left, and
+    All columns stay, whatever their names, but for earlier ``removed_sentences``
+    and ``first_docs``; an empty table gives none; ``text`` is the text that is left, and
     ``removed_sentences`` (those that lost all or a part) and ``first_docs`` are added.  First is the smallest
     (doc_id, place).  A document that loses all sentences keeps an empty text.
     Null texts and rows with a null doc_id stay as they are and count for
@@ -172,18 +175,21 @@ def remove_repeats(docs: DataFrame, least: int = SENTENCES, words: int = WORDS)
     that repeats the doc_id with another text is another.  Texts shorter than
     a span lose nothing unless a span of another document covers them, which
     none can."""
+    if words > MOST_WORDS:
+        raise ValueError(f"a span of over {MOST_WORDS} words may have more parts than its place can say")
+    names = [c for c in docs.columns if c not in ("removed_sentences", "first_docs")]
     cuts = repeated(docs, least, words)
-    marked = docs.withColumn("_mark", F.when(F.col("text").isNotNull(), _mark()))
-    same = (F.col("d.doc_id") == F.col("c.doc_id")) & (F.col("_mark") == F.col("c.mark"))
-    joined = marked.alias("d").join(cuts.alias("c"), same, "left").select("d.*", F.col("c.cuts").alias("_cuts"), F.col("c.firsts").alias("_firsts"))
+    # the other columns travel in one, so their names can't clash with those used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.when(F.col("text").isNotNull(), _mark()).alias("mark"))
+    joined = rows.join(cuts, ["doc_id", "mark"], "left")
 
     @F.pandas_udf("text string, removed int")
     def clean(text, cuts):
         import pandas as pd
 
-        rows = [(t, 0) if t is None or c is None else (lambda x: (x[0], x[2]))(without(t, c)) for t, c in zip(text, cuts)]
+        rows = [(t, 0) if t is None or c is None else without(t, c)[::2] for t, c in zip(text, cuts)]
         return pd.DataFrame({"text": pd.Series([r[0] for r in rows], dtype=object), "removed": [r[1] for r in rows]})
 
-    done = joined.withColumn("_clean", clean("text", "_cuts"))
-    kept = [F.col("_clean.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return done.select(*kept, F.col("_clean.removed").alias("removed_sentences"), F.coalesce("_firsts", F.array().cast("array<long>")).alias("first_docs"))
+    done = joined.select("row", "firsts", clean("text", "cuts").alias("clean"))
+    kept = [F.col("clean.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
+    return done.select(*kept, F.col("clean.removed").alias("removed_sentences"), F.coalesce("firsts", F.array().cast("array<long>")).alias("first_docs"))

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize
+from strandline.llm.common import materialize, slices
 
 MOST_ROWS = 12_000
 MOST_BYTES = 48_000_000
@@ -42,7 +42,7 @@ PHRASE, STEP, STRONGEST = 6, 3, 4
 VALIDATE = 3
 LEVELS = 7
 #: Windows kept by a task before it starts its table anew.
-MEMO = 400_000
+MEMO = 100_000
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 
 
@@ -261,7 +261,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Colum
         if n <= left:
             ids.append(int(i))
             left -= int(n)
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+    wanted = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64())}))
     return found.join(F.broadcast(wanted), "doc_id")
 
 
@@ -285,7 +285,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for b in batches:
+        for b in slices(batches):
             scores = np.array([scorer.score(t.as_py()) for t in b.column("text")], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 

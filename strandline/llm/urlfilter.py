@@ -20,8 +20,10 @@ RULES = (
 
 
 def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
-    """(host, path, verdict) rows as a DataFrame."""
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """(host, path, verdict) rows as a DataFrame of literals."""
+    rows = [F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("host", "path", "verdict"), r)]) for r in rules]
+    kind = "array<struct<host:string,path:string,verdict:string>>"
+    return spark.range(1).select(F.inline(F.array(*rows).cast(kind)))
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:

@@ -99,6 +99,12 @@ def test_substring_removes_later_passages(spark):
     assert got[7].text == "" and got[7].first_docs == [1] and got[None].text == passage and got[8].text is None
     assert all(got[i].text == clean[i] for i in (0, 2, 4)) and got[10].text == got[11].text == "Ok. Ok. Ok."
     assert substring.remove_repeats(docs(spark, [])).count() == 0
+    inner = ("mark", "row", "cuts", "firsts", "clean", "_mark", "removed_sentences")
+    wide = docs(spark, [r for r in rows if r[0] in (1, 3)]).select("*", *[F.lit(f"own {c}").alias(c) for c in inner])
+    back = {r.doc_id: r for r in substring.remove_repeats(wide).collect()}
+    assert back[3].text == got[3].text and back[3].removed_sentences > 0 and all(r[c] == f"own {c}" for r in back.values() for c in inner[:-1])
+    with pytest.raises(ValueError):
+        substring.remove_repeats(wide, words=64)
 
 
 def test_sentences_cover_the_text():
