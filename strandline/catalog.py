@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import scalars
 from strandline.functions.scalars import DAY, HOUR
 from strandline.operators import advice, dynamics, metrics, render, retention, sessions, upsert
+from strandline.plans import store as stored
 from strandline.sources import events as source
 
 #: The month that the test table covers, and a gap that suits its density.
@@ -67,11 +68,52 @@ def _bad_lines(x: Inputs) -> DataFrame:
     return source.parse_lines(e.select("id", line.alias("value"))).select("id", source.is_valid(F.col("event")).alias("valid"))
 
 
+def _upserts(x: Inputs) -> DataFrame:
+    """What a first and a second upsert of each table change."""
+    kept = stored.Store(x.spark, stored.scratch(x.spark))
+    kept.upsert("hourly", x.hourly(), "a", 1)
+    kept.upsert("evidence", x.evidence(), "a", 1)
+    hourly, proof = kept.read("hourly"), kept.read("evidence").select("hour_ms", "evidence_json")
+    kept.upsert("daily", metrics.daily_summary(hourly), "a", 1)
+    daily = kept.read("daily")
+    tables = {"hourly": hourly, "evidence": proof, "daily": daily, "hourly_advice": advice.hourly_advice(hourly, proof, aliases=True), "daily_advice": advice.daily_advice(daily, aliases=True), "hourly_report": render.hourly_report(hourly, proof), "daily_report": render.daily_report(daily)}
+    rows = []
+    for name, computed in tables.items():
+        if name not in ("hourly", "evidence", "daily"):
+            kept.upsert(name, computed, "a", 1)
+        again = kept.upsert(name, computed, "b", 2)
+        rows.append((name, again["inserts"], again["updates"], again["unchanged"]))
+    return x.spark.createDataFrame(rows, "name string, inserts long, updates long, unchanged long")
+
+
+def _recomputed(x: Inputs) -> stored.Store:
+    """A store as an older run left it, after its mismatched hours and days were computed anew."""
+    kept = stored.Store(x.spark, stored.scratch(x.spark))
+    kept.upsert("hourly", x.changed(), "old", 1)
+    kept.upsert("daily", metrics.daily_summary(kept.read("hourly")), "old", 1)
+    hashes = metrics.input_hashes(x.events, x.hours())
+    stored.recompute_hours(kept, x.events, x.windows, metrics.hour_mismatches(hashes, kept.read("hourly")), IDLE, "new", 2)
+    stored.recompute_days(kept, metrics.day_mismatches(kept.read("hourly"), kept.read("daily")), "new", 2)
+    return kept
+
+
+def _mouse(x: Inputs) -> DataFrame:
+    kind = F.when(F.col("action") == "error", "click").when(F.col("action") == "click", "scroll").otherwise("move")
+    return x.events.withColumn("x", F.col("value")).withColumn("y", F.col("value") * 2).withColumn("kind", kind)
+
+
 QUERIES = {
+    "stored_upserts": _q(_upserts),
+    "recomputed_hours": _q(lambda x: _recomputed(x).read("hourly").select("hour_ms", "metric_key", "value_num", "input_hash", "run_id", "created_utc_ms", "updated_utc_ms")),
+    "recomputed_days": _q(lambda x: _recomputed(x).read("daily").select("day_ms", "metric_key", "value_num", "input_hash")),
+    "keyboard_batches": _q(lambda x: dynamics.keyboard_batches(x.events.where("monitor = 'keyboard'"), "user_id", 16).select("user_id", "batch", "keydown", *[scalars.round2(F.col(c)).alias(c) for c in ("mean_ms", "p95_ms", "stdev_ms")])),
+    "mouse_batches": _q(lambda x: dynamics.mouse_batches(_mouse(x), "user_id", 16)),
+    "counters_since_trigger": _q(lambda x: dynamics.counters_since(x.events, x.events.where("monitor = 'active_window'").select("user_id", "ts_utc"), "user_id")),
+    "hourly_report_json": _q(lambda x: render.hourly_report(x.hourly(), x.evidence()).select("hour_ms", "json", "csv")),
     "event_time_range_latest": _q(lambda x: source.latest_in_range(x.events, START + DAY, START + 2 * DAY, 50).select("id", "ts_utc", "monitor")),
     "monitor_status": _q(lambda x: x.events.groupBy("monitor").agg(F.max("ts_utc").alias("last_ts"), F.count(F.lit(1)).alias("n")).withColumn("age", scalars.age_text(F.lit(END) - F.col("last_ts")))),
     "hour_grid": _q(lambda x: sessions.closed_hours(x.hours(), END, 5)),
-    "day_grid": _q(lambda x: x.events.select(scalars.floor_to(F.col("ts_utc"), DAY).alias("day_ms")).distinct()),
+    "day_grid": _q(lambda x: x.spark.range(START, END + DAY, DAY).select(F.col("id").alias("day_ms"))),
     "focus_sessions": _q(Inputs.sessions),
     "session_hour_clip": _q(Inputs.parts),
     "hourly_focus": _q(lambda x: metrics.hourly_wide(x.events, x.windows, START, END, IDLE).select("hour_ms", "focus_minutes", "idle_minutes", "coverage")),
@@ -190,13 +232,110 @@ _SUMMARY = _HOURLY + _hashes("-") + f""", y AS (SELECT ml.*, input_hash FROM ml
   UNION ALL SELECT hour_ms, 'passive_input', 2 FROM ah WHERE inp < 5 AND fm >= 15 UNION ALL SELECT hour_ms, 'long_idle', 2 FROM ah WHERE idle >= 40
 )"""
 
+
+def _text(x: str) -> str:
+    """A whole-numbered or decimal double as the advice writes it."""
+    return f"CAST(CAST({x} AS DOUBLE) AS VARCHAR)"
+
+
+def _rule(period: str, key: str, severity: str, when: str, score: str, text: str, proof: dict[str, str], reason: dict[str, str]) -> str:
+    body = lambda d: "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in sorted(d.items())) + " || '}'"
+    return f"SELECT {period}, '{key}' AS rule_key, 1 AS rule_version, '{severity}' AS severity, floor(({score}) * 10000.0 + 0.5) / 10000.0 AS score, {text} AS advice_text, {body(proof)} AS evidence_json, {body(reason)} AS reason_json, input_hash FROM aw WHERE {when}"
+
+
+def _clamp(x: str, low: float, high: float) -> str:
+    return f"greatest({low}::DOUBLE, least({high}::DOUBLE, {x}))"
+
+
+def _advice_sql(daily: bool, aliases: bool = True) -> str:
+    """``aliases`` as the rules have it: without, metrics under other names count as 0."""
+    names = advice.ALIASES if aliases else {}
+    r2 = lambda k: f"coalesce(max(floor(value_num * 100.0 + 0.5) / 100.0) FILTER (metric_key = '{k}'), 0.0)::DOUBLE"
+    if daily:
+        wide = f""", aw AS (SELECT day_ms, {r2('focus_minutes')} AS fm, {r2('deep_focus_minutes')} AS df, {r2(names.get('switches', 'switches'))} AS sw, arg_max(hours_counted, metric_key) AS hc, arg_max(low_conf_hours, metric_key) AS lc, arg_max(input_hash, metric_key) AS input_hash FROM d GROUP BY day_ms)"""
+        proof = lambda **x: {"hours_counted": "hc", "low_conf_hours": "lc", **x}
+        reason = lambda **x: {"low_conf_hours_threshold": "4", "low_conf_hours_actual": "lc", **x}
+        fm, df, sw = _text("fm"), _text("df"), _text("sw")
+        rules = [
+            ("low_daily_focus", "warn", "lc <= 4 AND fm < 180", _clamp("(180 - fm) / 180", 0.3, 0.8), f"'Low daily focused time (' || {fm} || 'm; target ≥ 180m). Plan deeper focus blocks.'", proof(focus_minutes=fm), reason(focus_minutes_threshold="'180.0'", focus_minutes_actual=fm)),
+            ("positive_deep_focus_day", "good", "lc <= 4 AND df >= 120", _clamp("(df - 120) / 120", 0.4, 0.9), f"'Excellent daily deep focus (' || {df} || 'm). Maintain this momentum.'", proof(deep_focus_minutes=df), reason(deep_focus_minutes_threshold="'120.0'", deep_focus_minutes_actual=df)),
+            ("high_switch_day", "warn", "lc <= 4 AND sw >= 150", _clamp("(sw - 150) / 150", 0.3, 0.8), "'High daily context switching (' || CAST(sw AS BIGINT) || 's). Consider time-blocking similar tasks.'", proof(switches=sw), reason(switches_threshold="'150.0'", switches_actual=sw)),
+        ]
+        return wide + ", adv AS (" + " UNION ALL ".join(_rule("day_ms", *r) for r in rules) + ")"
+    wide = f""", aw AS (SELECT *, coalesce(evidence_json, '[]') AS apps FROM (SELECT hour_ms, {r2('focus_minutes')} AS fm, {r2(names.get('switches', 'switches'))} AS sw, {r2('deep_focus_minutes')} AS df, {r2(names.get('keyboard_minutes', 'keyboard_minutes'))} AS kb, {r2(names.get('mouse_minutes', 'mouse_minutes'))} AS ms, {r2('idle_minutes')} AS idle,
+          floor(arg_max(coverage_ratio, metric_key)::DOUBLE * 10000.0 + 0.5) / 10000.0 AS cv, arg_max(input_hash, metric_key) AS input_hash FROM y GROUP BY hour_ms) LEFT JOIN ev USING (hour_ms))"""
+    fm, sw, df, idle = _text("fm"), _text("sw"), _text("df"), _text("idle")
+    proof = lambda **x: {"coverage_ratio": _text("cv"), "top_app_minutes": "apps", **x}
+    reason = lambda **x: {"coverage_ratio_threshold": "'0.6'", "coverage_ratio_actual": _text("cv"), **x}
+    rules = [
+        ("low_focus", "warn", "cv >= 0.6 AND fm < 25", _clamp("(25 - fm) / 25", 0.3, 0.9), f"'Low focused time this hour (' || {fm} || 'm; target ≥ 25m). Try reducing interruptions.'", proof(focus_minutes=fm), reason(focus_minutes_threshold="'25.0'", focus_minutes_actual=fm)),
+        ("high_switches", "warn", "cv >= 0.6 AND sw >= 12", _clamp("(sw - 12) / 12", 0.3, 0.8), "'High context switching (' || CAST(sw AS BIGINT) || 's). Batch tasks or pause notifications.'", proof(switches=sw), reason(switches_threshold="'12.0'", switches_actual=sw)),
+        ("deep_focus_positive", "good", "cv >= 0.6 AND df >= 30", _clamp("(df - 30) / 30", 0.4, 0.9), f"'Strong deep-focus block (' || {df} || 'm). Protect similar blocks.'", proof(deep_focus_minutes=df), reason(deep_focus_minutes_threshold="'30.0'", deep_focus_minutes_actual=df)),
+        ("passive_input", "info", "cv >= 0.6 AND kb + ms < 5 AND fm >= 15", "0.5::DOUBLE", "'Low input but active window time; likely reading or meeting. Capture notes to retain context.'", proof(keyboard_minutes=_text("kb"), mouse_minutes=_text("ms"), focus_minutes=fm), reason(input_minutes_threshold="'5.0'", input_minutes_actual=_text("kb + ms"), focus_minutes_threshold="'15.0'", focus_minutes_actual=fm)),
+        ("long_idle", "info", "cv >= 0.6 AND idle >= 40", _clamp("(idle - 40) / 20", 0.3, 0.7), f"'Extended idle (' || {idle} || 'm). If this was a break, great; otherwise consider shorter pauses.'", proof(idle_minutes=idle), reason(idle_minutes_threshold="'40.0'", idle_minutes_actual=idle)),
+    ]
+    return wide + ", adv AS (" + " UNION ALL ".join(_rule("hour_ms", *r) for r in rules) + ")"
+
+
+def _digest_sql(daily: bool) -> str:
+    p, source = ("day_ms", "d") if daily else ("hour_ms", "y")
+    shown = "',hours_counted=' || hours_counted || ',low_conf_hours=' || low_conf_hours" if daily else "',coverage_ratio=' || CAST(CAST(coverage_ratio AS DOUBLE) AS VARCHAR)"
+    last = "day_hash" if daily else "hour_hash"
+    evidence = "" if daily else " || coalesce(chr(10) || 'evidence[top_app_minutes]=' || evidence_json, '')"
+    tail = " || chr(10) || 'day_hash=' || h" if daily else ""
+    own = "" if daily else "'\"evidence\":' || coalesce('{\"top_app_minutes\":' || evidence_json || '}', '{}') || ',' || "
+    stamp = f"'\"day_hash\":\"' || h || '\",\"day_start_ms\":' || day_ms || ','" if daily else f"{own}'\"hour_hash\":\"' || h || '\",\"hour_start_ms\":' || hour_ms || ','"
+    return _SUMMARY + _advice_sql(daily, False) + f""", o AS (
+      SELECT {p}, string_agg('metric_key=' || metric_key || ',value_num=' || CAST(value_num AS VARCHAR) || {shown}, chr(10) ORDER BY metric_key) AS t, arg_max(input_hash, metric_key) AS h,
+             string_agg('"' || metric_key || '":' || CAST(value_num AS VARCHAR), ',' ORDER BY metric_key) AS m FROM {source} GROUP BY {p}
+    ), al AS (
+      SELECT {p}, string_agg('advice rule=' || rule_key || ',severity=' || severity || ',score=' || CAST(score AS VARCHAR) || ',text="' || advice_text || '"', chr(10) ORDER BY CASE severity WHEN 'warn' THEN 1 WHEN 'info' THEN 2 ELSE 3 END, rule_key) AS lines,
+             string_agg('{{"rule_key":"' || rule_key || '","severity":"' || severity || '","score":' || CAST(score AS VARCHAR) || ',"advice_text":"' || advice_text || '"}}', ',' ORDER BY CASE severity WHEN 'warn' THEN 1 WHEN 'info' THEN 2 ELSE 3 END, rule_key) AS items FROM adv GROUP BY {p}
+    ), z AS (
+      SELECT {p}, t{evidence} || coalesce(chr(10) || lines, ''){tail} AS txt, '{{"advice":[' || coalesce(items, '') || '],' || {stamp} || '"metrics":{{' || m || '}}}}' AS json, h AS {last} FROM o LEFT JOIN al USING ({p}){"" if daily else " LEFT JOIN ev USING (hour_ms)"}
+    ) SELECT {p}, txt, json, {last}, sha256(txt) AS sha256 FROM z"""
+
+
 ORACLE_SQL = {
+    "advice_hourly": _SUMMARY + _advice_sql(False) + " SELECT * FROM adv",
+    "advice_daily": _SUMMARY + _advice_sql(True) + " SELECT * FROM adv",
+    "hourly_digest": _digest_sql(False),
+    "daily_digest": _digest_sql(True),
+    "stored_upserts": _SUMMARY + f""" SELECT name, CAST(0 AS BIGINT) AS inserts, CAST(0 AS BIGINT) AS updates, unchanged FROM (
+          SELECT 'hourly' AS name, count(*) AS unchanged FROM y UNION ALL SELECT 'evidence', count(*) FROM ev UNION ALL SELECT 'daily', count(*) FROM d
+          UNION ALL SELECT 'hourly_report', count(DISTINCT hour_ms) FROM y UNION ALL SELECT 'daily_report', count(DISTINCT day_ms) FROM d
+          UNION ALL SELECT 'hourly_advice', n FROM (""" + "WITH " + _advice_sql(False)[2:] + f""" SELECT count(*) AS n FROM adv)
+          UNION ALL SELECT 'daily_advice', n FROM (WITH """ + _advice_sql(True)[2:] + """ SELECT count(*) AS n FROM adv))""",
+    "recomputed_hours": _SUMMARY + f""" SELECT y.hour_ms, y.metric_key, y.value_num, y.input_hash, CASE WHEN k THEN 'new' ELSE 'old' END AS run_id, CASE WHEN o.hour_ms IS NULL THEN 2 ELSE 1 END::BIGINT AS created_utc_ms, CASE WHEN k THEN 2 ELSE 1 END::BIGINT AS updated_utc_ms
+        FROM (SELECT *, hour_ms // {HOUR} % 50 = 0 OR hour_ms // {HOUR} % 60 = 0 AS k FROM y) y LEFT JOIN old o ON o.hour_ms = y.hour_ms AND o.metric_key = y.metric_key
+        WHERE o.hour_ms IS NOT NULL OR y.hour_ms IN (SELECT hour_ms FROM x WHERE events > 0)""",
+    "recomputed_days": _SUMMARY + f""", yy AS (SELECT * FROM y WHERE hour_ms // {HOUR} % 50 <> 0 OR hour_ms IN (SELECT hour_ms FROM x WHERE events > 0)
+        ) SELECT hour_ms // {DAY} * {DAY} AS day_ms, metric_key, floor(list_sum(list(value_num ORDER BY hour_ms)) * 100.0 + 0.5) / 100.0 AS value_num, sha256(string_agg(input_hash, '|' ORDER BY hour_ms) || '|git:-') AS input_hash FROM yy GROUP BY ALL""",
+    "keyboard_batches": _EVENTS + """ SELECT user_id, batch, count(*) AS keydown, floor(coalesce(avg(g), 0) * 100.0 + 0.5) / 100.0 AS mean_ms, floor(coalesce(quantile_cont(CAST(g AS DOUBLE), 0.95), 0) * 100.0 + 0.5) / 100.0 AS p95_ms, floor(coalesce(stddev_samp(g), 0) * 100.0 + 0.5) / 100.0 AS stdev_ms
+        FROM (SELECT *, ts_utc - lag(ts_utc) OVER (PARTITION BY user_id, batch ORDER BY ts_utc, id) AS g FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts_utc, id) - 1) // 16 AS batch FROM e WHERE monitor = 'keyboard')) GROUP BY user_id, batch""",
+    "mouse_batches": _EVENTS + """ SELECT user_id, batch, count(*) FILTER (action NOT IN ('error', 'click')) AS moves, count(*) FILTER (action = 'error') AS clicks, count(*) FILTER (action = 'click') AS scrolls, coalesce(CAST(sum(CAST(trunc(sqrt(power(dx, 2) + power(dy, 2))) AS BIGINT)) AS BIGINT), 0) AS distance_px
+        FROM (SELECT *, value - lag(value) OVER o AS dx, value * 2 - lag(value * 2) OVER o AS dy FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts_utc, id) - 1) // 16 AS batch FROM e) WINDOW o AS (PARTITION BY user_id, batch ORDER BY ts_utc, id)) GROUP BY user_id, batch""",
+    "counters_since_trigger": _EVENTS + """, t AS (SELECT user_id, ts_utc, lag(ts_utc) OVER (PARTITION BY user_id ORDER BY ts_utc) AS was FROM e WHERE monitor = 'active_window'
+        ) SELECT t.user_id, t.ts_utc, count(*) FILTER (e.monitor = 'keyboard') AS keys, count(*) FILTER (e.monitor = 'mouse') AS clicks
+        FROM t LEFT JOIN e ON e.user_id = t.user_id AND e.ts_utc <= t.ts_utc AND (was IS NULL OR e.ts_utc > was) GROUP BY t.user_id, t.ts_utc""",
+    "hourly_report_json": _SUMMARY + """, o AS (
+          SELECT hour_ms, min(input_hash) AS h, string_agg('"' || metric_key || '":{"coverage_ratio":' || CAST(CAST(coverage_ratio AS DOUBLE) AS VARCHAR) || ',"value_num":' || CAST(value_num AS VARCHAR) || '}', ',' ORDER BY metric_key) AS m,
+                 string_agg(CAST(CAST(coverage_ratio AS DOUBLE) AS VARCHAR) || ',' || metric_key || ',' || CAST(value_num AS VARCHAR), chr(13) || chr(10) ORDER BY metric_key) AS c FROM y GROUP BY hour_ms
+        ) SELECT hour_ms, '{' || coalesce('"evidence":{"top_app_minutes":' || evidence_json || '},', '') || '"hour_hash":"' || h || '","hour_start_ms":' || hour_ms || ',"metrics":{' || m || '}}' AS json,
+                 'coverage_ratio,metric_key,value_num' || chr(13) || chr(10) || c || chr(13) || chr(10) AS csv FROM o LEFT JOIN ev USING (hour_ms)""",
+    "bursts": _EVENTS.replace("WITH e AS", "WITH RECURSIVE e AS") + f""", n AS (
+          SELECT user_id, ts_utc, row_number() OVER (PARTITION BY user_id ORDER BY ts_utc) AS i FROM e
+        ), u AS (
+          SELECT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS held, 0 AS n FROM e GROUP BY user_id
+          UNION ALL SELECT user_id, i, CASE WHEN len(h) >= 3 THEN CAST([] AS BIGINT[]) ELSE h END, n + CAST(len(h) >= 3 AS INTEGER) FROM (
+            SELECT u.user_id, n.i, list_append(list_filter(u.held, lambda t: t >= n.ts_utc - {DAY}), n.ts_utc) AS h, u.n FROM u JOIN n ON n.user_id = u.user_id AND n.i = u.i + 1)
+        ) SELECT user_id, max(n) AS bursts FROM u GROUP BY user_id""",
     "event_time_range_latest": _EVENTS + f" SELECT id, ts_utc, monitor FROM e WHERE ts_utc BETWEEN {START + DAY} AND {START + 2 * DAY} ORDER BY ts_utc DESC, id DESC LIMIT 50",
     "monitor_status": _EVENTS + f""" SELECT monitor, max(ts_utc) AS last_ts, count(*) AS n,
         CASE WHEN a < 60 THEN a || 's ago' WHEN a < 3600 THEN a // 60 || 'm ago' WHEN a < 86400 THEN a // 3600 || 'h ago' ELSE a // 86400 || 'd ago' END AS age
         FROM (SELECT *, ({END} - max(ts_utc) OVER (PARTITION BY monitor)) // 1000 AS a FROM e) GROUP BY monitor, a""",
     "hour_grid": f"SELECT unnest(range({START}, {END} - {HOUR}, {HOUR})) AS hour_ms",
-    "day_grid": _EVENTS + f" SELECT DISTINCT ts_utc // {DAY} * {DAY} AS day_ms FROM e",
+    "day_grid": f"SELECT unnest(range({START}, {END} + {DAY}, {DAY})) AS day_ms",
     "focus_sessions": _SESSIONS + " SELECT start_ms, end_ms, window_id, app_id FROM f",
     "session_hour_clip": _SESSIONS + " SELECT hour_ms, start_ms, end_ms, window_id, app_id FROM p",
     "hourly_focus": _HOURLY + " SELECT hour_ms, focus_minutes, idle_minutes, coverage FROM mw",

@@ -2,15 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BURST_MS, BURST_KEYS = 500, 5
+#: Rows are dealt to hours where their order matters.
+BUCKET_MS = 3_600_000
+
+
+def _before(rows: DataFrame, by: str, ts: str, tie: str, columns: dict[str, Column]) -> DataFrame:
+    """Add ``columns`` of the row before of the same ``by`` (null for its first row).
+
+    Rows are dealt to hours, so a key that holds much of all rows is spread; the
+    first row of an hour gets the last one of the hour before that has any."""
+    bucket = F.floor(F.col(ts) / F.lit(float(BUCKET_MS))).cast("long")
+    now = F.struct(*[c.alias(n) for n, c in columns.items()])
+    dealt = rows.withColumn("_b", bucket).withColumn("_now", now)
+    ends = dealt.groupBy(by, "_b").agg(F.max_by("_now", F.struct(ts, tie)).alias("_last"))
+    ends = ends.withColumn("_edge", F.lag("_last").over(Window.partitionBy(by).orderBy("_b"))).select(F.col(by).alias("_k"), F.col("_b").alias("_kb"), "_edge")
+    inside = Window.partitionBy(by, "_b").orderBy(ts, tie)
+    found = dealt.withColumn("_was", F.lag("_now").over(inside)).withColumn("_row", F.row_number().over(inside))
+    found = found.join(ends, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")))
+    found = found.withColumn("_was", F.when(F.col("_row") == 1, F.col("_edge")).otherwise(F.col("_was")))
+    return found.select(*rows.columns, *[F.col(f"_was.{n}").alias(n) for n in columns])
 
 
 def gaps(rows: DataFrame, by: str, ts: str = "ts_utc", tie: str = "id") -> DataFrame:
     """Add ``gap``: time since the row before of the same ``by``."""
-    return rows.withColumn("gap", F.col(ts) - F.lag(ts).over(Window.partitionBy(by).orderBy(ts, tie)))
+    return _before(rows, by, ts, tie, {"_ts": F.col(ts)}).withColumn("gap", F.col(ts) - F.col("_ts")).drop("_ts")
+
+
+def islands(rows: DataFrame, by: str, span: int, ts: str = "ts_utc", tie: str = "id") -> DataFrame:
+    """Add ``island``: the time of the first row of a run of rows of ``by`` in
+    which none is more than ``span`` after the one before."""
+    cut = gaps(rows, by, ts, tie).withColumn("_b", F.floor(F.col(ts) / F.lit(float(BUCKET_MS))).cast("long"))
+    cut = cut.withColumn("_cut", F.when(F.col("gap").isNull() | (F.col("gap") > span), F.col(ts)))
+    ends = cut.groupBy(by, "_b").agg(F.max("_cut").alias("_last"))
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(by).alias("_k"), F.col("_b").alias("_kb"), F.max("_last").over(before).alias("_carry"))
+    inside = Window.partitionBy(by, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce(F.max("_cut").over(inside), F.col("_carry"))
+    joined = cut.join(ends, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")))
+    return joined.withColumn("island", start).select(*rows.columns, "island")
 
 
 def interval_stats(rows: DataFrame, by: str, column: str = "gap") -> DataFrame:
@@ -21,18 +54,63 @@ def interval_stats(rows: DataFrame, by: str, column: str = "gap") -> DataFrame:
     return good.agg(F.count(F.lit(1)).alias("n"), zero(F.avg(x)).alias("mean_ms"), zero(F.percentile(x, F.lit(0.95))).alias("p95_ms"), zero(F.stddev_samp(x)).alias("stdev_ms"))
 
 
-def distance(points: DataFrame, by: str, x: str = "x", y: str = "y", order: tuple[str, ...] = ("ts_utc", "id")) -> DataFrame:
+def distance(points: DataFrame, by: str, x: str = "x", y: str = "y", order: tuple[str, str] = ("ts_utc", "id")) -> DataFrame:
     """(by, moves, distance_px): each step's length is cut to a whole number."""
-    w = Window.partitionBy(by).orderBy(*order)
-    step = F.sqrt(F.pow(F.col(x) - F.lag(x).over(w), 2) + F.pow(F.col(y) - F.lag(y).over(w), 2)).cast("long")
-    return points.withColumn("_step", step).groupBy(by).agg(F.count(F.lit(1)).alias("moves"), F.coalesce(F.sum("_step"), F.lit(0)).alias("distance_px"))
-
-
-def bursts(rows: DataFrame, by: str, ts: str = "ts_utc", span: int = BURST_MS, keys: int = BURST_KEYS) -> DataFrame:
-    """(by, bursts): ``keys`` rows within ``span`` count once and empty the buffer.
-
-    The buffer depends on what was counted before, so the times of a group are
-    folded in order; ``by`` should be a bounded group such as a device's hour."""
+    near = _before(points, by, *order, {"_x": F.col(x), "_y": F.col(y)})
+    step = F.sqrt(F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2)).cast("long")
+    return near.withColumn("_step", step).groupBy(by).agg(F.count(F.lit(1)).alias("moves"), F.coalesce(F.sum("_step"), F.lit(0)).alias("distance_px"))
+
+
+def keyboard_batches(rows: DataFrame, by: str, n: int = 128, ts: str = "ts_utc", tie: str = "id") -> DataFrame:
+    """(by, batch, keydown, mean_ms, p95_ms, stdev_ms, bursts): statistics of every
+    ``n`` key presses.  The intervals of a batch begin anew, as its buffers do."""
+    dealt = count_batches(rows, by, n, (ts, tie))
+    own = F.array_sort(F.collect_list(F.col(ts).cast("bigint")))
+    folded = dealt.groupBy(by, "batch").agg(F.count(F.lit(1)).alias("keydown"), own.alias("_t"))
+    steps = F.transform(F.sequence(F.lit(1), F.size("_t") - 1), lambda i: F.element_at("_t", (i + 1).cast("int")) - F.element_at("_t", i.cast("int")))
+    wide = folded.withColumn("_d", F.when(F.size("_t") > 1, F.transform(steps, lambda d: d.cast("double"))).otherwise(F.array().cast("array<double>")))
+    k = F.size("_d")
+    mean = F.when(k > 0, F.aggregate("_d", F.lit(0.0), lambda a, d: a + d) / k).otherwise(0.0)
+    wide = wide.withColumn("mean_ms", mean).withColumn("_s", F.array_sort("_d"))
+    spot = (k - 1) * F.lit(0.95)
+    low, part = F.floor(spot).cast("int"), spot - F.floor(spot)
+    at = lambda i: F.element_at("_s", F.least(i + 1, k))
+    p95 = F.when(k > 0, at(low) + (at(low + 1) - at(low)) * part).otherwise(0.0)
+    spread = F.when(k > 1, F.sqrt(F.aggregate("_d", F.lit(0.0), lambda a, d: a + F.pow(d - F.col("mean_ms"), 2)) / (k - 1))).otherwise(0.0)
+    return wide.select(by, "batch", "keydown", "mean_ms", p95.alias("p95_ms"), spread.alias("stdev_ms"), _fold_bursts("_t", BURST_MS, BURST_KEYS).alias("bursts"))
+
+
+def mouse_batches(rows: DataFrame, by: str, n: int = 64, ts: str = "ts_utc", tie: str = "id", kind: str = "kind") -> DataFrame:
+    """(by, batch, moves, clicks, scrolls, distance_px) of every ``n`` mouse rows (x, y,
+    kind move, click or scroll).  The first row of a batch has no step, as a
+    flush forgets the last place."""
+    dealt = count_batches(rows, by, n, (ts, tie))
+    w = Window.partitionBy(by, "batch").orderBy(ts, tie)
+    step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)).cast("long")
+    of = lambda k: F.count_if(F.col(kind) == k)
+    return dealt.withColumn("_step", step).groupBy(by, "batch").agg(of("move").alias("moves"), of("click").alias("clicks"), of("scroll").alias("scrolls"), F.coalesce(F.sum("_step"), F.lit(0)).alias("distance_px"))
+
+
+def counters_since(rows: DataFrame, triggers: DataFrame, by: str, ts: str = "ts_utc", tie: str = "id") -> DataFrame:
+    """(by, ts, keys, clicks) of each trigger (by, ts): keyboard and mouse rows since the
+    trigger before it."""
+    kinds = rows.select(by, ts, (F.col("monitor") == "keyboard").cast("long").alias("k"), (F.col("monitor") == "mouse").cast("long").alias("c"), F.lit(0).alias("hit"), F.col(tie).alias("tie"))
+    both = kinds.union(triggers.select(by, ts, F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(1), F.lit(None).cast("string")))
+    bucket = F.floor(F.col(ts) / F.lit(float(BUCKET_MS))).cast("long")
+    order = [F.col(ts), F.col("hit"), F.col("tie")]
+    dealt = both.withColumn("_b", bucket)
+    sums = dealt.groupBy(by, "_b").agg(F.sum("k").alias("_k"), F.sum("c").alias("_c"))
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(by).alias("_by"), F.col("_b").alias("_kb"), *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in ("_k", "_c")])
+    inside = Window.partitionBy(by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumn("k", F.sum("k").over(inside)).withColumn("c", F.sum("c").over(inside)).where("hit = 1")
+    placed = placed.join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_kb")))
+    marks = placed.select(by, ts, (F.col("k") + F.col("_k")).alias("k"), (F.col("c") + F.col("_c")).alias("c"), F.lit("").alias("tie"))
+    since = _before(marks, by, ts, "tie", {"k0": F.col("k"), "c0": F.col("c")})
+    return since.select(by, ts, (F.col("k") - F.coalesce("k0", F.lit(0))).alias("keys"), (F.col("c") - F.coalesce("c0", F.lit(0))).alias("clicks"))
+
+
+def _fold_bursts(times: str, span: int, keys: int) -> Column:
     start = F.struct(F.array().cast("array<bigint>").alias("held"), F.lit(0).alias("n"))
 
     def step(state, t):
@@ -40,7 +118,16 @@ def bursts(rows: DataFrame, by: str, ts: str = "ts_utc", span: int = BURST_MS, k
         full = F.size(held) >= keys
         return F.struct(F.when(full, F.array().cast("array<bigint>")).otherwise(held).alias("held"), (state["n"] + full.cast("int")).alias("n"))
 
-    return rows.groupBy(by).agg(F.array_sort(F.collect_list(F.col(ts).cast("bigint"))).alias("t")).select(by, F.aggregate("t", start, step)["n"].alias("bursts"))
+    return F.aggregate(times, start, step)["n"]
+
+
+def bursts(rows: DataFrame, by: str, ts: str = "ts_utc", span: int = BURST_MS, keys: int = BURST_KEYS, tie: str = "id") -> DataFrame:
+    """(by, bursts): ``keys`` rows within ``span`` count once and empty the buffer.
+
+    A gap of more than ``span`` empties the buffer too, so each run of rows
+    without one is folded alone."""
+    runs = islands(rows, by, span, ts, tie).groupBy(by, "island").agg(F.array_sort(F.collect_list(F.col(ts).cast("bigint"))).alias("t"))
+    return runs.select(by, _fold_bursts("t", span, keys).alias("n")).groupBy(by).agg(F.sum("n").cast("int").alias("bursts"))
 
 
 def idle_gaps(rows: DataFrame, least: int = 7000) -> DataFrame:
@@ -50,20 +137,33 @@ def idle_gaps(rows: DataFrame, least: int = 7000) -> DataFrame:
     return next_times(rows).withColumn("gap", F.col("next_ts") - F.col("ts_utc")).where(F.col("gap") >= least).select("id", "ts_utc", "gap")
 
 
-def changes(rows: DataFrame, by: str, columns: tuple[str, ...], order: tuple[str, ...] = ("ts_utc", "id")) -> DataFrame:
+def changes(rows: DataFrame, by: str, columns: tuple[str, ...], order: tuple[str, str] = ("ts_utc", "id")) -> DataFrame:
     """Rows that differ from the one before in any of ``columns``; the first counts."""
-    w = Window.partitionBy(by).orderBy(*order)
     now = F.struct(*columns)
-    return rows.withColumn("_was", F.lag(now).over(w)).where(~F.col("_was").eqNullSafe(now)).drop("_was")
+    return _before(rows, by, *order, {"_values": now}).where(~F.col("_values").eqNullSafe(now)).drop("_values")
 
 
-def dedupe_within(rows: DataFrame, by: str, ts: str = "ts_utc", span: int = 5000) -> DataFrame:
-    """(by, ts_utc) of rows at least ``span`` after the last one kept of their group."""
-    keep = lambda kept, t: F.when((F.size(kept) == 0) | (t - F.try_element_at(kept, F.lit(-1)) >= span), F.concat(kept, F.array(t))).otherwise(kept)
-    times = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.col(ts).cast("bigint"))).alias("t"))
-    return times.select(by, F.explode(F.aggregate("t", F.array().cast("array<bigint>"), keep)).alias(ts))
+def dedupe_within(rows: DataFrame, by: str, ts: str = "ts_utc", span: int = 5000, tie: str = "id") -> DataFrame:
+    """(by, ts_utc) of rows at least ``span`` after the last one kept of their group.
 
+    A row that far after the one before is kept in any case, so each run of
+    closer rows is folded alone; of the kept times only the last is looked at."""
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
 
-def count_batches(rows: DataFrame, by: str, n: int, order: tuple[str, ...] = ("ts_utc", "id")) -> DataFrame:
-    """Add ``batch``: every ``n`` rows of a group from 0."""
-    return rows.withColumn("batch", F.expr("0") + F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / n).cast("long"))
+    def step(state, t):
+        far = state["last"].isNull() | (t - state["last"] >= span)
+        return F.struct(F.when(far, t).otherwise(state["last"]).alias("last"), F.when(far, F.concat(state["kept"], F.array(t))).otherwise(state["kept"]).alias("kept"))
+
+    runs = islands(rows, by, span - 1, ts, tie).groupBy(by, "island").agg(F.array_sort(F.collect_list(F.col(ts).cast("bigint"))).alias("t"))
+    return runs.select(by, F.explode(F.aggregate("t", start, step)["kept"]).alias(ts))
+
+
+def count_batches(rows: DataFrame, by: str, n: int, order: tuple[str, str] = ("ts_utc", "id")) -> DataFrame:
+    """Add ``batch``: every ``n`` rows of a group from 0, numbered by hours and their counts."""
+    dealt = rows.withColumn("_b", F.floor(F.col(order[0]) / F.lit(float(BUCKET_MS))).cast("long"))
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    sums = sums.select(F.col(by).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    row = F.row_number().over(Window.partitionBy(by, "_b").orderBy(*order))
+    placed = dealt.withColumn("_i", row).join(sums, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")))
+    return placed.withColumn("batch", F.floor((F.col("_i") + F.col("_start") - 1) / n).cast("long")).select(*rows.columns, "batch")

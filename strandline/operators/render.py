@@ -43,8 +43,11 @@ def hourly_report(metrics: DataFrame, evidence: DataFrame) -> DataFrame:
     df = _metrics(metrics, "hour_ms", ("value_num", "coverage_ratio")).join(evidence, "hour_ms", "left")
     proof = F.when(F.col("evidence_json").isNull() | (F.col("evidence_json") == "[]"), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("evidence[ top_app_minutes ]="), "evidence_json")))
     csv = F.concat(F.lit("coverage_ratio,metric_key,value_num\r\n"), F.array_join(F.transform("m", lambda x: F.concat_ws(",", float_text(x["coverage_ratio"]), x["metric_key"], float_text(x["value_num"]))), "\r\n"), F.lit("\r\n"))
-    shape = F.map_from_entries(F.transform("m", lambda x: F.struct(x["metric_key"], F.struct(x["coverage_ratio"].alias("coverage_ratio"), x["value_num"].alias("value_num")))))
-    body = F.to_json(F.struct(F.col("m")[0]["input_hash"].alias("hour_hash"), F.col("hour_ms").alias("hour_start_ms"), shape.alias("metrics")))
+    # numbers as plain digits, which to_json doesn't give for small ones
+    each = F.transform("m", lambda x: F.concat(F.lit('"'), x["metric_key"], F.lit('":{"coverage_ratio":'), float_text(x["coverage_ratio"]), F.lit(',"value_num":'), float_text(x["value_num"]), F.lit("}")))
+    some = F.when(F.size(_apps()) > 0, F.concat(F.lit('"evidence":{"top_app_minutes":'), "evidence_json", F.lit("},")))
+    digest = F.coalesce(F.concat(F.lit('"'), F.col("m")[0]["input_hash"], F.lit('"')), F.lit("null"))
+    body = F.concat(F.lit("{"), F.coalesce(some, F.lit("")), F.lit('"hour_hash":'), digest, F.lit(',"hour_start_ms":'), F.col("hour_ms").cast("string"), F.lit(',"metrics":{'), F.array_join(each, ","), F.lit("}}"))
     txt = _lines(F.col("m.line"), proof)
     return df.select("hour_ms", txt.alias("txt"), body.alias("json"), csv.alias("csv"), F.col("m")[0]["input_hash"].alias("hour_hash"), F.sha2(txt, 256).alias("sha256"))
 
@@ -63,7 +66,7 @@ def hourly_digest(metrics: DataFrame, evidence: DataFrame, advice: DataFrame) ->
     proof = F.when(F.col("evidence_json").isNull(), none).otherwise(F.array(F.concat(F.lit("evidence[top_app_minutes]="), "evidence_json")))
     txt = _lines(F.col("m.line"), proof, F.coalesce("a.line", none))
     last = F.element_at("m", -1)["input_hash"]
-    return df.select("hour_ms", txt.alias("txt"), _digest_json("hour_ms", "hour_start_ms", last, "hour_hash").alias("json"), last.alias("hour_hash"), F.sha2(txt, 256).alias("sha256"))
+    return df.select("hour_ms", txt.alias("txt"), _digest_json("hour_ms", "hour_start_ms", last, "hour_hash", _evidence_map()).alias("json"), last.alias("hour_hash"), F.sha2(txt, 256).alias("sha256"))
 
 
 def daily_digest(metrics: DataFrame, advice: DataFrame) -> DataFrame:
@@ -74,10 +77,23 @@ def daily_digest(metrics: DataFrame, advice: DataFrame) -> DataFrame:
     return df.select("day_ms", txt.alias("txt"), _digest_json("day_ms", "day_start_ms", last, "day_hash").alias("json"), last.alias("day_hash"), F.sha2(txt, 256).alias("sha256"))
 
 
-def _digest_json(period: str, name: str, digest: Column, hash_name: str) -> Column:
+def _apps() -> Column:
+    """The top apps of an hour; none for an hour without evidence."""
+    return F.from_json("evidence_json", "array<struct<app_id string, minutes double>>")
+
+
+def _evidence_map() -> Column:
+    """``{"top_app_minutes": [...]}``, or an empty object."""
+    filled = F.map_from_arrays(F.array(F.lit("top_app_minutes")), F.array(_apps()))
+    return F.when(_apps().isNotNull(), filled).otherwise(F.map_filter(F.map_from_arrays(F.array(F.lit("top_app_minutes")), F.array(_apps())), lambda k, v: F.lit(False)))
+
+
+def _digest_json(period: str, name: str, digest: Column, hash_name: str, evidence: Column | None = None) -> Column:
     values = F.map_from_entries(F.transform("m", lambda x: F.struct(x["metric_key"], x["value_num"])))
     fields = {"advice": F.coalesce("a.item", F.array()), name: F.col(period), hash_name: digest, "metrics": values}
-    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+    if evidence is not None:
+        fields["evidence"] = evidence
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
 def artifact_path(kind: str, period: Column, digest: Column, form: str) -> Column:

@@ -9,8 +9,12 @@ QUOTA_BYTES, SOFT_SHARE = 512 << 20, 0.9
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modified, size) of journal files below ``path``; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ndjson.gz").load(path)
+    """(path, modified, size) of journal files below ``path`` and in its archive
+    ``_done``, which a recursive read leaves out by its name; contents are not read."""
+    from strandline.sources.sinks import exists
+
+    paths = [path, *([f"{path}/_done"] if exists(spark, f"{path}/_done") else [])]
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ndjson.gz").load(paths)
     return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
@@ -29,6 +33,13 @@ def victims(files: DataFrame, excess: int, key: str = "path", by: str = "modifie
     return dealt.withColumn("_inside", inside).join(days, "_day").where(F.col("_inside") + F.col("_before") < excess).drop("_day", "_inside", "_before")
 
 
+def archived(files: DataFrame, now_hour: str) -> DataFrame:
+    """Files of the archive that may be removed: those whose name begins with the
+    current hour (``YYYYMMDD-HH``) never are."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.where(F.contains("path", F.lit("/_done/")) & ~F.startswith(name, F.lit(now_hour)))
+
+
 def expired(files: DataFrame, now, days: int, by: str = "modified") -> DataFrame:
     """Files older than so many days."""
     return files.where(F.col(by) < F.lit(now) - F.expr(f"INTERVAL {days} DAYS"))

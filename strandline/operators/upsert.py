@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 
 def new_events(batch: DataFrame, existing: DataFrame | None = None, order: tuple[str, ...] = ("ts_utc",)) -> DataFrame:
-    """The first row of each id of the batch that is not among the existing ids."""
+    """The first row of each id of the batch that is not among the existing ids.
+
+    Rows that agree in ``order`` are told apart by all their columns, so reruns
+    keep the same one."""
+    order = (*order, *(c for c in batch.columns if c not in order and c != "id"))
     first = batch.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("_n = 1").drop("_n")
     return first if existing is None else first.join(existing.select("id"), "id", "left_anti")
 

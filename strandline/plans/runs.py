@@ -11,8 +11,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import HOUR
+from strandline.functions.scalars import DAY, HOUR
 from strandline.operators import advice, metrics, render, sessions
+from strandline.plans.store import Store, recompute_days, recompute_hours
 
 PARAMETERS = ("since", "until", "grace_minutes", "idle_mode", "recompute", "code_version")
 
@@ -55,7 +56,22 @@ class Lock:
 
     def acquire(self) -> bool:
         if self.owner() is None and os.path.exists(self.path):
-            os.remove(self.path)
+            # of several drivers that see it expired, one can rename it away
+            aside = f"{self.path}.{self.token}"
+            try:
+                os.rename(self.path, aside)
+            except FileNotFoundError:
+                return False
+            with open(aside) as f:
+                fresh = f.read().split()
+            if len(fresh) == 2 and float(fresh[1]) > time.time():  # another one was faster
+                try:
+                    os.link(aside, self.path)
+                except FileExistsError:
+                    pass
+                os.remove(aside)
+                return False
+            os.remove(aside)
         try:
             fd = os.open(self.path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
         except FileExistsError:
@@ -78,6 +94,28 @@ class Lock:
         return True
 
 
+def locks(folder: str) -> list[tuple[str, str, float]]:
+    """(name, owner, seconds left) of the locks of a folder that are held."""
+    found = []
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".lock"):
+            with open(os.path.join(folder, name)) as f:
+                token, until = f.read().split()
+            if float(until) > time.time():
+                found.append((name[:-5], token, float(until) - time.time()))
+    return found
+
+
+def purge(folder: str) -> int:
+    """Remove the expired locks of a folder; how many."""
+    held, n = {f"{k}.lock" for k, _, _ in locks(folder)}, 0
+    for name in os.listdir(folder):
+        if name.endswith(".lock") and name not in held:
+            os.remove(os.path.join(folder, name))
+            n += 1
+    return n
+
+
 def tick(events: DataFrame, windows: DataFrame, stored: DataFrame | None, now: int, backfill_hours: int = 6, grace_minutes: int = 5, idle_ms: int = sessions.IDLE_MS, code: str | None = None) -> dict[str, DataFrame]:
     """What the closed hours of the last ``backfill_hours`` give: ``hourly``,
     ``evidence``, ``advice``, ``digests``, ``daily``, ``daily_advice`` and
@@ -93,3 +131,55 @@ def tick(events: DataFrame, windows: DataFrame, stored: DataFrame | None, now: i
         hashes = metrics.input_hashes(events, sessions.hour_grid(events.sparkSession, start, end), code)
         out["mismatches"] = metrics.hour_mismatches(hashes, stored.where((F.col("hour_ms") >= start) & (F.col("hour_ms") < end)))
     return out
+
+
+def run_tick(store: Store, events: DataFrame, windows: DataFrame, now: int, folder: str, backfill_hours: int = 6, grace_minutes: int = 5, idle_ms: int = sessions.IDLE_MS, do_daily: bool = False, code: str | None = None) -> dict[str, int]:
+    """Bring the stored tables up to date for the closed hours of the last
+    ``backfill_hours``, and for their days where ``do_daily`` says so; counters.
+
+    One driver at a time: the lock ``tick`` in ``folder`` is held meanwhile.
+    Hours are summarised and stored, those whose hashes still differ are
+    computed anew, and advice, reports and digests follow from what is
+    stored.  The run is logged as ok or failed.  A second tick with the same
+    input changes nothing."""
+    start, end = (now - backfill_hours * HOUR) // HOUR * HOUR, (now - grace_minutes * 60_000) // HOUR * HOUR
+    examined = -(-now // HOUR) - start // HOUR
+    out = {"hours_examined": examined, "skipped_open_hours": examined - max(0, end - start) // HOUR}
+    out |= {f"{x}_{y}": 0 for x in ("hour", "hour_advice", "hour_report", "hour_digest", "day", "day_advice", "day_report", "day_digest") for y in ("inserts", "updates")}
+    if end <= start:
+        return out
+    lock = Lock(folder, "tick", (backfill_hours * 60 + grace_minutes + 5) * 60)
+    if not lock.acquire():
+        raise RuntimeError("another tick holds the lock")
+    run = Run({"since": start, "until": end, "grace_minutes": grace_minutes, "code_version": code})
+    try:
+        def put(kind: str, table: str, rows: DataFrame) -> None:
+            made = store.upsert(table, rows, run.run_id, now)
+            for k in ("inserts", "updates"):
+                out[f"{kind}_{k}"] += made[k]
+
+        inside = lambda name, period: store.read(name).where((F.col(period) >= start) & (F.col(period) < end))
+        put("hour", "hourly", metrics.hourly_summary(events, windows, start, end, idle_ms, code))
+        store.upsert("evidence", sessions.evidence(sessions.top_apps(sessions.by_hour(sessions.focus_sessions(events, windows, start, end, idle_ms)))), run.run_id, now)
+        hashes = metrics.input_hashes(events, sessions.hour_grid(store.spark, start, end), code)
+        recompute_hours(store, events, windows, metrics.hour_mismatches(hashes, inside("hourly", "hour_ms")), idle_ms, run.run_id, now, code)
+        hourly, proof = inside("hourly", "hour_ms"), inside("evidence", "hour_ms").select("hour_ms", "evidence_json")
+        put("hour_advice", "hourly_advice", advice.hourly_advice(hourly, proof))
+        put("hour_report", "hourly_report", render.hourly_report(hourly, proof))
+        put("hour_digest", "hourly_digest", render.hourly_digest(hourly, proof, inside("hourly_advice", "hour_ms")))
+        if do_daily:
+            days = hourly.select((F.floor(F.col("hour_ms") / F.lit(float(DAY))) * DAY).cast("long").alias("day_ms")).distinct()
+            made = recompute_days(store, days, run.run_id, now, code)
+            out["day_inserts"], out["day_updates"] = made["inserts"], made["updates"]
+            daily = store.read("daily").join(days, "day_ms", "left_semi")
+            put("day_advice", "daily_advice", advice.daily_advice(daily))
+            put("day_report", "daily_report", render.daily_report(daily))
+            put("day_digest", "daily_digest", render.daily_digest(daily, store.read("daily_advice").join(days, "day_ms", "left_semi")))
+        run.finish("ok")
+    except Exception:
+        run.finish("failed")
+        raise
+    finally:
+        lock.release()
+        store.upsert("runs", store.spark.createDataFrame([run.row()], "run string, started long, finished long, parameters string, status string"), run.run_id, now)
+    return out

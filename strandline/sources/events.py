@@ -73,8 +73,8 @@ def reject_plaintext(events: DataFrame, tokens: list[str], column: str = "attrs_
 
 def salvage(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value, corrupt) of every whole line that damaged gzip files
-    still give: each file is unpacked in pieces up to the damage and its last,
-    unfinished line dropped.  ``corrupt`` marks lines that are no JSON."""
+    still give: each file is unpacked in pieces up to the damage and its last
+    line, if unfinished, dropped, in whole files too.  ``corrupt`` marks lines that are no JSON."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,8 +90,6 @@ def salvage(spark: SparkSession, path: str) -> DataFrame:
                         n += 1
                         text = line.decode("utf-8", "replace")
                         rows.append((name, n, text, not _is_json(text)))
-                if engine.eof and tail.strip():
-                    rows.append((name, n + 1, tail.decode("utf-8", "replace").strip(), not _is_json(tail.decode("utf-8", "replace"))))
                 columns = list(zip(*rows)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.bool_()))], ["file", "line_no", "value", "corrupt"])
 
@@ -99,6 +97,27 @@ def salvage(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, line_no long, value string, corrupt boolean")
 
 
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error) of the finished journal files below ``path``: null where the
+    file unpacks to its end.  Files are read in pieces and nothing is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            errors = []
+            for content in b.column("content").to_pylist():
+                engine, error = zlib.decompressobj(31), None
+                try:
+                    for at in range(0, len(content), 1 << 16):
+                        engine.decompress(content[at : at + (1 << 16)])
+                except zlib.error as e:
+                    error = str(e)
+                errors.append(error or (None if engine.eof else "truncated gzip"))
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(errors, pa.string())], ["path", "error"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ndjson.gz").load(path)
+    return files.select("path", "content").mapInArrow(run, "path string, error string")
+
+
 def _is_json(text: str) -> bool:
     try:
         json.loads(text)

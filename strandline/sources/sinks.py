@@ -6,18 +6,73 @@ import csv
 import hashlib
 import io
 import json
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.scalars import hour_text
 
 
-def write_journal(events: DataFrame, path: str, per_file: int = 100_000) -> None:
-    """Events as compressed JSON lines under ``monitor=.../hour=...``; files appear whole."""
-    named = events.withColumn("hour", hour_text(F.col("ts_utc")))
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    files, path = _path(spark, name)
+    return bool(files.exists(path))
+
+
+def children(spark: SparkSession, name: str) -> list[str]:
+    """Names in a folder of any store that Spark can reach."""
+    files, path = _path(spark, name)
+    return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file; the target's folder is made."""
+    files, path = _path(spark, source)
+    goal = _path(spark, target)[1]
+    files.mkdirs(goal.getParent())
+    if not files.rename(path, goal):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
+def remove(spark: SparkSession, name: str) -> None:
+    files, path = _path(spark, name)
+    files.delete(path, True)
+
+
+def write_small(spark: SparkSession, name: str, content: bytes) -> None:
+    """Write a sidecar or an artifact of a few KB through the driver."""
+    files, path = _path(spark, name)
+    out = files.create(path, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def write_journal(events: DataFrame, path: str, per_file: int = 100_000) -> int:
+    """Events as compressed JSON lines in ``path/<monitor>/<YYYYMMDD-HH>-<run>-<n>.ndjson.gz``,
+    a new file each hour and each ``per_file`` rows, and how many files there are.
+
+    Spark writes to a hidden folder; each finished file is then renamed into
+    its place, so a reader never sees a part of one."""
+    spark, run = events.sparkSession, uuid.uuid4().hex[:8]
+    staging = f"{path}/_staging-{run}"
     line = F.to_json(F.struct(*events.columns))
-    named.select(line.alias("value"), "monitor", "hour").write.mode("append").partitionBy("monitor", "hour").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    named = events.select(line.alias("value"), "monitor", hour_text(F.col("ts_utc")).alias("hour"))
+    named.write.partitionBy("monitor", "hour").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(staging)
+    n = 0
+    for monitor in [c for c in children(spark, staging) if c.startswith("monitor=")]:
+        for hour in children(spark, f"{staging}/{monitor}"):
+            for part in [c for c in children(spark, f"{staging}/{monitor}/{hour}") if c.endswith(".gz")]:
+                move(spark, f"{staging}/{monitor}/{hour}/{part}", f"{path}/{monitor[8:]}/{hour[5:]}-{run}-{n}.ndjson.gz")
+                n += 1
+    remove(spark, staging)
+    return n
 
 
 def text_bytes(text: str) -> tuple[bytes, str]:

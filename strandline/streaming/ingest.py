@@ -22,17 +22,27 @@ def journal_stream(spark: SparkSession, path: str, files_per_trigger: int = 100)
 
 
 def ingest(lines: DataFrame, good: str, bad: str, checkpoint: str, existing: Callable[[], DataFrame | None] = lambda: None) -> StreamingQuery:
-    """Append the valid new events to ``good`` and the lines of others to ``bad``.
+    """Add the valid new events to ``good`` and the lines of others to ``bad``.
 
-    A batch that is run again finds its ids already there and adds nothing."""
+    Both tables have a folder a batch, which a batch that is run again replaces;
+    its ids are compared with those of the same days, as an id's time is part
+    of the event."""
 
-    def batch(df: DataFrame, _: int) -> None:
-        valid, rest = source.split_valid(source.parse_lines(df))
-        stored = existing()
-        fresh = new_events(valid, stored)
+    def batch(df: DataFrame, number: int) -> None:
+        parsed = df.persist()
+        valid, rest = source.split_valid(source.parse_lines(parsed))
         day = F.to_date(F.timestamp_millis("ts_utc"))
-        fresh.withColumn("event_date", day).write.mode("append").partitionBy("event_date").parquet(good)
-        rest.select("value").write.mode("append").parquet(bad)
+        valid = valid.withColumn("event_date", day)
+        stored = existing()
+        if stored is not None and "batch_no" in stored.columns:
+            stored = stored.where(F.col("batch_no") != number)
+        if stored is not None and "event_date" in stored.columns:
+            first, last = valid.agg(F.min("event_date"), F.max("event_date")).first()
+            stored = stored.where(F.col("event_date").between(F.lit(first), F.lit(last)))
+        keep = {"partitionOverwriteMode": "dynamic"}
+        new_events(valid, stored).withColumn("batch_no", F.lit(number)).write.mode("overwrite").options(**keep).partitionBy("batch_no", "event_date").parquet(good)
+        rest.select("value", F.lit(number).alias("batch_no")).write.mode("overwrite").options(**keep).partitionBy("batch_no").parquet(bad)
+        parsed.unpersist()
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from strandline.functions import scalars
 from strandline.functions.scalars import HOUR
 from strandline.operators import advice, dynamics, metrics, render, retention, sessions, upsert
-from strandline.plans import runs
+from strandline.plans import runs, store
 from strandline.sources import events as source
-from strandline.sources import sinks
+from strandline.sources import importer, sinks
+from strandline.streaming import ingest
 
 H = 1_640_944_800_000
 
@@ -251,3 +252,130 @@ def test_entry_without_the_corpus_package(tmp_path):
     shutil.copy(here / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path)}).returncode == 0
+
+
+def lines_of(n, monitor="keyboard", start=H, first=0):
+    return [{"id": f"{monitor}{i:05}", "ts_utc": start + i * 60_000, "monitor": monitor, "action": "a", "subject_type": "none", "session_id": "s"} for i in range(first, first + n)]
+
+
+def pack(path, rows, cut=None):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    raw = gzip.compress("".join((r if isinstance(r, str) else json.dumps(r)) + "\n" for r in rows).encode())
+    path.write_bytes(raw[:cut])
+
+
+def test_journal_is_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i:03}", H + i * 60_000, ("keyboard", "mouse")[i % 2], "a", "none", "s") for i in range(150)], "id string, ts_utc long, monitor string, action string, subject_type string, session_id string")
+    spool = str(tmp_path / "spool")
+    n = sinks.write_journal(rows, spool, per_file=20)
+    assert n == retention.list_files(spark, spool).count() >= 6
+    assert all(p.parent.name in ("keyboard", "mouse") and p.name[:8].isdigit() for p in (tmp_path / "spool").rglob("*.gz"))
+    good, bad = source.split_valid(source.parse_lines(source.read_journal(spark, spool)))
+    assert sorted(r.id for r in good.collect()) == sorted(r.id for r in rows.collect()) and bad.count() == 0
+    sinks.write_journal(rows.limit(0), spool)
+    assert retention.list_files(spark, spool).count() == n
+
+
+def test_import_counts_archives_and_marks(spark, tmp_path):
+    spool, store = tmp_path / "spool", tmp_path / "store"
+    pack(spool / "keyboard" / "a.ndjson.gz", [*lines_of(40), *lines_of(5), "no json", {"id": 1}])
+    pack(spool / "keyboard" / "b.ndjson.gz", lines_of(300), cut=-300)
+    pack(spool / "mouse" / "a.ndjson.gz", lines_of(10, "mouse"))
+    pack(spool / "other" / "a.ndjson.gz", lines_of(10, "mouse"))
+    pack(spool / "_done" / "mouse" / "a.ndjson.gz", lines_of(1, "mouse"))
+    got = {r.monitor: tuple(r)[1:] for r in importer.import_journal(spark, str(spool), str(store), "r1").collect()}
+    assert got == {"keyboard": (1, 40, 5, 2, 1), "mouse": (1, 10, 0, 0, 0)}
+    assert sorted(p.name for p in (spool / "keyboard").iterdir() if not p.name.startswith(".")) == ["b.ndjson.gz", "b.ndjson.gz.error"]
+    assert (spool / "_done" / "keyboard" / "a.ndjson.gz").exists() and (spool / "_done" / "mouse" / "a-1.ndjson.gz").exists()
+    note = json.loads((spool / "keyboard" / "b.ndjson.gz.error").read_text())
+    assert set(note) == {"error_message", "timestamp", "file_path"}
+    pack(spool / "keyboard" / "c.ndjson.gz", lines_of(45))
+    again = {r.monitor: tuple(r)[1:] for r in importer.import_journal(spark, str(spool), str(store), "r2").collect()}
+    assert again == {"keyboard": (1, 5, 40, 0, 1)}
+    assert json.loads((spool / "keyboard" / "b.ndjson.gz.error").read_text()) == note
+    assert spark.read.parquet(str(store)).count() == 55
+    files = retention.list_files(spark, str(spool))
+    assert files.where("path LIKE '%/_done/%'").count() == 4
+    names = {r.path.split("/")[-1] for r in retention.archived(files, "c").collect()}
+    assert names == {"a.ndjson.gz", "a-1.ndjson.gz"}
+
+
+def test_recovery_sweep(spark, tmp_path):
+    pack(tmp_path / "keyboard" / "x.ndjson.gz.part", [json.dumps({"id": i, "pad": hashlib.sha256(str(i).encode()).hexdigest() * 20}) for i in range(200)], cut=-500)
+    (tmp_path / "mouse").mkdir()
+    (tmp_path / "mouse" / "y.part").write_text('{"a":1}\n{"a":2}\nbad\n{"a":3}\n')
+    rows, totals = importer.recover(spark, str(tmp_path))
+    n = totals["total_lines_salvaged"]
+    assert totals == {"monitors_processed": 2, "temp_files_found": 2, "temp_files_recovered": 2, "temp_files_failed": 0, "total_lines_salvaged": n, "corrupted_lines": 0}
+    assert 2 < n < 202 and rows.where("monitor = 'mouse'").count() == 2
+
+
+def test_whole_gzip_loses_its_unfinished_line(spark, tmp_path):
+    (tmp_path / "a.gz").write_bytes(gzip.compress(b'{"a":1}\n{"a":2}'))
+    assert [r.value for r in source.salvage(spark, str(tmp_path)).collect()] == ['{"a":1}']
+
+
+def test_ingest_again_adds_nothing(spark, tmp_path):
+    pack(tmp_path / "in" / "keyboard" / "a.ndjson.gz", [*lines_of(30), '{"id":1}'])
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    for turn in ("c1", "c2"):  # another checkpoint: batch 0 is run again
+        ingest.ingest(ingest.journal_stream(spark, str(tmp_path / "in")), good, bad, str(tmp_path / turn), lambda: spark.read.parquet(good) if (tmp_path / "good").exists() else None).awaitTermination()
+        assert spark.read.parquet(good).count() == 30 and spark.read.parquet(bad).count() == 1
+
+
+def test_tick_twice_changes_nothing(spark, tmp_path):
+    day = H // 86_400_000 * 86_400_000
+    e = frame(spark, [(f"e{i:03}", day + i * 120_000, ("active_window", "keyboard", "mouse")[i % 3], f"w{i % 3 + 1}") for i in range(150)])
+    kept = store.Store(spark, str(tmp_path / "store"))
+    now = day + 5 * HOUR + 60_000
+    first = runs.run_tick(kept, e, windows(spark), now, str(tmp_path), backfill_hours=5, do_daily=True)
+    assert (first["hours_examined"], first["skipped_open_hours"]) == (6, 2) and first["hour_inserts"] == 24 and first["day_inserts"] == 6 and first["hour_report_inserts"] == 4
+    again = runs.run_tick(kept, e, windows(spark), now, str(tmp_path), backfill_hours=5, do_daily=True)
+    assert not any(v for k, v in again.items() if k.endswith(("inserts", "updates")))
+    late = e.union(frame(spark, [("late", day + 90 * 60_000, "keyboard", None)]))
+    third = runs.run_tick(kept, late, windows(spark), now, str(tmp_path), backfill_hours=5)
+    assert third["hour_inserts"] == 0 and third["hour_updates"] == 6
+    row = kept.read("hourly").where(f"hour_ms = {day + HOUR} AND metric_key = 'keyboard_events'").first()
+    assert row.created_utc_ms == row.updated_utc_ms == now and kept.read("runs").where("status = 'ok'").count() == 3
+    assert kept.counts().where("name = 'hourly'").first().rows == 24
+    held = runs.Lock(str(tmp_path), "tick")
+    assert held.acquire() and [x[0] for x in runs.locks(str(tmp_path))] == ["tick"]
+    with pytest.raises(RuntimeError):
+        runs.run_tick(kept, e, windows(spark), now, str(tmp_path))
+    old = runs.Lock(str(tmp_path), "old", ttl=-1)
+    assert old.acquire() and runs.purge(str(tmp_path)) == 1 and held.release()
+    assert sum(runs.Lock(str(tmp_path), "x").acquire() for _ in range(3)) == 1
+
+
+def test_buckets_give_what_one_window_gives(spark):
+    rng = random.Random(7)
+    rows = [(f"{i:04}", H + rng.choice([0, 400, 3_600_000, 90_000_000]) * rng.randrange(9) + rng.randrange(3), rng.choice("abc")) for i in range(400)]
+    e = spark.createDataFrame([(i, t, k, "keyboard", "w") for i, t, k in rows], "id string, ts_utc long, k string, monitor string, subject_id string")
+    was, gaps, starts = {}, {}, {}
+    for i, t, k in sorted(rows, key=lambda r: (r[1], r[0])):
+        gaps[i] = t - was[k][0] if k in was else None
+        starts[i] = was[k][1] if k in was and gaps[i] <= 500 else t
+        was[k] = (t, starts[i])
+    assert {r.id: r.gap for r in dynamics.gaps(e, "k").collect()} == gaps
+    assert {r.id: r.island for r in dynamics.islands(e, "k", 500).collect()} == starts
+    for span in (2, 401):
+        want = []
+        for k in "abc":
+            last = None
+            for t in sorted(r[1] for r in rows if r[2] == k):
+                if last is None or t - last >= span:
+                    want.append((k, last := t))
+        assert sorted((r.k, r.ts_utc) for r in dynamics.dedupe_within(e, "k", span=span).collect()) == sorted(want)
+
+
+def test_small_helpers(spark):
+    e = spark.createDataFrame([("1", '{"a":"secret"}'), ("2", "{}"), ("3", None)], "id string, attrs_json string")
+    assert sorted(r.id for r in source.reject_plaintext(e, ["secret"]).collect()) == ["2", "3"]
+    got = spark.createDataFrame([("01ARZ3NDEKTSV4RRFFQ69G5FAV", "AB", "ab"), ("81ARZ3NDEKTSV4RRFFQ69G5FAV", "a", "b")], "u string, a string, b string").select(scalars.valid_ulid(F.col("u")).alias("u"), scalars.same_digest(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [tuple(r) for r in got] == [(True, True), (False, False)]
+    dim = lambda *rows: spark.createDataFrame(list(rows), "k string, first_seen_utc long, last_seen_utc long")
+    assert sorted(tuple(r) for r in upsert.merge_dimension(dim(("a", 5, 9)), dim(("a", 7, 12), ("b", 1, 1)), "k").collect()) == [("a", 5, 12), ("b", 1, 1)]
+    files = spark.sql("SELECT 'x' AS path, timestamp'2024-01-01' AS modified, 1L AS size UNION ALL SELECT 'y', timestamp'2024-01-09', 1L")
+    import datetime
+
+    assert [r.path for r in retention.expired(files, datetime.datetime(2024, 1, 10), 5).collect()] == ["x"]
