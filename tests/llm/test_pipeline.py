@@ -50,3 +50,16 @@ def plain_substring(texts):
 
 def test_registered():
     assert "pipeline" in __spark_entry__.queries() and len([k for k in __spark_entry__.queries() if k.startswith("op")]) == 10
+
+
+def test_stages_take_odd_rows(spark):
+    rows = [(1, "a b c d e f g h", "en", "s", 15)] * 2 + [(None, None, None, None, None), (3, "x", "en", None, 1), (4, "", "en", "t", 0), (5, "w " * 30_000, "en", "t", 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 AS _m", "2 AS _row", "3 AS _copy", "4 AS copies", "5 AS row")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, SF)
+        assert got.columns == list(COLUMNS) and stage(spark, docs.limit(0), SF).count() == 0
+        if name != "mixing":
+            assert got.count() == 6
+        else:
+            assert {r.doc_id for r in got.collect()} <= {1, None, 3, 4, 5}
