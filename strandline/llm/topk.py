@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from typing import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ SEGMENTS = (1, 4, 16)
 BLOCK_BYTES = 16_000_000
 #: Pairs whose bounds a task holds at once.
 PAIRS = 1_000_000
+#: Queries of a block whose rows give all its queries a first threshold.
+REFERENCES = 2048
 NONE = -np.inf
 
 
@@ -55,9 +58,6 @@ class Best:
         q, ids, scores = (np.concatenate(x) for x in ((self.q, q), (self.ids, ids), (self.scores, scores)))
         order = np.lexsort((ids, -scores, q))
         q, ids, scores = q[order], ids[order], scores[order]
-        new = np.ones(len(q), bool)
-        new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
-        q, ids, scores = q[new], ids[new], scores[new]
         first = np.searchsorted(q, np.arange(self.n))
         rank = np.arange(len(q)) - first[q]
         full = rank == self.k - 1
@@ -93,14 +93,29 @@ def _large(queries: np.ndarray, x: np.ndarray) -> bool:
     return float(abs(queries).max(initial=0)) * float(abs(x).max(initial=0)) * max(1, x.shape[1]) >= 2.0**52
 
 
-def _search_large(best: Best, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, found: list) -> None:
-    """Products of very large components in unbounded whole numbers, held to 64 bits."""
-    rows = [[int(v) for v in r] for r in x]
-    for qi, q in enumerate([[int(v) for v in r] for r in queries]):
-        for vi, r in zip(ids.tolist(), rows):
-            if vi != query_ids[qi]:
-                s = sum(a * b for a, b in zip(q, r))
-                found.append((int(query_ids[qi]), vi, max(-(2**63), min(2**63 - 1, s))))
+def _search_large(held: dict, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+    """Products of very large components in unbounded whole numbers; the ``k`` best
+    (negative score, id) of each query are held."""
+    rows = [(int(i), [int(v) for v in r]) for i, r in zip(ids, x)]
+    for own, query in zip(query_ids.tolist(), queries):
+        q = [int(v) for v in query]
+        scored = [(-sum(a * b for a, b in zip(q, r)), i) for i, r in rows if i != own]
+        held[own] = heapq.nsmallest(k, held.get(own, []) + scored)
+
+
+def first_floors(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """A score that each query's ``k``-th best is not below: its ``k``-th best among
+    the first ``REFERENCES`` queries, which are rows too."""
+    floor = np.full(len(ids), NONE)
+    some, others = x[:REFERENCES], ids[:REFERENCES]
+    if len(others) <= k or not x.shape[1] or _large(x, x):
+        return floor
+    step = max(1, PAIRS // len(others))
+    for at in range(0, len(ids), step):
+        scores = x[at : at + step] @ some.T
+        scores[ids[at : at + step, None] == others[None, :]] = NONE
+        floor[at : at + step] = np.partition(scores, -k, axis=1)[:, -k]
+    return floor
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, within: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -113,9 +128,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, within: bool = Tru
     first threshold.  The rows are read once for each block of queries of
     bounded bytes; a task drops a row by the bounds of 1, 4 and 16 segments
     before it computes a product.  Vectors of another length than the query's,
-    and those left out by ``usable``, take no part; a row repeated with the same
-    vector counts once; a query id repeated with other vectors stands for the
-    smallest of them; no queries give no rows."""
+    and those left out by ``usable``, take no part; a repeated row counts each time;
+    a query id repeated with other vectors stands for the smallest of them;
+    scores beyond 64 bits are held to the nearest long; no queries give no rows,
+    and other columns of either table are not looked at."""
     spark = vectors.sparkSession
     asked = materialize(queries.groupBy("vec_id").agg(F.min("vector").alias("vector")), "topk-queries")
     n, longest = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
@@ -131,32 +147,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, within: bool = Tru
     for p in parts[1:]:
         found = found.union(p)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    ranked = found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def _pass(vectors: DataFrame, rows: list, k: int, within: bool) -> DataFrame:
     """Candidates of one block of queries from every partition of the rows."""
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for length in {len(r["vector"]) for r in rows}:
         own = [r for r in rows if len(r["vector"]) == length]
         ids = np.array([r["vec_id"] for r in own], np.int64)
-        by_length[length] = ids, np.floor(np.array([r["vector"] for r in own], np.float64).reshape(len(own), length) * SCALE)
+        x = np.floor(np.array([r["vector"] for r in own], np.float64).reshape(len(own), length) * SCALE)
+        by_length[length] = ids, x, first_floors(ids, x, k) if within else np.full(len(ids), NONE)
     sent = vectors.sparkSession.sparkContext.broadcast(by_length)
 
     def fresh(length: int) -> dict:
-        ids, x = sent.value[length]
-        state = {"ids": ids, "x": x, "stats": [statistics(x, p) for p in SEGMENTS] if length else [], "norms": np.linalg.norm(x, axis=1)}
-        state["best"] = Best(len(ids), k, np.full(len(ids), NONE))
-        if within and length and len(ids) > k and not _large(x, x):
-            for at in range(0, len(ids), 512):
-                _search(state["best"], x, ids, state["stats"], state["norms"], ids[at : at + 512], x[at : at + 512])
-            state["best"] = Best(len(ids), k, state["best"].floor)
-        return state
+        ids, x, floor = sent.value[length]
+        stats = [statistics(x, p) for p in SEGMENTS] if length else []
+        return {"ids": ids, "x": x, "stats": stats, "norms": np.linalg.norm(x, axis=1), "best": Best(len(ids), k, floor.copy())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[int, dict] = {}
         found: list[tuple[int, int, int]] = []
+        held: dict[int, list[tuple[int, int]]] = {}
         for b in batches:
             ids = b.column("vec_id").to_numpy(zero_copy_only=False)
             lists = b.column("vector")
@@ -173,12 +186,13 @@ def _pass(vectors: DataFrame, rows: list, k: int, within: bool) -> DataFrame:
                 for i in range(0, len(at), step):
                     some, own = x[i : i + step], ids[at[i : i + step]]
                     if length == 0 or _large(state["x"], some):
-                        _search_large(state["best"], state["x"], state["ids"], own, some, found)
+                        _search_large(held, state["x"], state["ids"], own, some, k)
                     else:
                         _search(state["best"], state["x"], state["ids"], state["stats"], state["norms"], own, some)
         for state in states.values():
             best = state["best"]
             found += zip(state["ids"][best.q].tolist(), best.ids.tolist(), best.scores.astype(np.int64).tolist())
+        found += [(q, i, max(-(2**63), min(2**63 - 1, -s))) for q, best in held.items() for s, i in best]
         columns = list(zip(*found)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 

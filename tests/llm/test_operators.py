@@ -275,7 +275,7 @@ def test_top_k(spark):
     rows = [(int(i), [float(v) for v in rng.normal(size=24)]) for i in range(1200)]
     rows += [(2000, rows[3][1]), (2001, rows[3][1]), (2001, rows[3][1]), (None, rows[0][1]), (2002, None), (2003, [float("nan")] * 24), (2004, [None] * 24), (2005, [1.0]), (2006, [])]
     v = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    kept = {(r.vec_id, tuple(r.vector)) for r in v.collect()}
+    kept = [(r.vec_id, tuple(r.vector)) for r in v.collect()]
     for block in (topk.BLOCK_BYTES, 900):
         got = defaultdict(list)
         for r in topk.top_k(v, v.where(topk.query_rows(v, 100)), block_bytes=block).orderBy("query_id", "rank").collect():
@@ -287,6 +287,19 @@ def test_top_k(spark):
     huge = topk.usable(spark.createDataFrame([(0, [3e38, 1.0]), (1, [3e38, 0.0]), (2, [-3e38, 0.0])], "vec_id long, embedding array<float>"))
     assert [r.vec_id for r in topk.top_k(huge, huge.where("vec_id = 0")).orderBy("rank").collect()] == [1, 2]
     assert topk.top_k(v, v.where("vec_id < 0")).count() == 0
+    many = topk.usable(spark.createDataFrame([(i, [3e38, float(i)]) for i in range(300)], "vec_id long, embedding array<float>"))
+    assert [r.vec_id for r in topk.top_k(many, many.where("vec_id = 0")).orderBy("rank").collect()] == list(range(1, 11))
+
+
+def test_first_floors_are_scores_of_other_queries(monkeypatch):
+    monkeypatch.setattr(topk, "REFERENCES", 40)
+    monkeypatch.setattr(topk, "PAIRS", 300)
+    rng = np.random.default_rng(4)
+    ids, x = np.arange(90) * 100, np.floor(rng.normal(size=(90, 8)) * 1024)
+    got = topk.first_floors(ids, x, 10)
+    for i in range(90):
+        assert got[i] == sorted((float(x[i] @ x[j]) for j in range(40) if j != i), reverse=True)[9]
+    assert (topk.first_floors(ids[:10], x[:10], 10) == topk.NONE).all()
 
 
 def put_image(out, tokens, cache_bits, main):
