@@ -9,6 +9,7 @@ from strandline.functions import scalars
 from strandline.functions.scalars import DAY, HOUR
 from strandline.operators import advice, dynamics, metrics, render, retention, sessions, upsert
 from strandline.plans import store as stored
+from strandline.plans import views
 from strandline.sources import events as source
 
 #: The month that the test table covers, and a gap that suits its density.
@@ -102,7 +103,71 @@ def _mouse(x: Inputs) -> DataFrame:
     return x.events.withColumn("x", F.col("value")).withColumn("y", F.col("value") * 2).withColumn("kind", kind)
 
 
+def _seen(x: Inputs) -> DataFrame:
+    """Programs as the events show them: names that may be null, suffixes that may be empty."""
+    n = F.col("id").cast("long")
+    return x.events.select("id", "ts_utc", F.col("subject_id").alias("key_hash"), F.when(F.col("action") != "error", F.col("action")).alias("exe_name"), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("e"), (n % 5).cast("string"))).alias("ext"))
+
+
+def _dimension(x: Inputs) -> DataFrame:
+    """A dimension after two batches."""
+    first, then = _seen(x).where(F.col("ts_utc") < START + 15 * DAY), _seen(x).where(F.col("ts_utc") >= START + 15 * DAY)
+    return upsert.get_or_create(then, upsert.get_or_create(first, None, ["key_hash"], ("exe_name",), ("ext",)), ["key_hash"], ("exe_name",), ("ext",))
+
+
+def _window_ids(x: Inputs) -> DataFrame:
+    rows = x.events.join(x.windows.select(F.col("id").alias("subject_id"), F.col("app_id").alias("exe_path_hash")), "subject_id", "left").select("id", "ts_utc", "exe_path_hash", F.col("action").alias("title_hash"))
+    rows = upsert.with_ids(rows, upsert.get_or_create(rows, None, ["exe_path_hash"]), ["exe_path_hash"], "app_id")
+    return upsert.with_ids(rows, upsert.get_or_create(rows, None, ["app_id", "title_hash"]), ["app_id", "title_hash"], "window_id").select("id", "app_id", "window_id")
+
+
+def _urls(x: Inputs) -> DataFrame:
+    pages = x.table("pages").where(scalars.trackable_url(F.col("url")))
+    rows = pages.select(F.col("page_id").alias("id"), F.col("page_id").alias("ts_utc"), scalars.salted_hash(F.col("url"), "url", SALT).alias("url_hash"), scalars.domain_hash(F.col("url"), SALT).alias("domain_hash"))
+    return upsert.get_or_create(rows, None, ["url_hash"], filled=("domain_hash",)).withColumn("domain_hash", F.coalesce("domain_hash", F.lit("")))
+
+
+def _emitted(x: Inputs) -> DataFrame:
+    """Rows of monitors that lack something here and there."""
+    n = F.col("id").cast("long")
+    rows = x.events.select(
+        F.when(n % 4 != 0, F.col("id")).alias("id"), F.when(n % 7 != 0, F.col("ts_utc")).alias("ts_utc"), F.when(n % 5 != 0, F.col("monitor")).alias("monitor"), "action",
+        F.when(n % 11 != 0, "none").alias("subject_type"), "subject_id", F.when(n % 2 == 0, "s1").alias("session_id"), F.when(n % 3 == 0, F.concat(F.lit("{"), "id", F.lit("}"))).alias("attrs_json"),
+    )
+    return source.enrich(rows, "mouse", "s0", END)
+
+
+def _some_idle(x: Inputs) -> DataFrame:
+    return x.events.withColumn("monitor", F.when(F.col("user_id") % 4 == 0, "heartbeat").otherwise(F.col("monitor")))
+
+
+def _exe(x: Inputs) -> DataFrame:
+    names = F.array(*[F.lit(n) for n in ("Chrome.exe", "notepad.exe", "FIREFOX.EXE", "opera.exe.bak", "iexplore.exe")])
+    return x.events.select("id", F.get(names, (F.col("user_id") % 6).cast("int")).alias("exe_name"))
+
+
+def _seeded(x: Inputs) -> stored.Store:
+    kept = stored.Store(x.spark, stored.scratch(x.spark))
+    views.seed(kept, "a", 1)
+    return kept
+
+
 QUERIES = {
+    "dimension_upsert": _q(_dimension),
+    "dimension_ids": _q(_window_ids),
+    "url_records": _q(_urls),
+    "enriched_events": _q(_emitted),
+    "browser_rows": _q(lambda x: source.browser_rows(_exe(x))),
+    "activity_rows": _q(lambda x: source.activity_rows(_some_idle(x)).select("id", "monitor")),
+    "idle_snapshots": _q(lambda x: dynamics.idle_snapshots(_some_idle(x), 300_000)),
+    "status": _q(lambda x: views.status(x.events, END)),
+    "metric_lines": _q(lambda x: views.metric_lines(_seeded(x).read("metric_catalog"))),
+    "rule_lines": _q(lambda x: views.rule_lines(_seeded(x).read("rule_catalog"))),
+    "advice_lines": _q(lambda x: views.advice_lines(advice.hourly_advice(x.hourly(), x.evidence(), aliases=True))),
+    "hour_preview": _q(lambda x: views.hour_preview(x.spark, START, END)),
+    "missing_tables": _q(lambda x: views.missing(_seeded(x))),
+    "tables_like": _q(lambda x: views.tables(_seeded(x), "rule%")),
+    "largest_files": _q(lambda x: retention.largest(x.table("pages").select(F.col("page_id").alias("path"), F.octet_length("html").cast("long").alias("size")))),
     "stored_upserts": _q(_upserts),
     "recomputed_hours": _q(lambda x: _recomputed(x).read("hourly").select("hour_ms", "metric_key", "value_num", "input_hash", "run_id", "created_utc_ms", "updated_utc_ms")),
     "recomputed_days": _q(lambda x: _recomputed(x).read("daily").select("day_ms", "metric_key", "value_num", "input_hash")),
@@ -296,7 +361,34 @@ def _digest_sql(daily: bool) -> str:
     ) SELECT {p}, txt, json, {last}, sha256(txt) AS sha256 FROM z"""
 
 
+_HASHED = f"sha256(from_hex('{SALT}') || encode('url') || from_hex('00') || encode(%s))"
+_OTHERS = _EVENTS + ", h AS (SELECT * REPLACE (CASE WHEN user_id % 4 = 0 THEN 'heartbeat' ELSE monitor END AS monitor) FROM e)"
+
 ORACLE_SQL = {
+    "dimension_upsert": _EVENTS + """ SELECT substr(sha256(subject_id), 1, 32) AS id, subject_id AS key_hash, arg_max(CASE WHEN action <> 'error' THEN action END, ts_utc || id) AS exe_name,
+        arg_min(CASE WHEN CAST(id AS BIGINT) % 3 <> 0 THEN 'e' || CAST(id AS BIGINT) % 5 END, ts_utc || id) AS ext, min(ts_utc) AS first_seen_utc, max(ts_utc) AS last_seen_utc FROM e GROUP BY subject_id""",
+    "dimension_ids": _EVENTS + """ SELECT id, a AS app_id, substr(sha256(a || chr(31) || action), 1, 32) AS window_id FROM (SELECT e.id, e.action, substr(sha256(app_id), 1, 32) AS a FROM e LEFT JOIN w ON w.id = e.subject_id)""",
+    "url_records": f"""SELECT substr(sha256(url_hash), 1, 32) AS id, url_hash, CASE WHEN min(host) = '' THEN '' ELSE {_HASHED % 'min(host)'} END AS domain_hash, min(page_id) AS first_seen_utc, max(page_id) AS last_seen_utc
+        FROM (SELECT page_id, {_HASHED % 'url'} AS url_hash, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS host FROM pages WHERE url <> '' AND NOT regexp_matches(url, '^(about|chrome|edge|data):')) GROUP BY url_hash""",
+    "enriched_events": _EVENTS + f""" SELECT coalesce(own, substr(sha256(concat_ws(chr(31), 'mouse', session_id, ts_utc, action, 'none', subject_id, coalesce(attrs_json, ''))), 1, 32)) AS id, ts_utc, 'mouse' AS monitor, action, 'none' AS subject_type, subject_id, session_id, attrs_json
+        FROM (SELECT CASE WHEN n % 4 <> 0 THEN id END AS own, CASE WHEN n % 7 <> 0 THEN ts_utc ELSE {END} END AS ts_utc, action, subject_id, CASE WHEN n % 2 = 0 THEN 's1' ELSE 's0' END AS session_id, CASE WHEN n % 3 = 0 THEN '{{' || id || '}}' END AS attrs_json
+              FROM (SELECT *, CAST(id AS BIGINT) AS n FROM e) WHERE n % 11 <> 0 AND (n % 5 = 0 OR monitor = 'mouse'))""",
+    "browser_rows": _EVENTS + " SELECT id, CASE user_id % 6 WHEN 0 THEN 'Chrome.exe' WHEN 2 THEN 'FIREFOX.EXE' ELSE 'iexplore.exe' END AS exe_name FROM e WHERE user_id % 6 IN (0, 2, 4)",
+    "activity_rows": _OTHERS + " SELECT id, monitor FROM h WHERE monitor <> 'heartbeat'",
+    "idle_snapshots": _OTHERS + """, s AS (
+          SELECT id, 'idle_gap' AS trigger, ts_utc + 300000 AS ts_utc FROM (SELECT id, ts_utc, lead(ts_utc) OVER (ORDER BY ts_utc, id) - ts_utc AS gap FROM h WHERE monitor <> 'heartbeat') WHERE gap >= 300000
+          UNION ALL SELECT id, 'foreground', ts_utc FROM h WHERE monitor = 'active_window'
+        ) SELECT *, ts_utc - lag(ts_utc) OVER (ORDER BY ts_utc, trigger || id) AS since_ms FROM s""",
+    "status": _EVENTS + f""" SELECT monitor, event_count, strftime(make_timestamp(last * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN last % 1000 <> 0 THEN '.' || lpad(CAST(last % 1000 AS VARCHAR), 3, '0') || '000' ELSE '' END || '+00:00' AS last_event_utc, a AS age_seconds,
+        CASE WHEN a < 60 THEN a || 's ago' WHEN a < 3600 THEN a // 60 || 'm ago' WHEN a < 86400 THEN a // 3600 || 'h ago' ELSE a // 86400 || 'd ago' END AS age_str
+        FROM (SELECT monitor, count(*) AS event_count, max(ts_utc) AS last, ({END} - max(ts_utc)) // 1000 AS a FROM e GROUP BY monitor)""",
+    "metric_lines": "SELECT 'metric_key=' || k || ',unit=' || u || ',version=1' AS line FROM (VALUES ('focus_minutes', 'minutes'), ('idle_minutes', 'minutes'), ('keyboard_events', 'count'), ('mouse_events', 'count'), ('context_switches', 'count'), ('deep_focus_minutes', 'minutes')) v(k, u)",
+    "rule_lines": "SELECT k || ',1,' || t AS line FROM (VALUES " + ", ".join(f"('{k}', '{t}')" for k, _, t, _ in advice.CATALOG) + ") v(k, t)",
+    "advice_lines": _SUMMARY + _advice_sql(False) + """ SELECT hour_ms, rule_key, 'advice rule=' || rule_key || ',version=' || rule_version || ',severity=' || severity || ',score=' || CAST(score AS VARCHAR) || ',text="' || advice_text || '",hash=' || input_hash AS line FROM adv""",
+    "hour_preview": f"SELECT i AS place, CASE WHEN i >= 3 THEN '...' ELSE '' END || 'win=' || i || ',hstart_ms=' || ({START} + i * {HOUR}) || ',hend_ms=' || ({START} + (i + 1) * {HOUR}) AS line FROM (SELECT unnest(range(0, {(END - START) // HOUR})) AS i) WHERE i < 3 OR i >= {(END - START) // HOUR - 3}",
+    "missing_tables": "SELECT unnest(['hourly', 'evidence', 'daily', 'hourly_advice', 'daily_advice', 'hourly_report', 'daily_report', 'hourly_digest', 'daily_digest', 'runs']) AS name",
+    "tables_like": "SELECT 'rule_catalog' AS name",
+    "largest_files": "SELECT page_id AS path, CAST(coalesce(octet_length(encode(html)), 0) AS BIGINT) AS size FROM pages ORDER BY octet_length(encode(html)) DESC NULLS LAST, page_id LIMIT 5",
     "advice_hourly": _SUMMARY + _advice_sql(False) + " SELECT * FROM adv",
     "advice_daily": _SUMMARY + _advice_sql(True) + " SELECT * FROM adv",
     "hourly_digest": _digest_sql(False),

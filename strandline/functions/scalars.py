@@ -40,6 +40,12 @@ def salted_hash(value: Column, purpose: str, salt_hex: str) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit(salt_hex)), F.encode(F.lit(purpose), "UTF-8"), F.unhex(F.lit("00")), F.encode(value, "UTF-8")), 256)
 
 
+def domain_hash(url: Column, salt_hex: str) -> Column:
+    """The salted hash of a url's authority; empty where there is none."""
+    host = url_authority(url)
+    return F.when(host != "", salted_hash(host, "url", salt_hex)).otherwise(F.lit(""))
+
+
 def same_digest(a: Column, b: Column) -> Column:
     """Whether two hex digests agree, in either case of letters."""
     return F.lower(a) == F.lower(b)
@@ -76,6 +82,16 @@ def age_text(age_ms: Column) -> Column:
     return out
 
 
+def iso_utc(ms: Column) -> Column:
+    """ISO 8601 text of a time in UTC, whatever the session's zone; microseconds only where there are any."""
+    second = F.floor(ms / F.lit(1000.0)).cast("long")
+    left, part = F.pmod(second, F.lit(86400)), F.pmod(ms, F.lit(1000))
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    day = F.date_from_unix_date(F.floor(second / F.lit(86400.0)).cast("int")).cast("string")
+    fraction = F.when(part != 0, F.concat(F.lit("."), F.lpad(part.cast("string"), 3, "0"), F.lit("000"))).otherwise("")
+    return F.concat(day, F.lit("T"), two(left / 3600), F.lit(":"), two(left % 3600 / 60), F.lit(":"), two(left % 60), fraction, F.lit("+00:00"))
+
+
 def hour_text(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyyMMdd-HH")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.sources.events import activity_rows
+
 BURST_MS, BURST_KEYS = 500, 5
 #: Rows are dealt to hours where their order matters.
 BUCKET_MS = 3_600_000
@@ -137,6 +139,15 @@ def idle_gaps(rows: DataFrame, least: int = 7000) -> DataFrame:
     return next_times(rows).withColumn("gap", F.col("next_ts") - F.col("ts_utc")).where(F.col("gap") >= least).select("id", "ts_utc", "gap")
 
 
+def idle_snapshots(rows: DataFrame, least: int = 7000) -> DataFrame:
+    """(id, trigger, ts_utc, since_ms): a snapshot for each change of window, and one
+    ``least`` after the last activity before each gap; time since the one before."""
+    quiet = idle_gaps(activity_rows(rows), least).select("id", F.lit("idle_gap").alias("trigger"), (F.col("ts_utc") + least).alias("ts_utc"))
+    front = rows.where("monitor = 'active_window'").select("id", F.lit("foreground").alias("trigger"), "ts_utc")
+    both = quiet.unionByName(front).withColumn("_all", F.lit(0)).withColumn("_tie", F.concat("trigger", "id"))
+    return _before(both, "_all", "ts_utc", "_tie", {"_was": F.col("ts_utc")}).select("id", "trigger", "ts_utc", (F.col("ts_utc") - F.col("_was")).alias("since_ms"))
+
+
 def changes(rows: DataFrame, by: str, columns: tuple[str, ...], order: tuple[str, str] = ("ts_utc", "id")) -> DataFrame:
     """Rows that differ from the one before in any of ``columns``; the first counts."""
     now = F.struct(*columns)

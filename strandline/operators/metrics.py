@@ -9,6 +9,15 @@ from strandline.functions.scalars import DAY, HOUR, round2, round4
 from strandline.operators.sessions import by_hour, focus_sessions, hour_grid, hourly_sessions
 
 LOW_COVERAGE = 0.6
+#: The catalog of metrics.
+CATALOG = (
+    ("focus_minutes", "minutes", 1, "Total minutes of focused foreground activity within the period."),
+    ("idle_minutes", "minutes", 1, "Minutes without meaningful activity (derived from focus gaps)."),
+    ("keyboard_events", "count", 1, "Number of keyboard input events observed."),
+    ("mouse_events", "count", 1, "Number of mouse input events observed."),
+    ("context_switches", "count", 1, "Foreground app/window switches in the period."),
+    ("deep_focus_minutes", "minutes", 1, "Longest continuous single-app focus block within the period."),
+)
 
 
 def input_hashes(events: DataFrame, hours: DataFrame, code: str | None = None) -> DataFrame:

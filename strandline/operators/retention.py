@@ -43,3 +43,8 @@ def archived(files: DataFrame, now_hour: str) -> DataFrame:
 def expired(files: DataFrame, now, days: int, by: str = "modified") -> DataFrame:
     """Files older than so many days."""
     return files.where(F.col(by) < F.lit(now) - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def largest(files: DataFrame, n: int = 5, key: str = "path") -> DataFrame:
+    """The ``n`` largest files, ties by name."""
+    return files.orderBy(F.desc("size"), key).limit(n)

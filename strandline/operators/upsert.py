@@ -51,3 +51,29 @@ def merge_dimension(existing: DataFrame, seen: DataFrame, key: str) -> DataFrame
     """A dimension brought up to date: known first times stay, last times move on."""
     both = existing.select(key, "first_seen_utc", "last_seen_utc").union(seen.select(key, "first_seen_utc", "last_seen_utc"))
     return both.groupBy(key).agg(F.min("first_seen_utc").alias("first_seen_utc"), F.max("last_seen_utc").alias("last_seen_utc"))
+
+
+def get_or_create(seen: DataFrame, known: DataFrame | None, keys: list[str], latest: tuple[str, ...] = (), filled: tuple[str, ...] = (), ts: str = "ts_utc", tie: str = "id") -> DataFrame:
+    """A dimension (id, keys, latest, filled, first_seen_utc, last_seen_utc) after ``seen`` rows.
+
+    Known ids and first times stay, last times move on.  A ``latest`` column
+    takes the last value that isn't null, a ``filled`` one keeps its first that
+    isn't null or empty.  A new id is made of the keys, so a rerun makes the
+    same one; rows with a null key make none."""
+    order = F.struct(ts, tie)
+    some = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+    values = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in latest] + [F.min_by(c, F.when(some(c), order)).alias(c) for c in filled]
+    fresh = seen.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(*values, F.min(ts).alias("first_seen_utc"), F.max(ts).alias("last_seen_utc"))
+    fresh = fresh.withColumn("id", F.substring(F.sha2(F.concat_ws("\x1f", *keys), 256), 1, 32))
+    columns = ["id", *keys, *latest, *filled, "first_seen_utc", "last_seen_utc"]
+    if known is None:
+        return fresh.select(*columns)
+    new = fresh.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns if c not in keys])
+    picked = {c: F.coalesce(f"_{c}", c) for c in latest} | {c: F.when(some(c), F.col(c)).otherwise(F.coalesce(f"_{c}", c)) for c in filled}
+    picked |= {"id": F.coalesce("id", "_id"), "first_seen_utc": F.coalesce("first_seen_utc", "_first_seen_utc"), "last_seen_utc": F.greatest("last_seen_utc", "_last_seen_utc")}
+    return known.select(*columns).join(new, keys, "full_outer").select(*[picked.get(c, F.col(c)).alias(c) for c in columns])
+
+
+def with_ids(rows: DataFrame, dimension: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add ``name``, the id of each row's keys in the dimension; null for null keys."""
+    return rows.join(dimension.select(*keys, F.col("id").alias(name)), keys, "left")

@@ -22,6 +22,8 @@ TABLES = {
     "daily_report": (["day_ms"], ["txt", "day_hash", "sha256"]),
     "hourly_digest": (["hour_ms"], ["txt", "json", "hour_hash", "sha256"]),
     "daily_digest": (["day_ms"], ["txt", "json", "day_hash", "sha256"]),
+    "metric_catalog": (["metric_key"], ["unit", "version", "description"]),
+    "rule_catalog": (["rule_key", "version"], ["title", "description"]),
     "runs": (["run"], ["started", "finished", "parameters", "status"]),
 }
 

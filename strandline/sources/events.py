@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Fixed values of the event model.
 MONITORS = ("active_window", "context_snapshot", "keyboard", "mouse", "browser", "file", "heartbeat")
 SUBJECTS = ("app", "window", "file", "url", "none")
+#: Monitors whose events are activity of a user.
+ACTIVITY = ("keyboard", "mouse", "active_window")
+BROWSERS = ("chrome.exe", "msedge.exe", "brave.exe", "firefox.exe", "opera.exe", "vivaldi.exe", "safari.exe", "iexplore.exe")
 REQUIRED = ("id", "ts_utc", "monitor", "action", "subject_type", "session_id")
 FIELDS = {
     "id": "string", "ts_utc": "bigint", "monitor": "string", "action": "string", "subject_type": "string", "subject_id": "string", "session_id": "string", "batch_id": "string",
@@ -71,6 +74,31 @@ def reject_plaintext(events: DataFrame, tokens: list[str], column: str = "attrs_
     return events.where(~held)
 
 
+def activity_rows(events: DataFrame) -> DataFrame:
+    """Events of the monitors that show a user at work."""
+    return events.where(F.col("monitor").isin(*ACTIVITY))
+
+
+def browser_rows(events: DataFrame, column: str = "exe_name") -> DataFrame:
+    """Events of a browser's program, in any case of letters."""
+    return events.where(F.lower(column).isin(*BROWSERS))
+
+
+def enrich(rows: DataFrame, monitor: str, session_id: str, now: int) -> DataFrame:
+    """The rows that ``monitor`` may emit, with the id, time, monitor and session that they lack.
+
+    Rows without action or subject type, or of another monitor, are left out.
+    A missing id is made of the row's values, so a rerun makes the same one and
+    rows that agree in all of them count as one event."""
+    ts = F.coalesce("ts_utc", F.lit(now).cast("long"))
+    session = F.coalesce("session_id", F.lit(session_id))
+    text = F.concat_ws("\x1f", F.lit(monitor), session, ts.cast("string"), "action", "subject_type", F.coalesce("subject_id", F.lit("")), F.coalesce("attrs_json", F.lit("")))
+    own = F.substring(F.sha2(text, 256), 1, 32)
+    good = F.col("action").isNotNull() & F.col("subject_type").isNotNull() & F.coalesce(F.col("monitor") == monitor, F.lit(True))
+    made = {"id": F.coalesce("id", own), "ts_utc": ts, "monitor": F.lit(monitor), "session_id": session}
+    return rows.where(good).select(*[made.get(c, F.col(c)).alias(c) for c in rows.columns])
+
+
 def salvage(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value, corrupt) of every whole line that damaged gzip files
     still give: each file is unpacked in pieces up to the damage and its last

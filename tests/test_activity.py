@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions import scalars
 from strandline.functions.scalars import HOUR
 from strandline.operators import advice, dynamics, metrics, render, retention, sessions, upsert
-from strandline.plans import runs, store
+from strandline.plans import runs, store, views
 from strandline.sources import events as source
 from strandline.sources import importer, sinks
 from strandline.streaming import ingest
@@ -379,3 +379,40 @@ def test_small_helpers(spark):
     import datetime
 
     assert [r.path for r in retention.expired(files, datetime.datetime(2024, 1, 10), 5).collect()] == ["x"]
+
+
+def test_dimension_keeps_ids_and_fills(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, ts_utc long, k string, exe_name string, ext string")
+    first = upsert.get_or_create(rows(("1", 5, "a", "x", ""), ("2", 6, "a", None, "txt"), ("3", 7, None, "y", "z")), None, ["k"], ("exe_name",), ("ext",))
+    known = first.withColumn("id", F.lit("own"))
+    got = {r.k: tuple(r) for r in upsert.get_or_create(rows(("4", 9, "a", "new", "md"), ("5", 9, "b", None, None), ("6", 8, "b", "q", "")), known, ["k"], ("exe_name",), ("ext",)).collect()}
+    assert got["a"] == ("own", "a", "new", "txt", 5, 9)
+    assert got["b"] == (hashlib.sha256(b"b").hexdigest()[:32], "b", "q", None, 8, 9) and len(got) == 2
+    assert upsert.get_or_create(rows().limit(0), known, ["k"], ("exe_name",), ("ext",)).count() == 1
+    ids = upsert.with_ids(rows(("7", 1, "a", None, None), ("8", 1, None, None, None)), known, ["k"], "app_id")
+    assert sorted((r.id, r.app_id) for r in ids.collect()) == [("7", "own"), ("8", None)]
+
+
+def test_idle_snapshots_by_hand(spark):
+    e = frame(spark, [("a", H, "active_window", "w"), ("b", H + 1000, "keyboard", None), ("c", H + 5000, "heartbeat", None), ("d", H + 9000, "mouse", None), ("e", H + 9500, "active_window", "w")])
+    got = sorted((r.ts_utc - H, r.trigger, r.id, r.since_ms) for r in dynamics.idle_snapshots(e, 7000).collect())
+    assert got == [(0, "foreground", "a", None), (8000, "idle_gap", "b", 8000), (9500, "foreground", "e", 1500)]
+
+
+def test_views_of_a_store(spark, tmp_path):
+    kept = store.Store(spark, f"file://{tmp_path}/s")
+    assert views.last_run(kept) == "null" and views.missing(kept).count() == len(store.TABLES)
+    assert views.seed(kept, "r", 1) == {"inserts": 14, "updates": 0, "unchanged": 0}
+    assert views.seed(kept, "q", 2) == {"inserts": 0, "updates": 0, "unchanged": 14}
+    assert [r.name for r in views.tables(kept, "%catalog").collect()] == ["metric_catalog", "rule_catalog"]
+    (tmp_path / "locks").mkdir()
+    e = changes(spark, [(60_000, "w1"), (90_000, "w2")])
+    runs.run_tick(kept, e, windows(spark), H + HOUR + 600_000, str(tmp_path / "locks"), 2, code="abc")
+    last = json.loads(views.last_run(kept))
+    assert list(last) == sorted(last) and (last["status"], last["code_git_sha"]) == ("ok", "abc")
+    assert "focus_minutes" in views.show(kept, "hourly_report", H) and views.show(kept, "hourly_report", 1) is None and views.show(kept, "daily_report", H) is None
+
+
+def test_iso_times(spark):
+    got = spark.createDataFrame([(0,), (1_704_067_200_123,), (1_704_153_599_000,)], "t long").select(scalars.iso_utc(F.col("t")).alias("x")).collect()
+    assert [r.x for r in got] == ["1970-01-01T00:00:00+00:00", "2024-01-01T00:00:00.123000+00:00", "2024-01-01T23:59:59+00:00"]
