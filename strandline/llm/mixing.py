@@ -35,15 +35,16 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total
 
 
 def _ordinal(totals: DataFrame) -> DataFrame:
-    """The place of each source in code point order from 0, null last: the first
-    character deals the sources out, and counts of the earlier ones are added."""
-    head = totals.withColumn("head", F.substring("source", 1, 1))
-    inside = Window.partitionBy("head").orderBy(F.col("source").asc_nulls_last())
-    counts = head.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.orderBy(F.col("head").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.select(F.col("head").alias("h"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    placed = head.withColumn("i", F.row_number().over(inside)).join(start, F.col("head").eqNullSafe(F.col("h")))
-    return placed.withColumn("place", F.col("start") + F.col("i") - 1).drop("head", "h", "i", "start")
+    """The place of each source in code point order from 0, null last: sources
+    are dealt to tasks by ranges of that order, numbered there, and the counts
+    of earlier ranges are added."""
+    order = F.col("source").asc_nulls_last()
+    dealt = materialize(totals.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    placed = dealt.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(order))).join(start, "part")
+    return placed.withColumn("place", F.col("start") + F.col("i") - 1).drop("part", "i", "start")
 
 
 def _level(capped: DataFrame, total_share: float) -> float:
