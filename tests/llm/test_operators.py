@@ -87,6 +87,35 @@ def test_family_links_join_what_all_links_would():
     assert joined(minhash.linked_within(ids, sets, np.zeros(150, int), 85)) == joined(every)
 
 
+@pytest.mark.parametrize("chunk", [400, 1 << 16])
+def test_families_by_hubs_join_what_all_links_would(spark, monkeypatch, chunk):
+    rng = np.random.default_rng(8)
+    rows = []
+    for family in range(3):
+        bases = [rng.integers(0, 2**62, 100) for _ in range(3)]
+        for i in range(40):
+            s = bases[i % (family + 1)].copy()
+            s[rng.choice(100, i % 12, replace=False)] = rng.integers(0, 2**62, i % 12)
+            rows.append((family, 100 * family + i, np.unique(s.astype(np.uint64))))
+    rows.append((3, 900, rows[0][2]))
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    families = spark.createDataFrame([(f, i) for f, i, _ in rows], "family long, id long")
+    sets = spark.createDataFrame([(i, len(s), s.tobytes()) for _, i, s in rows], "id long, n long, shingles binary")
+
+    def joined(links):
+        root = {i: i for _, i, _ in rows}
+        for a, b in links:
+            a, b = root[a], root[b]
+            root = {k: min(a, b) if x in (a, b) else x for k, x in root.items()}
+        return root
+
+    every = [(i, j) for f, i, s in rows for g, j, t in rows if f == g and i < j and minhash._alike(s, t, 85)]
+    got = [(r.u, r.v) for r in minhash.confirm_families(families, sets, 85).collect()]
+    known = {i: (f, s) for f, i, s in rows}
+    assert all(known[u][0] == known[v][0] and minhash._alike(known[u][1], known[v][1], 85) for u, v in got)
+    assert joined(got) == joined(every)
+
+
 def test_substring_removes_later_passages(spark):
     rng = random.Random(1)
     sentence = lambda: " ".join(words(rng, 8)).capitalize() + "."
@@ -270,6 +299,18 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_places_of_sources_that_begin_alike(spark):
+    names = ["http://" + "".join(random.Random(i).choices("ab\u00e9\U0001f600\uffee", k=6)) + str(i) for i in range(300)] + ["", None]
+    random.Random(1).shuffle(names)
+    totals = spark.createDataFrame([(n,) for n in names], "source string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.source: r.place for r in mixing._ordinal(totals).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {n: i for i, n in enumerate([*sorted(n for n in names if n is not None), None])}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(v) for v in rng.normal(size=24)]) for i in range(1200)]
@@ -557,6 +598,20 @@ def test_url_filters(spark):
     assert len(bare) == len(got) and {(r.rule, r.verdict) for r in bare} == {(None, "allow")}
 
 
+def test_url_filters_with_rules_of_many_shapes(spark):
+    rng = random.Random(12)
+    host = lambda: ".".join(rng.choices("abc", k=rng.randrange(1, 5)))
+    path = lambda: "/" + "".join(rng.choices("xy/", k=rng.randrange(0, 6)))
+    rules = [(host(), path()[: rng.randrange(0, 6)], rng.choice(["allow", "block"])) for _ in range(150)] + [("", "", "block"), ("a", None, "block")]
+    pages = [(i, f"h://{host()}{path()}", host(), path()) for i in range(400)] + [(400, "h:///x", "", "/x")]
+    got = urlfilter.judge_urls(spark.createDataFrame([p[:2] for p in pages], "page_id long, url string"), urlfilter.rules_frame(spark, rules)).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        fits = [(len(h + p), v == "block", h + p, h, v) for h, p, v in rules if p is not None and (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        best = max(fits, default=(0, False, None, None, "allow"))
+        assert (r.rule, r.verdict) == (best[2], best[4]), r
+
+
 def test_classifiers(spark):
     rng = random.Random(8)
     good = [" ".join(words(rng, 60)) for _ in range(300)]
