@@ -15,7 +15,7 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import bounded, connected_components, materialize, release, slices
@@ -30,6 +30,8 @@ MISS = 1e-4
 SMALL = 8
 #: Shingles of a chunk of a large family; pairs of chunks are compared in one task.
 CHUNK = 1 << 16
+#: Members of a large family that are compared with all others of it first.
+HUBS = 8
 #: Words whose hashes a task keeps (some 10 MB).
 KNOWN = 100_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -233,25 +235,90 @@ def linked_within(ids: np.ndarray, sets: list[np.ndarray], group: np.ndarray, si
     return links
 
 
-def confirm_families(families: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links (u, v) that join the members of families as all their links would.
+def _parts(n) -> Column:
+    """Chunks that shingles ``n`` in all are cut into."""
+    return F.greatest(F.lit(1), F.ceil(n / CHUNK)).cast("int")
+
+
+def _dealt(parts) -> Column:
+    """The chunk of a member among ``parts``."""
+    return F.pmod(F.xxhash64("id"), parts).cast("int")
+
 
-    A family is cut into chunks of bounded shingles, and every two chunks of it
-    meet in a task of their own, so memory doesn't grow with the family."""
-    sized = families.join(sets.select("id", "n"), "id")
-    chunks = materialize(sized.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CHUNK)).cast("int").alias("chunks")), "minhash-chunks")
-    placed = families.join(chunks, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    units = units.select("family", "id", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    wide = units.join(sets.select("id", "shingles"), "id")
+def _unit_links(units: DataFrame, sets: DataFrame, keys: list[str], similarity: int) -> DataFrame:
+    """Links (u, v) inside each unit (keys, id, side), or across its sides if it has two."""
 
     def run(unit: pa.Table) -> pa.Table:
-        ids = unit.column("id").to_numpy()
         sets_ = [np.frombuffer(x.as_py(), np.uint64) for x in unit.column("shingles")]
-        links = linked_within(ids, sets_, unit.column("side").to_numpy(), similarity)
+        links = linked_within(unit.column("id").to_numpy(), sets_, unit.column("side").to_numpy(), similarity)
+        links = [x for x in links if x[0] != x[1]]
         return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
-    return wide.groupBy("family", "a", "b").applyInArrow(run, "u long, v long")
+    return units.join(sets.select("id", "shingles"), "id").groupBy(*keys).applyInArrow(run, "u long, v long")
+
+
+def join_hubs(members: DataFrame, sets: DataFrame, similarity: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(family, id, n, cohort) for ``members`` (family, id, n), and tables of links
+    (u, v) that join each cohort.
+
+    HUBS members of each family of over a chunk are sent to all its chunks, so
+    this work grows with the family and not with its square.  Members that
+    links to hubs join are a cohort; those that no hub reaches choose hubs of
+    their own, as long as a turn joins half of them, and are cohort '' then."""
+    left, done, links = materialize(members, "minhash-left"), [], []
+    while True:
+        hubs = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(HUBS)]))
+        large = materialize(left.groupBy("family").agg(_parts(F.sum("n")).alias("parts"), F.count(F.lit(1)).alias("c"), hubs.alias("hubs")).where("parts > 1"), "minhash-large")
+        before = large.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        if not before:
+            break
+        placed = left.join(bounded(large.select("family", "parts")), "family").select("family", _dealt(F.col("parts")).alias("a"), "id", F.lit(1).alias("side"))
+        sent = large.select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a"), "hubs").select("family", "a", F.explode("hubs").alias("id"), F.lit(0).alias("side"))
+        found = materialize(_unit_links(placed.union(sent), sets, ["family", "a"], similarity), "minhash-hub-links")
+        labels = connected_components(found, "minhash-cohorts")
+        links.append(found)
+        done.append(materialize(left.join(labels, "id").select("family", "id", "n", F.col("component").cast("string").alias("cohort")), "minhash-cohorts"))
+        rest = materialize(left.join(labels.select("id"), "id", "left_anti").select("family", "id", "n"), "minhash-left")
+        joined = labels.count()
+        release(left, large, labels)
+        left = rest
+        if 2 * joined < before:
+            break
+    found = left.select("family", "id", "n", F.lit("").alias("cohort"))
+    for table in done:
+        found = found.union(table)
+    return found, links
+
+
+def confirm_families(families: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (u, v) that join the members of families as all their links would.
+
+    Cohorts are joined already, so only members of two cohorts, or of none, can
+    still give a link that joins more.  Cohorts are cut into chunks of bounded
+    shingles, and every two chunks to be compared meet in a unit of their own,
+    so memory doesn't grow with the family."""
+    members, links = join_hubs(families.join(sets.select("id", "n"), "id").select("family", "id", "n"), sets, similarity)
+    members = materialize(members, "minhash-cohort-members")
+    sizes = materialize(members.groupBy("family", "cohort").agg(_parts(F.sum("n")).alias("parts")), "minhash-chunks")
+    one, other = (sizes.select("family", F.col("cohort").alias(c), F.col("parts").alias(f"parts_{c}")) for c in ("one", "other"))
+    pairs = materialize(one.join(other, "family").where("one < other OR (one = '' AND other = '')"), "minhash-cohort-pairs")
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("cohort")), F.struct(F.lit(1).alias("side"), F.col("other").alias("cohort")))
+    asked = pairs.withColumn("s", F.explode(sides)).where("one <> other OR s.side = 0").select("family", "one", "other", "parts_one", "parts_other", "s.side", "s.cohort")
+    first = F.col("side") == 0
+    met = members.join(asked, ["family", "cohort"])
+    met = met.withColumn("own", _dealt(F.when(first, F.col("parts_one")).otherwise(F.col("parts_other"))))
+    met = met.withColumn("to", F.explode(F.sequence(F.lit(0), F.when(first, F.col("parts_other")).otherwise(F.col("parts_one")) - 1)))
+    alone = F.col("one") == F.col("other")
+    units = met.select(
+        "family", "one", "other", "id",
+        F.when(alone, F.least("own", "to")).when(first, F.col("own")).otherwise(F.col("to")).alias("a"),
+        F.when(alone, F.greatest("own", "to")).when(first, F.col("to")).otherwise(F.col("own")).alias("b"),
+        F.when(alone, (F.col("own") > F.col("to")).cast("int")).otherwise(F.col("side")).alias("side"),
+    )
+    found = _unit_links(units, sets, ["family", "one", "other", "a", "b"], similarity)
+    for table in links:
+        found = found.union(table)
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
