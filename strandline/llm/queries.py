@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import media, minhash, mixing, packing, quality, substring, topk, toxicity, urlfilter, warc
+from strandline.llm import centroids, media, minhash, mixing, packing, quality, substring, topk, toxicity, urlfilter, warc
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,6 +64,28 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(centroids.kept_vectors(table(spark, sf_dir, "embeddings"), 64), k=40, rounds=5, scale=256.0, seed="2:")
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignments and means of each round, one after the other."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, c, d FROM (
+    SELECT v.r, c.c, CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d, row_number() OVER (PARTITION BY v.r ORDER BY d, c.c) AS k FROM v, c{i} c
+  ) WHERE k = 1
+)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c, coalesce(m.x, c{i}.x) AS x FROM c{i} LEFT JOIN (
+    SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (SELECT a{i}.c, t.i, CAST(sum(v.x[t.i]) AS BIGINT) AS s, count(*) AS n FROM a{i} JOIN v USING (r), range(1, 65) t(i) GROUP BY ALL) GROUP BY c
+  ) m USING (c)
+)""")
+    return ", ".join(steps)
+
+
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup,
     "op2_substring_dedup": substring_dedup,
@@ -75,6 +97,7 @@ QUERIES = {
     "op8_url_filters": url_filters,
     "op9_toxicity": toxicity_scores,
     "op10_quality": quality_scores,
+    "op11_centroid_clusters": centroid_clusters,
 }
 
 ORACLE_SQL = {
@@ -110,6 +133,19 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op11_centroid_clusters": """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x, embedding AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(k - 1 AS INTEGER) AS c, x FROM (SELECT x, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, e) AS k FROM v) WHERE k <= 40
+), """
+    + _rounds_sql(5)
+    + """
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c5.x, ',')) AS centroid_sha256
+FROM a5 JOIN v USING (r) JOIN c5 USING (c)
 """,
     "op7_warc": """
 WITH p AS (
