@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import centroids, media, minhash, mixing, packing, quality, substring, topk, toxicity, urlfilter, warc
+from strandline.llm import centroids, fingerprints, media, merkle, minhash, mixing, packing, quality, substring, topk, toxicity, urlfilter, warc
+from strandline.llm.common import ascii_lower
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -68,6 +69,39 @@ def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(centroids.kept_vectors(table(spark, sf_dir, "embeddings"), 64), k=40, rounds=5, scale=256.0, seed="2:")
 
 
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"), ascii_lower(F.col("text")), chosen)
+
+
+def _levels_sql(name: str, by: str, levels: int, start: str) -> str:
+    """Levels of trees over ``{name}0`` (by, i, n, h) and what each leaf of ``start`` (r, by, i, n, sib, f) meets on its way up."""
+    steps, same = [], f"p.{by} IS NOT DISTINCT FROM q.{by}"
+    for k in range(levels):
+        steps.append(f"""{name}r{k} AS MATERIALIZED (SELECT {by}, i // 8 AS i, any_value(n) AS n, list(h ORDER BY i) AS hs FROM {name}{k} GROUP BY {by}, i // 8
+), {name}{k + 1} AS MATERIALIZED (SELECT {by}, i, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {name}r{k}
+), {name}p{k + 1} AS MATERIALIZED (
+  SELECT p.r, p.{by}, p.i // 8 AS i, (q.n + 7) // 8 AS n,
+         CASE WHEN q.n > 1 THEN sib || array_to_string(hs[1:p.i % 8], '') || array_to_string(hs[p.i % 8 + 2:], '') ELSE sib END AS sib,
+         CASE WHEN q.n > 1 THEN sha256(array_to_string(hs[1:p.i % 8], '') || f || array_to_string(hs[p.i % 8 + 2:], '')) ELSE f END AS f
+  FROM {start if k == 0 else f"{name}p{k}"} p JOIN {name}r{k} q ON {same} AND p.i // 8 = q.i
+)""")
+    return ", ".join(steps)
+
+
+def _leaf_sql(text: str) -> str:
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
+    return "sha256(" + " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_CRC_SQL = """xor(4294967295, list_reduce(range(0, 8 * length(CAST(doc_id AS VARCHAR))), lambda c, i: xor((CASE WHEN i % 8 = 0 THEN xor(c, ord(substr(CAST(doc_id AS VARCHAR), i // 8 + 1, 1))) ELSE c END) >> 1,
+       3988292384 * ((CASE WHEN i % 8 = 0 THEN xor(c, ord(substr(CAST(doc_id AS VARCHAR), i // 8 + 1, 1))) ELSE c END) % 2)), 4294967295::BIGINT))"""
+
+
 def _rounds_sql(rounds: int) -> str:
     """Assignments and means of each round, one after the other."""
     steps = []
@@ -98,6 +132,8 @@ QUERIES = {
     "op9_toxicity": toxicity_scores,
     "op10_quality": quality_scores,
     "op11_centroid_clusters": centroid_clusters,
+    "op12_document_fingerprints": document_fingerprints,
+    "op13_merkle_manifest": merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -146,6 +182,21 @@ WITH v AS MATERIALIZED (
 SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
        sha256(array_to_string(c5.x, ',')) AS centroid_sha256
 FROM a5 JOIN v USING (r) JOIN c5 USING (c)
+""",
+    "op13_merkle_manifest": f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, lang, {_leaf_sql("text")} AS leaf,
+         CASE WHEN {_CRC_SQL} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents
+), s AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d
+), l0 AS MATERIALIZED (SELECT lang, i, n, leaf AS h FROM s
+), lp0 AS MATERIALIZED (SELECT r, lang, i, n, '' AS sib, coalesce(other, leaf) AS f FROM s
+), {_levels_sql("l", "lang", 7, "lp0")}
+, t0 AS MATERIALIZED (SELECT 0 AS one, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h FROM l7
+), tp0 AS MATERIALIZED (SELECT p.r, 0 AS one, t0.i, t0.n, p.sib, p.f FROM lp7 p JOIN t0 ON p.lang IS NOT DISTINCT FROM t0.lang
+), {_levels_sql("t", "one", 4, "tp0")}
+SELECT d.doc_id, d.leaf, l7.h AS subroot, t4.h AS root, sha256(p.sib) AS proof_sha256, p.f AS folded_root, p.f = t4.h AS verified
+FROM d JOIN tp4 p USING (r) JOIN l7 ON l7.lang IS NOT DISTINCT FROM d.lang, t4
 """,
     "op7_warc": """
 WITH p AS (
