@@ -11,6 +11,7 @@ from strandline.operators import advice, dynamics, metrics, render, retention, s
 from strandline.plans import store as stored
 from strandline.plans import views
 from strandline.sources import events as source
+from strandline.sources import eventstore, importer, sinks
 
 #: The month that the test table covers, and a gap that suits its density.
 START, END, IDLE = 1_704_067_200_000, 1_704_067_200_000 + 30 * DAY, 600_000
@@ -98,6 +99,29 @@ def _recomputed(x: Inputs) -> stored.Store:
     return kept
 
 
+def _event_store(x: Inputs) -> DataFrame:
+    """The event store after a part of the events and then all of them, the known ids on other days."""
+    kept = eventstore.EventStore(x.spark, stored.scratch(x.spark))
+    known = F.col("user_id") % 3 != 0
+    kept.insert(x.events.where(known).select("id", "ts_utc", "monitor"))
+    kept.insert(x.events.select("id", F.when(known, F.col("ts_utc") + 40 * DAY).otherwise(F.col("ts_utc")).alias("ts_utc"), "monitor"))
+    return kept.read()
+
+
+def _imports(x: Inputs) -> DataFrame:
+    """What a first import of journal files counts, and a second one of files that hold known, repeated and invalid events too."""
+    folder = stored.scratch(x.spark)
+    kept = eventstore.EventStore(x.spark, f"{folder}/store")
+    rows = x.events.select("id", "ts_utc", "monitor", "action", F.lit("none").alias("subject_type"), F.lit("s").alias("session_id"), "user_id")
+    known, out = rows.where("user_id % 3 <> 0"), None
+    again = rows.unionByName(rows.where("user_id % 3 = 0")).unionByName(rows.where("user_id % 5 = 0").withColumn("subject_type", F.lit("other")))
+    for n, part in enumerate((known, again)):
+        sinks.write_journal(part.drop("user_id"), f"{folder}/spool", daily=True)
+        found = importer.import_journal(x.spark, f"{folder}/spool", kept).select(F.lit(n).alias("run"), "monitor", "events_imported", "duplicates_skipped", "invalid_events", "files_with_errors")
+        out = found if out is None else out.union(found)
+    return out
+
+
 def _mouse(x: Inputs) -> DataFrame:
     kind = F.when(F.col("action") == "error", "click").when(F.col("action") == "click", "scroll").otherwise("move")
     return x.events.withColumn("x", F.col("value")).withColumn("y", F.col("value") * 2).withColumn("kind", kind)
@@ -168,6 +192,8 @@ QUERIES = {
     "missing_tables": _q(lambda x: views.missing(_seeded(x))),
     "tables_like": _q(lambda x: views.tables(_seeded(x), "rule%")),
     "largest_files": _q(lambda x: retention.largest(x.table("pages").select(F.col("page_id").alias("path"), F.octet_length("html").cast("long").alias("size")))),
+    "event_store": _q(_event_store),
+    "journal_imports": _q(_imports),
     "stored_upserts": _q(_upserts),
     "recomputed_hours": _q(lambda x: _recomputed(x).read("hourly").select("hour_ms", "metric_key", "value_num", "input_hash", "run_id", "created_utc_ms", "updated_utc_ms")),
     "recomputed_days": _q(lambda x: _recomputed(x).read("daily").select("day_ms", "metric_key", "value_num", "input_hash")),
@@ -239,7 +265,7 @@ _SESSIONS = _EVENTS + f""", c AS (
   SELECT h * {HOUR} AS hour_ms, greatest(start_ms, h * {HOUR}) AS start_ms, least(end_ms, (h + 1) * {HOUR}) AS end_ms, window_id, app_id
   FROM (SELECT *, unnest(range(start_ms // {HOUR}, (end_ms - 1) // {HOUR} + 1)) AS h FROM f)
 )"""
-_HOURLY = _SESSIONS + f""", r AS (
+_FROM_PARTS = f""", r AS (
   SELECT *, CASE WHEN lag(app_id) OVER o IS NOT DISTINCT FROM app_id AND lag(end_ms) OVER o = start_ms THEN 0 ELSE 1 END AS brk FROM p WINDOW o AS (PARTITION BY hour_ms ORDER BY start_ms)
 ), b AS (
   SELECT *, sum(brk) OVER (PARTITION BY hour_ms ORDER BY start_ms ROWS UNBOUNDED PRECEDING) AS run FROM r
@@ -268,6 +294,14 @@ _HOURLY = _SESSIONS + f""", r AS (
   UNION ALL SELECT hour_ms, 'mouse_events', CAST(clicks AS DOUBLE), clicks, 1.0 FROM mw
 )"""
 
+_HOURLY = _SESSIONS + _FROM_PARTS
+#: The same where each hour's sessions are made of its own events alone.
+_ALONE = (
+    _SESSIONS.replace("OVER (ORDER BY ts_utc, id)", f"OVER (PARTITION BY ts_utc // {HOUR} ORDER BY ts_utc, id)")
+    .replace(f"least({END}, CASE WHEN nxt IS NULL THEN {END} ", f"least((ts_utc // {HOUR} + 1) * {HOUR}, CASE WHEN nxt IS NULL THEN (ts_utc // {HOUR} + 1) * {HOUR} ")
+    + _FROM_PARTS
+)
+
 
 def _hashes(code: str) -> str:
     return f""", x AS (
@@ -364,6 +398,12 @@ def _digest_sql(daily: bool) -> str:
 _HASHED = f"sha256(from_hex('{SALT}') || encode('url') || from_hex('00') || encode(%s))"
 _OTHERS = _EVENTS + ", h AS (SELECT * REPLACE (CASE WHEN user_id % 4 = 0 THEN 'heartbeat' ELSE monitor END AS monitor) FROM e)"
 
+#: Hours that are missing or have an old hash, computed anew from their own events alone.
+_MENDED = _SUMMARY + f""", ya AS (
+  SELECT y.hour_ms, y.metric_key, CASE WHEN k THEN a.value_num ELSE y.value_num END AS value_num, y.input_hash, k
+  FROM (SELECT *, hour_ms // {HOUR} % 50 = 0 OR hour_ms // {HOUR} % 60 = 0 AS k FROM y) y JOIN ({_ALONE} SELECT * FROM ml) a ON a.hour_ms = y.hour_ms AND a.metric_key = y.metric_key
+)"""
+
 ORACLE_SQL = {
     "dimension_upsert": _EVENTS + """ SELECT substr(sha256(subject_id), 1, 32) AS id, subject_id AS key_hash, arg_max(CASE WHEN action <> 'error' THEN action END, ts_utc || id) AS exe_name,
         arg_min(CASE WHEN CAST(id AS BIGINT) % 3 <> 0 THEN 'e' || CAST(id AS BIGINT) % 5 END, ts_utc || id) AS ext, min(ts_utc) AS first_seen_utc, max(ts_utc) AS last_seen_utc FROM e GROUP BY subject_id""",
@@ -398,10 +438,15 @@ ORACLE_SQL = {
           UNION ALL SELECT 'hourly_report', count(DISTINCT hour_ms) FROM y UNION ALL SELECT 'daily_report', count(DISTINCT day_ms) FROM d
           UNION ALL SELECT 'hourly_advice', n FROM (""" + "WITH " + _advice_sql(False)[2:] + f""" SELECT count(*) AS n FROM adv)
           UNION ALL SELECT 'daily_advice', n FROM (WITH """ + _advice_sql(True)[2:] + """ SELECT count(*) AS n FROM adv))""",
-    "recomputed_hours": _SUMMARY + f""" SELECT y.hour_ms, y.metric_key, y.value_num, y.input_hash, CASE WHEN k THEN 'new' ELSE 'old' END AS run_id, CASE WHEN o.hour_ms IS NULL THEN 2 ELSE 1 END::BIGINT AS created_utc_ms, CASE WHEN k THEN 2 ELSE 1 END::BIGINT AS updated_utc_ms
-        FROM (SELECT *, hour_ms // {HOUR} % 50 = 0 OR hour_ms // {HOUR} % 60 = 0 AS k FROM y) y LEFT JOIN old o ON o.hour_ms = y.hour_ms AND o.metric_key = y.metric_key
+    "event_store": _EVENTS + " SELECT id, ts_utc, monitor FROM e",
+    "journal_imports": _EVENTS + """, n AS (
+          SELECT monitor, count(*) AS al, count(*) FILTER (user_id % 3 <> 0) AS known, count(*) FILTER (user_id % 5 = 0) AS bad FROM e GROUP BY monitor
+        ) SELECT 0 AS run, monitor, known AS events_imported, CAST(0 AS BIGINT) AS duplicates_skipped, CAST(0 AS BIGINT) AS invalid_events, CAST(0 AS BIGINT) AS files_with_errors FROM n
+        UNION ALL SELECT 1, monitor, al - known, known + (al - known), bad, 0 FROM n""",
+    "recomputed_hours": _MENDED + f""" SELECT y.hour_ms, y.metric_key, y.value_num, y.input_hash, CASE WHEN k THEN 'new' ELSE 'old' END AS run_id, CASE WHEN o.hour_ms IS NULL THEN 2 ELSE 1 END::BIGINT AS created_utc_ms, CASE WHEN k THEN 2 ELSE 1 END::BIGINT AS updated_utc_ms
+        FROM ya y LEFT JOIN old o ON o.hour_ms = y.hour_ms AND o.metric_key = y.metric_key
         WHERE o.hour_ms IS NOT NULL OR y.hour_ms IN (SELECT hour_ms FROM x WHERE events > 0)""",
-    "recomputed_days": _SUMMARY + f""", yy AS (SELECT * FROM y WHERE hour_ms // {HOUR} % 50 <> 0 OR hour_ms IN (SELECT hour_ms FROM x WHERE events > 0)
+    "recomputed_days": _MENDED + f""", yy AS (SELECT * FROM ya WHERE hour_ms // {HOUR} % 50 <> 0 OR hour_ms IN (SELECT hour_ms FROM x WHERE events > 0)
         ) SELECT hour_ms // {DAY} * {DAY} AS day_ms, metric_key, floor(list_sum(list(value_num ORDER BY hour_ms)) * 100.0 + 0.5) / 100.0 AS value_num, sha256(string_agg(input_hash, '|' ORDER BY hour_ms) || '|git:-') AS input_hash FROM yy GROUP BY ALL""",
     "keyboard_batches": _EVENTS + """ SELECT user_id, batch, count(*) AS keydown, floor(coalesce(avg(g), 0) * 100.0 + 0.5) / 100.0 AS mean_ms, floor(coalesce(quantile_cont(CAST(g AS DOUBLE), 0.95), 0) * 100.0 + 0.5) / 100.0 AS p95_ms, floor(coalesce(stddev_samp(g), 0) * 100.0 + 0.5) / 100.0 AS stdev_ms
         FROM (SELECT *, ts_utc - lag(ts_utc) OVER (PARTITION BY user_id, batch ORDER BY ts_utc, id) AS g FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts_utc, id) - 1) // 16 AS batch FROM e WHERE monitor = 'keyboard')) GROUP BY user_id, batch""",

@@ -30,10 +30,10 @@ def input_hashes(events: DataFrame, hours: DataFrame, code: str | None = None) -
     return joined.select("hour_ms", F.coalesce("n", F.lit(0)).alias("events"), F.sha2(text, 256).alias("input_hash"))
 
 
-def hourly_wide(events: DataFrame, windows: DataFrame, start: int, end: int, idle_ms: int) -> DataFrame:
-    """A row for each hour of the range, with or without sessions."""
+def hourly_wide(events: DataFrame, windows: DataFrame, start: int, end: int, idle_ms: int, alone: bool = False) -> DataFrame:
+    """A row for each hour of the range, with or without sessions; ``alone`` as for ``focus_sessions``."""
     hours = hour_grid(events.sparkSession, start, end)
-    focus = hourly_sessions(by_hour(focus_sessions(events, windows, start, end, idle_ms)))
+    focus = hourly_sessions(by_hour(focus_sessions(events, windows, start, end, idle_ms, alone)))
     inside = events.where((F.col("ts_utc") >= start) & (F.col("ts_utc") < end) & F.col("monitor").isin("keyboard", "mouse"))
     typed = inside.groupBy((F.expr(f"floor(ts_utc / {HOUR}D)") * HOUR).alias("hour_ms")).agg(F.count_if(F.col("monitor") == "keyboard").alias("keys"), F.count_if(F.col("monitor") == "mouse").alias("clicks"))
     wide = hours.join(focus, "hour_ms", "left").join(typed, "hour_ms", "left").na.fill(0)
@@ -54,9 +54,9 @@ def hourly_long(wide: DataFrame) -> DataFrame:
     ) AS (metric_key, value_num, input_row_count, coverage_ratio)"""))
 
 
-def hourly_summary(events: DataFrame, windows: DataFrame, start: int, end: int, idle_ms: int, code: str | None = None) -> DataFrame:
+def hourly_summary(events: DataFrame, windows: DataFrame, start: int, end: int, idle_ms: int, code: str | None = None, alone: bool = False) -> DataFrame:
     """The long metrics with the hash of their hour."""
-    long = hourly_long(hourly_wide(events, windows, start, end, idle_ms))
+    long = hourly_long(hourly_wide(events, windows, start, end, idle_ms, alone))
     return long.join(input_hashes(events, hour_grid(events.sparkSession, start, end), code).select("hour_ms", "input_hash"), "hour_ms")
 
 

@@ -23,15 +23,17 @@ def next_times(events: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     return dealt.withColumn("inside", inside).join(heads, "bucket").withColumn("next_ts", F.coalesce("inside", "after")).drop("bucket", "inside", "after")
 
 
-def focus_sessions(events: DataFrame, windows: DataFrame, start: int, end: int, idle_ms: int = IDLE_MS) -> DataFrame:
+def focus_sessions(events: DataFrame, windows: DataFrame, start: int, end: int, idle_ms: int = IDLE_MS, alone: bool = False) -> DataFrame:
     """(start_ms, end_ms, window_id, app_id) of the window changes in [start, end).
 
     A session lasts to the next change; where that is more than ``idle_ms``
     away it lasts a second, and the last one lasts to the end of the range.
-    Changes at the same time give no session but for the last of them."""
+    Changes at the same time give no session but for the last of them.  With
+    ``alone`` each UTC hour is a range of its own."""
     changes = events.where((F.col("monitor") == "active_window") & (F.col("ts_utc") >= start) & (F.col("ts_utc") < end)).select("id", "ts_utc", F.col("subject_id").alias("window_id"))
-    until = F.when(F.col("next_ts").isNull(), F.lit(end)).when(F.col("next_ts") - F.col("ts_utc") > idle_ms, F.col("ts_utc") + 1000).otherwise(F.col("next_ts"))
-    ended = next_times(changes).withColumn("end_ms", F.least(until, F.lit(end))).where("end_ms > ts_utc")
+    stop = F.least(F.expr(f"(floor(ts_utc / {HOUR}D) + 1) * {HOUR}"), F.lit(end)) if alone else F.lit(end)
+    until = F.when(F.col("next_ts").isNull() | (F.col("next_ts") >= stop), stop).when(F.col("next_ts") - F.col("ts_utc") > idle_ms, F.col("ts_utc") + 1000).otherwise(F.col("next_ts"))
+    ended = next_times(changes).withColumn("end_ms", F.least(until, stop)).where("end_ms > ts_utc")
     named = ended.join(windows.select(F.col("id").alias("window_id"), "app_id"), "window_id", "left")
     return named.select(F.col("ts_utc").alias("start_ms"), "end_ms", "window_id", "app_id")
 

@@ -23,6 +23,11 @@ FIELDS = {
 }
 
 
+#: Compressed bytes that are unpacked, and lines that are handed on, at once.
+PIECE, LINES = 1 << 16, 2000
+UNPACKED = pa.schema([("file", pa.string()), ("monitor", pa.string()), ("kind", pa.string()), ("line_no", pa.int64()), ("value", pa.string()), ("error", pa.string())])
+
+
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     """(file, monitor, value) of the lines of finished journal files under
     ``path/<monitor>/``; unfinished and sidecar files don't match the glob."""
@@ -125,25 +130,61 @@ def salvage(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, line_no long, value string, corrupt boolean")
 
 
-def damaged(spark: SparkSession, path: str) -> DataFrame:
-    """(path, error) of the finished journal files below ``path``: null where the
-    file unpacks to its end.  Files are read in pieces and nothing is kept."""
+def unpacked(spark: SparkSession, path: str, glob: str = "*.ndjson.gz", done: str = "_done") -> DataFrame:
+    """(file, monitor, kind, line_no, value, error) of all finished journal files of the
+    monitors below ``path``, but those in an archive: a row of kind ``line`` for
+    each line that isn't blank and, after them, one of kind ``file`` with the error
+    that ended the file, or null.
+
+    A file is read once, in pieces of 64 KiB; a gzip file may have several members,
+    and each must unpack to its end.  A file that ends inside a member, has other
+    bytes behind one or isn't UTF-8 is in error.  One file's
+    compressed bytes and a piece's lines are held at a time."""
+
+    def lines(content: bytes) -> Iterator[bytes]:
+        start, tail = 0, b""
+        while start < len(content):
+            engine, at = zlib.decompressobj(31), start
+            while not engine.eof:
+                if at >= len(content):
+                    raise ValueError("truncated gzip")
+                *whole, tail = (tail + engine.decompress(content[at : at + PIECE])).split(b"\n")
+                at = min(at + PIECE, len(content))
+                yield from whole
+            start = at - len(engine.unused_data)
+            if content[start : start + 1] == b"\0" and not content[start:].strip(b"\0"):
+                break  # padding may follow the last member
+        yield tail
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            errors = []
-            for content in b.column("content").to_pylist():
-                engine, error = zlib.decompressobj(31), None
+            for k in range(b.num_rows):
+                file, monitor, n, rows, error = b.column("path")[k].as_py(), b.column("monitor")[k].as_py(), 0, [], None
                 try:
-                    for at in range(0, len(content), 1 << 16):
-                        engine.decompress(content[at : at + (1 << 16)])
-                except zlib.error as e:
-                    error = str(e)
-                errors.append(error or (None if engine.eof else "truncated gzip"))
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(errors, pa.string())], ["path", "error"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ndjson.gz").load(path)
-    return files.select("path", "content").mapInArrow(run, "path string, error string")
+                    for raw in lines(b.column("content")[k].as_py()):
+                        text = raw.decode().strip()
+                        if text:
+                            n += 1
+                            rows.append((n, text))
+                        if len(rows) >= LINES:
+                            yield _line_batch(file, monitor, rows)
+                            rows = []
+                except (zlib.error, ValueError) as e:
+                    error = str(e) or type(e).__name__
+                if rows:
+                    yield _line_batch(file, monitor, rows)
+                yield pa.RecordBatch.from_pylist([{"file": file, "monitor": monitor, "kind": "file", "line_no": n, "value": None, "error": error}], schema=UNPACKED)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    parts = F.split("path", "/")
+    here = files.select("path", F.element_at(parts, -2).alias("monitor"), "content").where(F.col("monitor").isin(*MONITORS) & (F.coalesce(F.try_element_at(parts, F.lit(-3)), F.lit("")) != done))
+    return here.mapInArrow(run, "file string, monitor string, kind string, line_no long, value string, error string")
+
+
+def _line_batch(file: str, monitor: str, rows: list[tuple[int, str]]) -> pa.RecordBatch:
+    n = len(rows)
+    columns = [pa.array([file] * n), pa.array([monitor] * n), pa.array(["line"] * n), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.nulls(n, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, schema=UNPACKED)
 
 
 def _is_json(text: str) -> bool:

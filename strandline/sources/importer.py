@@ -4,61 +4,104 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators.upsert import new_events
 from strandline.sources import events as source
 from strandline.sources import sinks
+from strandline.sources.eventstore import EventStore, insert_again
 
+STATS = "monitor string, files_processed long, events_imported long, duplicates_skipped long, invalid_events long, files_with_errors long"
+COUNTS = ("files_processed", "events_imported", "duplicates_skipped", "invalid_events", "files_with_errors")
 
-def import_journal(spark: SparkSession, spool: str, store: str, run: str) -> DataFrame:
-    """Import the finished files of ``spool`` into the Parquet table ``store``;
-    (monitor, files_processed, events_imported, duplicates_skipped,
-    invalid_events, files_with_errors) of each monitor that had files.
-
-    A file that doesn't unpack is left where it is, with a sidecar ``.error``
-    that is written once; the others go to ``_done/<monitor>/``, under another
-    name if theirs is taken.  Of rows with one id the first by file and line
-    counts, and ids that are stored already are skipped.  ``run`` names the
-    part of the table that a repeated run replaces."""
-    found = source.damaged(spark, spool).where(F.element_at(F.split("path", "/"), -2).isin(*source.MONITORS)).collect()  # a row a file
-    bad = {r["path"]: r["error"] for r in found if r["error"]}
-    good = [r["path"] for r in found if not r["error"]]
-    for path, error in bad.items():
-        if not sinks.exists(spark, f"{path}.error"):
-            text = json.dumps({"error_message": error, "timestamp": int(time.time() * 1000), "file_path": path}, indent=2)
-            sinks.write_small(spark, f"{path}.error", text.encode())
-    files = spark.createDataFrame([(r["path"].split("/")[-2], int(r["error"] is None)) for r in found], "monitor string, good int")
-    stats = files.groupBy("monitor").agg(F.sum("good").alias("files_processed"), (F.count(F.lit(1)) - F.sum("good")).alias("files_with_errors"))
-    zero = F.lit(0).cast("long")
-    if not good:
-        return stats.select("monitor", "files_processed", zero.alias("events_imported"), zero.alias("duplicates_skipped"), zero.alias("invalid_events"), "files_with_errors")
-    name = F.col("_metadata.file_path")
-    lines = spark.read.text(good).select(name.alias("file"), F.element_at(F.split(name, "/"), -2).alias("directory"), "value").withColumn("line", F.monotonically_increasing_id())
-    read = f"{store}/_reading-{run}"
-    lines.where(F.trim("value") != "").withColumn("event", F.try_parse_json("value")).withColumn("ok", F.coalesce(source.is_valid(F.col("event")), F.lit(False))).select("file", "directory", "line", "value", "ok").write.mode("overwrite").parquet(read)
-    kept = spark.read.parquet(read)
-    valid = source.project(kept.where("ok").withColumn("event", F.try_parse_json("value")), "directory", "file", "line")
-    valid = valid.withColumn("event_date", F.to_date(F.timestamp_millis("ts_utc")))
-    parts = [c for c in sinks.children(spark, store) if c.startswith("run=") and c != f"run={run}"]
-    stored = spark.read.option("basePath", store).parquet(*[f"{store}/{c}" for c in parts]) if parts else None
-    fresh = new_events(valid, stored, ("file", "line"))
-    fresh.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "event_date").parquet(store)
-    added = spark.read.parquet(f"{store}/run={run}").groupBy("directory").agg(F.count(F.lit(1)).alias("events_imported")) if sinks.exists(spark, f"{store}/run={run}") else spark.createDataFrame([], "directory string, events_imported long")
-    seen = kept.groupBy("directory").agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("invalid_events"))
-    both = stats.join(seen, F.col("monitor") == F.col("directory"), "left").drop("directory").join(added, F.col("monitor") == F.col("directory"), "left").na.fill(0)
-    out = both.select("monitor", "files_processed", "events_imported", (F.col("valid") - F.col("events_imported")).alias("duplicates_skipped"), "invalid_events", "files_with_errors").collect()  # a row a monitor
-    for path in good:
-        monitor, file = path.split("/")[-2:]
-        target, n = f"{spool}/_done/{monitor}/{file}", 0
-        while sinks.exists(spark, target):
-            n += 1
-            target = f"{spool}/_done/{monitor}/{file.split('.')[0]}-{n}.{file.split('.', 1)[1]}"
-        sinks.move(spark, path, target)
-    sinks.remove(spark, read)
-    return spark.createDataFrame(out, "monitor string, files_processed long, events_imported long, duplicates_skipped long, invalid_events long, files_with_errors long")
+
+def import_journal(spark: SparkSession, spool: str, store: EventStore, at: Callable[[str], None] = lambda step: None) -> DataFrame:
+    """Import the finished files of ``spool`` into the event store; (monitor,
+    files_processed, events_imported, duplicates_skipped, invalid_events,
+    files_with_errors) of each monitor that had files.
+
+    A file that doesn't unpack to the end of each of its members, or has no line
+    of JSON, is left where it is, with a sidecar ``.error`` that is written
+    once, and gives no rows; one without a byte isn't listed by Spark and
+    stays.  Lines that are no JSON are passed over; of rows
+    with one id the first by file and line counts, and ids that are stored
+    already are skipped, whatever their days.
+
+    The commit of the store is the point that counts: a run that stops before it
+    stores nothing, and the next run reads the same files again; one that
+    stops after it leaves files that the next run only moves to
+    ``_done/<monitor>/`` (under another name if theirs is taken).  ``at`` is
+    called before each step."""
+    archive(spark, spool, store)
+    began = time.time()
+    work = f"{store.folder}/work/reading-{int(began * 1e6)}"
+    at("read")
+    read = source.unpacked(spark, spool)
+    read.write.partitionBy("kind").parquet(work)
+    rows = spark.read.schema(read.schema).parquet(work)
+    parsed = rows.where("kind = 'line'").withColumn("event", F.try_parse_json("value")).where(F.col("event").isNotNull())
+    parsed = parsed.withColumn("ok", source.is_valid(F.col("event"))).select("file", "monitor", "line_no", "value", "ok")
+    seen = parsed.groupBy("file").agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("invalid"))
+    files = rows.where("kind = 'file'").select("file", "monitor", "error").join(seen, "file", "left").na.fill(0, ["valid", "invalid"])
+    none = F.when(F.col("valid") + F.col("invalid") == 0, F.lit("no line of JSON"))
+    files.withColumn("error", F.coalesce("error", none)).write.parquet(f"{work}-files")
+    files = spark.read.parquet(f"{work}-files")
+    at("sidecars")
+    for r in files.where("error IS NOT NULL").select("file", "error").toLocalIterator():
+        if not sinks.exists(spark, f"{r['file']}.error"):
+            text = json.dumps({"error_message": r["error"], "timestamp": int(time.time() * 1000), "file_path": r["file"]}, indent=2)
+            sinks.write_small(spark, f"{r['file']}.error", text.encode())
+    good = files.where("error IS NULL").select("file", F.col("monitor").alias("directory"))
+    lines = parsed.where("ok").join(good, "file").withColumn("event", F.try_parse_json("value"))
+    valid = source.project(lines, "directory", "file", "line_no")
+    totals = files.groupBy("monitor").agg(
+        F.count_if(F.col("error").isNull()).alias("files_processed"), F.sum(F.when(F.col("error").isNull(), F.col("valid"))).alias("valid"),
+        F.sum(F.when(F.col("error").isNull(), F.col("invalid"))).alias("invalid"), F.count_if(F.col("error").isNotNull()).alias("files_with_errors"),
+    ).collect()  # a row a monitor
+    added: dict[str, int] = {}
+    if any(r["files_processed"] for r in totals):
+        entry = insert_again(store, valid, order=("file", "line_no"), files=good, at=at, facts={"seconds_read": round(time.time() - began, 3)}, by="directory")
+        added = entry["added"]
+        at("archive")
+        archive(spark, spool, store, at)
+    sinks.remove(spark, work)
+    sinks.remove(spark, f"{work}-files")
+    out = [(r["monitor"], r["files_processed"], added.get(r["monitor"], 0), (r["valid"] or 0) - added.get(r["monitor"], 0), r["invalid"] or 0, r["files_with_errors"]) for r in totals]
+    return spark.createDataFrame(sorted(out), STATS)
+
+
+def archive(spark: SparkSession, spool: str, store: EventStore, at: Callable[[str], None] = lambda step: None) -> int:
+    """Move the files of commits that a run left in the spool to ``_done``; how many."""
+    moved, made, folders = 0, set(), store.files(archived=False)
+    for folder in folders:
+
+        def put(row) -> int:
+            monitor, file = row["directory"], row["file"].split("/")[-1]
+            target, n = f"{spool}/_done/{monitor}/{file}", 0
+            while sinks.exists(spark, target):
+                n += 1
+                target = f"{spool}/_done/{monitor}/{file.split('.')[0]}-{n}.{file.split('.', 1)[1]}"
+            try:
+                sinks.move(spark, row["file"], target, made)
+            except Exception:
+                if sinks.exists(spark, row["file"]):
+                    raise
+                return 0  # moved before that run stopped
+            at("moved")
+            return 1
+
+        moved += sum(sinks.side_by_side(put, spark.read.parquet(folder).toLocalIterator()))  # a part of the list at a time
+    store.mark_archived([f.rsplit("/", 1)[1] for f in folders])
+    return moved
+
+
+def overall(stats: DataFrame, seconds: float) -> DataFrame:
+    """One row of totals: (monitors_processed, the counts, events_per_minute) of an import that took ``seconds``."""
+    sums = stats.agg(F.count(F.lit(1)).alias("monitors_processed"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS])
+    rate = F.col("events_imported") / F.lit(float(seconds)) * 60.0 if seconds > 0 else F.lit(0.0)
+    return sums.withColumn("events_per_minute", rate)
 
 
 def recover(spark: SparkSession, spool: str) -> tuple[DataFrame, dict[str, int]]:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import csv
 import hashlib
 import io
 import json
+import os
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +20,22 @@ from pyspark.sql import functions as F
 from strandline.functions.scalars import hour_text
 
 
+#: A task's files go to their folder when it ends, not one by one when the job does; for folders that are read only behind the job.
+COMMIT_AT_ONCE = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
+#: Renames that are on their way at once.
+MOVERS = 16
+
+
+_stores: dict[tuple[str, str, str], object] = {}
+
+
 def _path(spark: SparkSession, name: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+    at = urlsplit(name)
+    key = spark.sparkContext.applicationId, at.scheme, at.netloc
+    if key not in _stores:
+        _stores[key] = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return _stores[key], path
 
 
 def exists(spark: SparkSession, name: str) -> bool:
@@ -30,20 +49,46 @@ def children(spark: SparkSession, name: str) -> list[str]:
     return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
 
 
-def move(spark: SparkSession, source: str, target: str) -> None:
-    """Rename a file; the target's folder is made."""
+def move(spark: SparkSession, source: str, target: str, made: set[str] | None = None) -> None:
+    """Rename a file; the target's folder is made, unless ``made`` names it."""
     files, path = _path(spark, source)
     goal = _path(spark, target)[1]
-    files.mkdirs(goal.getParent())
+    folder = target.rsplit("/", 1)[0]
+    if made is None or folder not in made:
+        files.mkdirs(goal.getParent())
+        if made is not None:
+            made.add(folder)
     if not files.rename(path, goal):
         raise OSError(f"{source} can't be moved to {target}")
 
 
+def listing(spark: SparkSession, path: str, glob: str = "*") -> Iterator[str]:
+    """Paths of the files below a folder, in order; Spark lists them, and a part at a time is here."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return (r["path"] for r in found.select("path").orderBy("path").toLocalIterator())
+
+
 def remove(spark: SparkSession, name: str) -> None:
     files, path = _path(spark, name)
     files.delete(path, True)
 
 
+_leaving: dict[str, SparkSession] = {}
+
+
+def remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Delete a folder when the driver ends; a result may read from it until then."""
+    if not _leaving:
+        atexit.register(_remove_leaving)
+    _leaving[folder] = spark
+
+
+def _remove_leaving() -> None:
+    for folder, spark in _leaving.items():
+        if spark.sparkContext._jsc is not None:
+            remove(spark, folder)
+
+
 def write_small(spark: SparkSession, name: str, content: bytes) -> None:
     """Write a sidecar or an artifact of a few KB through the driver."""
     files, path = _path(spark, name)
@@ -54,27 +99,80 @@ def write_small(spark: SparkSession, name: str, content: bytes) -> None:
         out.close()
 
 
-def write_journal(events: DataFrame, path: str, per_file: int = 100_000) -> int:
+def read_small(spark: SparkSession, name: str) -> bytes | None:
+    """A file of a few KB, or None where there is none."""
+    files, path = _path(spark, name)
+    if not files.exists(path):
+        return None
+    stream = files.open(path)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, name: str, content: bytes) -> bool:
+    """Make a small file whole and only if there is none of its name yet; whether this call made it.
+
+    In a folder of the machine a link does it; elsewhere the store's rename,
+    which doesn't replace a file, as in HDFS."""
+    files, path = _path(spark, name)
+    files.mkdirs(path.getParent())
+    if files.getUri().getScheme() == "file":
+        target = path.toUri().getPath()
+        aside = f"{os.path.dirname(target)}/.{os.path.basename(target)}-{uuid.uuid4().hex}"
+        with open(aside, "wb") as f:
+            f.write(content)
+        try:
+            os.link(aside, target)
+        except FileExistsError:
+            return False
+        finally:
+            os.remove(aside)
+        return True
+    aside = f"{name}-{uuid.uuid4().hex}"
+    write_small(spark, aside, content)
+    if files.exists(path) or not files.rename(_path(spark, aside)[1], path):
+        remove(spark, aside)
+        return False
+    return True
+
+
+def write_journal(events: DataFrame, path: str, per_file: int = 100_000, daily: bool = False) -> int:
     """Events as compressed JSON lines in ``path/<monitor>/<YYYYMMDD-HH>-<run>-<n>.ndjson.gz``,
-    a new file each hour and each ``per_file`` rows, and how many files there are.
+    a new file each hour (or each UTC day, without its hour) and each ``per_file``
+    rows, and how many files there are.
 
     Spark writes to a hidden folder; each finished file is then renamed into
     its place, so a reader never sees a part of one."""
     spark, run = events.sparkSession, uuid.uuid4().hex[:8]
     staging = f"{path}/_staging-{run}"
     line = F.to_json(F.struct(*events.columns))
-    named = events.select(line.alias("value"), "monitor", hour_text(F.col("ts_utc")).alias("hour"))
-    named.write.partitionBy("monitor", "hour").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(staging)
-    n = 0
-    for monitor in [c for c in children(spark, staging) if c.startswith("monitor=")]:
-        for hour in children(spark, f"{staging}/{monitor}"):
-            for part in [c for c in children(spark, f"{staging}/{monitor}/{hour}") if c.endswith(".gz")]:
-                move(spark, f"{staging}/{monitor}/{hour}/{part}", f"{path}/{monitor[8:]}/{hour[5:]}-{run}-{n}.ndjson.gz")
-                n += 1
+    named = events.select(line.alias("value"), "monitor", (F.substring(hour_text(F.col("ts_utc")), 1, 8) if daily else hour_text(F.col("ts_utc"))).alias("hour"))
+    named = named.hint("rebalance", "monitor", "hour")  # a file an hour, of a busy hour several
+    named.write.partitionBy("monitor", "hour").option("maxRecordsPerFile", per_file).option("compression", "gzip").option(*COMMIT_AT_ONCE).text(staging)
+    made: set[str] = set()
+
+    def place(item: tuple[int, str]) -> int:
+        n, found = item
+        monitor, hour = found.split("/")[-3:-1]
+        move(spark, found, f"{path}/{monitor[8:]}/{hour[5:]}-{run}-{n}.ndjson.gz", made)
+        return 1
+
+    n = sum(side_by_side(place, enumerate(listing(spark, staging, "*.gz")))) if children(spark, staging) else 0
     remove(spark, staging)
     return n
 
 
+def side_by_side(call: Callable, items: Iterable) -> Iterator:
+    """``call`` of each item, some at once and in order: renames are short calls to the
+    file store, and a window of them is on its way at a time."""
+    with ThreadPoolExecutor(MOVERS) as pool:
+        items = iter(items)
+        while window := list(islice(items, 64 * MOVERS)):
+            yield from pool.map(call, window)
+
+
 def text_bytes(text: str) -> tuple[bytes, str]:
     raw = text.encode()
     return raw, hashlib.sha256(raw).hexdigest()

@@ -1,17 +1,13 @@
-"""Streams over the journal: validated events, windowed counts and focus state."""
+"""Streams over the journal: validated events and windowed counts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strandline.operators.upsert import new_events
 from strandline.sources import events as source
+from strandline.sources.eventstore import EventStore, insert_again
 
 LINES = "value string"
 
@@ -21,28 +17,18 @@ def journal_stream(spark: SparkSession, path: str, files_per_trigger: int = 100)
     return spark.readStream.schema(LINES).option("pathGlobFilter", "*.ndjson.gz").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).text(path)
 
 
-def ingest(lines: DataFrame, good: str, bad: str, checkpoint: str, existing: Callable[[], DataFrame | None] = lambda: None) -> StreamingQuery:
-    """Add the valid new events to ``good`` and the lines of others to ``bad``.
+def ingest(lines: DataFrame, store: EventStore, bad: str, checkpoint: str) -> StreamingQuery:
+    """Add the valid new events to the event store and the lines of others to ``bad``.
 
-    Both tables have a folder a batch, which a batch that is run again replaces;
-    its ids are compared with those of the same days, as an id's time is part
-    of the event."""
+    A batch that is run again finds its ids stored and adds nothing, and
+    replaces its folder of bad lines.  An id counts once, whatever its days."""
 
     def batch(df: DataFrame, number: int) -> None:
-        parsed = df.persist()
-        valid, rest = source.split_valid(source.parse_lines(parsed))
-        day = F.to_date(F.timestamp_millis("ts_utc"))
-        valid = valid.withColumn("event_date", day)
-        stored = existing()
-        if stored is not None and "batch_no" in stored.columns:
-            stored = stored.where(F.col("batch_no") != number)
-        if stored is not None and "event_date" in stored.columns:
-            first, last = valid.agg(F.min("event_date"), F.max("event_date")).first()
-            stored = stored.where(F.col("event_date").between(F.lit(first), F.lit(last)))
+        parsed = source.parse_lines(df)
+        valid, rest = source.split_valid(parsed)
+        insert_again(store, valid, facts={"batch": number})
         keep = {"partitionOverwriteMode": "dynamic"}
-        new_events(valid, stored).withColumn("batch_no", F.lit(number)).write.mode("overwrite").options(**keep).partitionBy("batch_no", "event_date").parquet(good)
         rest.select("value", F.lit(number).alias("batch_no")).write.mode("overwrite").options(**keep).partitionBy("batch_no").parquet(bad)
-        parsed.unpersist()
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -51,25 +37,3 @@ def hourly_counts(events: DataFrame, late: str = "5 minutes") -> DataFrame:
     """Events of each monitor an hour; hours close ``late`` after their end."""
     timed = events.withColumn("at", F.timestamp_millis("ts_utc")).withWatermark("at", late)
     return timed.groupBy(F.window("at", "1 hour").alias("w"), "monitor").agg(F.count(F.lit(1)).alias("events")).select(F.unix_millis("w.start").alias("hour_ms"), "monitor", "events")
-
-
-def focus_stream(events: DataFrame, key: str = "session_id", idle_ms: int = 60_000, late: str = "5 minutes") -> DataFrame:
-    """(key, start_ms, end_ms, window_id) of window changes, one device at a time.
-
-    A change is held as state until the next of its device comes; it ends there
-    or, where that is more than ``idle_ms`` away, after a second."""
-
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        rows = pd.concat(list(batches) or [pd.DataFrame(columns=["ts_utc", "subject_id"])]).sort_values("ts_utc")
-        out = []
-        for ts, window in rows[["ts_utc", "subject_id"]].itertuples(index=False):
-            if held is not None and ts > held[0]:
-                out.append((name[0], held[0], ts if ts - held[0] <= idle_ms else held[0] + 1000, held[1]))
-            held = (int(ts), window)
-        if held is not None:
-            state.update(held)
-        yield pd.DataFrame(out, columns=[key, "start_ms", "end_ms", "window_id"])
-
-    changes = events.where("monitor = 'active_window'").select(key, "ts_utc", "subject_id", F.timestamp_millis("ts_utc").alias("at")).withWatermark("at", late)
-    return changes.groupBy(key).applyInPandasWithState(step, f"{key} string, start_ms long, end_ms long, window_id string", "ts long, window string", "append", GroupStateTimeout.NoTimeout)

@@ -14,7 +14,6 @@ from strandline.operators import advice, dynamics, metrics, render, retention, s
 from strandline.plans import runs, store, views
 from strandline.sources import events as source
 from strandline.sources import importer, sinks
-from strandline.streaming import ingest
 
 H = 1_640_944_800_000
 
@@ -191,32 +190,6 @@ def test_salvage(spark, tmp_path):
     assert source.salvage_plain(plain).count() == 1
 
 
-def test_stream_and_counts(spark, tmp_path):
-    from strandline.streaming import ingest
-
-    d = tmp_path / "in" / "mouse"
-    d.mkdir(parents=True)
-    for n in range(2):
-        with gzip.open(d / f"2024010{n}-00.ndjson.gz", "wt") as f:
-            f.write("\n".join([line(id=f"e{i}") for i in range(3)] + [line(id=7)]) + "\n")
-    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
-    have = lambda: spark.read.parquet(good) if (tmp_path / "good").exists() else None
-    for _ in range(2):
-        ingest.ingest(ingest.journal_stream(spark, str(tmp_path / "in"), 1), good, bad, str(tmp_path / "cp"), have).awaitTermination(120)
-    assert spark.read.parquet(good).count() == 3 and spark.read.parquet(bad).count() == 2
-
-
-def test_focus_stream(spark, tmp_path):
-    from strandline.streaming import ingest
-
-    rows = [("s1", H, "active_window", "w1"), ("s1", H + 10_000, "active_window", "w2"), ("s1", H + 100_000, "active_window", "w1"), ("s2", H, "active_window", "w9")]
-    schema = "session_id string, ts_utc long, monitor string, subject_id string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "e"))
-    out = ingest.focus_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "e")))
-    out.writeStream.format("memory").queryName("focus_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
-    assert sorted((r.session_id, r.start_ms - H, r.end_ms - H) for r in spark.table("focus_out").collect()) == [("s1", 0, 10_000), ("s1", 10_000, 11_000)]
-
-
 def test_files_and_artifacts(spark, tmp_path):
     sinks.write_journal(source.generate(spark, 200), str(tmp_path / "j"))
     files = retention.list_files(spark, str(tmp_path / "j"))
@@ -276,30 +249,6 @@ def test_journal_is_read_back(spark, tmp_path):
     assert retention.list_files(spark, spool).count() == n
 
 
-def test_import_counts_archives_and_marks(spark, tmp_path):
-    spool, store = tmp_path / "spool", tmp_path / "store"
-    pack(spool / "keyboard" / "a.ndjson.gz", [*lines_of(40), *lines_of(5), "no json", {"id": 1}])
-    pack(spool / "keyboard" / "b.ndjson.gz", lines_of(300), cut=-300)
-    pack(spool / "mouse" / "a.ndjson.gz", lines_of(10, "mouse"))
-    pack(spool / "other" / "a.ndjson.gz", lines_of(10, "mouse"))
-    pack(spool / "_done" / "mouse" / "a.ndjson.gz", lines_of(1, "mouse"))
-    got = {r.monitor: tuple(r)[1:] for r in importer.import_journal(spark, str(spool), str(store), "r1").collect()}
-    assert got == {"keyboard": (1, 40, 5, 2, 1), "mouse": (1, 10, 0, 0, 0)}
-    assert sorted(p.name for p in (spool / "keyboard").iterdir() if not p.name.startswith(".")) == ["b.ndjson.gz", "b.ndjson.gz.error"]
-    assert (spool / "_done" / "keyboard" / "a.ndjson.gz").exists() and (spool / "_done" / "mouse" / "a-1.ndjson.gz").exists()
-    note = json.loads((spool / "keyboard" / "b.ndjson.gz.error").read_text())
-    assert set(note) == {"error_message", "timestamp", "file_path"}
-    pack(spool / "keyboard" / "c.ndjson.gz", lines_of(45))
-    again = {r.monitor: tuple(r)[1:] for r in importer.import_journal(spark, str(spool), str(store), "r2").collect()}
-    assert again == {"keyboard": (1, 5, 40, 0, 1)}
-    assert json.loads((spool / "keyboard" / "b.ndjson.gz.error").read_text()) == note
-    assert spark.read.parquet(str(store)).count() == 55
-    files = retention.list_files(spark, str(spool))
-    assert files.where("path LIKE '%/_done/%'").count() == 4
-    names = {r.path.split("/")[-1] for r in retention.archived(files, "c").collect()}
-    assert names == {"a.ndjson.gz", "a-1.ndjson.gz"}
-
-
 def test_recovery_sweep(spark, tmp_path):
     pack(tmp_path / "keyboard" / "x.ndjson.gz.part", [json.dumps({"id": i, "pad": hashlib.sha256(str(i).encode()).hexdigest() * 20}) for i in range(200)], cut=-500)
     (tmp_path / "mouse").mkdir()
@@ -315,14 +264,6 @@ def test_whole_gzip_loses_its_unfinished_line(spark, tmp_path):
     assert [r.value for r in source.salvage(spark, str(tmp_path)).collect()] == ['{"a":1}']
 
 
-def test_ingest_again_adds_nothing(spark, tmp_path):
-    pack(tmp_path / "in" / "keyboard" / "a.ndjson.gz", [*lines_of(30), '{"id":1}'])
-    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
-    for turn in ("c1", "c2"):  # another checkpoint: batch 0 is run again
-        ingest.ingest(ingest.journal_stream(spark, str(tmp_path / "in")), good, bad, str(tmp_path / turn), lambda: spark.read.parquet(good) if (tmp_path / "good").exists() else None).awaitTermination()
-        assert spark.read.parquet(good).count() == 30 and spark.read.parquet(bad).count() == 1
-
-
 def test_tick_twice_changes_nothing(spark, tmp_path):
     day = H // 86_400_000 * 86_400_000
     e = frame(spark, [(f"e{i:03}", day + i * 120_000, ("active_window", "keyboard", "mouse")[i % 3], f"w{i % 3 + 1}") for i in range(150)])
