@@ -35,7 +35,7 @@ MOST_BYTES = 48_000_000
 DICT_BYTES = 100_000
 ORDINARY_WORDS = 12_000
 #: Likelihood ratios of which validation chooses the one that a word must pass to count as typical of toxic text.
-TYPICAL = (18.0, 36.0, 72.0)
+TYPICAL = (4.5, 9.0, 18.0, 36.0, 72.0)
 #: Words of a phrase window and from one window to the next, and the strongest windows whose mean is a feature.
 PHRASE, STEP, STRONGEST = 6, 3, 4
 #: Rows of which one validates.
