@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import scalars
 from strandline.functions.scalars import DAY, HOUR
 from strandline.operators import advice, dynamics, metrics, render, retention, sessions, upsert
+from strandline.plans import artifacts
 from strandline.plans import store as stored
 from strandline.plans import views
 from strandline.sources import events as source
@@ -122,6 +123,12 @@ def _imports(x: Inputs) -> DataFrame:
     return out
 
 
+def _keys(x: Inputs) -> DataFrame:
+    """Key presses and releases, with times that come close to each other now and then."""
+    near = F.when(F.col("user_id") % 2 == 0, F.col("ts_utc")).otherwise(F.floor(F.col("ts_utc") / F.lit(float(DAY))).cast("long") * DAY + F.col("ts_utc") % 2000)
+    return x.events.where("monitor = 'keyboard'").select("user_id", "id", near.alias("ts_utc"), F.when(F.col("action") == "signup", "keyup").otherwise("keydown").alias("kind"))
+
+
 def _mouse(x: Inputs) -> DataFrame:
     kind = F.when(F.col("action") == "error", "click").when(F.col("action") == "click", "scroll").otherwise("move")
     return x.events.withColumn("x", F.col("value")).withColumn("y", F.col("value") * 2).withColumn("kind", kind)
@@ -197,7 +204,8 @@ QUERIES = {
     "stored_upserts": _q(_upserts),
     "recomputed_hours": _q(lambda x: _recomputed(x).read("hourly").select("hour_ms", "metric_key", "value_num", "input_hash", "run_id", "created_utc_ms", "updated_utc_ms")),
     "recomputed_days": _q(lambda x: _recomputed(x).read("daily").select("day_ms", "metric_key", "value_num", "input_hash")),
-    "keyboard_batches": _q(lambda x: dynamics.keyboard_batches(x.events.where("monitor = 'keyboard'"), "user_id", 16).select("user_id", "batch", "keydown", *[scalars.round2(F.col(c)).alias(c) for c in ("mean_ms", "p95_ms", "stdev_ms")])),
+    "keyboard_batches": _q(lambda x: dynamics.keyboard_batches(_keys(x), "user_id", 16, DAY).select("user_id", "batch", "keydown", "keyup", "bursts", *[scalars.round2(F.col(c)).alias(c) for c in ("mean_ms", "p95_ms", "stdev_ms")])),
+    "timed_batches": _q(lambda x: dynamics.batches(x.events.select("user_id", "ts_utc", "id"), "user_id", 8, 2 * DAY)),
     "mouse_batches": _q(lambda x: dynamics.mouse_batches(_mouse(x), "user_id", 16)),
     "counters_since_trigger": _q(lambda x: dynamics.counters_since(x.events, x.events.where("monitor = 'active_window'").select("user_id", "ts_utc"), "user_id")),
     "hourly_report_json": _q(lambda x: render.hourly_report(x.hourly(), x.evidence()).select("hour_ms", "json", "csv")),
@@ -230,6 +238,8 @@ QUERIES = {
     "daily_report_txt": _q(lambda x: render.daily_report(metrics.daily_summary(x.hourly())).select("day_ms", "txt", "sha256")),
     "hourly_digest": _q(lambda x: render.hourly_digest(x.hourly(), x.evidence(), advice.hourly_advice(x.hourly(), x.evidence()))),
     "daily_digest": _q(lambda x: render.daily_digest(metrics.daily_summary(x.hourly()), advice.daily_advice(metrics.daily_summary(x.hourly())))),
+    "daily_report_json": _q(lambda x: render.daily_report(metrics.daily_summary(x.hourly())).select("day_ms", "json", "csv")),
+    "artifact_files": _q(lambda x: artifacts.files_of("hourly_report", render.hourly_report(x.hourly(), x.evidence())).union(artifacts.files_of("daily_report", render.daily_report(metrics.daily_summary(x.hourly())))).where("form <> 'json'").select("period_ms", "kind", "form", "path", "sha256")),
     "artifact_paths": _q(lambda x: x.hours().select("hour_ms", render.artifact_path("hourly", F.col("hour_ms"), F.sha2(F.col("hour_ms").cast("string"), 256), "txt").alias("path"))),
     "salted_hash": _q(lambda x: x.table("pages").select("page_id", scalars.salted_hash(F.col("url"), "url", SALT).alias("hash"))),
     "url_domain": _q(lambda x: x.table("pages").select("page_id", scalars.url_authority(F.col("url")).alias("authority"), scalars.trackable_url(F.col("url")).alias("trackable"))),
@@ -238,7 +248,7 @@ QUERIES = {
     "bursts": _q(lambda x: dynamics.bursts(x.events, "user_id", span=DAY, keys=3)),
     "idle_gaps": _q(lambda x: dynamics.idle_gaps(x.events, 300_000)),
     "window_changes": _q(lambda x: dynamics.changes(x.events, "user_id", ("monitor",)).select("id", "user_id", "monitor")),
-    "title_dedupe": _q(lambda x: dynamics.dedupe_within(x.events, "user_id", span=DAY)),
+    "title_dedupe": _q(lambda x: dynamics.dedupe_within(x.events, "user_id", span=DAY).select("user_id", "ts_utc", "id")),
     "count_batches": _q(lambda x: dynamics.count_batches(x.events, "monitor", 128).groupBy("monitor", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("ts_utc").alias("first_ts"))),
     "activity_counters": _q(lambda x: x.events.groupBy(scalars.floor_to(F.col("ts_utc"), HOUR).alias("hour_ms")).agg(F.count_if(F.col("monitor") == "keyboard").alias("keys"), F.count_if((F.col("monitor") == "mouse") & (F.col("action") == "error")).alias("clicks"))),
     "table_counts": _q(lambda x: x.table("events").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit("events")).unionByName(x.table("pages").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit("pages")))),
@@ -398,6 +408,17 @@ def _digest_sql(daily: bool) -> str:
 _HASHED = f"sha256(from_hex('{SALT}') || encode('url') || from_hex('00') || encode(%s))"
 _OTHERS = _EVENTS + ", h AS (SELECT * REPLACE (CASE WHEN user_id % 4 = 0 THEN 'heartbeat' ELSE monitor END AS monitor) FROM e)"
 
+#: Rows of ``@rows`` in batches of ``@n`` rows or ``@span`` ms, each with the place of the row that opens it.
+_BATCHES = _EVENTS.replace("WITH e AS", "WITH RECURSIVE e AS") + """, z AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_utc, id) - 1 AS i FROM @rows
+), o AS (
+  SELECT user_id, i, ts_utc FROM z WHERE i = 0
+  UNION ALL SELECT user_id, n.i, n.ts_utc FROM (
+    SELECT o.user_id, (SELECT min(z.i) FROM z WHERE z.user_id = o.user_id AND z.i > o.i AND (z.i >= o.i + @n OR z.ts_utc >= o.ts_utc + @span)) AS i FROM o
+  ) m JOIN z n USING (user_id, i)
+), q AS (
+  SELECT z.*, max(o.i) OVER (PARTITION BY z.user_id ORDER BY z.i) AS batch FROM z LEFT JOIN o ON o.user_id = z.user_id AND o.i = z.i
+)"""
 #: Hours that are missing or have an old hash, computed anew from their own events alone.
 _MENDED = _SUMMARY + f""", ya AS (
   SELECT y.hour_ms, y.metric_key, CASE WHEN k THEN a.value_num ELSE y.value_num END AS value_num, y.input_hash, k
@@ -448,8 +469,18 @@ ORACLE_SQL = {
         WHERE o.hour_ms IS NOT NULL OR y.hour_ms IN (SELECT hour_ms FROM x WHERE events > 0)""",
     "recomputed_days": _MENDED + f""", yy AS (SELECT * FROM ya WHERE hour_ms // {HOUR} % 50 <> 0 OR hour_ms IN (SELECT hour_ms FROM x WHERE events > 0)
         ) SELECT hour_ms // {DAY} * {DAY} AS day_ms, metric_key, floor(list_sum(list(value_num ORDER BY hour_ms)) * 100.0 + 0.5) / 100.0 AS value_num, sha256(string_agg(input_hash, '|' ORDER BY hour_ms) || '|git:-') AS input_hash FROM yy GROUP BY ALL""",
-    "keyboard_batches": _EVENTS + """ SELECT user_id, batch, count(*) AS keydown, floor(coalesce(avg(g), 0) * 100.0 + 0.5) / 100.0 AS mean_ms, floor(coalesce(quantile_cont(CAST(g AS DOUBLE), 0.95), 0) * 100.0 + 0.5) / 100.0 AS p95_ms, floor(coalesce(stddev_samp(g), 0) * 100.0 + 0.5) / 100.0 AS stdev_ms
-        FROM (SELECT *, ts_utc - lag(ts_utc) OVER (PARTITION BY user_id, batch ORDER BY ts_utc, id) AS g FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts_utc, id) - 1) // 16 AS batch FROM e WHERE monitor = 'keyboard')) GROUP BY user_id, batch""",
+    "keyboard_batches": _BATCHES.replace("@rows", f"(SELECT user_id, id, CASE WHEN user_id % 2 = 0 THEN ts_utc ELSE ts_utc // {DAY} * {DAY} + ts_utc % 2000 END AS ts_utc, CASE WHEN action = 'signup' THEN 'keyup' ELSE 'keydown' END AS kind FROM e WHERE monitor = 'keyboard')").replace("@n", "16").replace("@span", str(DAY)) + """, d AS (
+          SELECT user_id, batch, ts_utc, row_number() OVER o AS i, ts_utc - lag(ts_utc) OVER o AS g FROM q WHERE kind = 'keydown' WINDOW o AS (PARTITION BY user_id ORDER BY ts_utc, id)
+        ), h AS (
+          SELECT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS held, false AS hit FROM d GROUP BY user_id
+          UNION ALL SELECT user_id, i, CASE WHEN len(l) >= 5 THEN CAST([] AS BIGINT[]) ELSE l END, len(l) >= 5 FROM (
+            SELECT h.user_id, d.i, list_append(list_filter(h.held, lambda t: t >= d.ts_utc - 500), d.ts_utc) AS l FROM h JOIN d ON d.user_id = h.user_id AND d.i = h.i + 1)
+        ) SELECT q.user_id, q.batch, q.keydown, q.keyup, coalesce(bursts, 0) AS bursts, coalesce(mean_ms, 0) AS mean_ms, coalesce(p95_ms, 0) AS p95_ms, coalesce(stdev_ms, 0) AS stdev_ms
+        FROM (SELECT user_id, batch, count(*) FILTER (kind = 'keydown') AS keydown, count(*) FILTER (kind = 'keyup') AS keyup FROM q GROUP BY ALL) q LEFT JOIN (
+          SELECT d.user_id, d.batch, count(*) FILTER (hit) AS bursts, floor(avg(g) * 100.0 + 0.5) / 100.0 AS mean_ms, floor(quantile_cont(CAST(g AS DOUBLE), 0.95) * 100.0 + 0.5) / 100.0 AS p95_ms, floor(stddev_samp(g) * 100.0 + 0.5) / 100.0 AS stdev_ms
+          FROM d JOIN h ON h.user_id = d.user_id AND h.i = d.i GROUP BY ALL
+        ) s ON s.user_id = q.user_id AND s.batch = q.batch""",
+    "timed_batches": _BATCHES.replace("@rows", "e").replace("@n", "8").replace("@span", str(2 * DAY)) + " SELECT user_id, ts_utc, id, batch FROM q",
     "mouse_batches": _EVENTS + """ SELECT user_id, batch, count(*) FILTER (action NOT IN ('error', 'click')) AS moves, count(*) FILTER (action = 'error') AS clicks, count(*) FILTER (action = 'click') AS scrolls, coalesce(CAST(sum(CAST(trunc(sqrt(power(dx, 2) + power(dy, 2))) AS BIGINT)) AS BIGINT), 0) AS distance_px
         FROM (SELECT *, value - lag(value) OVER o AS dx, value * 2 - lag(value * 2) OVER o AS dy FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts_utc, id) - 1) // 16 AS batch FROM e) WINDOW o AS (PARTITION BY user_id, batch ORDER BY ts_utc, id)) GROUP BY user_id, batch""",
     "counters_since_trigger": _EVENTS + """, t AS (SELECT user_id, ts_utc, lag(ts_utc) OVER (PARTITION BY user_id ORDER BY ts_utc) AS was FROM e WHERE monitor = 'active_window'
@@ -503,6 +534,22 @@ ORACLE_SQL = {
           SELECT day_ms, string_agg('metric_key=' || metric_key || ',value_num=' || CAST(value_num AS VARCHAR) || ',hours_counted=' || hours_counted || ',low_conf_hours=' || low_conf_hours, chr(10) ORDER BY metric_key)
                  || chr(10) || 'day_hash=' || min(input_hash) AS txt FROM d GROUP BY day_ms
         ) SELECT day_ms, txt, sha256(txt) AS sha256 FROM o""",
+    "daily_report_json": _SUMMARY + """, o AS (
+          SELECT day_ms, min(input_hash) AS h, string_agg('"' || metric_key || '":{"hours_counted":' || hours_counted || ',"low_conf_hours":' || low_conf_hours || ',"value_num":' || CAST(value_num AS VARCHAR) || '}', ',' ORDER BY metric_key) AS m,
+                 string_agg(hours_counted || ',' || low_conf_hours || ',' || metric_key || ',' || CAST(value_num AS VARCHAR), chr(13) || chr(10) ORDER BY metric_key) AS c FROM d GROUP BY day_ms
+        ) SELECT day_ms, '{"day_hash":"' || h || '","day_start_ms":' || day_ms || ',"metrics":{' || m || '}}' AS json, 'hours_counted,low_conf_hours,metric_key,value_num' || chr(13) || chr(10) || c || chr(13) || chr(10) AS csv FROM o""",
+    "artifact_files": _SUMMARY + """, o AS (
+          SELECT hour_ms, min(input_hash) AS h, string_agg('metric_key=' || metric_key || ',value_num=' || CAST(value_num AS VARCHAR) || ',coverage_ratio=' || CAST(CAST(coverage_ratio AS DOUBLE) AS VARCHAR), chr(10) ORDER BY metric_key) AS t,
+                 string_agg(CAST(CAST(coverage_ratio AS DOUBLE) AS VARCHAR) || ',' || metric_key || ',' || CAST(value_num AS VARCHAR), chr(13) || chr(10) ORDER BY metric_key) AS c FROM y GROUP BY hour_ms
+        ), n AS (
+          SELECT day_ms, min(input_hash) AS h, string_agg('metric_key=' || metric_key || ',value_num=' || CAST(value_num AS VARCHAR) || ',hours_counted=' || hours_counted || ',low_conf_hours=' || low_conf_hours, chr(10) ORDER BY metric_key) AS t,
+                 string_agg(hours_counted || ',' || low_conf_hours || ',' || metric_key || ',' || CAST(value_num AS VARCHAR), chr(13) || chr(10) ORDER BY metric_key) AS c FROM d GROUP BY day_ms
+        ), af AS (
+          SELECT hour_ms AS period_ms, 'hourly' AS kind, 'txt' AS form, h, t || coalesce(chr(10) || 'evidence[ top_app_minutes ]=' || evidence_json, '') AS body FROM o LEFT JOIN ev USING (hour_ms)
+          UNION ALL SELECT hour_ms, 'hourly', 'csv', h, 'coverage_ratio,metric_key,value_num' || chr(13) || chr(10) || c || chr(13) || chr(10) FROM o
+          UNION ALL SELECT day_ms, 'daily', 'txt', h, t || chr(10) || 'day_hash=' || h FROM n
+          UNION ALL SELECT day_ms, 'daily', 'csv', h, 'hours_counted,low_conf_hours,metric_key,value_num' || chr(13) || chr(10) || c || chr(13) || chr(10) FROM n
+        ) SELECT period_ms, kind, form, strftime(make_timestamp(period_ms * 1000), '%Y/%m/%d') || '/' || kind || '-' || period_ms || '-' || substr(h, 1, 8) || '.' || form AS path, sha256(body) AS sha256 FROM af""",
     "artifact_paths": f"SELECT hour_ms, strftime(make_timestamp(hour_ms * 1000), '%Y/%m/%d') || '/hourly-' || hour_ms || '-' || substr(sha256(CAST(hour_ms AS VARCHAR)), 1, 8) || '.txt' AS path FROM (SELECT unnest(range({START}, {END}, {HOUR})) AS hour_ms)",
     "salted_hash": f"SELECT page_id, sha256(from_hex('{SALT}') || encode('url') || from_hex('00') || encode(url)) AS hash FROM pages",
     "url_domain": "SELECT page_id, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS authority, coalesce(url <> '' AND NOT regexp_matches(url, '^(about|chrome|edge|data):'), false) AS trackable FROM pages",
@@ -515,7 +562,7 @@ ORACLE_SQL = {
     "title_dedupe": _EVENTS.replace("WITH e AS", "WITH RECURSIVE e AS") + f""", u AS (
           SELECT user_id, min(ts_utc) AS ts_utc FROM e GROUP BY user_id
           UNION ALL SELECT u.user_id, (SELECT min(e.ts_utc) FROM e WHERE e.user_id = u.user_id AND e.ts_utc >= u.ts_utc + {DAY}) AS t FROM u WHERE t IS NOT NULL
-        ) SELECT user_id, ts_utc FROM u WHERE ts_utc IS NOT NULL""",
+        ) SELECT u.user_id, u.ts_utc, min(e.id) AS id FROM u JOIN e ON e.user_id = u.user_id AND e.ts_utc = u.ts_utc GROUP BY u.user_id, u.ts_utc""",
     "count_batches": _EVENTS + " SELECT monitor, batch, count(*) AS n, min(ts_utc) AS first_ts FROM (SELECT *, (row_number() OVER (PARTITION BY monitor ORDER BY ts_utc, id) - 1) // 128 AS batch FROM e) GROUP BY ALL",
     "activity_counters": _EVENTS + f" SELECT ts_utc // {HOUR} * {HOUR} AS hour_ms, count(*) FILTER (monitor = 'keyboard') AS keys, count(*) FILTER (monitor = 'mouse' AND action = 'error') AS clicks FROM e GROUP BY ALL",
     "table_counts": "SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'pages', count(*) FROM pages",

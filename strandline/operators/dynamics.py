@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import segments
+from strandline.sources import sinks
 from strandline.sources.events import activity_rows
 
 BURST_MS, BURST_KEYS = 500, 5
@@ -63,23 +65,25 @@ def distance(points: DataFrame, by: str, x: str = "x", y: str = "y", order: tupl
     return near.withColumn("_step", step).groupBy(by).agg(F.count(F.lit(1)).alias("moves"), F.coalesce(F.sum("_step"), F.lit(0)).alias("distance_px"))
 
 
-def keyboard_batches(rows: DataFrame, by: str, n: int = 128, ts: str = "ts_utc", tie: str = "id") -> DataFrame:
-    """(by, batch, keydown, mean_ms, p95_ms, stdev_ms, bursts): statistics of every
-    ``n`` key presses.  The intervals of a batch begin anew, as its buffers do."""
-    dealt = count_batches(rows, by, n, (ts, tie))
-    own = F.array_sort(F.collect_list(F.col(ts).cast("bigint")))
-    folded = dealt.groupBy(by, "batch").agg(F.count(F.lit(1)).alias("keydown"), own.alias("_t"))
-    steps = F.transform(F.sequence(F.lit(1), F.size("_t") - 1), lambda i: F.element_at("_t", (i + 1).cast("int")) - F.element_at("_t", i.cast("int")))
-    wide = folded.withColumn("_d", F.when(F.size("_t") > 1, F.transform(steps, lambda d: d.cast("double"))).otherwise(F.array().cast("array<double>")))
-    k = F.size("_d")
-    mean = F.when(k > 0, F.aggregate("_d", F.lit(0.0), lambda a, d: a + d) / k).otherwise(0.0)
-    wide = wide.withColumn("mean_ms", mean).withColumn("_s", F.array_sort("_d"))
-    spot = (k - 1) * F.lit(0.95)
-    low, part = F.floor(spot).cast("int"), spot - F.floor(spot)
-    at = lambda i: F.element_at("_s", F.least(i + 1, k))
-    p95 = F.when(k > 0, at(low) + (at(low + 1) - at(low)) * part).otherwise(0.0)
-    spread = F.when(k > 1, F.sqrt(F.aggregate("_d", F.lit(0.0), lambda a, d: a + F.pow(d - F.col("mean_ms"), 2)) / (k - 1))).otherwise(0.0)
-    return wide.select(by, "batch", "keydown", "mean_ms", p95.alias("p95_ms"), spread.alias("stdev_ms"), _fold_bursts("_t", BURST_MS, BURST_KEYS).alias("bursts"))
+def keyboard_batches(rows: DataFrame, by: str, n: int = 128, span: int | None = 1500, kind: str = "kind", ts: str = "ts_utc", tie: str = "id") -> DataFrame:
+    """(by, batch, keydown, keyup, mean_ms, p95_ms, stdev_ms, bursts) of the batches of key
+    presses and releases (``kind`` keydown or keyup).
+
+    A batch is full with ``n`` rows, or ``span`` ms after its first one (None:
+    only by rows).  An interval is the time from the press before, whichever
+    batch that was in, and belongs to the batch of its own press; a burst
+    counts in the batch of the press that completes it, and its presses may
+    have begun in earlier ones.  Batches are numbered by their first rows' places."""
+    placed = sinks.scratch_table(batches(rows.select(by, ts, tie, kind), by, n, span, ts, tie), "keys")
+    presses = placed.where(F.col(kind) == "keydown")
+    hits = burst_ends(presses, by, ts, tie=tie).select(F.col(by).alias("_k"), F.col(tie).alias("_t"), F.lit(1).alias("_hit"))
+    timed = gaps(presses, by, ts, tie).join(hits, F.col(by).eqNullSafe(F.col("_k")) & (F.col(tie) == F.col("_t")), "left")
+    x, zero = F.col("gap").cast("double"), lambda c: F.coalesce(c, F.lit(0.0))
+    stats = timed.groupBy(by, "batch").agg(zero(F.avg(x)).alias("mean_ms"), zero(F.percentile(x, F.lit(0.95))).alias("p95_ms"), zero(F.stddev_samp(x)).alias("stdev_ms"), F.count("_hit").alias("bursts"))
+    counts = placed.groupBy(by, "batch").agg(F.count_if(F.col(kind) == "keydown").alias("keydown"), F.count_if(F.col(kind) == "keyup").alias("keyup"))
+    stats = stats.select(F.col(by).alias("_k"), F.col("batch").alias("_bt"), "mean_ms", "p95_ms", "stdev_ms", "bursts")
+    both = counts.join(stats, F.col(by).eqNullSafe(F.col("_k")) & (F.col("batch") == F.col("_bt")), "left").na.fill(0, ["mean_ms", "p95_ms", "stdev_ms", "bursts"])
+    return both.select(by, "batch", "keydown", "keyup", "mean_ms", "p95_ms", "stdev_ms", "bursts")
 
 
 def mouse_batches(rows: DataFrame, by: str, n: int = 64, ts: str = "ts_utc", tie: str = "id", kind: str = "kind") -> DataFrame:
@@ -112,24 +116,44 @@ def counters_since(rows: DataFrame, triggers: DataFrame, by: str, ts: str = "ts_
     return since.select(by, ts, (F.col("k") - F.coalesce("k0", F.lit(0))).alias("keys"), (F.col("c") - F.coalesce("c0", F.lit(0))).alias("clicks"))
 
 
-def _fold_bursts(times: str, span: int, keys: int) -> Column:
-    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.lit(0).alias("n"))
+def burst_ends(rows: DataFrame, by: str, ts: str = "ts_utc", span: int = BURST_MS, keys: int = BURST_KEYS, tie: str = "id") -> DataFrame:
+    """The rows that complete a burst: ``keys`` rows within ``span``, none of which another burst has used.
 
-    def step(state, t):
-        held = F.concat(F.filter(state["held"], lambda x: x >= t - span), F.array(t))
-        full = F.size(held) >= keys
-        return F.struct(F.when(full, F.array().cast("array<bigint>")).otherwise(held).alias("held"), (state["n"] + full.cast("int")).alias("n"))
-
-    return F.aggregate(times, start, step)["n"]
+    A row may complete one if it is ``span`` or less after the row ``keys`` - 1
+    places before.  Of these rows each burst rules out the next ``keys`` - 1
+    places, so they are spaced by place."""
+    placed = segments.places(rows, by, ts, tie)
+    dense = segments.behind(placed, by, ts, keys - 1, "_from").where(F.col(ts) - F.col("_from") <= span).drop("_from")
+    dense = sinks.scratch_table(dense, "dense")
+    again = segments.places(dense.select(by, F.col("_pos").alias("_at"), F.col("_pos").alias("_tie")), by, "_at", "_tie", segments.PLACES)
+    ends = segments.spaced(again, by, "_at", keys, bucket=segments.PLACES)
+    at = again.alias("a").join(ends.alias("e"), F.col(f"a.{by}").eqNullSafe(F.col(f"e.{by}")) & (F.col("a._pos") == F.col("e._pos"))).select(F.col(f"a.{by}").alias("_k"), "_at")
+    return dense.join(at, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_pos") == F.col("_at")), "left_semi").drop("_pos")
 
 
 def bursts(rows: DataFrame, by: str, ts: str = "ts_utc", span: int = BURST_MS, keys: int = BURST_KEYS, tie: str = "id") -> DataFrame:
-    """(by, bursts): ``keys`` rows within ``span`` count once and empty the buffer.
-
-    A gap of more than ``span`` empties the buffer too, so each run of rows
-    without one is folded alone."""
-    runs = islands(rows, by, span, ts, tie).groupBy(by, "island").agg(F.array_sort(F.collect_list(F.col(ts).cast("bigint"))).alias("t"))
-    return runs.select(by, _fold_bursts("t", span, keys).alias("n")).groupBy(by).agg(F.sum("n").cast("int").alias("bursts"))
+    """(by, bursts): ``keys`` rows within ``span`` count once and empty the buffer; groups without a burst have 0."""
+    found = burst_ends(rows, by, ts, span, keys, tie).groupBy(by).agg(F.count(F.lit(1)).cast("int").alias("bursts"))
+    groups = rows.select(F.col(by).alias("_k")).distinct()
+    return groups.join(found, F.col("_k").eqNullSafe(F.col(by)), "left").select(F.col("_k").alias(by), F.coalesce("bursts", F.lit(0)).alias("bursts"))
+
+
+def batches(rows: DataFrame, by: str, n: int, span: int | None = None, ts: str = "ts_utc", tie: str = "id") -> DataFrame:
+    """Add ``batch``, the place of the row that opens the row's batch: a batch is full with ``n``
+    rows, or when a row comes ``span`` or more after the one that opened it."""
+    placed = segments.places(rows, by, ts, tie)
+    if span is None:
+        return placed.withColumn("batch", F.floor(F.col("_pos") / n).cast("long") * n).drop("_pos")
+    placed = sinks.scratch_table(placed, "batches")
+    opens = segments.spaced(placed.select(by, "_pos", ts), by, ts, span, n).select(F.col(by).alias("_k"), F.col("_pos").alias("_open"))
+    marked = placed.join(opens, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_pos") == F.col("_open")), "left")
+    run = F.floor(F.col("_pos") / segments.PLACES).cast("long")
+    marked = marked.withColumn("_run", run)
+    before = Window.partitionBy(by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = marked.groupBy(by, "_run").agg(F.max("_open").alias("_o")).select(F.col(by).alias("_kk"), F.col("_run").alias("_kr"), F.max("_o").over(before).alias("_carry"))
+    inside = F.max("_open").over(Window.partitionBy(by, "_run").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = marked.withColumn("_inside", inside).join(lasts, F.col(by).eqNullSafe(F.col("_kk")) & (F.col("_run") == F.col("_kr")))
+    return found.select(*rows.columns, F.coalesce("_inside", "_carry").alias("batch"))
 
 
 def idle_gaps(rows: DataFrame, least: int = 7000) -> DataFrame:
@@ -155,18 +179,11 @@ def changes(rows: DataFrame, by: str, columns: tuple[str, ...], order: tuple[str
 
 
 def dedupe_within(rows: DataFrame, by: str, ts: str = "ts_utc", span: int = 5000, tie: str = "id") -> DataFrame:
-    """(by, ts_utc) of rows at least ``span`` after the last one kept of their group.
-
-    A row that far after the one before is kept in any case, so each run of
-    closer rows is folded alone; of the kept times only the last is looked at."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(state, t):
-        far = state["last"].isNull() | (t - state["last"] >= span)
-        return F.struct(F.when(far, t).otherwise(state["last"]).alias("last"), F.when(far, F.concat(state["kept"], F.array(t))).otherwise(state["kept"]).alias("kept"))
-
-    runs = islands(rows, by, span - 1, ts, tie).groupBy(by, "island").agg(F.array_sort(F.collect_list(F.col(ts).cast("bigint"))).alias("t"))
-    return runs.select(by, F.explode(F.aggregate("t", start, step)["kept"]).alias(ts))
+    """The rows, whole, at least ``span`` after the last one kept of their group; the first
+    of a group is kept, and of rows at one time the first by ``tie``."""
+    placed = sinks.scratch_table(segments.places(rows, by, ts, tie), "dedupe")
+    kept = segments.spaced(placed.select(by, "_pos", ts), by, ts, span).select(F.col(by).alias("_k"), F.col("_pos").alias("_kp"))
+    return placed.join(kept, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_pos") == F.col("_kp")), "left_semi").drop("_pos")
 
 
 def count_batches(rows: DataFrame, by: str, n: int, order: tuple[str, str] = ("ts_utc", "id")) -> DataFrame:

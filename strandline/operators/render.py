@@ -53,10 +53,23 @@ def hourly_report(metrics: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def daily_report(metrics: DataFrame) -> DataFrame:
-    """(day_ms, txt, day_hash, sha256) of each day."""
+    """(day_ms, txt, json, csv, day_hash, sha256) of each day."""
     df = _metrics(metrics, "day_ms", ("value_num", "hours_counted", "low_conf_hours"))
-    txt = _lines(F.col("m.line"), F.array(F.concat(F.lit("day_hash="), F.col("m")[0]["input_hash"])))
-    return df.select("day_ms", txt.alias("txt"), F.col("m")[0]["input_hash"].alias("day_hash"), F.sha2(txt, 256).alias("sha256"))
+    digest, text = F.col("m")[0]["input_hash"], lambda c: c.cast("string")
+    txt = _lines(F.col("m.line"), F.array(F.concat(F.lit("day_hash="), digest)))
+    fields = lambda x: (text(x["hours_counted"]), text(x["low_conf_hours"]), float_text(x["value_num"]))
+
+    def item(x: Column) -> Column:
+        counted, low, value = fields(x)
+        return F.concat(F.lit('"'), x["metric_key"], F.lit('":{"hours_counted":'), counted, F.lit(',"low_conf_hours":'), low, F.lit(',"value_num":'), value, F.lit("}"))
+
+    def row(x: Column) -> Column:
+        counted, low, value = fields(x)
+        return F.concat_ws(",", counted, low, x["metric_key"], value)
+
+    body = F.concat(F.lit('{"day_hash":"'), digest, F.lit('","day_start_ms":'), text(F.col("day_ms")), F.lit(',"metrics":{'), F.array_join(F.transform("m", item), ","), F.lit("}}"))
+    csv = F.concat(F.lit("hours_counted,low_conf_hours,metric_key,value_num\r\n"), F.array_join(F.transform("m", row), "\r\n"), F.lit("\r\n"))
+    return df.select("day_ms", txt.alias("txt"), body.alias("json"), csv.alias("csv"), digest.alias("day_hash"), F.sha2(txt, 256).alias("sha256"))
 
 
 def hourly_digest(metrics: DataFrame, evidence: DataFrame, advice: DataFrame) -> DataFrame:

@@ -40,6 +40,31 @@ def archived(files: DataFrame, now_hour: str) -> DataFrame:
     return files.where(F.contains("path", F.lit("/_done/")) & ~F.startswith(name, F.lit(now_hour)))
 
 
+def trim_plan(files: DataFrame, now_hour: str, quota: int = QUOTA_BYTES, soft: float = SOFT_SHARE) -> DataFrame:
+    """(path, size) of the archived files to remove so that all of ``files`` come under the soft
+    share of the quota: the oldest first and no more than needed, none of the current
+    hour; nothing where they are under it already."""
+    used = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    excess = used - int(quota * soft)
+    return victims(archived(files, now_hour), max(0, excess)).select("path", "size")
+
+
+def carry_out(spark: SparkSession, plan: DataFrame, dry_run: bool = False) -> dict[str, int]:
+    """Remove the files of a plan (path, size), or only count them; files removed, bytes freed, and files that were gone.
+
+    The plan comes a part at a time, and the calls to the file store run some
+    at once.  A plan may be carried out again: what is gone counts as missing."""
+    from strandline.sources import sinks
+
+    if dry_run:
+        n, size = plan.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        return {"files": n, "bytes": size, "missing": 0}
+    done = [0, 0, 0]
+    for gone, size in sinks.side_by_side(lambda r: (sinks.remove(spark, r["path"]), r["size"]), plan.toLocalIterator()):
+        done = [done[0] + gone, done[1] + (size if gone else 0), done[2] + (not gone)]
+    return {"files": done[0], "bytes": done[1], "missing": done[2]}
+
+
 def expired(files: DataFrame, now, days: int, by: str = "modified") -> DataFrame:
     """Files older than so many days."""
     return files.where(F.col(by) < F.lit(now) - F.expr(f"INTERVAL {days} DAYS"))

@@ -21,7 +21,7 @@ TABLES = {
     "hourly_advice": (["hour_ms", "rule_key", "rule_version"], ["severity", "score", "advice_text", "evidence_json", "reason_json", "input_hash"]),
     "daily_advice": (["day_ms", "rule_key", "rule_version"], ["severity", "score", "advice_text", "evidence_json", "reason_json", "input_hash"]),
     "hourly_report": (["hour_ms"], ["txt", "json", "csv", "hour_hash", "sha256"]),
-    "daily_report": (["day_ms"], ["txt", "day_hash", "sha256"]),
+    "daily_report": (["day_ms"], ["txt", "json", "csv", "day_hash", "sha256"]),
     "hourly_digest": (["hour_ms"], ["txt", "json", "hour_hash", "sha256"]),
     "daily_digest": (["day_ms"], ["txt", "json", "day_hash", "sha256"]),
     "metric_catalog": (["metric_key"], ["unit", "version", "description"]),
@@ -213,10 +213,10 @@ def recompute_hours(store: Store, events: DataFrame, windows: DataFrame, hours:
 
 
 def recompute_days(store: Store, days: DataFrame, run_id: str, now: int, code: str | None = None) -> dict[str, int]:
-    """Roll the stored hours of the days (day_ms) up anew and store them."""
-    hourly = store.read("hourly")
-    n = days.count()
-    if not n or hourly is None:
+    """Roll the stored hours of the days (day_ms) up anew and store them; only their parts are read."""
+    n, first, last = days.agg(F.count(F.lit(1)), F.min("day_ms"), F.max("day_ms")).first()
+    hourly = store.read("hourly", first, last + DAY) if n else None
+    if hourly is None:
         return {"days_examined": n, "inserts": 0, "updates": 0, "unchanged": 0}
     day = (F.floor(F.col("hour_ms") / F.lit(float(DAY))) * DAY).cast("long")
     some = hourly.withColumn("day_ms", day).join(days, "day_ms", "left_semi").drop("day_ms")

@@ -179,19 +179,34 @@ class EventStore:
     def files(self, archived: bool) -> list[str]:
         """Folders of the file lists of commits whose files are, or aren't yet, known to be moved."""
         log = self.log()
-        done = {e["archived"] for e in log if "archived" in e}
+        done = self._marked(log, "archived")
         return [f"{self.folder}/files/{e['commit']}" for e in log if e.get("files") and (e["commit"] in done) == archived]
 
-    def mark_archived(self, commits: list[str]) -> None:
-        """Note that the files of these commits are moved."""
-        done = {e["archived"] for e in self.log() if "archived" in e}
+    def unmarked(self, mark: str) -> list[dict]:
+        """The entries of commits with events that don't have a mark yet."""
+        log = self.log()
+        done = self._marked(log, mark)
+        return [e for e in self._commits(log) if e["commit"] not in done]
+
+    def rows_of(self, entries: list[dict]) -> DataFrame:
+        """The events that these commits added."""
+        return self._events(entries).drop("commit", "bucket")
+
+    def mark(self, mark: str, commits: list[str]) -> None:
+        """Note in the log that something is done with these commits; a second time changes nothing."""
         for commit in commits:
-            while commit not in done:
+            while True:
+                log = self.log()
+                if commit in self._marked(log, mark):
+                    break
                 try:
-                    self._publish({"archived": commit}, len(self.log()) + 1)
+                    self._publish({"mark": mark, "of": commit}, len(log) + 1)
                     break
                 except ConflictError:
-                    done = {e["archived"] for e in self.log() if "archived" in e}
+                    continue
+
+    def _marked(self, log: list[dict], mark: str) -> set[str]:
+        return {e["of"] for e in log if e.get("mark") == mark}
 
     def vacuum(self) -> int:
         """Delete what jobs left behind that didn't commit; how many folders.  No writer may be at work."""

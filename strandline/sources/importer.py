@@ -93,7 +93,7 @@ def archive(spark: SparkSession, spool: str, store: EventStore, at: Callable[[st
             return 1
 
         moved += sum(sinks.side_by_side(put, spark.read.parquet(folder).toLocalIterator()))  # a part of the list at a time
-    store.mark_archived([f.rsplit("/", 1)[1] for f in folders])
+    store.mark("archived", [f.rsplit("/", 1)[1] for f in folders])
     return moved
 
 

@@ -68,9 +68,10 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> Iterator[str]:
     return (r["path"] for r in found.select("path").orderBy("path").toLocalIterator())
 
 
-def remove(spark: SparkSession, name: str) -> None:
+def remove(spark: SparkSession, name: str) -> bool:
+    """Delete a file or folder; whether there was one."""
     files, path = _path(spark, name)
-    files.delete(path, True)
+    return bool(files.delete(path, True))
 
 
 _leaving: dict[str, SparkSession] = {}
@@ -89,6 +90,28 @@ def _remove_leaving() -> None:
             remove(spark, folder)
 
 
+def scratch_table(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the session's shared scratch folder and read it back: it survives
+    lost executors and cuts the lineage.  It goes when released, or at the end."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    home = f"{(base or 'file:///tmp/checkpoints/strandline').rstrip('/')}/steps-{spark.sparkContext.applicationId}"
+    remove_at_exit(spark, home)
+    path = f"{home}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete scratch tables that no later job reads."""
+    for table in tables:
+        remove(spark, table._scratch)
+
+
 def write_small(spark: SparkSession, name: str, content: bytes) -> None:
     """Write a sidecar or an artifact of a few KB through the driver."""
     files, path = _path(spark, name)

@@ -133,3 +133,60 @@ def test_hours_computed_anew_are_each_alone(spark, tmp_path):
         assert sorted(map(tuple, own.collect())) == sorted(map(tuple, kept.read("hourly", start, start + HOUR).select(*own.columns).collect()))
     whole = sessions.focus_sessions(e, dims, T0, T0 + 3 * HOUR, 3_600_000).count()
     assert whole == 3 and stored.recompute_hours(kept, e, dims, spark.createDataFrame([], "hour_ms long"), 1, "r", 2)["hours_examined"] == 0
+
+
+def test_artifacts_are_written_once(spark, tmp_path):
+    from hashlib import sha256
+
+    from strandline.operators import advice, render
+    from strandline.plans import artifacts
+
+    e = events(spark, [(T0 + k * 7 * 60_000, ("active_window", "keyboard", "mouse")[k % 3], f"w{k % 2 + 1}") for k in range(30)])
+    dims = spark.createDataFrame([("w1", "a"), ("w2", 'b"q')], "id string, app_id string")
+    kept = Store(spark, f"file://{tmp_path}/s")
+    assert artifacts.plan(kept) is None
+    hourly = metrics.hourly_summary(e, dims, T0, T0 + 4 * HOUR, 600_000)
+    proof = sessions.evidence(sessions.top_apps(sessions.by_hour(sessions.focus_sessions(e, dims, T0, T0 + 4 * HOUR, 600_000))))
+    daily = metrics.daily_summary(hourly)
+    kept.upsert("hourly_report", render.hourly_report(hourly, proof), "r", 1)
+    kept.upsert("daily_report", render.daily_report(daily), "r", 1)
+    kept.upsert("hourly_digest", render.hourly_digest(hourly, proof, advice.hourly_advice(hourly, proof)), "r", 1)
+    files = artifacts.plan(kept)
+    out = tmp_path / "out"
+    assert artifacts.carry_out(kept, files, f"file://{out}", dry_run=True) == {"written": 4 * 3 + 3 + 4 * 2, "unchanged": 0} and not out.exists()
+    assert artifacts.carry_out(kept, files, f"file://{out}")["written"] == 23
+    for r in files.collect():
+        raw = (out / r.path).read_bytes()
+        assert sha256(raw).hexdigest() == r.sha256 and r.path.startswith("2024/01/01/")
+        if r.form == "json":
+            assert raw.decode() == json.dumps(json.loads(raw), indent=2, sort_keys=True) + "\n"
+    assert artifacts.carry_out(kept, files, f"file://{out}") == {"written": 0, "unchanged": 23}
+    spoilt = next(out.rglob("*.csv"))
+    spoilt.write_text("other")
+    assert artifacts.carry_out(kept, artifacts.plan(kept, T0, T0 + DAY), f"file://{out}") == {"written": 1, "unchanged": 22}
+    first = json.loads(next(out.rglob("daily-*.json")).read_text())
+    assert set(first) == {"day_hash", "day_start_ms", "metrics"} and set(first["metrics"]["focus_minutes"]) == {"hours_counted", "low_conf_hours", "value_num"}
+
+
+def test_retention_plans_are_carried_out_once(spark, tmp_path):
+    import os
+
+    from strandline.operators import retention
+
+    for k in range(6):
+        path = tmp_path / "_done" / "mouse" / f"2024010{k}-00-x.ndjson.gz"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * 100)
+        os.utime(path, (1_700_000_000 + k * 90_000,) * 2)
+    (tmp_path / "mouse").mkdir()
+    (tmp_path / "mouse" / "20240109-00-y.ndjson.gz").write_bytes(b"y" * 100)
+    files = retention.list_files(spark, f"file://{tmp_path}")
+    assert retention.trim_plan(files, "20240101-00", 1000).count() == 0
+    plan = retention.trim_plan(files, "20240101-00", 600)  # 700 bytes are used, 540 allowed; the current hour's file stays
+    want = {"20240100-00-x.ndjson.gz", "20240102-00-x.ndjson.gz"}
+    assert {r.path.split("/")[-1] for r in plan.collect()} == want
+    plan = spark.createDataFrame(plan.collect(), plan.schema)
+    assert retention.carry_out(spark, plan, dry_run=True) == {"files": 2, "bytes": 200, "missing": 0}
+    assert retention.carry_out(spark, plan) == {"files": 2, "bytes": 200, "missing": 0}
+    assert retention.carry_out(spark, plan) == {"files": 0, "bytes": 0, "missing": 2}
+    assert {p.name for p in (tmp_path / "_done" / "mouse").glob("*.gz")} == {f"2024010{k}-00-x.ndjson.gz" for k in (1, 3, 4, 5)} and retention.list_files(spark, f"file://{tmp_path}").count() == 5
