@@ -52,8 +52,34 @@ class Inputs:
         return self.hourly().where(h % 50 != 0).withColumn("input_hash", old)
 
 
-def _q(f):
-    return lambda spark, sf_dir: f(Inputs(spark, sf_dir))
+class Written(Inputs):
+    """Inputs whose parts of sessions and hourly rows are worked out once, written, and read by all that a query derives from them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        self._made: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = sinks.scratch_table(make(), name)
+        return self._made[name]
+
+    def parts(self) -> DataFrame:
+        return self._once("parts", super().parts)
+
+    def hourly(self) -> DataFrame:
+        return self._once("hourly", lambda: metrics.hourly_of_parts(self.events, self.parts(), START, END))
+
+    def evidence(self) -> DataFrame:
+        return self._once("evidence", super().evidence)
+
+
+def _q(f, inputs=Inputs):
+    return lambda spark, sf_dir: f(inputs(spark, sf_dir))
+
+
+def _w(f):
+    return _q(f, Written)
 
 
 def _bad_lines(x: Inputs) -> DataFrame:
@@ -183,6 +209,26 @@ def _seeded(x: Inputs) -> stored.Store:
     return kept
 
 
+def _with_hours(x: Inputs) -> stored.Store:
+    """A store that holds the catalogs and the events' hours and days."""
+    kept = _seeded(x)
+    kept.upsert("hourly", x.hourly(), "a", 1)
+    kept.upsert("daily", metrics.daily_summary(x.hourly()), "a", 1)
+    return kept
+
+
+def _preview(x: Inputs) -> DataFrame:
+    first, last = x.events.agg(F.min("ts_utc"), F.max("ts_utc")).first()
+    return views.hour_preview(x.spark, first // HOUR * HOUR, (last // HOUR + 1) * HOUR)
+
+
+def _rules_met(x: Inputs) -> DataFrame:
+    """The hourly and daily rules, and how often each was met."""
+    rules = x.spark.createDataFrame(list(advice.CATALOG), "rule_key string, version int, title string, description string")
+    met = advice.hourly_advice(x.hourly(), x.evidence(), aliases=True).select("rule_key").union(advice.daily_advice(metrics.daily_summary(x.hourly()), aliases=True).select("rule_key")).groupBy("rule_key").agg(F.count(F.lit(1)).alias("met"))
+    return rules.join(met, "rule_key", "left").na.fill(0, ["met"])
+
+
 QUERIES = {
     "dimension_upsert": _q(_dimension),
     "dimension_ids": _q(_window_ids),
@@ -192,27 +238,27 @@ QUERIES = {
     "activity_rows": _q(lambda x: source.activity_rows(_some_idle(x)).select("id", "monitor")),
     "idle_snapshots": _q(lambda x: dynamics.idle_snapshots(_some_idle(x), 300_000)),
     "status": _q(lambda x: views.status(x.events, END)),
-    "metric_lines": _q(lambda x: views.metric_lines(_seeded(x).read("metric_catalog"))),
-    "rule_lines": _q(lambda x: views.rule_lines(_seeded(x).read("rule_catalog"))),
-    "advice_lines": _q(lambda x: views.advice_lines(advice.hourly_advice(x.hourly(), x.evidence(), aliases=True))),
-    "hour_preview": _q(lambda x: views.hour_preview(x.spark, START, END)),
-    "missing_tables": _q(lambda x: views.missing(_seeded(x))),
-    "tables_like": _q(lambda x: views.tables(_seeded(x), "rule%")),
+    "metric_lines": _w(lambda x: views.metric_lines(_seeded(x).read("metric_catalog").join(x.hourly().select("metric_key").distinct(), "metric_key", "left_semi"))),
+    "rule_lines": _w(lambda x: views.rule_lines(_seeded(x).read("rule_catalog").join(advice.hourly_advice(x.hourly(), x.evidence(), aliases=True).select("rule_key").distinct(), "rule_key", "left_semi"))),
+    "advice_lines": _w(lambda x: views.advice_lines(advice.hourly_advice(x.hourly(), x.evidence(), aliases=True))),
+    "hour_preview": _q(_preview),
+    "missing_tables": _w(lambda x: views.missing(_with_hours(x))),
+    "tables_like": _w(lambda x: views.tables(_with_hours(x), "%ly")),
     "largest_files": _q(lambda x: retention.largest(x.table("pages").select(F.col("page_id").alias("path"), F.octet_length("html").cast("long").alias("size")))),
     "event_store": _q(_event_store),
     "journal_imports": _q(_imports),
-    "stored_upserts": _q(_upserts),
+    "stored_upserts": _w(_upserts),
     "recomputed_hours": _q(lambda x: _recomputed(x).read("hourly").select("hour_ms", "metric_key", "value_num", "input_hash", "run_id", "created_utc_ms", "updated_utc_ms")),
     "recomputed_days": _q(lambda x: _recomputed(x).read("daily").select("day_ms", "metric_key", "value_num", "input_hash")),
     "keyboard_batches": _q(lambda x: dynamics.keyboard_batches(_keys(x), "user_id", 16, DAY).select("user_id", "batch", "keydown", "keyup", "bursts", *[scalars.round2(F.col(c)).alias(c) for c in ("mean_ms", "p95_ms", "stdev_ms")])),
     "timed_batches": _q(lambda x: dynamics.batches(x.events.select("user_id", "ts_utc", "id"), "user_id", 8, 2 * DAY)),
     "mouse_batches": _q(lambda x: dynamics.mouse_batches(_mouse(x), "user_id", 16)),
     "counters_since_trigger": _q(lambda x: dynamics.counters_since(x.events, x.events.where("monitor = 'active_window'").select("user_id", "ts_utc"), "user_id")),
-    "hourly_report_json": _q(lambda x: render.hourly_report(x.hourly(), x.evidence()).select("hour_ms", "json", "csv")),
+    "hourly_report_json": _w(lambda x: render.hourly_report(x.hourly(), x.evidence()).select("hour_ms", "json", "csv")),
     "event_time_range_latest": _q(lambda x: source.latest_in_range(x.events, START + DAY, START + 2 * DAY, 50).select("id", "ts_utc", "monitor")),
     "monitor_status": _q(lambda x: x.events.groupBy("monitor").agg(F.max("ts_utc").alias("last_ts"), F.count(F.lit(1)).alias("n")).withColumn("age", scalars.age_text(F.lit(END) - F.col("last_ts")))),
-    "hour_grid": _q(lambda x: sessions.closed_hours(x.hours(), END, 5)),
-    "day_grid": _q(lambda x: x.spark.range(START, END + DAY, DAY).select(F.col("id").alias("day_ms"))),
+    "hour_grid": _q(lambda x: sessions.closed_hours(sessions.spanned(x.events, HOUR, "hour_ms"), END - 7 * DAY, 5)),
+    "day_grid": _q(lambda x: sessions.spanned(x.events, DAY, "day_ms")),
     "focus_sessions": _q(Inputs.sessions),
     "session_hour_clip": _q(Inputs.parts),
     "hourly_focus": _q(lambda x: metrics.hourly_wide(x.events, x.windows, START, END, IDLE).select("hour_ms", "focus_minutes", "idle_minutes", "coverage")),
@@ -230,17 +276,17 @@ QUERIES = {
     "dedupe_events": _q(lambda x: upsert.new_events(x.events.union(x.events.where("user_id % 3 = 0")).select("id", "ts_utc"), x.events.where("user_id % 5 = 0"))),
     "dim_first_last_seen": _q(lambda x: upsert.first_last_seen(x.events, "subject_id", carry=("action",))),
     "left_join_dim": _q(lambda x: x.events.join(x.windows.withColumnRenamed("id", "subject_id"), "subject_id", "left").groupBy("app_id").agg(F.count(F.lit(1)).alias("n"))),
-    "advice_hourly": _q(lambda x: advice.hourly_advice(x.hourly(), x.evidence(), aliases=True)),
+    "advice_hourly": _w(lambda x: advice.hourly_advice(x.hourly(), x.evidence(), aliases=True)),
     "advice_daily": _q(lambda x: advice.daily_advice(metrics.daily_summary(x.hourly()), aliases=True)),
-    "advice_catalog": _q(lambda x: x.spark.createDataFrame(list(advice.CATALOG), "rule_key string, version int, title string, description string")),
+    "advice_catalog": _w(_rules_met),
     "digest_order": _q(lambda x: advice.hourly_advice(x.hourly(), aliases=True).select("hour_ms", "rule_key", advice.severity_rank(F.col("severity")).alias("place"))),
-    "hourly_report_txt": _q(lambda x: render.hourly_report(x.hourly(), x.evidence()).select("hour_ms", "txt", "sha256")),
+    "hourly_report_txt": _w(lambda x: render.hourly_report(x.hourly(), x.evidence()).select("hour_ms", "txt", "sha256")),
     "daily_report_txt": _q(lambda x: render.daily_report(metrics.daily_summary(x.hourly())).select("day_ms", "txt", "sha256")),
-    "hourly_digest": _q(lambda x: render.hourly_digest(x.hourly(), x.evidence(), advice.hourly_advice(x.hourly(), x.evidence()))),
-    "daily_digest": _q(lambda x: render.daily_digest(metrics.daily_summary(x.hourly()), advice.daily_advice(metrics.daily_summary(x.hourly())))),
+    "hourly_digest": _w(lambda x: render.hourly_digest(x.hourly(), x.evidence(), advice.hourly_advice(x.hourly(), x.evidence()))),
+    "daily_digest": _w(lambda x: render.daily_digest(metrics.daily_summary(x.hourly()), advice.daily_advice(metrics.daily_summary(x.hourly())))),
     "daily_report_json": _q(lambda x: render.daily_report(metrics.daily_summary(x.hourly())).select("day_ms", "json", "csv")),
-    "artifact_files": _q(lambda x: artifacts.files_of("hourly_report", render.hourly_report(x.hourly(), x.evidence())).union(artifacts.files_of("daily_report", render.daily_report(metrics.daily_summary(x.hourly())))).where("form <> 'json'").select("period_ms", "kind", "form", "path", "sha256")),
-    "artifact_paths": _q(lambda x: x.hours().select("hour_ms", render.artifact_path("hourly", F.col("hour_ms"), F.sha2(F.col("hour_ms").cast("string"), 256), "txt").alias("path"))),
+    "artifact_files": _w(lambda x: artifacts.files_of("hourly_report", render.hourly_report(x.hourly(), x.evidence())).union(artifacts.files_of("daily_report", render.daily_report(metrics.daily_summary(x.hourly())))).where("form <> 'json'").select("period_ms", "kind", "form", "path", "sha256")),
+    "artifact_paths": _w(lambda x: x.hourly().groupBy("hour_ms").agg(F.min("input_hash").alias("h")).select("hour_ms", render.artifact_path("hourly", F.col("hour_ms"), F.col("h"), "txt").alias("path"))),
     "salted_hash": _q(lambda x: x.table("pages").select("page_id", scalars.salted_hash(F.col("url"), "url", SALT).alias("hash"))),
     "url_domain": _q(lambda x: x.table("pages").select("page_id", scalars.url_authority(F.col("url")).alias("authority"), scalars.trackable_url(F.col("url")).alias("trackable"))),
     "inter_event_stats": _q(lambda x: dynamics.interval_stats(dynamics.gaps(x.events, "monitor"), "monitor").select("monitor", "n", scalars.round4(F.col("p95_ms")).alias("p95_ms"), scalars.round4(F.col("mean_ms")).alias("mean_ms"))),
@@ -443,12 +489,13 @@ ORACLE_SQL = {
     "status": _EVENTS + f""" SELECT monitor, event_count, strftime(make_timestamp(last * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN last % 1000 <> 0 THEN '.' || lpad(CAST(last % 1000 AS VARCHAR), 3, '0') || '000' ELSE '' END || '+00:00' AS last_event_utc, a AS age_seconds,
         CASE WHEN a < 60 THEN a || 's ago' WHEN a < 3600 THEN a // 60 || 'm ago' WHEN a < 86400 THEN a // 3600 || 'h ago' ELSE a // 86400 || 'd ago' END AS age_str
         FROM (SELECT monitor, count(*) AS event_count, max(ts_utc) AS last, ({END} - max(ts_utc)) // 1000 AS a FROM e GROUP BY monitor)""",
-    "metric_lines": "SELECT 'metric_key=' || k || ',unit=' || u || ',version=1' AS line FROM (VALUES ('focus_minutes', 'minutes'), ('idle_minutes', 'minutes'), ('keyboard_events', 'count'), ('mouse_events', 'count'), ('context_switches', 'count'), ('deep_focus_minutes', 'minutes')) v(k, u)",
-    "rule_lines": "SELECT k || ',1,' || t AS line FROM (VALUES " + ", ".join(f"('{k}', '{t}')" for k, _, t, _ in advice.CATALOG) + ") v(k, t)",
+    "metric_lines": _SUMMARY + " SELECT 'metric_key=' || k || ',unit=' || u || ',version=1' AS line FROM (VALUES ('focus_minutes', 'minutes'), ('idle_minutes', 'minutes'), ('keyboard_events', 'count'), ('mouse_events', 'count'), ('context_switches', 'count'), ('deep_focus_minutes', 'minutes')) v(k, u) WHERE k IN (SELECT metric_key FROM y)",
+    "rule_lines": _SUMMARY + _advice_sql(False) + " SELECT k || ',1,' || t AS line FROM (VALUES " + ", ".join(f"('{k}', '{t}')" for k, _, t, _ in advice.CATALOG) + ") v(k, t) WHERE k IN (SELECT rule_key FROM adv)",
     "advice_lines": _SUMMARY + _advice_sql(False) + """ SELECT hour_ms, rule_key, 'advice rule=' || rule_key || ',version=' || rule_version || ',severity=' || severity || ',score=' || CAST(score AS VARCHAR) || ',text="' || advice_text || '",hash=' || input_hash AS line FROM adv""",
-    "hour_preview": f"SELECT i AS place, CASE WHEN i >= 3 THEN '...' ELSE '' END || 'win=' || i || ',hstart_ms=' || ({START} + i * {HOUR}) || ',hend_ms=' || ({START} + (i + 1) * {HOUR}) AS line FROM (SELECT unnest(range(0, {(END - START) // HOUR})) AS i) WHERE i < 3 OR i >= {(END - START) // HOUR - 3}",
-    "missing_tables": "SELECT unnest(['hourly', 'evidence', 'daily', 'hourly_advice', 'daily_advice', 'hourly_report', 'daily_report', 'hourly_digest', 'daily_digest', 'runs']) AS name",
-    "tables_like": "SELECT 'rule_catalog' AS name",
+    "hour_preview": _EVENTS + f""", n AS (SELECT min(ts_utc) // {HOUR} * {HOUR} AS a, max(ts_utc) // {HOUR} - min(ts_utc) // {HOUR} + 1 AS n FROM e
+        ) SELECT i AS place, CASE WHEN i >= 3 AND n > 6 THEN '...' ELSE '' END || 'win=' || i || ',hstart_ms=' || (a + i * {HOUR}) || ',hend_ms=' || (a + (i + 1) * {HOUR}) AS line FROM (SELECT *, unnest(range(0, n)) AS i FROM n) WHERE i < 3 OR i >= n - 3""",
+    "missing_tables": _SUMMARY + " SELECT name FROM (SELECT unnest(['hourly', 'daily']) AS name) WHERE NOT EXISTS (SELECT 1 FROM y) UNION ALL SELECT unnest(['evidence', 'hourly_advice', 'daily_advice', 'hourly_report', 'daily_report', 'hourly_digest', 'daily_digest', 'runs'])",
+    "tables_like": _SUMMARY + " SELECT name FROM (SELECT unnest(['hourly', 'daily']) AS name) WHERE EXISTS (SELECT 1 FROM y)",
     "largest_files": "SELECT page_id AS path, CAST(coalesce(octet_length(encode(html)), 0) AS BIGINT) AS size FROM pages ORDER BY octet_length(encode(html)) DESC NULLS LAST, page_id LIMIT 5",
     "advice_hourly": _SUMMARY + _advice_sql(False) + " SELECT * FROM adv",
     "advice_daily": _SUMMARY + _advice_sql(True) + " SELECT * FROM adv",
@@ -502,8 +549,8 @@ ORACLE_SQL = {
     "monitor_status": _EVENTS + f""" SELECT monitor, max(ts_utc) AS last_ts, count(*) AS n,
         CASE WHEN a < 60 THEN a || 's ago' WHEN a < 3600 THEN a // 60 || 'm ago' WHEN a < 86400 THEN a // 3600 || 'h ago' ELSE a // 86400 || 'd ago' END AS age
         FROM (SELECT *, ({END} - max(ts_utc) OVER (PARTITION BY monitor)) // 1000 AS a FROM e) GROUP BY monitor, a""",
-    "hour_grid": f"SELECT unnest(range({START}, {END} - {HOUR}, {HOUR})) AS hour_ms",
-    "day_grid": f"SELECT unnest(range({START}, {END} + {DAY}, {DAY})) AS day_ms",
+    "hour_grid": _EVENTS + f" SELECT h AS hour_ms FROM (SELECT unnest(range(min(ts_utc) // {HOUR} * {HOUR}, max(ts_utc) + 1, {HOUR})) AS h FROM e) WHERE h + {HOUR} + 300000 <= {END - 7 * DAY}",
+    "day_grid": _EVENTS + f" SELECT unnest(range(min(ts_utc) // {DAY} * {DAY}, max(ts_utc) + 1, {DAY})) AS day_ms FROM e",
     "focus_sessions": _SESSIONS + " SELECT start_ms, end_ms, window_id, app_id FROM f",
     "session_hour_clip": _SESSIONS + " SELECT hour_ms, start_ms, end_ms, window_id, app_id FROM p",
     "hourly_focus": _HOURLY + " SELECT hour_ms, focus_minutes, idle_minutes, coverage FROM mw",
@@ -525,7 +572,7 @@ ORACLE_SQL = {
     "dedupe_events": _EVENTS + " SELECT DISTINCT id, ts_utc FROM e WHERE user_id % 5 <> 0",
     "dim_first_last_seen": _EVENTS + " SELECT subject_id, min(ts_utc) AS first_seen_utc, max(ts_utc) AS last_seen_utc, arg_max(action, ts_utc) AS action FROM e GROUP BY subject_id",
     "left_join_dim": _EVENTS + " SELECT app_id, count(*) AS n FROM e LEFT JOIN w ON w.id = e.subject_id GROUP BY app_id",
-    "advice_catalog": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}, '{t}', '{d}')" for k, v, t, d in advice.CATALOG) + ") v(rule_key, version, title, description)",
+    "advice_catalog": _SUMMARY + " SELECT v.*, (SELECT count(*) FROM (" + "WITH " + _advice_sql(False)[2:] + " SELECT rule_key FROM adv) a WHERE a.rule_key = v.rule_key) + (SELECT count(*) FROM (" + "WITH " + _advice_sql(True)[2:] + " SELECT rule_key FROM adv) a WHERE a.rule_key = v.rule_key) AS met FROM (VALUES " + ", ".join(f"('{k}', {v}, '{t}', '{d}')" for k, v, t, d in advice.CATALOG) + ") v(rule_key, version, title, description)",
     "digest_order": _SUMMARY + " SELECT hour_ms, rule_key, place FROM ar",
     "hourly_report_txt": _SUMMARY + """, o AS (
           SELECT hour_ms, string_agg('metric_key=' || metric_key || ',value_num=' || CAST(value_num AS VARCHAR) || ',coverage_ratio=' || CAST(CAST(coverage_ratio AS DOUBLE) AS VARCHAR), chr(10) ORDER BY metric_key) AS t FROM y GROUP BY hour_ms
@@ -550,7 +597,7 @@ ORACLE_SQL = {
           UNION ALL SELECT day_ms, 'daily', 'txt', h, t || chr(10) || 'day_hash=' || h FROM n
           UNION ALL SELECT day_ms, 'daily', 'csv', h, 'hours_counted,low_conf_hours,metric_key,value_num' || chr(13) || chr(10) || c || chr(13) || chr(10) FROM n
         ) SELECT period_ms, kind, form, strftime(make_timestamp(period_ms * 1000), '%Y/%m/%d') || '/' || kind || '-' || period_ms || '-' || substr(h, 1, 8) || '.' || form AS path, sha256(body) AS sha256 FROM af""",
-    "artifact_paths": f"SELECT hour_ms, strftime(make_timestamp(hour_ms * 1000), '%Y/%m/%d') || '/hourly-' || hour_ms || '-' || substr(sha256(CAST(hour_ms AS VARCHAR)), 1, 8) || '.txt' AS path FROM (SELECT unnest(range({START}, {END}, {HOUR})) AS hour_ms)",
+    "artifact_paths": _SUMMARY + " SELECT hour_ms, strftime(make_timestamp(hour_ms * 1000), '%Y/%m/%d') || '/hourly-' || hour_ms || '-' || substr(min(input_hash), 1, 8) || '.txt' AS path FROM y GROUP BY hour_ms",
     "salted_hash": f"SELECT page_id, sha256(from_hex('{SALT}') || encode('url') || from_hex('00') || encode(url)) AS hash FROM pages",
     "url_domain": "SELECT page_id, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS authority, coalesce(url <> '' AND NOT regexp_matches(url, '^(about|chrome|edge|data):'), false) AS trackable FROM pages",
     "inter_event_stats": _EVENTS + """ SELECT monitor, count(g) AS n, floor(quantile_cont(CAST(g AS DOUBLE), 0.95) * 10000.0 + 0.5) / 10000.0 AS p95_ms, floor(avg(g) * 10000.0 + 0.5) / 10000.0 AS mean_ms

@@ -32,8 +32,13 @@ def input_hashes(events: DataFrame, hours: DataFrame, code: str | None = None) -
 
 def hourly_wide(events: DataFrame, windows: DataFrame, start: int, end: int, idle_ms: int, alone: bool = False) -> DataFrame:
     """A row for each hour of the range, with or without sessions; ``alone`` as for ``focus_sessions``."""
+    return wide_of_parts(events, by_hour(focus_sessions(events, windows, start, end, idle_ms, alone)), start, end)
+
+
+def wide_of_parts(events: DataFrame, parts: DataFrame, start: int, end: int) -> DataFrame:
+    """The same from the hours' parts of sessions, where they are at hand."""
     hours = hour_grid(events.sparkSession, start, end)
-    focus = hourly_sessions(by_hour(focus_sessions(events, windows, start, end, idle_ms, alone)))
+    focus = hourly_sessions(parts)
     inside = events.where((F.col("ts_utc") >= start) & (F.col("ts_utc") < end) & F.col("monitor").isin("keyboard", "mouse"))
     typed = inside.groupBy((F.expr(f"floor(ts_utc / {HOUR}D)") * HOUR).alias("hour_ms")).agg(F.count_if(F.col("monitor") == "keyboard").alias("keys"), F.count_if(F.col("monitor") == "mouse").alias("clicks"))
     wide = hours.join(focus, "hour_ms", "left").join(typed, "hour_ms", "left").na.fill(0)
@@ -56,7 +61,12 @@ def hourly_long(wide: DataFrame) -> DataFrame:
 
 def hourly_summary(events: DataFrame, windows: DataFrame, start: int, end: int, idle_ms: int, code: str | None = None, alone: bool = False) -> DataFrame:
     """The long metrics with the hash of their hour."""
-    long = hourly_long(hourly_wide(events, windows, start, end, idle_ms, alone))
+    return hourly_of_parts(events, by_hour(focus_sessions(events, windows, start, end, idle_ms, alone)), start, end, code)
+
+
+def hourly_of_parts(events: DataFrame, parts: DataFrame, start: int, end: int, code: str | None = None) -> DataFrame:
+    """The same from the hours' parts of sessions, where they are at hand."""
+    long = hourly_long(wide_of_parts(events, parts, start, end))
     return long.join(input_hashes(events, hour_grid(events.sparkSession, start, end), code).select("hour_ms", "input_hash"), "hour_ms")
 
 

@@ -52,6 +52,12 @@ def hour_grid(spark: SparkSession, start: int, end: int) -> DataFrame:
     return spark.range(first, max(first, last) if start < end else first, HOUR).withColumnRenamed("id", "hour_ms")
 
 
+def spanned(events: DataFrame, period: int, name: str) -> DataFrame:
+    """(name) of all periods of so many ms from that of the first event to that of the last, also those without events; none for no events."""
+    ends = events.agg(*[(F.floor(f("ts_utc") / F.lit(float(period))).cast("long") * period).alias(n) for n, f in (("first", F.min), ("last", F.max))])
+    return ends.where("first IS NOT NULL").select(F.explode(F.sequence("first", "last", F.lit(period).cast("long"))).alias(name))
+
+
 def closed_hours(hours: DataFrame, now: int, grace_minutes: int = 5) -> DataFrame:
     """The hours that ended ``grace_minutes`` ago or longer."""
     return hours.where(F.col("hour_ms") + HOUR + grace_minutes * 60_000 <= now)

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from strandline.functions.scalars import DAY, HOUR
 from strandline.operators import advice, metrics, render, sessions
 from strandline.plans.store import Store, recompute_days, recompute_hours
+from strandline.sources import sinks
 
+#: Times of the day between which a tick rolls up the day before.
+DAILY_FROM, DAILY_UNTIL = 300_000, 3_600_000
 PARAMETERS = ("since", "until", "grace_minutes", "idle_mode", "recompute", "code_version")
 
 
@@ -81,17 +84,38 @@ class Lock:
         return True
 
     def renew(self) -> bool:
-        if self.owner() != self.token:
-            return False
-        with open(self.path, "w") as f:
-            f.write(f"{self.token} {time.time() + self.ttl}")
-        return True
+        """Hold it for another ``ttl`` seconds, if it is still this one's."""
+        return self._swap(f"{self.token} {time.time() + self.ttl}")
 
     def release(self) -> bool:
+        """Give it up, if it is still this one's."""
+        return self._swap(None)
+
+    def _swap(self, content: str | None) -> bool:
+        """Take the file away, look whose it is, and put a new or the same one back.
+
+        A rename is one step, so the file that is looked at is the one that
+        was there, and another's lock comes back as it was."""
         if self.owner() != self.token:
             return False
-        os.remove(self.path)
-        return True
+        aside = f"{self.path}.{self.token}"
+        try:
+            os.rename(self.path, aside)
+        except FileNotFoundError:
+            return False
+        with open(aside) as f:
+            found = f.read()
+        mine = found.split()[:1] == [self.token] and float(found.split()[1]) > time.time()
+        if mine and content is not None:
+            with open(aside, "w") as f:
+                f.write(content)
+        if content is not None or not mine:
+            try:
+                os.link(aside, self.path)
+            except FileExistsError:  # taken meanwhile
+                mine = False
+        os.remove(aside)
+        return mine
 
 
 def locks(folder: str) -> list[tuple[str, str, float]]:
@@ -116,26 +140,13 @@ def purge(folder: str) -> int:
     return n
 
 
-def tick(events: DataFrame, windows: DataFrame, stored: DataFrame | None, now: int, backfill_hours: int = 6, grace_minutes: int = 5, idle_ms: int = sessions.IDLE_MS, code: str | None = None) -> dict[str, DataFrame]:
-    """What the closed hours of the last ``backfill_hours`` give: ``hourly``,
-    ``evidence``, ``advice``, ``digests``, ``daily``, ``daily_advice`` and
-    ``mismatches`` against the stored hourly rows."""
-    end = (now - grace_minutes * 60_000) // HOUR * HOUR
-    start = (now - backfill_hours * HOUR) // HOUR * HOUR
-    hourly = metrics.hourly_summary(events, windows, start, end, idle_ms, code)
-    proof = sessions.evidence(sessions.top_apps(sessions.by_hour(sessions.focus_sessions(events, windows, start, end, idle_ms))))
-    found = advice.hourly_advice(hourly, proof)
-    daily = metrics.daily_summary(hourly, code)
-    out = {"hourly": hourly, "evidence": proof, "advice": found, "digests": render.hourly_digest(hourly, proof, found), "daily": daily, "daily_advice": advice.daily_advice(daily)}
-    if stored is not None:
-        hashes = metrics.input_hashes(events, sessions.hour_grid(events.sparkSession, start, end), code)
-        out["mismatches"] = metrics.hour_mismatches(hashes, stored.where((F.col("hour_ms") >= start) & (F.col("hour_ms") < end)))
-    return out
-
-
-def run_tick(store: Store, events: DataFrame, windows: DataFrame, now: int, folder: str, backfill_hours: int = 6, grace_minutes: int = 5, idle_ms: int = sessions.IDLE_MS, do_daily: bool = False, code: str | None = None) -> dict[str, int]:
+def run_tick(store: Store, events: DataFrame, windows: DataFrame, now: int, folder: str, backfill_hours: int = 6, grace_minutes: int = 5, idle_ms: int = sessions.IDLE_MS, do_daily: bool | None = None, code: str | None = None) -> dict[str, int]:
     """Bring the stored tables up to date for the closed hours of the last
-    ``backfill_hours``, and for their days where ``do_daily`` says so; counters.
+    ``backfill_hours``, and for days; counters.
+
+    ``do_daily`` rolls up the days of these hours, and False none.  Without it
+    the day before is rolled up by the ticks from 5 minutes to an hour after
+    midnight UTC, when its last hour is closed.
 
     One driver at a time: the lock ``tick`` in ``folder`` is held meanwhile.
     Hours are summarised and stored, those whose hashes still differ are
@@ -145,6 +156,7 @@ def run_tick(store: Store, events: DataFrame, windows: DataFrame, now: int, fold
     start, end = (now - backfill_hours * HOUR) // HOUR * HOUR, (now - grace_minutes * 60_000) // HOUR * HOUR
     examined = -(-now // HOUR) - start // HOUR
     out = {"hours_examined": examined, "skipped_open_hours": examined - max(0, end - start) // HOUR}
+    out["hours_recomputed"] = 0
     out |= {f"{x}_{y}": 0 for x in ("hour", "hour_advice", "hour_report", "hour_digest", "day", "day_advice", "day_report", "day_digest") for y in ("inserts", "updates")}
     if end <= start:
         return out
@@ -158,23 +170,35 @@ def run_tick(store: Store, events: DataFrame, windows: DataFrame, now: int, fold
             for k in ("inserts", "updates"):
                 out[f"{kind}_{k}"] += made[k]
 
-        inside = lambda name, period: store.read(name).where((F.col(period) >= start) & (F.col(period) < end))
-        put("hour", "hourly", metrics.hourly_summary(events, windows, start, end, idle_ms, code))
-        store.upsert("evidence", sessions.evidence(sessions.top_apps(sessions.by_hour(sessions.focus_sessions(events, windows, start, end, idle_ms)))), run.run_id, now)
+        inside = lambda name, period: store.read(name, start, end)
+        parts = sinks.scratch_table(sessions.by_hour(sessions.focus_sessions(events, windows, start, end, idle_ms)), "tick-parts")
+        put("hour", "hourly", metrics.hourly_of_parts(events, parts, start, end, code))
+        store.upsert("evidence", sessions.evidence(sessions.top_apps(parts)), run.run_id, now)
+        sinks.release(store.spark, parts)
         hashes = metrics.input_hashes(events, sessions.hour_grid(store.spark, start, end), code)
-        recompute_hours(store, events, windows, metrics.hour_mismatches(hashes, inside("hourly", "hour_ms")), idle_ms, run.run_id, now, code)
-        hourly, proof = inside("hourly", "hour_ms"), inside("evidence", "hour_ms").select("hour_ms", "evidence_json")
+        out["hours_recomputed"] = recompute_hours(store, events, windows, metrics.hour_mismatches(hashes, inside("hourly", "hour_ms")), idle_ms, run.run_id, now, code)["hours_examined"]
+        hourly, proof = inside("hourly", "hour_ms"), inside("evidence", "hour_ms")
+        proof = store.spark.createDataFrame([], "hour_ms long, evidence_json string") if proof is None else proof.select("hour_ms", "evidence_json")
         put("hour_advice", "hourly_advice", advice.hourly_advice(hourly, proof))
         put("hour_report", "hourly_report", render.hourly_report(hourly, proof))
-        put("hour_digest", "hourly_digest", render.hourly_digest(hourly, proof, inside("hourly_advice", "hour_ms")))
+        told = inside("hourly_advice", "hour_ms")
+        put("hour_digest", "hourly_digest", render.hourly_digest(hourly, proof, advice.hourly_advice(hourly, proof) if told is None else told))
+        days = None
         if do_daily:
             days = hourly.select((F.floor(F.col("hour_ms") / F.lit(float(DAY))) * DAY).cast("long").alias("day_ms")).distinct()
+        elif do_daily is None and DAILY_FROM <= now % DAY < DAILY_UNTIL:
+            days = store.spark.createDataFrame([(now // DAY * DAY - DAY,)], "day_ms long")
+        if days is not None:
             made = recompute_days(store, days, run.run_id, now, code)
             out["day_inserts"], out["day_updates"] = made["inserts"], made["updates"]
-            daily = store.read("daily").join(days, "day_ms", "left_semi")
-            put("day_advice", "daily_advice", advice.daily_advice(daily))
-            put("day_report", "daily_report", render.daily_report(daily))
-            put("day_digest", "daily_digest", render.daily_digest(daily, store.read("daily_advice").join(days, "day_ms", "left_semi")))
+            daily = store.read("daily")
+            if daily is not None:
+                daily = daily.join(days, "day_ms", "left_semi")
+                put("day_advice", "daily_advice", advice.daily_advice(daily))
+                put("day_report", "daily_report", render.daily_report(daily))
+                told = store.read("daily_advice")
+                told = advice.daily_advice(daily) if told is None else told.join(days, "day_ms", "left_semi")
+                put("day_digest", "daily_digest", render.daily_digest(daily, told))
         run.finish("ok")
     except Exception:
         run.finish("failed")

@@ -104,7 +104,7 @@ def enrich(rows: DataFrame, monitor: str, session_id: str, now: int) -> DataFram
     return rows.where(good).select(*[made.get(c, F.col(c)).alias(c) for c in rows.columns])
 
 
-def salvage(spark: SparkSession, path: str) -> DataFrame:
+def salvage(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line_no, value, corrupt) of every whole line that damaged gzip files
     still give: each file is unpacked in pieces up to the damage and its last
     line, if unfinished, dropped, in whole files too.  ``corrupt`` marks lines that are no JSON."""
@@ -112,17 +112,21 @@ def salvage(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                engine, tail, rows, n = zlib.decompressobj(31), b"", [], 0
-                for at in range(0, len(content), 1 << 16):
+                tail, rows, n, start = b"", [], 0, 0
+                while start < len(content):  # a file may have several members
+                    engine, at = zlib.decompressobj(31), start
                     try:
-                        tail += engine.decompress(content[at : at + (1 << 16)])
+                        while not engine.eof and at < len(content):
+                            tail += engine.decompress(content[at : at + PIECE])
+                            at = min(at + PIECE, len(content))
+                            *whole, tail = tail.split(b"\n")
+                            for line in filter(None, (x.strip() for x in whole)):
+                                n += 1
+                                text = line.decode("utf-8", "replace")
+                                rows.append((name, n, text, not _is_json(text)))
                     except zlib.error:
                         break
-                    *whole, tail = tail.split(b"\n")
-                    for line in filter(None, (x.strip() for x in whole)):
-                        n += 1
-                        text = line.decode("utf-8", "replace")
-                        rows.append((name, n, text, not _is_json(text)))
+                    start = at - len(engine.unused_data)
                 columns = list(zip(*rows)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.bool_()))], ["file", "line_no", "value", "corrupt"])
 
@@ -130,7 +134,7 @@ def salvage(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, line_no long, value string, corrupt boolean")
 
 
-def unpacked(spark: SparkSession, path: str, glob: str = "*.ndjson.gz", done: str = "_done") -> DataFrame:
+def unpacked(spark: SparkSession, path: str | list[str], glob: str = "*.ndjson.gz", done: str = "_done") -> DataFrame:
     """(file, monitor, kind, line_no, value, error) of all finished journal files of the
     monitors below ``path``, but those in an archive: a row of kind ``line`` for
     each line that isn't blank and, after them, one of kind ``file`` with the error

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,21 +105,53 @@ def overall(stats: DataFrame, seconds: float) -> DataFrame:
     return sums.withColumn("events_per_minute", rate)
 
 
-def recover(spark: SparkSession, spool: str) -> tuple[DataFrame, dict[str, int]]:
-    """Salvage the unfinished files (``.part``) of a spool: the whole lines
-    (monitor, file, line_no, value) that are JSON, and the totals of the sweep.
-
-    Gzip files give what unpacks before the damage, plain ones what stands
-    before the first bad line."""
-    monitors = [m for m in sinks.children(spark, spool) if m in source.MONITORS]
-    packed = [f"{spool}/{m}/{c}" for m in monitors for c in sinks.children(spark, f"{spool}/{m}") if c.endswith(".gz.part")]
-    plain = [f"{spool}/{m}/{c}" for m in monitors for c in sinks.children(spark, f"{spool}/{m}") if c.endswith(".part") and not c.endswith(".gz.part")]
-    kind = "file string, line_no long, value string, corrupt boolean"
-    rows = source.salvage(spark, packed) if packed else spark.createDataFrame([], kind)
+def recover(spark: SparkSession, spool: str, only: tuple[str, ...] | None = None, at: Callable[[str], None] = lambda step: None) -> dict[str, int]:
+    """Turn the unfinished files (``.part``) of a spool, or of the monitors ``only``, into finished
+    ones; the totals of the sweep.
+
+    Of gzip files that counts which unpacks before the damage, of plain ones what stands
+    before the first bad line; lines that are no JSON are left out.  The lines
+    go to ``<stem>_recovered.ndjson.gz`` in the file's folder, what was done to
+    ``<file>.error``, and then the unfinished file goes: a second sweep finds
+    nothing, and one after a stopped sweep makes the same files again.  A file
+    that gives no line stays and counts as failed."""
+    monitors = [m for m in sinks.children(spark, spool) if m in source.MONITORS and (only is None or m in only)]
+    found = [f"{spool}/{m}/{c}" for m in monitors for c in sinks.children(spark, f"{spool}/{m}") if c.endswith(".part")]
+    totals = {"monitors_processed": len(monitors), "temp_files_found": len(found), "temp_files_recovered": 0, "temp_files_failed": len(found), "total_lines_salvaged": 0, "corrupted_lines": 0}
+    if not found:
+        return totals
+    packed, plain = [f for f in found if f.endswith(".gz.part")], [f for f in found if not f.endswith(".gz.part")]
+    rows = source.salvage(spark, packed) if packed else spark.createDataFrame([], "file string, line_no long, value string, corrupt boolean")
     if plain:
         lines = spark.read.text(plain).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), "value")
         rows = rows.union(source.salvage_plain(lines).select("file", "line_no", "value", F.lit(False)))
-    whole = rows.where("NOT corrupt").select(F.element_at(F.split("file", "/"), -2).alias("monitor"), "file", "line_no", "value")
-    good, bad, files = rows.agg(F.count_if(~F.col("corrupt")), F.count_if("corrupt"), F.count_distinct(F.when(~F.col("corrupt"), F.col("file")))).first()
-    n = len(packed) + len(plain)
-    return whole, {"monitors_processed": len(monitors), "temp_files_found": n, "temp_files_recovered": files, "temp_files_failed": n - files, "total_lines_salvaged": good, "corrupted_lines": bad}
+    at("salvage")
+    rows = sinks.scratch_table(rows.withColumn("mark", F.hex(F.xxhash64("file"))), "salvaged")
+    staging = f"{spool}/_recovering-{uuid.uuid4().hex[:8]}"
+    good = rows.where("NOT corrupt")
+    good.repartition("mark").sortWithinPartitions("mark", "line_no").select("value", "mark").write.partitionBy("mark").option("compression", "gzip").text(staging)
+    sizes = sinks.scratch_table(spark.read.format("binaryFile").load(found).select(F.col("path").alias("file"), "length"), "sizes")
+    counts = rows.groupBy("file", "mark").agg(F.count_if(~F.col("corrupt")).alias("good"), F.count_if("corrupt").alias("bad")).join(sizes, "file")
+    damage = source.unpacked(spark, packed, "*.gz.part").where("kind = 'file'").select("file", "error") if packed else spark.createDataFrame([], "file string, error string")
+    damage = sinks.scratch_table(damage, "damage")
+    for r in counts.where("good > 0").join(damage, "file", "left").toLocalIterator():
+        folder, name = r["file"].rsplit("/", 1)
+        stem = name.removesuffix(".part").removesuffix(".ndjson.gz")
+        target = f"{folder}/{stem}_recovered.ndjson.gz"
+        part = next(c for c in sinks.children(spark, f"{staging}/mark={r['mark']}") if c.endswith(".gz"))
+        sinks.remove(spark, target)  # of a sweep that stopped
+        sinks.move(spark, f"{staging}/mark={r['mark']}/{part}", target)
+        at("recovered")
+        note = f'bytes_read={r["length"]}, lines_salvaged={r["good"]}, reason="{r["error"] or "complete file"}"' + (f", invalid_json_lines={r['bad']}" if r["bad"] else "")
+        sinks.write_small(spark, f"{r['file']}.error", note.encode())
+        at("noted")
+        sinks.remove(spark, r["file"])
+        totals["temp_files_recovered"] += 1
+    empty = sizes.join(counts.where("good > 0").select("file"), "file", "left_anti").join(damage, "file", "left")
+    for r in empty.toLocalIterator():
+        if not sinks.exists(spark, f"{r['file']}.error"):
+            sinks.write_small(spark, f"{r['file']}.error", f"No valid lines salvaged from {r['length']} bytes; {r['error'] or 'all lines corrupted'}".encode())
+    good_lines, bad_lines = rows.agg(F.count_if(~F.col("corrupt")), F.count_if("corrupt")).first()
+    sinks.remove(spark, staging)
+    sinks.release(spark, rows, sizes, damage)
+    return totals | {"temp_files_failed": len(found) - totals["temp_files_recovered"], "total_lines_salvaged": good_lines, "corrupted_lines": bad_lines}

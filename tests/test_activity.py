@@ -209,9 +209,21 @@ def test_runs_locks_and_tick(spark, tmp_path):
     assert a.acquire() and not b.acquire() and a.renew() and not b.release() and a.release() and b.acquire()
     short = runs.Lock(str(tmp_path), "short", ttl=-1)
     assert short.acquire() and runs.Lock(str(tmp_path), "short").acquire()
-    e = changes(spark, [(60_000, "w1"), (1_800_000, "w2")])
-    out = runs.tick(e, windows(spark), None, H + HOUR + 600_000, backfill_hours=1)
-    assert out["hourly"].count() == 6 and out["digests"].count() == 1
+    lost, taken = runs.Lock(str(tmp_path), "lost", ttl=-1), runs.Lock(str(tmp_path), "lost")
+    assert lost.acquire() and taken.acquire() and not lost.renew() and not lost.release() and taken.owner() == taken.token and taken.renew() and taken.release()
+
+
+def test_tick_rolls_up_the_day_before_in_its_window(spark, tmp_path):
+    day = H // 86_400_000 * 86_400_000
+    e = frame(spark, [(f"e{i:03}", day + i * 600_000, ("active_window", "keyboard")[i % 2], "w1") for i in range(150)])
+    kept = store.Store(spark, f"file://{tmp_path}/s")
+    at = day + 86_400_000
+    assert not any(v for k, v in runs.run_tick(kept, e, windows(spark), at + 299_999, str(tmp_path), backfill_hours=2).items() if k.startswith("day_"))
+    inside = runs.run_tick(kept, e, windows(spark), at + 300_000, str(tmp_path), backfill_hours=2)
+    assert (inside["day_inserts"], inside["day_report_inserts"], inside["day_digest_inserts"]) == (6, 1, 1) and inside["day_advice_inserts"] >= 1
+    assert {r.day_ms for r in kept.read("daily").collect()} == {day}
+    assert not any(v for k, v in runs.run_tick(kept, e, windows(spark), at + 3_600_000, str(tmp_path), backfill_hours=2).items() if k.startswith("day_"))
+    assert not any(v for k, v in runs.run_tick(kept, e, windows(spark), at + 400_000, str(tmp_path), backfill_hours=2, do_daily=False).items() if k.startswith("day_"))
 
 
 def test_entry_without_the_corpus_package(tmp_path):
@@ -250,13 +262,38 @@ def test_journal_is_read_back(spark, tmp_path):
 
 
 def test_recovery_sweep(spark, tmp_path):
-    pack(tmp_path / "keyboard" / "x.ndjson.gz.part", [json.dumps({"id": i, "pad": hashlib.sha256(str(i).encode()).hexdigest() * 20}) for i in range(200)], cut=-500)
+    long = [json.dumps({"id": i, "pad": hashlib.sha256(str(i).encode()).hexdigest() * 20}) for i in range(200)]
+    pack(tmp_path / "keyboard" / "x.ndjson.gz.part", long, cut=-500)
+    two = gzip.compress(b'{"a":1}\n{"a":2}\n') + gzip.compress(b'{"a":3}\nno json\n{"a":4}\n{"a":5}')
+    (tmp_path / "keyboard" / "two.ndjson.gz.part").write_bytes(two)
+    (tmp_path / "keyboard" / "none.ndjson.gz.part").write_bytes(b"no gzip")
     (tmp_path / "mouse").mkdir()
     (tmp_path / "mouse" / "y.part").write_text('{"a":1}\n{"a":2}\nbad\n{"a":3}\n')
-    rows, totals = importer.recover(spark, str(tmp_path))
-    n = totals["total_lines_salvaged"]
-    assert totals == {"monitors_processed": 2, "temp_files_found": 2, "temp_files_recovered": 2, "temp_files_failed": 0, "total_lines_salvaged": n, "corrupted_lines": 0}
-    assert 2 < n < 202 and rows.where("monitor = 'mouse'").count() == 2
+    spool = f"file://{tmp_path}"
+    assert importer.recover(spark, spool, only=("browser",))["temp_files_found"] == 0
+
+    class Stop(Exception):
+        pass
+
+    def at(step):
+        if step == "noted":
+            raise Stop
+
+    with pytest.raises(Stop):
+        importer.recover(spark, spool, at=at)
+    totals = importer.recover(spark, spool)
+    lines = {p.name: gzip.decompress(p.read_bytes()).decode().splitlines() for p in tmp_path.rglob("*_recovered.ndjson.gz")}
+    whole = len(lines["x_recovered.ndjson.gz"])
+    assert 0 < whole < 200 and lines["x_recovered.ndjson.gz"] == long[:whole]
+    assert lines["two_recovered.ndjson.gz"] == [f'{{"a":{k}}}' for k in (1, 2, 3, 4)] and lines["y_recovered.ndjson.gz"] == ['{"a":1}', '{"a":2}']
+    assert totals == {"monitors_processed": 2, "temp_files_found": 4, "temp_files_recovered": 3, "temp_files_failed": 1, "total_lines_salvaged": whole + 6, "corrupted_lines": 1}
+    note = (tmp_path / "keyboard" / "two.ndjson.gz.part.error").read_text()
+    assert note == f'bytes_read={len(two)}, lines_salvaged=4, reason="complete file", invalid_json_lines=1'
+    assert "truncated" in (tmp_path / "keyboard" / "x.ndjson.gz.part.error").read_text()
+    assert sorted(p.name for p in tmp_path.rglob("*.part")) == ["none.ndjson.gz.part"]
+    assert (tmp_path / "keyboard" / "none.ndjson.gz.part.error").read_text().startswith("No valid lines salvaged from 7 bytes; ")
+    again = importer.recover(spark, spool)
+    assert (again["temp_files_found"], again["temp_files_recovered"], again["total_lines_salvaged"]) == (1, 0, 0)
 
 
 def test_whole_gzip_loses_its_unfinished_line(spark, tmp_path):
