@@ -156,10 +156,19 @@ def _keys(x: Inputs) -> DataFrame:
 
 
 def _mouse(x: Inputs) -> DataFrame:
-    kind = F.when(F.col("action") == "error", "click").when(F.col("action") == "click", "scroll").otherwise("move")
+    """Mouse rows of all kinds."""
+    pressed = F.get(F.array(*[F.lit(k) for k in ("left", "right", "middle")]), (F.col("id").cast("long") % 3).cast("int"))
+    kind = F.when(F.col("action") == "error", pressed).when(F.col("action") == "click", "scroll").when(F.col("action") == "signup", "release").otherwise("move")
     return x.events.withColumn("x", F.col("value")).withColumn("y", F.col("value") * 2).withColumn("kind", kind)
 
 
+def _acts(x: Inputs) -> DataFrame:
+    """Events with the actions that snapshots count."""
+    n = F.col("id").cast("long") % 3
+    moves = F.when(n == 0, "move").when(n == 1, "left_click").otherwise("wheel")
+    return x.events.withColumn("action", F.when(F.col("monitor") == "mouse", moves).when(F.col("action") == "signup", "keyup").otherwise("keydown"))
+
+
 def _seen(x: Inputs) -> DataFrame:
     """Programs as the events show them: names that may be null, suffixes that may be empty."""
     n = F.col("id").cast("long")
@@ -252,8 +261,8 @@ QUERIES = {
     "recomputed_days": _q(lambda x: _recomputed(x).read("daily").select("day_ms", "metric_key", "value_num", "input_hash")),
     "keyboard_batches": _q(lambda x: dynamics.keyboard_batches(_keys(x), "user_id", 16, DAY).select("user_id", "batch", "keydown", "keyup", "bursts", *[scalars.round2(F.col(c)).alias(c) for c in ("mean_ms", "p95_ms", "stdev_ms")])),
     "timed_batches": _q(lambda x: dynamics.batches(x.events.select("user_id", "ts_utc", "id"), "user_id", 8, 2 * DAY)),
-    "mouse_batches": _q(lambda x: dynamics.mouse_batches(_mouse(x), "user_id", 16)),
-    "counters_since_trigger": _q(lambda x: dynamics.counters_since(x.events, x.events.where("monitor = 'active_window'").select("user_id", "ts_utc"), "user_id")),
+    "mouse_batches": _q(lambda x: dynamics.mouse_batches(_mouse(x), "user_id", 16, 4 * DAY)),
+    "counters_since_trigger": _q(lambda x: dynamics.counters_since(_acts(x), x.events.where("monitor = 'active_window'").select("user_id", "ts_utc"), "user_id")),
     "hourly_report_json": _w(lambda x: render.hourly_report(x.hourly(), x.evidence()).select("hour_ms", "json", "csv")),
     "event_time_range_latest": _q(lambda x: source.latest_in_range(x.events, START + DAY, START + 2 * DAY, 50).select("id", "ts_utc", "monitor")),
     "monitor_status": _q(lambda x: x.events.groupBy("monitor").agg(F.max("ts_utc").alias("last_ts"), F.count(F.lit(1)).alias("n")).withColumn("age", scalars.age_text(F.lit(END) - F.col("last_ts")))),
@@ -528,10 +537,14 @@ ORACLE_SQL = {
           FROM d JOIN h ON h.user_id = d.user_id AND h.i = d.i GROUP BY ALL
         ) s ON s.user_id = q.user_id AND s.batch = q.batch""",
     "timed_batches": _BATCHES.replace("@rows", "e").replace("@n", "8").replace("@span", str(2 * DAY)) + " SELECT user_id, ts_utc, id, batch FROM q",
-    "mouse_batches": _EVENTS + """ SELECT user_id, batch, count(*) FILTER (action NOT IN ('error', 'click')) AS moves, count(*) FILTER (action = 'error') AS clicks, count(*) FILTER (action = 'click') AS scrolls, coalesce(CAST(sum(CAST(trunc(sqrt(power(dx, 2) + power(dy, 2))) AS BIGINT)) AS BIGINT), 0) AS distance_px
-        FROM (SELECT *, value - lag(value) OVER o AS dx, value * 2 - lag(value * 2) OVER o AS dy FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts_utc, id) - 1) // 16 AS batch FROM e) WINDOW o AS (PARTITION BY user_id, batch ORDER BY ts_utc, id)) GROUP BY user_id, batch""",
+    "mouse_batches": _BATCHES.replace("@rows", """(SELECT *, CASE WHEN action = 'error' THEN ['left', 'right', 'middle'][CAST(id AS BIGINT) % 3 + 1] WHEN action = 'click' THEN 'scroll' ELSE 'move' END AS kind FROM e WHERE action <> 'signup')""").replace("@n", "16").replace("@span", str(4 * DAY)) + """, s AS (
+          SELECT user_id, batch, CAST(sum(CAST(trunc(sqrt(power(dx, 2) + power(dy, 2))) AS BIGINT)) AS BIGINT) AS far FROM (
+            SELECT *, value - lag(value) OVER o AS dx, value * 2 - lag(value * 2) OVER o AS dy FROM q WHERE kind = 'move' WINDOW o AS (PARTITION BY user_id, batch ORDER BY ts_utc, id)) GROUP BY user_id, batch
+        ) SELECT q.user_id, q.batch, count(*) FILTER (kind = 'move') AS moves, count(*) FILTER (kind = 'left') AS click_left, count(*) FILTER (kind = 'right') AS click_right, count(*) FILTER (kind = 'middle') AS click_middle,
+                 count(*) FILTER (kind = 'scroll') AS scroll, coalesce(any_value(far), 0) AS distance_px FROM q LEFT JOIN s ON s.user_id = q.user_id AND s.batch = q.batch GROUP BY q.user_id, q.batch""",
     "counters_since_trigger": _EVENTS + """, t AS (SELECT user_id, ts_utc, lag(ts_utc) OVER (PARTITION BY user_id ORDER BY ts_utc) AS was FROM e WHERE monitor = 'active_window'
-        ) SELECT t.user_id, t.ts_utc, count(*) FILTER (e.monitor = 'keyboard') AS keys, count(*) FILTER (e.monitor = 'mouse') AS clicks
+        ) SELECT t.user_id, t.ts_utc, count(*) FILTER (e.monitor = 'keyboard' AND action <> 'signup') AS kb_down, count(*) FILTER (e.monitor = 'keyboard' AND action = 'signup') AS kb_up,
+                 count(*) FILTER (e.monitor = 'mouse' AND CAST(id AS BIGINT) % 3 = 0) AS mouse_moves, count(*) FILTER (e.monitor = 'mouse' AND CAST(id AS BIGINT) % 3 = 1) AS mouse_clicks, count(*) FILTER (e.monitor = 'mouse' AND CAST(id AS BIGINT) % 3 = 2) AS mouse_scroll
         FROM t LEFT JOIN e ON e.user_id = t.user_id AND e.ts_utc <= t.ts_utc AND (was IS NULL OR e.ts_utc > was) GROUP BY t.user_id, t.ts_utc""",
     "hourly_report_json": _SUMMARY + """, o AS (
           SELECT hour_ms, min(input_hash) AS h, string_agg('"' || metric_key || '":{"coverage_ratio":' || CAST(CAST(coverage_ratio AS DOUBLE) AS VARCHAR) || ',"value_num":' || CAST(value_num AS VARCHAR) || '}', ',' ORDER BY metric_key) AS m,

@@ -86,34 +86,51 @@ def keyboard_batches(rows: DataFrame, by: str, n: int = 128, span: int | None =
     return both.select(by, "batch", "keydown", "keyup", "mean_ms", "p95_ms", "stdev_ms", "bursts")
 
 
-def mouse_batches(rows: DataFrame, by: str, n: int = 64, ts: str = "ts_utc", tie: str = "id", kind: str = "kind") -> DataFrame:
-    """(by, batch, moves, clicks, scrolls, distance_px) of every ``n`` mouse rows (x, y,
-    kind move, click or scroll).  The first row of a batch has no step, as a
-    flush forgets the last place."""
-    dealt = count_batches(rows, by, n, (ts, tie))
+#: Kinds of mouse rows that count, and the names of their counts; releases and other buttons don't.
+MOUSE = {"move": "moves", "left": "click_left", "right": "click_right", "middle": "click_middle", "scroll": "scroll"}
+#: The monitor and the actions of each counter.
+COUNTERS = {
+    "kb_down": ("keyboard", ("keydown", "key_press")),
+    "kb_up": ("keyboard", ("keyup", "key_release")),
+    "mouse_moves": ("mouse", ("move",)),
+    "mouse_clicks": ("mouse", ("click", "left_click", "right_click", "middle_click")),
+    "mouse_scroll": ("mouse", ("scroll", "wheel")),
+}
+
+
+def mouse_batches(rows: DataFrame, by: str, n: int = 64, span: int | None = 1500, ts: str = "ts_utc", tie: str = "id", kind: str = "kind") -> DataFrame:
+    """(by, batch, moves, click_left, click_right, click_middle, scroll, distance_px) of the batches of
+    mouse rows (x, y and a kind of ``MOUSE``; others don't count).
+
+    A batch is full with ``n`` rows, or ``span`` ms after its first one (None:
+    only by rows).  The distance goes from move to move, cut to whole numbers
+    each; the first move of a batch has none, as a flush forgets the last place."""
+    placed = sinks.scratch_table(batches(rows.where(F.col(kind).isin(*MOUSE)).select(by, ts, tie, kind, "x", "y"), by, n, span, ts, tie), "mouse")
+    counts = placed.groupBy(by, "batch").agg(*[F.count_if(F.col(kind) == k).alias(name) for k, name in MOUSE.items()])
     w = Window.partitionBy(by, "batch").orderBy(ts, tie)
     step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)).cast("long")
-    of = lambda k: F.count_if(F.col(kind) == k)
-    return dealt.withColumn("_step", step).groupBy(by, "batch").agg(of("move").alias("moves"), of("click").alias("clicks"), of("scroll").alias("scrolls"), F.coalesce(F.sum("_step"), F.lit(0)).alias("distance_px"))
+    far = placed.where(F.col(kind) == "move").withColumn("_step", step).groupBy(by, "batch").agg(F.sum("_step").alias("_far")).select(F.col(by).alias("_k"), F.col("batch").alias("_b"), "_far")
+    both = counts.join(far, F.col(by).eqNullSafe(F.col("_k")) & (F.col("batch") == F.col("_b")), "left")
+    return both.select(by, "batch", *MOUSE.values(), F.coalesce("_far", F.lit(0)).alias("distance_px"))
 
 
 def counters_since(rows: DataFrame, triggers: DataFrame, by: str, ts: str = "ts_utc", tie: str = "id") -> DataFrame:
-    """(by, ts, keys, clicks) of each trigger (by, ts): keyboard and mouse rows since the
-    trigger before it."""
-    kinds = rows.select(by, ts, (F.col("monitor") == "keyboard").cast("long").alias("k"), (F.col("monitor") == "mouse").cast("long").alias("c"), F.lit(0).alias("hit"), F.col(tie).alias("tie"))
-    both = kinds.union(triggers.select(by, ts, F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(1), F.lit(None).cast("string")))
-    bucket = F.floor(F.col(ts) / F.lit(float(BUCKET_MS))).cast("long")
-    order = [F.col(ts), F.col("hit"), F.col("tie")]
-    dealt = both.withColumn("_b", bucket)
-    sums = dealt.groupBy(by, "_b").agg(F.sum("k").alias("_k"), F.sum("c").alias("_c"))
+    """(by, ts, and each of ``COUNTERS``) of each trigger (by, ts): the rows of each counter's
+    monitor and actions since the trigger before it."""
+    names = list(COUNTERS)
+    hit = lambda c: F.coalesce((F.col("monitor") == COUNTERS[c][0]) & F.col("action").isin(*COUNTERS[c][1]), F.lit(False)).cast("long").alias(c)
+    kinds = rows.select(by, ts, *[hit(c) for c in names], F.lit(0).alias("hit"), F.col(tie).alias("tie"))
+    both = kinds.union(triggers.select(by, ts, *[F.lit(0).cast("long") for _ in names], F.lit(1), F.lit(None).cast("string")))
+    dealt = both.withColumn("_b", F.floor(F.col(ts) / F.lit(float(BUCKET_MS))).cast("long"))
     before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(by).alias("_by"), F.col("_b").alias("_kb"), *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in ("_k", "_c")])
-    inside = Window.partitionBy(by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.withColumn("k", F.sum("k").over(inside)).withColumn("c", F.sum("c").over(inside)).where("hit = 1")
+    sums = dealt.groupBy(by, "_b").agg(*[F.sum(c).alias(f"_{c}") for c in names])
+    sums = sums.select(F.col(by).alias("_by"), F.col("_b").alias("_kb"), *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in names])
+    inside = Window.partitionBy(by, "_b").orderBy(ts, "hit", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumns({c: F.sum(c).over(inside) for c in names}).where("hit = 1")
     placed = placed.join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_kb")))
-    marks = placed.select(by, ts, (F.col("k") + F.col("_k")).alias("k"), (F.col("c") + F.col("_c")).alias("c"), F.lit("").alias("tie"))
-    since = _before(marks, by, ts, "tie", {"k0": F.col("k"), "c0": F.col("c")})
-    return since.select(by, ts, (F.col("k") - F.coalesce("k0", F.lit(0))).alias("keys"), (F.col("c") - F.coalesce("c0", F.lit(0))).alias("clicks"))
+    marks = placed.select(by, ts, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in names], F.lit("").alias("tie"))
+    since = _before(marks, by, ts, "tie", {f"_{c}": F.col(c) for c in names})
+    return since.select(by, ts, *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in names])
 
 
 def burst_ends(rows: DataFrame, by: str, ts: str = "ts_utc", span: int = BURST_MS, keys: int = BURST_KEYS, tie: str = "id") -> DataFrame:
@@ -145,15 +162,8 @@ def batches(rows: DataFrame, by: str, n: int, span: int | None = None, ts: str =
     if span is None:
         return placed.withColumn("batch", F.floor(F.col("_pos") / n).cast("long") * n).drop("_pos")
     placed = sinks.scratch_table(placed, "batches")
-    opens = segments.spaced(placed.select(by, "_pos", ts), by, ts, span, n).select(F.col(by).alias("_k"), F.col("_pos").alias("_open"))
-    marked = placed.join(opens, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_pos") == F.col("_open")), "left")
-    run = F.floor(F.col("_pos") / segments.PLACES).cast("long")
-    marked = marked.withColumn("_run", run)
-    before = Window.partitionBy(by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = marked.groupBy(by, "_run").agg(F.max("_open").alias("_o")).select(F.col(by).alias("_kk"), F.col("_run").alias("_kr"), F.max("_o").over(before).alias("_carry"))
-    inside = F.max("_open").over(Window.partitionBy(by, "_run").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = marked.withColumn("_inside", inside).join(lasts, F.col(by).eqNullSafe(F.col("_kk")) & (F.col("_run") == F.col("_kr")))
-    return found.select(*rows.columns, F.coalesce("_inside", "_carry").alias("batch"))
+    opens = segments.spaced(placed.select(by, "_pos", ts), by, ts, span, n)
+    return segments.opened(placed, opens, by, "batch").drop("_pos")
 
 
 def idle_gaps(rows: DataFrame, least: int = 7000) -> DataFrame:

@@ -101,3 +101,27 @@ def spaced(placed: DataFrame, by: str, at: str, span: int, most: int | None = No
     heads = starts.select(F.col(by).alias("_k"), F.col("_pos").alias("_kp"))
     inner = found.join(heads, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_next") == F.col("_kp")), "left_anti")  # free rows are kept anyway
     return reached(inner, starts, by)
+
+
+def opened(placed: DataFrame, opens: DataFrame, by: str, name: str) -> DataFrame:
+    """Add ``name``, the place of the last row of ``opens`` (by, _pos) at or before each row of ``placed``.
+
+    Runs of places carry the last one on, so a group of any size is spread evenly."""
+    marks = opens.select(F.col(by).alias("_k"), F.col("_pos").alias("_open"))
+    marked = placed.join(marks, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_pos") == F.col("_open")), "left").drop("_k")
+    marked = marked.withColumn("_run", F.floor(F.col("_pos") / PLACES).cast("long"))
+    before = Window.partitionBy(by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = marked.groupBy(by, "_run").agg(F.max("_open").alias("_o")).select(F.col(by).alias("_kk"), F.col("_run").alias("_kr"), F.max("_o").over(before).alias("_carry"))
+    inside = F.max("_open").over(Window.partitionBy(by, "_run").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = marked.withColumn("_inside", inside).join(lasts, F.col(by).eqNullSafe(F.col("_kk")) & (F.col("_run") == F.col("_kr")))
+    return found.select(*placed.columns, F.coalesce("_inside", "_carry").alias(name))
+
+
+def running(placed: DataFrame, by: str, column: str, name: str) -> DataFrame:
+    """Add ``name``, the sum of ``column`` over the rows before each row of its group."""
+    dealt = placed.withColumn("_run", F.floor(F.col("_pos") / PLACES).cast("long"))
+    before = Window.partitionBy(by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(by, "_run").agg(F.sum(column).alias("_n")).select(F.col(by).alias("_k"), F.col("_run").alias("_kr"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum(column).over(Window.partitionBy(by, "_run").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = dealt.withColumn("_inside", inside).join(sums, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_run") == F.col("_kr")))
+    return found.select(*placed.columns, (F.col("_inside") + F.col("_start")).alias(name))

@@ -8,13 +8,14 @@ import hashlib
 import io
 import json
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.scalars import hour_text
@@ -22,6 +23,8 @@ from strandline.functions.scalars import hour_text
 
 #: A task's files go to their folder when it ends, not one by one when the job does; for folders that are read only behind the job.
 COMMIT_AT_ONCE = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
+#: Bytes of lines of a journal file before compression.
+SEGMENT_BYTES = 8 << 20
 #: Renames that are on their way at once.
 MOVERS = 16
 
@@ -174,12 +177,17 @@ def write_journal(events: DataFrame, path: str, per_file: int = 100_000, daily:
     named = events.select(line.alias("value"), "monitor", (F.substring(hour_text(F.col("ts_utc")), 1, 8) if daily else hour_text(F.col("ts_utc"))).alias("hour"))
     named = named.hint("rebalance", "monitor", "hour")  # a file an hour, of a busy hour several
     named.write.partitionBy("monitor", "hour").option("maxRecordsPerFile", per_file).option("compression", "gzip").option(*COMMIT_AT_ONCE).text(staging)
+    return _place_files(spark, staging, path, run)
+
+
+def _place_files(spark: SparkSession, staging: str, path: str, run: str) -> int:
+    """Move the files of ``staging/monitor=/hour=/`` to their names below ``path``; how many."""
     made: set[str] = set()
 
     def place(item: tuple[int, str]) -> int:
         n, found = item
-        monitor, hour = found.split("/")[-3:-1]
-        move(spark, found, f"{path}/{monitor[8:]}/{hour[5:]}-{run}-{n}.ndjson.gz", made)
+        _, monitor, rest = re.split(r"/(?:monitor|hour)=", found)
+        move(spark, found, f"{path}/{monitor}/{rest.split('/')[0]}-{run}-{n}.ndjson.gz", made)
         return 1
 
     n = sum(side_by_side(place, enumerate(listing(spark, staging, "*.gz")))) if children(spark, staging) else 0
@@ -187,6 +195,38 @@ def write_journal(events: DataFrame, path: str, per_file: int = 100_000, daily:
     return n
 
 
+def spool_journal(events: DataFrame, path: str, most_bytes: int = SEGMENT_BYTES) -> dict[str, int]:
+    """Events as journal files that roll over each hour and where a file has ``most_bytes`` of lines
+    before compression; counters of files, rows and bytes of lines.
+
+    Lines stand in the order of time and id.  A file takes lines until it has
+    ``most_bytes`` or more, so the next one opens at the first line so many
+    bytes behind its first; these lines are found by pointer doubling, and a
+    file is a task's work of bounded size.  The counters are observed while the
+    files are written."""
+    from strandline.operators import segments
+
+    spark, run = events.sparkSession, uuid.uuid4().hex[:8]
+    staging = f"{path}/_staging-{run}"
+    line = F.to_json(F.struct(*events.columns))
+    named = events.select(line.alias("value"), "monitor", hour_text(F.col("ts_utc")).alias("hour"), F.concat_ws("/", "monitor", hour_text(F.col("ts_utc"))).alias("_file"), "ts_utc", "id")
+    placed = segments.places(named.withColumn("_size", (F.octet_length("value") + 1).cast("long")), "_file")
+    placed = scratch_table(segments.running(placed, "_file", "_size", "_bytes"), "spool")
+    if not placed.limit(1).count():  # nothing would be observed
+        release(spark, placed)
+        return {"files": 0, "rows": 0, "bytes": 0}
+    opens = segments.spaced(placed.select("_file", "_pos", "_bytes"), "_file", "_bytes", most_bytes, bucket=most_bytes)
+    cut = segments.opened(placed, opens, "_file", "segment")
+    counted = Observation()
+    out = cut.observe(counted, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("_size"), F.lit(0)).alias("bytes"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = out.repartition(tasks, "monitor", "hour", "segment").sortWithinPartitions("monitor", "hour", "segment", "_pos")
+    out.select("value", "monitor", "hour", "segment").write.partitionBy("monitor", "hour", "segment").option("compression", "gzip").option(*COMMIT_AT_ONCE).text(staging)
+    found = counted.get
+    release(spark, placed)
+    return {"files": _place_files(spark, staging, path, run), "rows": found["rows"], "bytes": found["bytes"]}
+
+
 def side_by_side(call: Callable, items: Iterable) -> Iterator:
     """``call`` of each item, some at once and in order: renames are short calls to the
     file store, and a window of them is on its way at a time."""

@@ -154,3 +154,69 @@ def test_a_long_run_meets_in_no_task(spark, monkeypatch):
     asked = segments.first_from(placed.select("k", "_pos", F.col("ts_utc").alias("_at")), "k", "_at", 5000, 6000)
     assert asked.where(F.col("_next") != F.least(F.col("_pos") + 1667, F.lit(n))).count() == 0
     assert dynamics.bursts(rows, "k").first().bursts == n // 5
+
+
+def plain_mouse(rows, n, span):
+    rows = [r for r in rows if r[3] in dynamics.MOUSE]
+    batch, out = plain_batches([r[:5] for r in rows], n, span), {}
+    for key, own in by_key(rows).items():
+        last = {}
+        for r in own:
+            s = out.setdefault((key, batch[r[1]]), dict.fromkeys([*dynamics.MOUSE.values(), "distance_px"], 0))
+            s[dynamics.MOUSE[r[3]]] += 1
+            if r[3] == "move":
+                x, y = int(r[4]), int(r[4]) * 2
+                if batch[r[1]] in last:
+                    a, b = last[batch[r[1]]]
+                    s["distance_px"] += int(((x - a) ** 2 + (y - b) ** 2) ** 0.5)
+                last[batch[r[1]]] = (x, y)
+    return {k: tuple(v.values()) for k, v in out.items()}
+
+
+def test_mouse_batches_by_button(spark):
+    rng = random.Random(8)
+    rows = [(r[0], r[1], r[2], rng.choice(["move", "move", "left", "right", "middle", "scroll", "release"]), str(rng.randrange(500))) for r in random_rows(9, 400, "a_")]
+    e = frame(spark, rows).withColumn("x", F.col("note").cast("double")).withColumn("y", F.col("x") * 2)
+    got = {(r.k, r.batch): tuple(r)[2:] for r in dynamics.mouse_batches(e, "k", 16, 1500).collect()}
+    assert got == plain_mouse(rows, 16, 1500)
+
+
+def test_counters_by_action(spark):
+    rng = random.Random(6)
+    kinds = [(m, a) for m, actions in dynamics.COUNTERS.values() for a in actions] + [("mouse", "other"), ("browser", "click"), ("keyboard", None)]
+    rows = [(k, f"{i:04}", T0 + rng.randrange(9_000_000), *rng.choice(kinds)) for i in range(500) for k in rng.choice("ab")]
+    triggers = [(k, T0 + t) for k in "ab" for t in sorted(rng.sample(range(9_000_000), 12))]
+    e = spark.createDataFrame(rows, "k string, id string, ts_utc long, monitor string, action string")
+    got = {(r.k, r.ts_utc): tuple(r)[2:] for r in dynamics.counters_since(e, spark.createDataFrame(triggers, "k string, ts_utc long"), "k").collect()}
+    want = {}
+    for k, t in triggers:
+        since = max((u for j, u in triggers if j == k and u < t), default=-1)
+        own = [r for r in rows if r[0] == k and since < r[2] <= t]
+        want[(k, t)] = tuple(sum(r[3] == m and r[4] in actions for r in own) for m, actions in dynamics.COUNTERS.values())
+    assert got == want
+
+
+def test_journal_rolls_over_by_bytes(spark, tmp_path):
+    import gzip
+    import json
+
+    from strandline.sources import sinks
+
+    rng = random.Random(2)
+    rows = [(f"{i:05}", T0 + i * 40_000, ("keyboard", "mouse")[i % 2], "p" * rng.randrange(200)) for i in range(600)]
+    e = spark.createDataFrame(rows, "id string, ts_utc long, monitor string, pad string").repartition(5)
+    got = sinks.spool_journal(e, f"file://{tmp_path}/spool", 2000)
+    want, sizes = [], {}
+    for i, t, m, pad in rows:
+        line = json.dumps({"id": i, "ts_utc": t, "monitor": m, "pad": pad}, separators=(",", ":"))
+        key = (m, t // 3_600_000)
+        if key not in sizes or sizes[key] >= 2000:
+            sizes[key] = 0
+            want.append((key, []))
+        sizes[key] += len(line) + 1
+        next(f for k, f in reversed(want) if k == key).append(line)
+    files = [p for p in (tmp_path / "spool").rglob("*.ndjson.gz")]
+    read = sorted(gzip.decompress(p.read_bytes()).decode().splitlines() for p in files)
+    assert read == sorted(f for _, f in want)
+    assert got == {"files": len(want), "rows": 600, "bytes": sum(len(x) + 1 for f in read for x in f)} and len(want) > 30
+    assert sinks.spool_journal(e.limit(0), f"file://{tmp_path}/none", 2000) == {"files": 0, "rows": 0, "bytes": 0}
