@@ -42,7 +42,7 @@ PHRASE, STEP, STRONGEST = 6, 3, 4
 VALIDATE = 3
 LEVELS = 7
 #: Windows kept by a task before it starts its table anew.
-MEMO = 300_000
+MEMO = 100_000
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 
 
