@@ -9,6 +9,7 @@ import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strandline.operators.render import artifact_path
 from strandline.plans.store import TABLES, Store
@@ -23,7 +24,7 @@ FORMS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def indented(texts: pd.Series) -> pd.Series:
     """JSON with sorted keys, an indent of two and a last line break."""
     return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), indent=2, sort_keys=True) + "\n")
