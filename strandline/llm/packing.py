@@ -1,13 +1,13 @@
 """Best-fit packing of token pieces into sequences of fixed room.
 
-Bulk-synchronous: a superstep range-sorts the open pieces of a band of lengths
-and the gaps of the sequences, finds the successor of every piece among the
-gaps by sweeps over both orders, gives contested gaps by rank, and updates the
-gaps; the next superstep takes what is left.  Orders are kept as (size, rank
-within the size).  Ranks, pieces and gaps are tables on the executors, and the
-two meet by an equi-join on their places in the orders.  Sizes are bounded by
-the room, so what the sweeps need of all tasks is a count for each size, at most
-two numbers a token of the room, however many documents there are.
+Spark ranks the pieces within their lengths and counts each length; lengths are
+bounded by the room, so these counts are at most as many numbers as the room has
+tokens, however many documents there are.  Supersteps over the counts alone find
+the successor of every run of equal pieces among the runs of equal gaps by sweeps
+over both orders, give contested gaps by rank, and update the gaps; the next
+superstep takes what is left.  They end in a table of runs (a length, ranks from
+and to, the first sequence, pieces a sequence, offset), which every executor gets
+and where each piece reads its place by length and rank.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import materialize, rank_within, slices
@@ -95,55 +95,21 @@ def token_pieces(docs: DataFrame, room: int = ROOM, vocabulary: str = VOCABULARY
 def pack(pieces: DataFrame, room: int = ROOM, bands: tuple[int, ...] = BANDS) -> DataFrame:
     """Add sequence_id and offset to ``pieces`` (length and any other columns).
 
-    Pieces of over half a room open a sequence each.  The others follow in
-    bands of lengths, the longest first: supersteps fill the gaps until none
-    holds a piece of the band; then as many sequences are opened as the words
-    left need at least, and it goes on.  Lengths must lie in 1 .. ``room``;
-    another or null length raises an error.  Repeated rows and rows of nulls
-    are pieces like any other, names of other columns never clash, and an empty
-    table gives none."""
-    edges = [room // b for b in bands] + [0]
+    Lengths must lie in 1 .. ``room``; another or null length raises an error.
+    Repeated rows and rows of nulls are pieces like any other, names of other
+    columns never clash, and an empty table gives none.  The table of runs has a
+    few rows for each length and superstep, whatever the number of pieces, and
+    is all that goes through the driver but the counts."""
     everything = F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("piece")
     length = F.col("length").cast("int")
     fits = F.when(length.between(1, room), length).otherwise(F.raise_error(F.lit(f"a length is not in 1 .. {room}")).cast("int"))
     table = materialize(pieces.select(everything, fits.alias("length"), F.monotonically_increasing_id().alias("id")), "pack-pieces")
-    alone = table.where(F.col("length") > edges[0]).select("piece", "length", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    number = sum(((F.col("length") <= F.lit(e)).cast("int") for e in edges[1:-1]), F.lit(0))
-    short = table.where(F.col("length") <= edges[0])
-    counts = _counts(short, "length")
-    done = [alone]
-    if counts[0].size:
-        least, n = int(counts[0][0]), int(counts[1].sum())
-        ranked = rank_within(short, ["length"], ["id"], rank="rank", buckets=PARTS + n // RANKED).withColumn("band", number)
-        ranked = materialize(ranked, "pack-ranked", by="band")
-        gaps = alone.select(F.col("sequence_id").alias("seq"), (room - F.col("length")).alias("free"))
-        opened = 0
-        for k in range(len(bands)):
-            mine = ranked.where(F.col("band") == k)
-            lengths, left = (c[(counts[0] <= edges[k]) & (counts[0] > edges[k + 1])] for c in counts)
-            given, idle = np.zeros_like(left), []
-            while left.any():
-                shortest = int(lengths[left > 0][0])
-                idle.append(gaps.where((F.col("free") >= least) & (F.col("free") < shortest)))
-                gaps = gaps.where(F.col("free") >= shortest)
-                pieces_at, gaps_at, offered = sweep(lengths, left, *_counts(gaps, "free"))
-                taken = pieces_at[2]
-                if taken.any():
-                    asked = _small(table, {"length": pieces_at[0], "at": pieces_at[1], "take": taken, "given": given})
-                    round_ = materialize(_place(gaps, mine, asked, _small(table, gaps_at), offered, room), "pack-round")
-                    done.append(round_.where("piece IS NOT NULL").select("piece", "length", F.col("seq").alias("sequence_id"), "offset"))
-                    gaps = round_.where("slot = 0").select("seq", "free")
-                    left, given = left - taken, given + taken
-                else:
-                    more = -(-int(left @ lengths) // room)
-                    gaps = gaps.union(table.sparkSession.range(more).select((F.lit(-1 - opened) - F.col("id")).alias("seq"), F.lit(room).alias("free")))
-                    opened += more
-            for rest in idle:
-                gaps = gaps.union(rest)
-    out = done[0]
-    for part in done[1:]:
-        out = out.union(part)
-    return out.select("piece.*", "sequence_id", "offset")
+    lengths, counts = _counts(table, "length")
+    ranked = rank_within(table, ["length"], ["id"], rank="rank", buckets=PARTS + int(counts.sum()) // RANKED)
+    turn = F.col("rank") - 1 - F.col("first")
+    placed = ranked.join(_small(table, runs(lengths, counts, room, bands)), "length").where((turn >= 0) & (turn < F.col("n")))
+    at = {"sequence_id": F.col("sequence") + F.floor(turn / F.col("each")), "offset": F.col("start") + turn % F.col("each") * F.col("length")}
+    return placed.select("piece.*", *[c.cast("long").alias(name) for name, c in at.items()])
 
 
 def _counts(rows: DataFrame, size: str) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +123,81 @@ def _small(beside: DataFrame, columns: dict[str, np.ndarray]) -> DataFrame:
     return F.broadcast(beside.sparkSession.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})))
 
 
+def runs(lengths: np.ndarray, counts: np.ndarray, room: int, bands: tuple[int, ...] = BANDS) -> dict[str, np.ndarray]:
+    """Where the pieces go, by ``counts`` of ``lengths`` (ascending): the ``n`` pieces of
+    ``length`` from rank ``first`` (from 0) fill ``each`` places a sequence, from
+    ``sequence`` on and from the offset ``start``.
+
+    Pieces of over half a room open a sequence each.  The others follow in
+    bands of lengths, the longest first: supersteps fill the gaps until none
+    holds a piece of the band; then as many sequences are opened as the words
+    left need at least, and it goes on.  Gaps are runs of sequences with equal
+    room."""
+    edges = [room // b for b in bands] + [0]
+    alone = lengths > edges[0]
+    opened = int(counts[alone].sum())
+    begin = (np.cumsum(counts) - counts)[alone] - int(counts[~alone].sum())
+    none, one = np.zeros(alone.sum(), np.int64), np.ones(alone.sum(), np.int64)
+    out = [(lengths[alone], none, counts[alone], begin, one, none)]
+    gaps = room - lengths[alone], begin, counts[alone]  # free room, first sequence, sequences
+    for k in range(len(bands)):
+        mine = (lengths <= edges[k]) & (lengths > edges[k + 1])
+        sizes, left = lengths[mine], counts[mine]
+        given = np.zeros_like(left)
+        while left.any():
+            fits = gaps[0] >= sizes[left > 0][0]
+            idle, held = ([g[keep] for g in gaps] for keep in (~fits, fits))
+            free, at = np.unique(held[0], return_inverse=True)
+            pieces_at, gaps_at, offered = sweep(sizes, left, free, np.bincount(at, held[2], len(free)).astype(np.int64))
+            taken = pieces_at[2]
+            if taken.any():
+                found, held = _fill(held, pieces_at, gaps_at, given, room)
+                out.append(found)
+                left, given = left - taken, given + taken
+            else:
+                more = -(-int(left @ sizes) // room)
+                held = [np.append(g, v) for g, v in zip(held, (room, opened, more))]
+                opened += more
+            gaps = [np.concatenate(g) for g in zip(idle, held)]
+            gaps = [g[gaps[0] >= lengths[0]] for g in gaps]
+    return dict(zip(("length", "first", "n", "sequence", "each", "start"), map(np.concatenate, zip(*out))))
+
+
+def _fill(gaps: list[np.ndarray], pieces_at: tuple[np.ndarray, np.ndarray, np.ndarray], gaps_at: dict[str, np.ndarray], given: np.ndarray, room: int) -> tuple[tuple[np.ndarray, ...], list[np.ndarray]]:
+    """What a superstep places, as rows of ``runs``, and the runs of gaps after it.
+
+    Runs of gaps are cut so that all gaps of a run get the same pieces: where
+    the pieces of a length begin or end inside a gap, it is a run of its own."""
+    by = np.argsort(gaps_at["free"])
+    kind = by[np.searchsorted(gaps_at["free"][by], gaps[0])]
+    order = np.lexsort((gaps[1], kind))
+    free, sequence, n = (g[order] for g in gaps)
+    slots = gaps_at["slots"][kind[order]]
+    ends = np.cumsum(n * slots)
+    begin, before = ends - n * slots, np.cumsum(n) - n
+    lengths, at, taken = (x[pieces_at[2] > 0] for x in pieces_at)
+    given = given[pieces_at[2] > 0]
+    edge = np.concatenate((at, at + taken))
+    edge = edge[edge < ends[-1]]
+    of = np.searchsorted(begin, edge, side="right") - 1
+    low, part = np.divmod(edge - begin[of], slots[of])
+    cut = np.unique(np.concatenate((before, before[of] + low, before[of] + low + (part > 0))))
+    cut = cut[cut < n.sum()]
+    of = np.searchsorted(before, cut, side="right") - 1
+    free, slots, sequence, begin = free[of], slots[of], sequence[of] + cut - before[of], begin[of] + (cut - before[of]) * slots[of]
+    n = np.diff(np.append(cut, n.sum()))
+    head, tail = np.searchsorted(begin, at, side="right") - 1, np.searchsorted(begin, at + taken, side="left")
+    piece = np.repeat(np.arange(len(at)), tail - head)
+    run = np.arange(len(piece)) - np.repeat(np.cumsum(tail - head) - (tail - head), tail - head) + head[piece]
+    x, y = np.maximum(at[piece], begin[run]), np.minimum((at + taken)[piece], (begin + n * slots)[run])
+    used = (y - x) * lengths[piece]
+    held = np.bincount(run, used, len(n)).astype(np.int64)
+    into = np.cumsum(used) - used
+    into -= into[np.searchsorted(run, run, side="left")]
+    found = lengths[piece], given[piece] + x - at[piece], y - x, sequence[run], np.where(n[run] > 1, slots[run], y - x), room - free[run] + into
+    return found, [free - held // n, sequence, n]
+
+
 def sweep(lengths: np.ndarray, left: np.ndarray, free: np.ndarray, gaps: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray], int]:
     """The successors of one superstep: for each length the place of its first
     piece and how many pieces find one, for each gap size the place of its
@@ -183,19 +224,3 @@ def sweep(lengths: np.ndarray, left: np.ndarray, free: np.ndarray, gaps: np.ndar
     first = np.cumsum(taken) - taken
     at = first + np.maximum.accumulate(np.where(taken > 0, successor - first, 0))
     return (lengths, at, taken), {"free": free, "slots": slots, "at": ends - gaps * slots}, int(gaps.sum())
-
-
-def _place(gaps: DataFrame, pieces: DataFrame, asked: DataFrame, held: DataFrame, offered: int, room: int) -> DataFrame:
-    """(piece, length, seq, slot, offset, free): the slots of all gaps with the
-    pieces that the sweep gave them, which meet by their places, and the room
-    that is left in the gap."""
-    ranked = rank_within(gaps.join(held, "free"), ["free"], ["seq"], rank="rank", buckets=PARTS + offered // RANKED)
-    slot = F.col("at") + (F.col("rank") - 1) * F.col("slots")
-    slots = ranked.select("seq", "free", F.posexplode(F.sequence(slot, slot + F.col("slots") - 1)).alias("slot", "place"))
-    turn = F.col("rank") - 1 - F.col("given")
-    wanted = pieces.join(asked, "length").where((turn >= 0) & (turn < F.col("take"))).select("piece", "length", (F.col("at") + turn).alias("place"))
-    of = Window.partitionBy("seq")
-    length = F.coalesce("length", F.lit(0))
-    before = F.coalesce(F.sum(length).over(of.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = (room - F.col("free") + before).cast("long")
-    return slots.join(wanted, "place", "left").select("piece", "length", "seq", "slot", start.alias("offset"), (F.col("free") - F.sum(length).over(of)).cast("int").alias("free"))

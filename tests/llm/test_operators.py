@@ -252,6 +252,38 @@ def test_packing_opens_as_few_sequences_as_best_fit(spark):
         packing.pack(rows.withColumn("length", F.lit(0)), 1000).count()
 
 
+def test_packing_takes_few_jobs_whatever_the_supersteps(spark):
+    rows = spark.range(3000).select((F.pmod(F.xxhash64("id"), F.lit(700)) + 1).alias("length")).cache()
+    rows.count()
+    sc = spark.sparkContext
+    sc.setJobGroup("packing", "packing")
+    try:
+        got = packing.pack(rows, 2048).count()
+    finally:
+        jobs = len(sc.statusTracker().getJobIdsForGroup("packing"))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        rows.unpersist()
+    assert got == 3000 and jobs <= 25
+
+
+def test_packing_runs_place_each_rank_once():
+    rng = random.Random(4)
+    for _ in range(100):
+        room = rng.choice([7, 60, 1000])
+        sizes = [rng.randint(1, rng.choice([room, max(1, room // 3)])) for _ in range(rng.randint(1, 300))]
+        lengths, counts = np.unique(np.array(sizes, np.int64), return_counts=True)
+        found, ranks, sequences = packing.runs(lengths, counts, room), {}, {}
+        for length, first, n, sequence, each, start in zip(*(found[k].tolist() for k in ("length", "first", "n", "sequence", "each", "start"))):
+            for i in range(n):
+                ranks.setdefault(length, []).append(first + i)
+                sequences.setdefault(sequence + i // each, []).append((start + i % each * length, length))
+        assert {k: sorted(v) for k, v in ranks.items()} == {int(k): list(range(n)) for k, n in zip(lengths, counts)}
+        for places in sequences.values():
+            starts, own = zip(*sorted(places))
+            assert list(starts) == [0, *np.cumsum(own)[:-1]] and sum(own) <= room
+        assert len(sequences) <= 1.02 * best_fit_decreasing(sizes, room) + 2
+
+
 def test_tokens_equal_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
