@@ -185,6 +185,18 @@ def unpacked(spark: SparkSession, path: str | list[str], glob: str = "*.ndjson.g
     return here.mapInArrow(run, "file string, monitor string, kind string, line_no long, value string, error string")
 
 
+def checked(lines: DataFrame) -> DataFrame:
+    """(file, monitor, kind, line_no, error, is_json, ok, event) of the rows of ``unpacked``: whether
+    a line is JSON, whether it is a valid event, and its 15 columns.
+
+    A line is parsed once: a filter on what is made of a parsed line would parse
+    it again for each part of its condition, so filters belong behind a write."""
+    event = F.col("_event")
+    parsed = lines.withColumn("_event", F.try_parse_json("value"))
+    fields = F.struct(*[F.try_variant_get(event, f"$.{k}", t).alias(k) for k, t in FIELDS.items()])
+    return parsed.select("file", "monitor", "kind", "line_no", "error", event.isNotNull().alias("is_json"), is_valid(event).alias("ok"), fields.alias("event"))
+
+
 def _line_batch(file: str, monitor: str, rows: list[tuple[int, str]]) -> pa.RecordBatch:
     n = len(rows)
     columns = [pa.array([file] * n), pa.array([monitor] * n), pa.array(["line"] * n), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.nulls(n, pa.string())]

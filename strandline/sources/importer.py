@@ -39,11 +39,10 @@ def import_journal(spark: SparkSession, spool: str, store: EventStore, at: Calla
     began = time.time()
     work = f"{store.folder}/work/reading-{int(began * 1e6)}"
     at("read")
-    read = source.unpacked(spark, spool)
+    read = source.checked(source.unpacked(spark, spool))
     read.write.partitionBy("kind").parquet(work)
     rows = spark.read.schema(read.schema).parquet(work)
-    parsed = rows.where("kind = 'line'").withColumn("event", F.try_parse_json("value")).where(F.col("event").isNotNull())
-    parsed = parsed.withColumn("ok", source.is_valid(F.col("event"))).select("file", "monitor", "line_no", "value", "ok")
+    parsed = rows.where("kind = 'line' AND is_json")
     seen = parsed.groupBy("file").agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("invalid"))
     files = rows.where("kind = 'file'").select("file", "monitor", "error").join(seen, "file", "left").na.fill(0, ["valid", "invalid"])
     none = F.when(F.col("valid") + F.col("invalid") == 0, F.lit("no line of JSON"))
@@ -55,8 +54,7 @@ def import_journal(spark: SparkSession, spool: str, store: EventStore, at: Calla
             text = json.dumps({"error_message": r["error"], "timestamp": int(time.time() * 1000), "file_path": r["file"]}, indent=2)
             sinks.write_small(spark, f"{r['file']}.error", text.encode())
     good = files.where("error IS NULL").select("file", F.col("monitor").alias("directory"))
-    lines = parsed.where("ok").join(good, "file").withColumn("event", F.try_parse_json("value"))
-    valid = source.project(lines, "directory", "file", "line_no")
+    valid = parsed.where("ok").select("file", "line_no", "event.*").join(good, "file").select("directory", "file", "line_no", *source.FIELDS)
     totals = files.groupBy("monitor").agg(
         F.count_if(F.col("error").isNull()).alias("files_processed"), F.sum(F.when(F.col("error").isNull(), F.col("valid"))).alias("valid"),
         F.sum(F.when(F.col("error").isNull(), F.col("invalid"))).alias("invalid"), F.count_if(F.col("error").isNotNull()).alias("files_with_errors"),

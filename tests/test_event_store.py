@@ -168,6 +168,17 @@ def test_import_counts_archives_and_marks(spark, tmp_path):
     assert counts(importer.import_journal(spark, f"file://{spool}", store)) == {"keyboard": (0, 0, 0, 0, 4)}
 
 
+def test_an_import_parses_each_line_once(spark, tmp_path, monkeypatch):
+    spool, store, plans = tmp_path / "spool", EventStore(spark, f"file://{tmp_path}/s"), []
+    pack(spool / "keyboard" / "a.ndjson.gz", lines(5))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(importer, "insert_again", lambda store, batch, **options: plans.append(plan(batch)) or insert_again(store, batch, **options))
+    assert counts(importer.import_journal(spark, f"file://{spool}", store)) == {"keyboard": (1, 5, 0, 0, 0)}
+    assert len(plans) == 1 and "parseJson" not in plans[0] and "parse_json" not in plans[0]
+    once = plan(source.checked(source.unpacked(spark, f"file://{spool}/_done", done="")))
+    assert once.count("parseJson") + once.count("parse_json") == 1
+
+
 @pytest.mark.parametrize("step,nth", [("read", 1), ("sidecars", 1), ("stage", 1), ("events", 1), ("files", 1), ("commit", 1), ("done", 1), ("archive", 1), ("moved", 1), ("moved", 2)])
 def test_an_import_that_stops_anywhere_can_be_run_again(spark, tmp_path, step, nth):
     spool, store = tmp_path / "spool", EventStore(spark, f"file://{tmp_path}/s")
