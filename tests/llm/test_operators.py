@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+import time
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -685,6 +687,58 @@ def test_toxic_words_in_few_rows_count_whatever_the_number_of_rows():
     assert np.mean([s.score(" ".join(words(rng, 12))) < 0.5 for _ in range(300)]) > 0.9
 
 
+def test_toxicity_of_many_texts_at_once_is_that_of_each_window_alone():
+    """Against windows cut, compressed and counted one by one."""
+    rng = random.Random(14)
+    rows = [(" ".join(words(rng, 40) + ["grubwort"] * (i % 2)), i % 2) for i in range(200)]
+    m = toxicity.train([t for t, _ in rows], [y for _, y in rows])
+    odd = [None, "", " ", "!!! --", "_", "a", "-a- (b--c) 'd'", "\x1cA\x1dB\x85c\u3000D", "\u0130\u00e9\u0301 \u4e2d\u6587 \U0001f600", "\ud800x", "x" * 200_000, *(" ".join(words(rng, n)) for n in range(1, 14))]
+    texts = [*odd, *(t for t, _ in rows[:30]), *odd[::-1]]
+
+    def plain(text):
+        ws = [w for w in (re.sub(r"^[^\w]+|[^\w]+$", "", x) for x in (text or "").lower().split()) if w]
+        size = lambda table, part: len(toxicity._compressor(table).compress(f" {' '.join(part)} ".encode("utf-8", "replace")))
+        gain = [size(m.ordinary, [w]) - size(m.toxic, [w]) for w in ws]
+        starts = range(0, max(1, len(ws) - 3), 3) if ws else ()
+        far = sorted((size(m.ordinary_texts, ws[k : k + 6]) - size(m.toxic_texts, ws[k : k + 6]) for k in starts), reverse=True) or [0]
+        at = [sum(g == k or g > k == 7 for g in gain) for k in range(2, 8)]
+        x = [1.0, *map(math.log1p, at), math.sqrt(sum(at[1:]) / len(ws)) if ws else 0.0, math.log1p(len(ws)) / 10, far[0] / 10, sum(far[:4]) / len(far[:4]) / 10, sum(far) / len(far) / 10]
+        return 1 / (1 + math.exp(-np.clip(np.dot(m.weights, x), -30, 30)))
+
+    assert toxicity.Scorer(m).scores(texts) == pytest.approx([plain(t) for t in texts], rel=1e-12)
+
+
+def test_toxicity_keeps_the_gains_of_words_at_hand(monkeypatch):
+    """Words that every text holds are compressed once, however often the table is full."""
+    done = []
+
+    class Counting:
+        def __init__(self, content):
+            self.inner, self.words = made(content), content == b"words"
+
+        def compress(self, raw):
+            done.append(self.words)
+            return self.inner.compress(raw)
+
+        def multi_compress_to_buffer(self, parts, threads):
+            done.extend([self.words] * len(parts))
+            return self.inner.multi_compress_to_buffer(parts, threads=threads)
+
+    made = toxicity._compressor
+    monkeypatch.setattr(toxicity, "_compressor", Counting)
+    monkeypatch.setattr(toxicity, "MEMO", 50)
+    s = toxicity.Scorer(toxicity.ToxicityModel(b"words", b"o", b"t", b"u", [0.0] * (toxicity.LEVELS + 5), 0.5))
+    for i in range(20):
+        s.score(" ".join([f"common{k}" for k in range(40)] + [f"rare{i}x{k}" for k in range(20)]))
+    assert sum(done) == 40 + 20 * 20
+
+
+def test_toxicity_words_with_long_runs_of_marks():
+    start = time.process_time()
+    assert toxicity.windows("a" + "!" * 100_000 + "b?") == ["a" + "!" * 100_000 + "b"] and toxicity.windows("!" * 100_000) == []
+    assert time.process_time() - start < 2  # in proportion to the text
+
+
 def test_a_text_over_the_bound_leaves_the_other_rows(spark):
     ids = sorted(range(20), key=lambda i: crc32(str(i).encode()))
     rows = [(i, "x" * (1000 if i in (ids[0], ids[9]) else 10)) for i in ids]
